@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import quality, toxicity
 from .common import table
 from .minhash import MinMaxParams, near_duplicates
 from .oracles import OP2_SQL
@@ -11,9 +12,19 @@ from .oracles import OP2_SQL
 OP2 = MinMaxParams(shingle=3, percent=85)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), OP2)
 
 
-QUERIES = {"op2_minhash": op2_minhash}
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES = {"op1_quality": op1_quality, "op2_minhash": op2_minhash, "op4_toxicity": op4_toxicity}
 ORACLE_SQL: dict[str, str] = {"op2_minhash": OP2_SQL}
