@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, toxicity
+from . import packing, quality, toxicity
 from .common import table
 from .minhash import MinMaxParams, near_duplicates
 from .oracles import OP2_SQL
@@ -26,5 +26,9 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_minhash": op2_minhash, "op4_toxicity": op4_toxicity}
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_quality": op1_quality, "op2_minhash": op2_minhash, "op4_toxicity": op4_toxicity, "op9_packing": op9_packing}
 ORACLE_SQL: dict[str, str] = {"op2_minhash": OP2_SQL}
