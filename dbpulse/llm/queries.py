@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality, toxicity
+from . import packing, pieces, quality, toxicity, warc
 from .common import table
 from .minhash import MinMaxParams, near_duplicates
 from .oracles import OP2_SQL
@@ -26,9 +26,18 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archived(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "complete")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_minhash": op2_minhash, "op4_toxicity": op4_toxicity, "op9_packing": op9_packing}
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_quality": op1_quality, "op2_minhash": op2_minhash, "op4_toxicity": op4_toxicity, "op6_warc": op6_warc, "op9_packing": op9_packing, "op10_sentencepiece": op10_sentencepiece}
 ORACLE_SQL: dict[str, str] = {"op2_minhash": OP2_SQL}
