@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, pieces, quality, toxicity, warc
+from . import neighbours, packing, pieces, quality, sharding, toxicity, warc
 from .common import table
 from .minhash import MinMaxParams, near_duplicates
 from .oracles import OP2_SQL
@@ -26,11 +27,19 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.archived(table(spark, sf_dir, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "complete")
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
@@ -39,5 +48,5 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_minhash": op2_minhash, "op4_toxicity": op4_toxicity, "op6_warc": op6_warc, "op9_packing": op9_packing, "op10_sentencepiece": op10_sentencepiece}
+QUERIES = {"op1_quality": op1_quality, "op2_minhash": op2_minhash, "op4_toxicity": op4_toxicity, "op5_neighbours": op5_neighbours, "op6_warc": op6_warc, "op7_sharding": op7_sharding, "op9_packing": op9_packing, "op10_sentencepiece": op10_sentencepiece}
 ORACLE_SQL: dict[str, str] = {"op2_minhash": OP2_SQL}
