@@ -20,6 +20,8 @@ _OWN_DIRS: dict[str, str] = {}
 def ship(spark: SparkSession) -> None:
     """Makes this package importable in Python workers; once per application."""
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # the default: too many rows of whole texts at once
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     marker = "dbpulse-" + sc.applicationId.replace("/", "_") + ".zip"
     if any(str(p).endswith(marker) for p in sc._python_includes):
         return

@@ -6,11 +6,11 @@ documents that share a band are candidates, and each candidate pair is confirmed
 on the full shingle sets of both documents.
 
 Plan: (1) one Arrow pass signs each document; equal sets are one class from here
-on. (2) A band's members are compared with its first member (by a hash order),
-not with each other. (3) Bands that still hold several components compare their
-next members, ever more of them, until none is left to compare; pairs that are
-already joined through others need no test. So a group of n copies costs about
-n comparisons, and no link between components is missed that a band shows.
+on. (2) Classes that share a band meet at the band's smallest id, and chains of
+such meetings are candidate groups. (3) Each group is compared exactly, on full
+sets, in blocks within tasks: no pair is a row anywhere, a tile returns only the
+links that span what it found, and large groups are dealt to many tiles by size
+class and hash. (4) Components of the links.
 """
 
 from __future__ import annotations
@@ -20,12 +20,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import broadcast_if, cut, ship
 from .components import connected_components
-from .textvec import _MASK, buffers, fold_words, mix, seeds, shingle_sets, words
+from .textvec import buffers, fold_words, mix, seeds, shingle_sets, words
 
 
 @dataclass(frozen=True)
@@ -34,7 +34,9 @@ class MinMaxParams:
     percent: int = 80  # links have 100 * intersection >= percent * union
     bands: int = 24
     perms_per_band: int = 3  # each gives two values of the band
-    broadcast_ids: int = 1_000_000  # ids of 8 bytes sent to every executor at most
+    block: int = 512  # members of a group compared with as many others in a task
+    bucket: int = 256  # members of small groups in a bucket, about
+    broadcast_rows: int = 500_000  # of 40 bytes, sent to every executor at most; beyond, the join shuffles
 
 
 def signatures(sets: np.ndarray, offsets: np.ndarray, perms: int) -> np.ndarray:
@@ -95,40 +97,93 @@ def _signer(p: MinMaxParams):
     return run
 
 
-def _text_verifier(p: MinMaxParams):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fold = fold_words()
+def spanning_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between members of ``left`` and ``right`` (numbers into ``sets``) that join what isn't joined yet.
 
-        def one(text: pa.Array) -> np.ndarray:
-            parts = [shingle_sets(words(raw, off, fold), p.shingle)[0] for raw, off, _ in buffers(text)]
-            return parts[0] if parts else np.zeros(0, np.uint64)
+    All pairs are compared, exactly: intersections are products of 0/1 rows over the shingles that more than one
+    set holds, a slice of shingles at a time. A link is left out only where others join its ends already.
+    """
+    sizes = np.array([len(x) for x in sets], np.int64)
+    used = np.unique(np.concatenate([left, right]))
+    owner = np.repeat(used, sizes[used])
+    values, column, counts = np.unique(np.concatenate([sets[i] for i in used]), return_inverse=True, return_counts=True)
+    keep = counts[column] > 1
+    owner, column = owner[keep], column[keep]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], (np.cumsum(counts > 1) - 1)[column[order]]
+    at_left, at_right = np.full(len(sets), -1), np.full(len(sets), -1)
+    at_left[left], at_right[right] = np.arange(len(left)), np.arange(len(right))
+    common = np.zeros((len(left), len(right)), np.float32)
+    width = 4096
+    for lo in range(0, int(counts[counts > 1].size), width):
+        a, b = np.searchsorted(column, [lo, lo + width])
+        bits = [np.zeros((len(side), width), np.float32) for side in (left, right)]
+        for side, where in zip(bits, (at_left, at_right), strict=True):
+            rows = where[owner[a:b]]
+            side[rows[rows >= 0], column[a:b][rows >= 0] - lo] = 1
+        common += bits[0] @ bits[1].T
+    inter = common.astype(np.int64)
+    x, y = np.nonzero(100 * inter >= percent * (sizes[left][:, None] + sizes[right][None, :] - inter))
+    x, y = left[x], right[y]
+    x, y = x[x != y], y[x != y]
+    label, found = np.arange(len(sets)), []
+    while len(x):
+        found.append((int(x[0]), int(y[0])))
+        label[label == label[x[0]]] = label[y[0]]
+        open_still = label[x] != label[y]
+        x, y = x[open_still], y[open_still]
+    return found
+
+
+def _comparer(p: MinMaxParams):
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("grp", "ascending"), ("rep", "ascending")])
+        groups, reps, sides = rows["grp"].to_numpy(), rows["rep"].to_numpy(), rows["side"].to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"].to_pylist()]
+        cuts = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1], [True]]))
+        a, b = [], []
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            numbers = np.arange(hi - lo)
+            side = sides[lo:hi]
+            for i, j in spanning_links(sets[lo:hi], numbers[side != 1], numbers[side != 0], p.percent):
+                a.append(reps[lo + i])
+                b.append(reps[lo + j])
+        return pa.table({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
-        last, last_set = None, None
+    return run
+
+
+def _shingler(p: MinMaxParams):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fold = fold_words()
         for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            ta, tb = batch.column("text_a"), batch.column("text_b")
-            keep = []
-            for i in range(len(a)):
-                if b[i] != last:
-                    last, last_set = b[i], one(tb.slice(i, 1))
-                mine = one(ta.slice(i, 1))
-                both = np.concatenate([mine, last_set])
-                both.sort()
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                keep.append(100 * common >= p.percent * (len(both) - common))
-            out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"])
-            yield out.filter(pa.array(keep, pa.bool_()))
+            for raw, offsets, at in buffers(batch.column(0)):
+                sets, cuts = shingle_sets(words(raw, offsets, fold), p.shingle)
+                n = len(offsets) - 1
+                rows = batch.slice(at, n)
+                blobs = pa.array([sets[cuts[i] : cuts[i + 1]].tobytes() for i in range(n)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*rows.columns[1:], blobs], names=[*rows.schema.names[1:], "shingles"])
 
     return run
 
 
-def _confirmed(texts: DataFrame, pairs: DataFrame, p: MinMaxParams) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets reach the similarity."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    found = cut(texts.join(broadcast_if(ids, ids.count(), p.broadcast_ids), "doc_id", "left_semi"), "candidate-texts")
-    left = pairs.join(found.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = left.join(found.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_text_verifier(p), "a long, b long")
+def _tiles(p: MinMaxParams, buckets: int):
+    """Where a member of a group is compared: (tile, side) with side 0 left, 1 right, 2 both.
+
+    Small groups are gathered in buckets. A large group is dealt by size class, where sets of two classes that
+    aren't neighbours can't be similar enough, and then by a hash; each pair of blocks of the same or of
+    neighbouring classes meets in one tile.
+    """
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    name = lambda s, i, t, j: F.concat_ws("/", F.col("grp"), s, i, t, j)
+    size, up, down = F.col("class"), F.col("class") + 1, F.col("class") - 1
+    tile = lambda key, side: F.struct(key.alias("tile"), F.lit(side).alias("side") if isinstance(side, int) else side.alias("side"))
+    same = F.transform(every, lambda h: tile(name(size, F.least(h, own), size, F.greatest(h, own)), F.when(h == own, 2).when(h > own, 0).otherwise(1)))
+    above = F.transform(every, lambda h: tile(name(size, own, up, h), 0))
+    below = F.transform(every, lambda h: tile(name(down, h, size, own), 1))
+    bucket = F.array(tile(F.concat_ws("/", F.lit("bucket"), F.pmod(F.xxhash64("grp"), F.lit(buckets))), 2))
+    return F.explode(F.when(F.col("members") <= p.block, bucket).otherwise(F.concat(same, above, below)))
 
 
 def near_duplicates(docs: DataFrame, params: MinMaxParams = MinMaxParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -145,48 +200,24 @@ def near_duplicates(docs: DataFrame, params: MinMaxParams = MinMaxParams(), id_c
         texts.mapInArrow(_signer(p), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"),
         "signed",
     )
-    by_set = signed.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    classes = cut(by_set, "classes")
-    bands = signed.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    members = bands.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    firsts = members.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("rep").alias("h"), F.col("rep"), F.col("n"))).alias("first")).where("size > 1")
-    shared = cut(
-        members.join(firsts.select("key", "size", F.col("first.rep").alias("first_rep"), F.col("first.n").alias("first_n")), "key"),
-        "shared-bands",
-    )
-    close = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * p.percent  # noqa: E731  the sets' sizes allow the similarity
-    tested = cut(
-        shared.where(close(F.col("n"), F.col("first_n")) & (F.col("rep") != F.col("first_rep")))
-        .select(F.greatest("rep", "first_rep").alias("a"), F.least("rep", "first_rep").alias("b"))
-        .distinct(),
-        "pairs",
-    )
-    links = cut(_confirmed(texts, tested, p), "links")
+    classes = cut(signed.where("n_shingles > 0").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
+    bands = signed.select("doc_id", "d1", "d2", "n_shingles", "bands").join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "d1", "d2", "n_shingles"], "left_semi")
+    members = bands.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key"))
+    firsts = members.groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first <> last").drop("last")
+    meet = members.join(firsts, "key").where("rep <> first").select("rep", "first")
+    groups = cut(connected_components(meet, "rep", "first"), "groups")  # candidates that a chain of shared bands joins
+    plan = groups.select(F.col("node").alias("rep"), F.col("component").alias("grp")).join(classes.select("rep", F.col("n_shingles").alias("n")), "rep")
+    step = -np.log(p.percent / 100) * (1 + 1e-9)  # a little more than the similarity allows, against rounding
+    plan = plan.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / F.lit(float(step))).cast("int"))
+    of_class = plan.groupBy("grp", "class").agg(F.count("*").alias("m"))
+    sizes = of_class.groupBy("grp").agg(F.sum("m").alias("members"), F.ceil(F.max("m") / p.block).cast("int").alias("blocks"))
+    plan = cut(plan.join(sizes, "grp").select("rep", "grp", "class", "members", "blocks"), "plan")
+    n = plan.count()
+    asked = texts.join(broadcast_if(plan.withColumnRenamed("rep", "doc_id"), n, p.broadcast_rows), "doc_id")
+    sets = asked.select("text", F.col("doc_id").alias("rep"), "grp", "class", "members", "blocks").mapInArrow(_shingler(p), "rep long, grp long, class int, members long, blocks int, shingles binary")
+    spread = sets.select("rep", "grp", "shingles", _tiles(p, max(1, n // p.bucket)).alias("at")).select("rep", "grp", "shingles", "at.tile", "at.side")
+    links = cut(spread.groupBy("tile").applyInArrow(_comparer(p), "a long, b long"), "links")
     components = cut(connected_components(links), "components")
-    done, upto = 1, 4
-    while True:
-        now = shared.select("key", "rep", "n", "size").join(components, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", "size", F.coalesce("component", "rep").alias("c"))
-        several = now.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.max("size").alias("size")).where(f"c0 <> c1 and size > {done}")
-        rest = now.join(several.select("key"), "key", "left_semi")
-        order = Window.partitionBy("key").orderBy(F.xxhash64("rep"), "rep")
-        lead = rest.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= upto).where(F.col("rank") > done)
-        pairs = (
-            rest.join(lead.select("key", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("c").alias("c2")), "key")
-            .where((F.col("c") != F.col("c2")) & close(F.col("n"), F.col("n2")))
-            .select(F.greatest("rep", "rep2").alias("a"), F.least("rep", "rep2").alias("b"))
-            .distinct()
-            .join(tested, ["a", "b"], "left_anti")
-        )
-        pairs = cut(pairs, "pairs")
-        if not pairs.isEmpty():
-            tested = tested.union(pairs)
-            more = cut(_confirmed(texts, pairs, p), "links")
-            if not more.isEmpty():
-                links = links.union(more)
-                components = cut(connected_components(links), "components")
-        elif several.where(F.col("size") > upto).isEmpty():
-            break
-        done, upto = upto, upto * 16
     reached = classes.join(components, F.col("rep") == F.col("node"), "left").select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n_shingles", "d1", "d2").join(reached, ["d1", "d2", "n_shingles"], "left")
     component = F.coalesce("component", "doc_id")
