@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import neighbours, packing, pieces, quality, sharding, toxicity, warc
+from . import licences, neighbours, packing, pieces, quality, sharding, tiles, toxicity, warc
 from .common import table
 from .minhash import MinMaxParams, near_duplicates
 from .oracles import OP2_SQL
@@ -22,6 +22,11 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), OP2)
 
 
+def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licences.scan(docs, licences.fit(docs))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -40,6 +45,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op8_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiles.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
@@ -48,5 +57,5 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_minhash": op2_minhash, "op4_toxicity": op4_toxicity, "op5_neighbours": op5_neighbours, "op6_warc": op6_warc, "op7_sharding": op7_sharding, "op9_packing": op9_packing, "op10_sentencepiece": op10_sentencepiece}
+QUERIES = {"op1_quality": op1_quality, "op2_minhash": op2_minhash, "op3_licences": op3_licences, "op4_toxicity": op4_toxicity, "op5_neighbours": op5_neighbours, "op6_warc": op6_warc, "op7_sharding": op7_sharding, "op8_near_vectors": op8_near_vectors, "op9_packing": op9_packing, "op10_sentencepiece": op10_sentencepiece}
 ORACLE_SQL: dict[str, str] = {"op2_minhash": OP2_SQL}
