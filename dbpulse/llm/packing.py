@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, ship, tokenizer_path
-from .wordcache import WordCache
+from .textvec import buffers, fold_words, hash_spans, spans
+from .wordcache import WordCache, of_worker
 
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -37,42 +38,58 @@ class PackParams:
     group: int = 8000  # pieces packed together, about
     rounds: int = 4  # of local search over a group's underfull bins
     nearly: float = 0.98  # bins filled less than this are underfull
-    batch_chars: int = 4_000_000
+    chunk: int = 1 << 21  # bytes of text encoded together
 
 
-def word_encoder(path: str):
-    """Encodes white-space-separated words with a tokenizers file.
+def text_encoder(path: str) -> "TextEncoder":
+    """The worker's encoder for a tokenizers file."""
+    return of_worker(("packing", path), lambda: TextEncoder(path))
 
-    The public word BPE composes characters (NFC), makes white space single blanks, lowers case and drops
-    blanks in its split, so no token crosses white space and a text's ids are its words' ids end to end.
-    """
-    from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    return lambda words: [e.ids for e in t.encode_batch([w.decode() for w in words], add_special_tokens=False)]
+class TextEncoder:
+    """Ids of whole texts by a tokenizers file like the public word BPE.
 
+    That one composes characters (NFC), makes white space single blanks, lowers case and drops blanks in its
+    split, so no token crosses white space; its split also never joins a letter or digit with punctuation, so a
+    point or comma that ends a word is a word of its own. A text's ids are its words' ids end to end.
+    """
 
-def batches_of_texts(column: pa.Array, chars: int) -> Iterator[tuple[int, list[str]]]:
-    """(number of the first row, texts) in runs of about ``chars`` characters; null counts as empty."""
-    run, size, at = [], 0, 0
-    for n, text in enumerate(column):
-        run.append(text.as_py() or "")
-        size += len(run[-1])
-        if size >= chars:
-            yield at, run
-            run, size, at = [], 0, n + 1
-    if run:
-        yield at, run
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        t = Tokenizer.from_file(path)
+        self._cache = WordCache(lambda words: [e.ids for e in t.encode_batch(words, add_special_tokens=False)])
+        self._fold = fold_words()
+        self._plain = np.zeros(256, bool)
+        self._plain[[*range(48, 58), *range(97, 123)]] = True
+
+    def encode(self, raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """The ids of each text of a chunk."""
+        n = len(offsets) - 1
+        if not len(raw):
+            return [np.zeros(0, np.uint32)] * n
+        starts, ends, low = spans(raw, offsets, self._fold)
+        last = low[ends - 1]
+        stop = ((last == 46) | (last == 44)) & (ends - starts > 1)
+        stop &= self._plain[low[ends - 2]]
+        points = ends[stop] - 1
+        ends = ends - stop
+        starts, ends = np.concatenate([starts, points]), np.concatenate([ends, points + 1])
+        order = np.argsort(starts, kind="stable")
+        starts, ends = starts[order], ends[order]
+        ids, lengths = self._cache.encode(raw, starts, ends, hash_spans(low, starts, ends))
+        at = np.concatenate([[0], np.cumsum(lengths)])[np.searchsorted(starts, offsets)]
+        return [ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
 def _tokenize(p: PackParams, path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordCache(word_encoder(path))
+        encoder = text_encoder(path)
         end = np.array([p.end_id], np.uint32)
         for batch in batches:
-            for at, texts in batches_of_texts(batch.column(1), p.batch_chars):
+            for raw, offsets, at in buffers(batch.column(1), p.chunk):
                 row, k, start, n, crc = [], [], [], [], []
-                for i, ids in enumerate(cache.encode([t.encode().split() for t in texts])):
+                for i, ids in enumerate(encoder.encode(raw, offsets)):
                     ids = np.concatenate([ids, end]).astype("<u4")
                     for piece, lo in enumerate(range(0, len(ids), p.capacity)):
                         part = ids[lo : lo + p.capacity]
@@ -80,7 +97,7 @@ def _tokenize(p: PackParams, path: str):
                         k.append(piece)
                         start.append(lo)
                         n.append(len(part))
-                        crc.append(zlib.crc32(part.tobytes()))
+                        crc.append(zlib.crc32(part))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(row, pa.int64())), pa.array(k, pa.int32()), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())],
                     names=PIECE_COLUMNS,

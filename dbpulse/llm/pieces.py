@@ -21,11 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship, tokenizer_path
-from .packing import batches_of_texts
-from .textvec import ragged
-from .wordcache import WordCache
+from .textvec import buffers, hash_spans, ragged, spans
+from .wordcache import WordCache, of_worker
 
 MARK = "▁"
+CHUNK = 1 << 21  # bytes of text encoded together
 # Piece types and field numbers of the model's protobuf.
 UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 2, 3, 4, 5, 6
 UNIGRAM_MODEL, BPE_MODEL = 1, 2
@@ -130,7 +130,9 @@ class Backend:
         # no piece has a marker after another character: then no piece crosses into the next word
         self.by_words = not any(MARK in p.lstrip(MARK) for p in usable)
         self._split = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-        self._cache = WordCache(self._encode_words)
+        self._cache = WordCache(lambda words: self._encode_words([MARK + w for w in words]))
+        self._fold = np.arange(256, dtype=np.uint8)
+        self._fold[0], self._fold[32] = 255, 0
         surfaces = [self._surface(i) for i in range(len(m.pieces))]
         self._bytes = np.frombuffer(b"".join(surfaces), np.uint8)
         self._lengths = np.array([len(s) for s in surfaces], np.int64)
@@ -156,8 +158,38 @@ class Backend:
         return (MARK if self.model.dummy_prefix else "") + text.replace(" ", MARK)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        rows = [self.marked(t) for t in texts]
-        return self._cache.encode([self._split.findall(r) for r in rows] if self.by_words else [[r] if r else [] for r in rows])
+        raw = [t.encode() for t in texts]
+        offsets = np.cumsum([0, *map(len, raw)])
+        return self.encode_chunk(np.frombuffer(b"".join(raw), np.uint8), offsets)
+
+    def encode_chunk(self, raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """The ids of each text of a chunk of UTF-8.
+
+        Texts of words with single blanks between them go by cached words; others are marked and split one by one.
+        """
+        n = len(offsets) - 1
+        data = raw.tobytes()
+        plain = self.by_words and self.normalizer is None and self.model.dummy_prefix
+        odd = np.array([not plain or self._is_odd(data[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], bool)
+        out = [np.zeros(0, np.uint32)] * n
+        if len(raw) and not odd.all():
+            starts, ends, low = spans(raw, offsets, self._fold)
+            first = np.searchsorted(starts, offsets)
+            keep = ~np.repeat(odd, np.diff(first))
+            starts, ends = starts[keep], ends[keep]
+            ids, lengths = self._cache.encode(raw, starts, ends, hash_spans(low, starts, ends))
+            at = np.concatenate([[0], np.cumsum(lengths)])[np.searchsorted(starts, offsets)]
+            out = [ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        for i in np.flatnonzero(odd):
+            marked = self.marked(data[offsets[i] : offsets[i + 1]].decode())
+            parts = self._split.findall(marked) if self.by_words else [marked] if marked else []
+            found = [x for at in range(0, len(parts), 20_000) for ids in self._encode_words(parts[at : at + 20_000]) for x in ids]
+            out[i] = np.array(found, np.uint32)
+        return out
+
+    @staticmethod
+    def _is_odd(text: bytes) -> bool:
+        return b"  " in text or text[:1] == b" " or text[-1:] == b" " or MARK.encode() in text
 
     def decode(self, ids: np.ndarray) -> str:
         ids = np.asarray(ids, np.int64)
@@ -207,10 +239,10 @@ def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", te
     Backend(path).verify(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        backend = Backend(path)
+        backend = of_worker(("pieces", path), lambda: Backend(path))
         for batch in batches:
-            for at, texts in batches_of_texts(batch.column(1), 4_000_000):
-                ids = backend.encode(texts)
+            for raw, cuts, at in buffers(batch.column(1), CHUNK):
+                ids = backend.encode_chunk(raw, cuts)
                 offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(ids)), lists], names=["doc_id", "ids"])
@@ -223,7 +255,7 @@ def decode(encoded: DataFrame, model: str | None = None, id_col: str = "doc_id",
     path = _model_path(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        backend = Backend(path)
+        backend = of_worker(("pieces", path), lambda: Backend(path))
         for batch in batches:
             texts = [backend.decode(np.array([i for i in ids or [] if i is not None], np.int64)) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
@@ -240,19 +272,19 @@ def digests(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", t
     Backend(path).verify(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        backend = Backend(path)
+        backend = of_worker(("pieces", path), lambda: Backend(path))
         for batch in batches:
-            for at, texts in batches_of_texts(batch.column(1), 4_000_000):
-                ids = backend.encode(texts)
-                back = [backend.decode(x) for x in ids]
-                raw = [b.encode() for b in back]
+            for raw, cuts, at in buffers(batch.column(1), CHUNK):
+                ids, data = backend.encode_chunk(raw, cuts), raw.tobytes()
+                texts = [data[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+                back = [backend.decode(x).encode() for x in ids]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(at, len(ids)),
                         pa.array([len(x) for x in ids], pa.int64()),
-                        pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()),
-                        pa.array([len(x) for x in raw], pa.int64()),
-                        pa.array([zlib.crc32(x) for x in raw], pa.int64()),
+                        pa.array([zlib.crc32(x.astype("<u4")) for x in ids], pa.int64()),
+                        pa.array([len(x) for x in back], pa.int64()),
+                        pa.array([zlib.crc32(x) for x in back], pa.int64()),
                         pa.array([a == b for a, b in zip(texts, back, strict=True)], pa.bool_()),
                     ],
                     names=["doc_id", "n_tokens", "ids_crc32", "decoded_bytes", "decoded_crc32", "round_trip"],

@@ -52,7 +52,7 @@ def fold_words() -> np.ndarray:
     t = np.arange(256, dtype=np.uint8)
     t[65:91] += 32
     t[[9, 10, 11, 12, 13, 32]] = 0
-    t[0] = 1  # a NUL byte belongs to its word
+    t[0] = 255  # a NUL byte belongs to its word; UTF-8 has no byte 255
     return t
 
 
@@ -70,7 +70,7 @@ class Words(NamedTuple):
     ends: np.ndarray  # int64, byte after each word
 
 
-def buffers(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+def buffers(column: pa.Array, chunk: int = CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """(bytes, offsets, number of the first row) of chunks of a text column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -83,18 +83,14 @@ def buffers(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     at = 0
     while at < n:
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + chunk, "right")) - 1)
         yield raw[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], at
         at = to
 
 
-def words(raw: np.ndarray, offsets: np.ndarray, fold: np.ndarray) -> Words:
+def spans(raw: np.ndarray, offsets: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where words start and end, and the folded bytes. No word crosses into the next document."""
     n = len(raw)
-    if not n:
-        none = np.zeros(0, np.int64)
-        return Words(np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), none, none)
-    if "byte" not in _tables:
-        _tables["byte"] = seeds(256, 0)
     low = fold[raw]
     solid = low != 0
     edge = np.zeros(n + 1, bool)
@@ -103,12 +99,26 @@ def words(raw: np.ndarray, offsets: np.ndarray, fold: np.ndarray) -> Words:
     begin[1:] &= ~solid[:-1] | edge[1:n]
     close = solid
     close[:-1] &= begin[1:] | ~solid[1:]
-    starts, ends = np.flatnonzero(begin), np.flatnonzero(close) + 1
+    return np.flatnonzero(begin), np.flatnonzero(close) + 1, low
+
+
+def hash_spans(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    n = len(low)
+    if "byte" not in _tables:
+        _tables["byte"] = seeds(256, 0)
     up, down = _powers(n)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_tables["byte"][low] * up[:n], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    return Words(hashes, np.searchsorted(starts, offsets), starts, ends)
+    np.multiply(_tables["byte"][low], up[:n], out=sums[1:])
+    np.cumsum(sums[1:], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
+def words(raw: np.ndarray, offsets: np.ndarray, fold: np.ndarray) -> Words:
+    if not len(raw):
+        none = np.zeros(0, np.int64)
+        return Words(np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), none, none)
+    starts, ends, low = spans(raw, offsets, fold)
+    return Words(hash_spans(low, starts, ends), np.searchsorted(starts, offsets), starts, ends)
 
 
 def word_hash(word: str, fold: np.ndarray) -> int:

@@ -1,7 +1,9 @@
-"""Token ids of whole texts from per-word ids, each distinct word encoded once per cache.
+"""Token ids of whole texts from per-word ids, each distinct word encoded once per worker.
 
-Right for tokenizers whose pre-tokenizer never joins characters across ASCII
-white space; ``packing`` and ``sentencepiece`` say why theirs qualifies.
+Right for tokenizers whose pre-tokenizer never joins characters across the
+cuts; ``packing`` and ``pieces`` say why theirs qualifies. Words are looked up by
+their 64-bit hashes in sorted arrays, so a million of them take some 40 MB, and
+a worker keeps them from task to task.
 """
 
 from __future__ import annotations
@@ -12,51 +14,76 @@ import numpy as np
 
 from .textvec import ragged
 
+_workers: dict[tuple, object] = {}
 
-class _Numbers(dict):
-    """word -> number; unseen words get the next number and wait in ``new``."""
+
+def of_worker(key: tuple, make: Callable[[], object]) -> object:
+    """What ``make`` gives, made once per Python worker."""
+    if key not in _workers:
+        _workers[key] = make()
+    return _workers[key]
+
+
+class _Sorted:
+    """Sorted hashes with the number of each."""
 
     def __init__(self):
-        super().__init__()
-        self.new: list = []
+        self.hashes, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
-    def __missing__(self, word):
-        self[word] = number = len(self)
-        self.new.append(word)
-        return number
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """The number of each, -1 where there is none."""
+        if not len(self.hashes):
+            return np.full(len(wanted), -1)
+        at = np.searchsorted(self.hashes, wanted)
+        at[at == len(self.hashes)] = 0
+        return np.where(self.hashes[at] == wanted, self.numbers[at], -1)
+
+    def add(self, hashes: np.ndarray, numbers: np.ndarray) -> None:
+        hashes, numbers = np.concatenate([self.hashes, hashes]), np.concatenate([self.numbers, numbers])
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.numbers = hashes[order], numbers[order]
 
 
 class WordCache:
-    def __init__(self, encode_many: Callable[[list], Sequence[Sequence[int]]], most: int = 400_000):
-        self._encode_many, self._most = encode_many, most
+    def __init__(self, encode_many: Callable[[list[str]], Sequence[Sequence[int]]], most: int = 1_500_000, recent: int = 65_536):
+        self._encode_many, self._most, self._recent_most = encode_many, most, recent
         self._reset()
 
     def _reset(self) -> None:
-        self._numbers = _Numbers()
+        self._old, self._recent = _Sorted(), _Sorted()
         self._start, self._length = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self._ids = np.zeros(0, np.uint32)
 
-    def encode(self, documents: list[list]) -> list[np.ndarray]:
-        """The ids of each document, given as its words in order."""
-        if len(self._numbers) > self._most:
+    def encode(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words raw[starts:ends] in order, and the number of ids of each word."""
+        if len(self._start) > self._most:
             self._reset()
-        look = self._numbers.__getitem__
-        rows = [np.fromiter(map(look, words), np.int64, len(words)) for words in documents]
-        if self._numbers.new:
-            self._learn()
-        out = []
-        for numbers in rows:
-            lengths = self._length[numbers]
-            out.append(self._ids[ragged(self._start[numbers], lengths)])
-        return out
-
-    def _learn(self) -> None:
-        new, self._numbers.new = self._numbers.new, []
-        found = []
-        for at in range(0, len(new), 20_000):
-            found += [np.asarray(ids, np.uint32) for ids in self._encode_many(new[at : at + 20_000])]
-        lengths = np.array([len(x) for x in found], np.int64)
-        starts = len(self._ids) + np.cumsum(lengths) - lengths
-        self._start = np.concatenate([self._start, starts])
+        unique, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        number = self._old.find(unique)
+        new = np.flatnonzero(number < 0)
+        number[new] = self._recent.find(unique[new])
+        new = new[number[new] < 0]
+        if len(new):
+            number[new] = self._learn(raw, starts[first[new]], ends[first[new]], unique[new])
+        number = number[back]
+        lengths = self._length[number]
+        return self._ids[ragged(self._start[number], lengths)], lengths
+
+    def _learn(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        data = raw.tobytes()
+        words = [data[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        ids, lengths = [], []
+        for at in range(0, len(words), 2_000):
+            for found in self._encode_many(words[at : at + 2_000]):
+                ids += found
+                lengths.append(len(found))
+        lengths = np.array(lengths, np.int64)
+        numbers = len(self._start) + np.arange(len(words))
+        self._start = np.concatenate([self._start, len(self._ids) + np.cumsum(lengths) - lengths])
         self._length = np.concatenate([self._length, lengths])
-        self._ids = np.concatenate([self._ids, *found])
+        self._ids = np.concatenate([self._ids, np.array(ids, np.uint32)])
+        self._recent.add(hashes, numbers)
+        if len(self._recent.hashes) > self._recent_most:
+            self._old.add(self._recent.hashes, self._recent.numbers)
+            self._recent = _Sorted()
+        return numbers
