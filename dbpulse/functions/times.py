@@ -30,7 +30,6 @@ DATE_IN_TEXT = [
     (r"(\d{4}-\d{2}-\d{2})", "yyyy-MM-dd"),
     (r"(\d{4}/\d{2}/\d{2})", "yyyy/MM/dd"),
     (r"(\d{1,2}/\d{1,2}/\d{4})", "M/d/yyyy"),
-    (r"([A-Z][a-z]{2} \d{1,2} \d{4})", "MMM d yyyy"),
 ]
 
 

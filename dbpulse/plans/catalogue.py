@@ -1,6 +1,543 @@
-"""The registered analytics queries and their oracle SQL."""
+"""The registered analytics queries and their oracle SQL.
+
+Each query runs an operator of this library over a driver table that stands for
+an incident table (``frames``); the SQL states the operator's meaning anew.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import kinds, text, times
+from ..operators import analytics, browse, deadlocks, filters, linking, merge, validation
+from .frames import cte, frame, load
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with the SQL of its result."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+SUMS = "count(*) AS row_count, CAST(sum(occurrence_count) AS BIGINT) AS total_occurrences"
+FIRST = r"regexp_replace({0}, '{1}', '{2}')"
+#: The fingerprint's body in the oracle: header stripped, then the first literal, number and run of blanks.
+BODY = r"regexp_replace(lower(query_details), '^\(@p[\d?](?:[^)(]|\([^)]*\))*\)\s*', '')"
+
+
+def _fingerprint(body: str) -> str:
+    return rf"substring(regexp_replace(regexp_replace(regexp_replace({body}, '''[^'']*''', '?'), '\b\d+\.?\d*\b', '?'), '\s+', ' '), 1, 300)"
+
+
+# --- analytics -------------------------------------------------------------------------------------------------
+
+
+@query(cte("raw_query") + f"SELECT environment, type, source, {SUMS} FROM raw_query GROUP BY ALL")
+def summary(spark, d):
+    return analytics.summary(frame(spark, d, "raw_query"))
+
+
+@query(cte("raw_query") + f"SELECT environment, type, source, {SUMS} FROM raw_query WHERE environment = 'prod' AND host = 'HOST3' AND month_year = '1997-05' GROUP BY ALL")
+def summary_filtered(spark, d):
+    return analytics.summary(frame(spark, d, "raw_query"), environment="prod", host="HOST3", month_year="1997-05")
+
+
+@query(cte("raw_query") + f"SELECT host, environment, {SUMS} FROM raw_query WHERE host IS NOT NULL GROUP BY ALL ORDER BY total_occurrences DESC, host, environment LIMIT 20")
+def by_host_topn(spark, d):
+    return analytics.by_host(frame(spark, d, "raw_query"))
+
+
+@query(cte("raw_query") + f"SELECT db_name, source, {SUMS} FROM raw_query WHERE db_name IS NOT NULL AND db_name <> '' GROUP BY ALL ORDER BY total_occurrences DESC, db_name, source LIMIT 5")
+def by_db_topn(spark, d):
+    return analytics.by_db(frame(spark, d, "raw_query"), top_n=5)
+
+
+@query(
+    cte("raw_query")
+    + """, m AS (SELECT month_year, count(*) AS row_count, CAST(sum(occurrence_count) AS BIGINT) AS total_occurrences,
+    count(*) FILTER (WHERE environment = 'prod') AS prod_count, count(*) FILTER (WHERE environment = 'sat') AS sat_count FROM raw_query WHERE month_year IS NOT NULL GROUP BY month_year)
+SELECT month_year, row_count, total_occurrences, row_count - lag(row_count) OVER w AS row_delta, total_occurrences - lag(total_occurrences) OVER w AS occ_delta, prod_count, sat_count
+FROM m WINDOW w AS (ORDER BY month_year)"""
+)
+def by_month(spark, d):
+    return analytics.by_month(frame(spark, d, "raw_query"))
+
+
+_KINDS = [(k, v, e) for e in ("", "prod", "sat") for k, v in analytics.FILE_TYPES.items()]
+_PIVOT = ", ".join(f"sum(csv_row_count) FILTER (WHERE file_type = '{v}'" + (f" AND environment = '{e}'" if e else "") + f") AS {k}{'_' + e if e else ''}" for k, v, e in _KINDS)
+_ZEROED = ", ".join(f"CAST(coalesce({n}, 0) AS BIGINT) AS {n}" for n in (f"{k}{'_' + e if e else ''}" for k, _, e in _KINDS))
+_MONTH_TYPE = (
+    cte("raw_query", "upload_log")
+    + f""", p AS (SELECT month_year, count(*) AS total_patterns FROM raw_query WHERE month_year IS NOT NULL GROUP BY month_year),
+l AS (SELECT *, row_number() OVER (PARTITION BY filename ORDER BY CAST(uploaded_at AS TIMESTAMP) DESC, id DESC) AS rn FROM upload_log WHERE month_year IS NOT NULL),
+u AS (SELECT month_year, {_PIVOT}, sum(csv_row_count) AS total_file_rows FROM l WHERE rn = 1 GROUP BY month_year),
+mt AS (SELECT coalesce(p.month_year, u.month_year) AS month_year, {_ZEROED}, CAST(total_file_rows AS BIGINT) AS total_file_rows, coalesce(total_patterns, 0) AS total_patterns
+  FROM p FULL OUTER JOIN u ON p.month_year = u.month_year)
+"""
+)
+
+
+@query(_MONTH_TYPE + "SELECT * FROM mt")
+def by_month_type(spark, d):
+    return analytics.by_month_type(frame(spark, d, "raw_query"), frame(spark, d, "upload_log"))
+
+
+@query(_MONTH_TYPE + "SELECT month_year, " + ", ".join(f"{k} - lag({k}) OVER (ORDER BY month_year) AS {k}_delta" for k in analytics.FILE_TYPES) + " FROM mt")
+def month_type_deltas(spark, d):
+    return analytics.month_type_deltas(by_month_type(spark, d))
+
+
+@query(
+    cte("raw_query", "curated_query")
+    + """SELECT count(*) AS total_rows, count(c.id) AS curated_rows, count(*) - count(c.id) AS uncurated_rows, round(count(c.id) / count(*) * 100, 4) AS coverage_pct
+FROM raw_query r LEFT JOIN curated_query c ON c.raw_query_id = r.id"""
+)
+def curation_coverage(spark, d):
+    return analytics.curation_coverage(frame(spark, d, "raw_query"), frame(spark, d, "curated_query"))
+
+
+_HOUR = "datepart('hour', CAST(time AS TIMESTAMP))"
+_DAY = "datepart('isodow', CAST(time AS TIMESTAMP)) - 1"
+_FLAT = f"flat AS (SELECT CAST({_HOUR} AS INT) AS hour, CAST({_DAY} AS INT) AS weekday, coalesce(type, 'unknown') AS type, coalesce(host, '') AS host, coalesce(db_name, '') AS db_name, CAST(sum(occurrence_count) AS BIGINT) AS count FROM live GROUP BY ALL)"
+
+
+@query(cte("live") + f", {_FLAT} SELECT * FROM flat")
+def by_hour(spark, d):
+    return analytics.by_hour_flat(frame(spark, d, "live"))
+
+
+def _tops(column: str, name: str) -> str:
+    return f"""{name} AS (SELECT hour, weekday, string_agg({column} || ':' || n, ',' ORDER BY r) AS {name} FROM (
+  SELECT hour, weekday, {column}, sum(count) AS n, row_number() OVER (PARTITION BY hour, weekday ORDER BY sum(count) DESC, {column}) AS r FROM flat WHERE {column} <> '' GROUP BY hour, weekday, {column}) WHERE r <= 5 GROUP BY hour, weekday)"""
+
+
+@query(
+    cte("live")
+    + f""", {_FLAT}, {_tops('host', 'top_hosts')}, {_tops('db_name', 'top_dbs')},
+kinds AS (SELECT hour, weekday, CAST(sum(n) AS BIGINT) AS count, string_agg(type || ':' || n, ',' ORDER BY type) AS by_type FROM (SELECT hour, weekday, type, sum(count) AS n FROM flat GROUP BY ALL) GROUP BY hour, weekday)
+SELECT k.hour, k.weekday, k.count, k.by_type, coalesce(h.top_hosts, '') AS top_hosts, coalesce(b.top_dbs, '') AS top_dbs
+FROM kinds k LEFT JOIN top_hosts h ON k.hour = h.hour AND k.weekday = h.weekday LEFT JOIN top_dbs b ON k.hour = b.hour AND k.weekday = b.weekday"""
+)
+def by_hour_cells_top5(spark, d):
+    cells = analytics.by_hour(frame(spark, d, "live"))
+    pairs = lambda c, name: F.array_join(F.transform(c, lambda x: F.concat(x[name], F.lit(":"), x["count"].cast("string"))), ",").alias(c)
+    kinds_text = F.array_join(F.transform(F.map_entries("by_type"), lambda x: F.concat(x["key"], F.lit(":"), x["value"].cast("string"))), ",")
+    return cells.select("hour", "weekday", "count", kinds_text.alias("by_type"), pairs("top_hosts", "host"), pairs("top_dbs", "db_name"))
+
+
+@query(
+    cte("live")
+    + f"""SELECT id, type, host, db_name, environment, source, time, month_year, occurrence_count, query_details, count(*) OVER () AS total
+FROM live WHERE {_HOUR} = 10 AND {_DAY} = 2 ORDER BY occurrence_count DESC, id DESC LIMIT 20 OFFSET 5"""
+)
+def by_hour_queries(spark, d):
+    return analytics.by_hour_queries(frame(spark, d, "live"), hour=10, weekday=2, limit=20, offset=5)
+
+
+@query(cte("live") + f", {_FLAT.replace('FROM live', "FROM live WHERE CAST(CAST(time AS TIMESTAMP) AS DATE) BETWEEN DATE '2024-01-08' AND DATE '2024-01-14'")} SELECT * FROM flat")
+def week_filter(spark, d):
+    return analytics.by_hour_flat(frame(spark, d, "live"), "2024-01-08", "2024-01-14")
+
+
+@query(
+    cte("raw_query")
+    + """, m AS (SELECT DISTINCT month_year, CAST(month_year || '-01' AS DATE) AS f FROM raw_query), w AS (
+  SELECT month_year, f, last_day(f) AS l, unnest(generate_series(CAST(date_trunc('week', f) AS TIMESTAMP), CAST(last_day(f) AS TIMESTAMP), INTERVAL 7 DAY)) AS s FROM m)
+SELECT month_year, strftime(greatest(CAST(s AS DATE), f), '%Y-%m-%d') AS week_start, strftime(least(CAST(s AS DATE) + 6, l), '%Y-%m-%d') AS week_end FROM w"""
+)
+def month_weeks(spark, d):
+    months = frame(spark, d, "raw_query").select("month_year").distinct()
+    weeks = months.select("month_year", F.explode(times.month_weeks(F.col("month_year"))).alias("w"))
+    day = lambda c: F.date_format(f"w.{c}", "yyyy-MM-dd").alias(c)
+    return weeks.select("month_year", day("week_start"), day("week_end"))
+
+
+_PRINTS = (
+    cte("raw_query")
+    + f""", s AS (SELECT id, query_details, {BODY} AS body, coalesce(type, 'unknown') AS type, coalesce(host, '') AS host, coalesce(db_name, '') AS db_name, coalesce(month_year, '') AS month_year,
+  coalesce(environment, '') AS environment, coalesce(source, '') AS source, occurrence_count AS occ FROM raw_query WHERE query_details IS NOT NULL AND query_details <> ''),
+b AS (SELECT db_name, host, arg_min({_fingerprint('body')}, id) AS recovered, arg_min(query_details, id) AS recovered_sample FROM s WHERE query_details LIKE '(@P?%' AND body NOT LIKE '(@p%' GROUP BY db_name, host),
+f AS (SELECT s.id, CASE WHEN length(trim(body)) < 5 OR body LIKE '(@p%' THEN coalesce(recovered, '{text.NO_BODY}') ELSE {_fingerprint('body')} END AS fingerprint,
+  coalesce(CASE WHEN body LIKE '(@p%' THEN recovered_sample END, query_details) AS sample, s.type, s.host, s.db_name, s.month_year, s.environment, s.source, occ
+  FROM s LEFT JOIN b ON s.db_name = b.db_name AND s.host = b.host)
+"""
+)
+
+
+@query(_PRINTS + "SELECT id, fingerprint, sample FROM f")
+def fingerprint_bridge(spark, d):
+    return analytics.fingerprints(frame(spark, d, "raw_query")).select("id", "fingerprint", "sample")
+
+
+@query(
+    _PRINTS
+    + """, t AS (SELECT fingerprint, CAST(sum(occ) AS BIGINT) AS count, count(*) AS row_count FROM f GROUP BY fingerprint ORDER BY count DESC, fingerprint LIMIT 20),
+k AS (SELECT fingerprint, string_agg(type || ':' || n, ',' ORDER BY type) AS by_type FROM (SELECT fingerprint, type, sum(occ) AS n FROM f GROUP BY ALL) GROUP BY fingerprint),
+h AS (SELECT fingerprint, host, row_number() OVER (PARTITION BY fingerprint ORDER BY sum(occ) DESC, host) AS r FROM f WHERE host <> '' GROUP BY fingerprint, host),
+g AS (SELECT fingerprint, db_name, row_number() OVER (PARTITION BY fingerprint ORDER BY sum(occ) DESC, db_name) AS r FROM f WHERE db_name <> '' GROUP BY fingerprint, db_name),
+o AS (SELECT fingerprint, min(source) FILTER (WHERE source <> '') AS example_source, count(DISTINCT month_year) FILTER (WHERE month_year <> '') AS months, string_agg(DISTINCT environment, ',' ORDER BY environment) AS environments FROM f GROUP BY fingerprint),
+x AS (SELECT fingerprint, sample, row_number() OVER (PARTITION BY fingerprint ORDER BY occ DESC, id) AS r FROM f)
+SELECT t.fingerprint, x.sample AS sample_query, t.count, t.row_count, k.by_type, o.months, o.environments, coalesce(h.host, '') AS example_host, coalesce(g.db_name, '') AS example_db, coalesce(o.example_source, '') AS example_source
+FROM t JOIN k USING (fingerprint) JOIN o USING (fingerprint) JOIN x ON x.fingerprint = t.fingerprint AND x.r = 1 LEFT JOIN h ON h.fingerprint = t.fingerprint AND h.r = 1 LEFT JOIN g ON g.fingerprint = t.fingerprint AND g.r = 1"""
+)
+def top_fingerprints(spark, d):
+    top = analytics.top_fingerprints(frame(spark, d, "raw_query"))
+    by_type = F.array_join(F.transform(F.map_entries("by_type"), lambda x: F.concat(x["key"], F.lit(":"), x["value"].cast("string"))), ",")
+    return top.select("fingerprint", "sample_query", "count", "row_count", by_type.alias("by_type"), F.size("months").cast("long").alias("months"), F.array_join("environments", ",").alias("environments"), "example_host", "example_db", "example_source")
+
+
+@query(f"SELECT doc_id, {_fingerprint('lower(text)')} AS fingerprint FROM documents")
+def fingerprint_documents(spark, d):
+    return load(spark, d, "documents").select("doc_id", text.fingerprint_body(F.col("text")).alias("fingerprint"))
+
+
+@query(r"SELECT doc_id, substring(regexp_replace(lower('(@P0 nvarchar(4000),@P1 int)' || text), '^\(@p[\d?](?:[^)(]|\([^)]*\))*\)\s*', ''), 1, 200) AS body FROM documents")
+def fingerprint_strip_header(spark, d):
+    headed = F.concat(F.lit("(@P0 nvarchar(4000),@P1 int)"), F.col("text"))
+    return load(spark, d, "documents").select("doc_id", F.substring(text.without_header(headed), 1, 200).alias("body"))
+
+
+@query(
+    cte("raw_query")
+    + """SELECT host, round(quantile_cont(occurrence_count, 0.5), 1) AS p50, round(quantile_cont(occurrence_count, 0.95), 1) AS p95, round(quantile_cont(occurrence_count, 0.99), 1) AS p99,
+CAST(max(occurrence_count) AS BIGINT) AS max_occ, CAST(sum(occurrence_count) AS BIGINT) AS total_occurrences, count(*) AS row_count
+FROM raw_query WHERE host IS NOT NULL GROUP BY host HAVING count(*) >= 3 ORDER BY p95 DESC, total_occurrences DESC, host LIMIT 30"""
+)
+def host_stats(spark, d):
+    return analytics.host_stats(frame(spark, d, "raw_query"))
+
+
+@query(
+    """SELECT CAST(l_suppkey AS VARCHAR) AS host, round(quantile_cont(l_quantity, 0.5), 1) AS p50, round(quantile_cont(l_quantity, 0.95), 1) AS p95, round(quantile_cont(l_quantity, 0.99), 1) AS p99, CAST(max(l_quantity) AS BIGINT) AS max_occ,
+CAST(sum(l_quantity) AS BIGINT) AS total_occurrences, count(*) AS row_count FROM lineitem GROUP BY l_suppkey HAVING count(*) >= 3 ORDER BY p95 DESC, total_occurrences DESC, host LIMIT 200"""
+)
+def host_stats_lineitem(spark, d):
+    rows = load(spark, d, "lineitem").select(F.col("l_suppkey").cast("string").alias("host"), F.col("l_quantity").alias("occurrence_count"))
+    return analytics.host_stats(rows, top_n=200)
+
+
+@query(
+    cte("raw_query")
+    + """, b AS (SELECT host, month_year, sum(occurrence_count) AS n FROM raw_query WHERE type = 'blocker' AND host IS NOT NULL AND month_year IS NOT NULL GROUP BY ALL),
+dl AS (SELECT host, month_year, sum(occurrence_count) AS n FROM raw_query WHERE type = 'deadlock' AND host IS NOT NULL AND month_year IS NOT NULL GROUP BY ALL)
+SELECT coalesce(b.host, dl.host) AS host, coalesce(b.month_year, dl.month_year) AS month_year, CAST(coalesce(b.n, 0) AS BIGINT) AS blocker_count, CAST(coalesce(dl.n, 0) AS BIGINT) AS deadlock_count, CAST(coalesce(b.n, 0) + coalesce(dl.n, 0) AS BIGINT) AS combined_score
+FROM b FULL OUTER JOIN dl ON b.host = dl.host AND b.month_year = dl.month_year ORDER BY combined_score DESC, host, month_year LIMIT 200"""
+)
+def co_occurrence(spark, d):
+    return analytics.co_occurrence(frame(spark, d, "raw_query"))
+
+
+@query(cte("raw_query", "upload_log") + "SELECT count(DISTINCT host) AS hosts, count(DISTINCT month_year) AS months, (SELECT CAST(sum(csv_row_count) AS BIGINT) FROM upload_log) AS file_rows FROM raw_query")
+def kpis(spark, d):
+    return analytics.kpis(frame(spark, d, "raw_query"), frame(spark, d, "upload_log"))
+
+
+@query(cte("raw_query") + f"SELECT environment, type, source, {SUMS} FROM raw_query WHERE upper(host) IN ('HOST1', 'HOST2', 'HOST5') GROUP BY ALL")
+def system_filter(spark, d):
+    systems = spark.createDataFrame([("Billing", "host1"), ("Billing", "Host2"), ("Billing", "HOST5"), ("Other", "HOST7")], "system string, host string")
+    return analytics.summary(frame(spark, d, "raw_query"), system="BILLING", systems=systems)
+
+
+@query("SELECT c_custkey, c_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE upper(r_name) = 'ASIA'")
+def system_filter_lookup(spark, d):
+    nations = load(spark, d, "nation").join(load(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("system"), F.col("n_name").alias("host"))
+    customers = load(spark, d, "customer").join(load(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).withColumnRenamed("n_name", "host")
+    return filters.on_system(customers, "asia", nations).select("c_custkey", "c_name")
+
+
+# --- lists, curation, export -----------------------------------------------------------------------------------
+
+
+@query(
+    cte("raw_query", "curated_query")
+    + """, p AS (SELECT * FROM raw_query WHERE environment = 'sat' AND month_year IN ('1996-01', '1996-02') ORDER BY occurrence_count DESC, id DESC LIMIT 50 OFFSET 20)
+SELECT p.id, p.host, p.type, p.occurrence_count, c.id AS curated_id FROM p LEFT JOIN curated_query c ON c.raw_query_id = p.id"""
+)
+def list_filtered_page(spark, d):
+    out = browse.list_queries(frame(spark, d, "raw_query"), frame(spark, d, "curated_query"), environment="sat", months=["1996-01", "1996-02"], sort_by="occurrence_count", limit=50, offset=20)
+    return out.select("id", "host", "type", "occurrence_count", "curated_id")
+
+
+@query(cte("raw_query", "curated_query") + "SELECT count(id) AS count FROM raw_query WHERE type = 'blocker' AND id IN (SELECT raw_query_id FROM curated_query)")
+def count_curated_blockers(spark, d):
+    return browse.count_queries(frame(spark, d, "raw_query"), frame(spark, d, "curated_query"), type="blocker", is_curated=True)
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+def is_curated_true(spark, d):
+    marks = load(spark, d, "labels").withColumnRenamed("doc_id", "raw_query_id")
+    return filters.curated_only(load(spark, d, "documents"), marks, True, "doc_id").select("doc_id", "lang")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def is_curated_false(spark, d):
+    marks = load(spark, d, "labels").withColumnRenamed("doc_id", "raw_query_id")
+    return filters.curated_only(load(spark, d, "documents"), marks, False, "doc_id").select("doc_id", "lang")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE text ILIKE '%The and%'")
+def search_ilike(spark, d):
+    docs = load(spark, d, "documents").withColumnRenamed("text", "query_details")
+    return filters.listing(docs, search="  The   and ").select("doc_id", "lang")
+
+
+@query(cte("raw_query") + "SELECT DISTINCT host FROM raw_query WHERE host IS NOT NULL ORDER BY host")
+def distinct_values(spark, d):
+    return browse.distinct_values(frame(spark, d, "raw_query"), "host")
+
+
+@query(
+    cte("raw_query", "curated_query", "pattern_label")
+    + """SELECT r.id, r.time, r.source, r.host, r.db_name, r.environment, r.type, r.month_year, r.occurrence_count, r.query_details, c.id AS curated_id, c.label_id, l.name AS label_name, l.severity AS label_severity, c.notes
+FROM raw_query r LEFT JOIN curated_query c ON c.raw_query_id = r.id LEFT JOIN pattern_label l ON l.id = c.label_id WHERE r.host ILIKE '%ost1%' AND r.query_details ILIKE '%from t3%'"""
+)
+def export_join(spark, d):
+    raw = frame(spark, d, "raw_query").withColumns({"first_seen": F.lit(None).cast("timestamp"), "last_seen": F.lit(None).cast("timestamp")})
+    out = browse.export_rows(raw, frame(spark, d, "curated_query"), frame(spark, d, "pattern_label"), host="ost1", search="from T3")
+    return out.drop("query_hash", "first_seen", "last_seen")
+
+
+@query(
+    cte("raw_query", "curated_query", "pattern_label")
+    + """SELECT r.id, c.id AS curated_id, c.label_id, l.name AS label_name, r.type, c.notes FROM curated_query c JOIN raw_query r ON r.id = c.raw_query_id LEFT JOIN pattern_label l ON l.id = c.label_id
+WHERE r.source = 'sql' ORDER BY r.id DESC LIMIT 100 OFFSET 10"""
+)
+def curated_list(spark, d):
+    out = browse.list_curated(frame(spark, d, "curated_query"), frame(spark, d, "raw_query"), frame(spark, d, "pattern_label"), source="sql", limit=100, offset=10)
+    return out.select("id", "curated_id", "label_id", "label_name", "type", "notes")
+
+
+@query(cte("raw_query", "curated_query") + "SELECT count(*) AS count FROM curated_query c JOIN raw_query r ON r.id = c.raw_query_id WHERE c.label_id = 1")
+def curated_count(spark, d):
+    return browse.count_curated(frame(spark, d, "curated_query"), frame(spark, d, "raw_query"), frame(spark, d, "pattern_label"), label_id=1)
+
+
+# --- intake ----------------------------------------------------------------------------------------------------
+
+
+def _doc_rows(spark, d):
+    docs = load(spark, d, "documents")
+    meta = text.json_text({"lang": F.col("lang")})
+    return docs.select(F.lit("2024-03-01T10:00:00.000+0800").alias("time"), F.lit("SQL").alias("source"), F.col("source").alias("host"), F.col("lang").alias("db_name"), F.lit("sat").alias("environment"), F.lit("deadlock").alias("type"), F.col("text").alias("query_details"), meta.alias("extra_metadata"), (F.col("n_chars") % 3).alias("occurrence_count"), F.col("doc_id").alias("seq"))
+
+
+_HASHED = r"""WITH h AS (SELECT doc_id, md5(concat_ws('|', 'sql', lower(trim(source)), lower(trim(lang)), 'sat', 'deadlock', '2024-03-01T10:00:00.000+0800', regexp_replace(text, '^\s+|\s+$', '', 'g'), '{"lang": "' || lang || '"}')) AS query_hash,
+  CASE WHEN n_chars % 3 = 0 THEN 1 ELSE n_chars % 3 END AS n FROM documents)
+"""
+
+
+@query(_HASHED + "SELECT query_hash, CAST(sum(n) AS BIGINT) AS occurrence_count, min(doc_id) AS seq, '2024-03' AS month_year FROM h GROUP BY query_hash")
+def dedup_hash(spark, d):
+    return merge.normalised(_doc_rows(spark, d), F.current_timestamp()).select("query_hash", "occurrence_count", "seq", "month_year")
+
+
+@query("SELECT o_orderkey, md5(concat_ws('|', trim(o_orderpriority), CAST(o_custkey AS VARCHAR), '', o_orderstatus)) AS query_hash FROM orders")
+def typed_hash(spark, d):
+    return load(spark, d, "orders").select("o_orderkey", kinds.joined_hash(F.col("o_orderpriority"), F.col("o_custkey").cast("string"), F.lit(None).cast("string"), F.col("o_orderstatus")).alias("query_hash"))
+
+
+@query(r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace('  @P12' || text || ' @P7 ', '\s+', ' ', 'g'), '^ | $', '', 'g'), '@P\d+', '@P?', 'g') AS cleaned FROM documents")
+def clean_text(spark, d):
+    return load(spark, d, "documents").select("doc_id", text.clean(F.concat(F.lit("  @P12"), F.col("text"), F.lit(" @P7 "))).alias("cleaned"))
+
+
+_LAYOUTS = [("yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "%Y-%m-%dT%H:%M:%S.%f"), ("yyyy-MM-dd'T'HH:mm:ss", "%Y-%m-%dT%H:%M:%S"), ("M/d/yyyy h:mm:ss a", "%-m/%-d/%Y %-I:%M:%S %p"), ("M/d/yyyy HH:mm:ss", "%-m/%-d/%Y %H:%M:%S"), ("yyyy-MM-dd HH:mm:ss.SSSSSS", "%Y-%m-%d %H:%M:%S.%f"), ("yyyy-MM-dd HH:mm:ss", "%Y-%m-%d %H:%M:%S"), ("yyyy/MM/dd HH:mm:ss", "%Y/%m/%d %H:%M:%S")]
+
+
+@query("WITH w AS (SELECT event_id, CASE event_id % 7 " + " ".join(f"WHEN {i} THEN strftime(ts, '{b}')" for i, (_, b) in enumerate(_LAYOUTS)) + " END || '+0800' AS written, ts FROM events) SELECT event_id, written, strftime(ts, '%Y-%m-%d %H:%M:%S') AS parsed, strftime(ts, '%Y-%m') AS month FROM w")
+def parse_time_formats(spark, d):
+    written = F.lit(None).cast("string")
+    for i, (a, _) in enumerate(_LAYOUTS):
+        written = F.when(F.col("event_id") % 7 == i, F.date_format("ts", a)).otherwise(written)
+    rows = load(spark, d, "events").select("event_id", F.concat(written, F.lit("+0800")).alias("written"))
+    return rows.select("event_id", "written", F.date_format(times.event_time(F.col("written")), "yyyy-MM-dd HH:mm:ss").alias("parsed"), times.month_of(F.col("written")).alias("month"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 3 THEN NULL ELSE strftime(o_orderdate, '%Y-%m') END AS month FROM orders")
+def month_year_from_text(spark, d):
+    k = F.col("o_orderkey") % 4
+    part = F.when(k == 0, F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")).when(k == 1, F.date_format("o_orderdate", "yyyy/MM/dd")).when(k == 2, F.date_format("o_orderdate", "M/d/yyyy")).otherwise("no date")
+    return load(spark, d, "orders").select("o_orderkey", times.month_in(F.array(F.col("o_orderpriority"), F.concat(F.lit("at "), part), F.lit(""))).alias("month"))
+
+
+@query("SELECT p_partkey, TRY_CAST(replace(CASE WHEN p_partkey % 5 = 0 THEN 'n/a' ELSE '1,' || CAST(p_size AS VARCHAR) || '00.75' END, ',', '') AS DOUBLE) AS d, CAST(trunc(TRY_CAST(replace(CASE WHEN p_partkey % 5 = 0 THEN 'n/a' ELSE '1,' || CAST(p_size AS VARCHAR) || '00.75' END, ',', '') AS DOUBLE)) AS BIGINT) AS n FROM part")
+def lenient_cast(spark, d):
+    written = F.when(F.col("p_partkey") % 5 == 0, "n/a").otherwise(F.concat(F.lit("1,"), F.col("p_size").cast("string"), F.lit("00.75")))
+    return load(spark, d, "part").select("p_partkey", kinds.to_double(written).alias("d"), kinds.to_long(written).alias("n"))
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN '{"find":"c","n":' || (props->>'$.k') || '}' WHEN 1 THEN '{"type":"' || event_type || '"}' WHEN 2 THEN '{"error":"parse_failed","raw_prefix":"broken"}' ELSE '' END AS command FROM events""")
+def json_extract(spark, d):
+    k = F.col("event_id") % 4
+    n = F.get_json_object("props", "$.k")
+    raw = F.when(k == 0, F.concat(F.lit('{"attr": {"command": {"find": "c", "n": '), n, F.lit("}}}"))).when(k == 1, F.concat(F.lit('{"attr": {"type": "'), F.col("event_type"), F.lit('"}}'))).when(k == 2, "broken")
+    return load(spark, d, "events").select("event_id", kinds.mongo_command(raw).alias("command"))
+
+
+@query(r"WITH n AS (SELECT page_id, regexp_extract(url, '://([^/?#]+)', 1) AS ns FROM pages) SELECT page_id, split_part(ns, '.', 1) AS db_name, CASE WHEN contains(ns, '.') THEN substr(ns, length(split_part(ns, '.', 1)) + 2) ELSE '' END AS collection FROM n")
+def namespace_split(spark, d):
+    ns = F.regexp_extract("url", r"://([^/?#]+)", 1)
+    return load(spark, d, "pages").select("page_id", kinds.namespace_db(ns).alias("db_name"), kinds.namespace_collection(ns).alias("collection"))
+
+
+_NAME = "CASE p_partkey % 6 WHEN 0 THEN 'blockersProd' WHEN 1 THEN 'DEADLOCKSsat' WHEN 2 THEN 'maxElapsedQueriesProd' WHEN 3 THEN 'mongodbSlowQueriesSat' WHEN 4 THEN 'dataFileSizeMongoProd' ELSE p_name END"
+
+
+@query(
+    f"""WITH n AS (SELECT p_partkey, lower({_NAME}) AS f FROM part) SELECT p_partkey, CASE WHEN contains(f, 'prod') THEN 'prod' WHEN contains(f, 'sat') THEN 'sat' ELSE 'unknown' END AS environment,
+CASE WHEN contains(f, 'maxelapsed') THEN 'slow_query_sql' WHEN contains(f, 'blocker') THEN 'blocker' WHEN contains(f, 'deadlock') THEN 'deadlock' WHEN contains(f, 'mongodb') AND contains(f, 'slow') THEN 'slow_query_mongo' ELSE 'unknown' END AS category FROM n"""
+)
+def file_category(spark, d):
+    name = F.expr(_NAME)
+    return load(spark, d, "part").select("p_partkey", kinds.environment_of(name).alias("environment"), kinds.file_category(name).alias("category"))
+
+
+@query("SELECT o_orderkey, CASE WHEN lower(o_orderstatus) IN ('p', 'f') THEN lower(o_orderstatus) ELSE 'unknown' END AS status FROM orders")
+def enum_clamp(spark, d):
+    return load(spark, d, "orders").select("o_orderkey", kinds.clamp(F.col("o_orderstatus"), ["p", "f"], "unknown").alias("status"))
+
+
+@query("SELECT round(avg(CASE WHEN quality IS NULL THEN 1 ELSE 0 END), 4) AS quality, round(avg(CASE WHEN lang IS NULL THEN 1 ELSE 0 END), 4) AS lang FROM documents LEFT JOIN labels USING (doc_id)")
+def null_rates(spark, d):
+    return validation.null_rates(load(spark, d, "documents").join(load(spark, d, "labels"), "doc_id", "left"), ["quality", "lang"])
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 500 THEN substring(text, 1, 500) || '…[truncated]' ELSE text END AS text FROM documents ORDER BY doc_id LIMIT 50")
+def sample_truncate(spark, d):
+    return validation.sample(load(spark, d, "documents").select("doc_id", "text").orderBy("doc_id"))
+
+
+def _batches(spark, d):
+    stamp = lambda v: F.to_timestamp(F.lit(v))
+    rows = frame(spark, d, "raw_query").select("id", "query_hash", "type", F.col("occurrence_count").cast("long").alias("occurrence_count"))
+    old = rows.where("id % 3 <> 0").withColumns({"last_seen": stamp("2026-01-01 00:00:00"), "updated_at": stamp("2026-01-01 00:00:00")})
+    new = rows.where("id % 2 = 0").withColumns({"type": F.lit("blocker"), "last_seen": stamp("2026-02-01 00:00:00"), "updated_at": stamp("2026-02-01 00:00:00"), "seq": F.col("id")}).drop("id")
+    return old, new
+
+
+@query(
+    cte("raw_query")
+    + """, o AS (SELECT * FROM raw_query WHERE id % 3 <> 0), n AS (SELECT * FROM raw_query WHERE id % 2 = 0)
+SELECT CASE WHEN o.id IS NOT NULL THEN o.id ELSE (SELECT max(id) FROM o) + row_number() OVER (PARTITION BY o.id IS NULL ORDER BY n.id) END AS id, coalesce(o.query_hash, n.query_hash) AS query_hash, coalesce(o.type, 'blocker') AS type,
+CAST(coalesce(o.occurrence_count, 0) + coalesce(n.occurrence_count, 0) AS BIGINT) AS occurrence_count, CASE WHEN n.id IS NULL THEN '2026-01-01' ELSE '2026-02-01' END AS last_seen FROM o FULL OUTER JOIN n ON o.query_hash = n.query_hash"""
+)
+def merge_upsert(spark, d):
+    out = merge.upsert(*_batches(spark, d))
+    return out.select("id", "query_hash", "type", "occurrence_count", F.date_format("last_seen", "yyyy-MM-dd").alias("last_seen"))
+
+
+@query(cte("raw_query") + "SELECT count(*) FILTER (WHERE id % 3 = 0) AS inserted, count(*) FILTER (WHERE id % 3 <> 0) AS updated FROM raw_query WHERE id % 2 = 0")
+def merge_accounting(spark, d):
+    return merge.accounting(*_batches(spark, d))
+
+
+@query("SELECT event_id, user_id, CASE WHEN user_id % 10 = 0 THEN 'new' ELSE event_type END AS event_type FROM events WHERE user_id % 10 <> 0 OR event_id % 2 = 0")
+def replace_by_key(spark, d):
+    old = load(spark, d, "events").select("event_id", "user_id", "event_type")
+    new = old.where("user_id % 10 = 0 and event_id % 2 = 0").withColumn("event_type", F.lit("new"))
+    whole = old.where("user_id % 10 = 0").select("user_id").distinct()
+    marked = merge.replace_by_key(old, whole.withColumn("event_id", F.lit(None).cast("long")), "user_id").where("event_id is not null")
+    return merge.replace_by_key(marked, new, "user_id")
+
+
+@query(cte("upload_log") + "SELECT filename, count(*) AS uploads, CAST(sum(csv_row_count) AS BIGINT) AS rows, max(id) AS keep_id FROM upload_log GROUP BY filename HAVING count(*) > 1")
+def reuploaded_files(spark, d):
+    return merge.reuploaded(frame(spark, d, "upload_log"))
+
+
+@query(cte("raw_query") + "SELECT id, coalesce(CASE WHEN id % 2 = 0 THEN month_year END, substr(time, 1, 7)) AS month_year FROM raw_query")
+def month_backfill(spark, d):
+    gaps = frame(spark, d, "raw_query").withColumn("month_year", F.when(F.col("id") % 2 == 0, F.col("month_year")))
+    return merge.month_backfilled(gaps).select("id", "month_year")
+
+
+@query(
+    """WITH o AS (SELECT o_orderkey AS id, nullif(o_orderstatus, 'P') AS environment, nullif(o_orderpriority, '1-URGENT') AS host, o_custkey % 40 AS t FROM orders),
+k AS (SELECT environment, host, t, min(id) AS first FROM o GROUP BY ALL) SELECT o.id, k.first AS raw_query_id FROM o LEFT JOIN k ON o.environment IS NOT DISTINCT FROM k.environment AND o.host IS NOT DISTINCT FROM k.host AND o.t = k.t"""
+)
+def fk_link_nullsafe(spark, d):
+    rows = load(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.nullif("o_orderstatus", F.lit("P")).alias("environment"), F.nullif("o_orderpriority", F.lit("1-URGENT")).alias("host"), (F.col("o_custkey") % 40).alias("t"))
+    return linking.null_safe_first(rows, rows, [("environment", "environment"), ("host", "host"), ("t", "t")]).select("id", "raw_query_id")
+
+
+def _documents_as_raw(spark, d):
+    return load(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("host"), F.col("lang").alias("db_name"), F.lit("sat").alias("environment"), F.lit("slow_query_mongo").alias("type"), F.col("text").alias("query_details"))
+
+
+_DOC_HASH = r"md5(concat_ws('|', trim(source), trim(lang), 'sat', regexp_replace(text, '^\s+|\s+$', '', 'g')))"
+
+
+@query(f"WITH h AS (SELECT doc_id, {_DOC_HASH} AS h FROM documents) SELECT x.doc_id AS id, y.first AS raw_query_id FROM h x JOIN (SELECT h, min(doc_id) AS first FROM h GROUP BY h) y ON x.h = y.h")
+def hash_link(spark, d):
+    raw = _documents_as_raw(spark, d)
+    details = raw.select("id", kinds.joined_hash(*[F.col(c) for c in ("host", "db_name", "environment", "query_details")]).alias("query_hash"), F.lit(None).cast("long").alias("raw_query_id"))
+    return linking.link_by_hash(details, raw).select("id", "raw_query_id")
+
+
+@query(
+    f"""WITH t AS (SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN doc_id + 1 END AS fk, CASE WHEN doc_id % 3 = 1 THEN text END AS body, CASE WHEN doc_id % 3 = 2 THEN {_DOC_HASH} END AS h FROM documents),
+c AS (SELECT r.doc_id AS id, 1 AS step, min(t.id) AS found FROM documents r JOIN t ON t.fk = r.doc_id GROUP BY r.doc_id
+UNION ALL SELECT r.doc_id, 2, min(t.id) FROM documents r JOIN t ON t.body = r.text AND r.text <> '' GROUP BY r.doc_id
+UNION ALL SELECT r.doc_id, 3, min(t.id) FROM documents r JOIN t ON t.h = {_DOC_HASH} AND r.text <> '' GROUP BY r.doc_id)
+SELECT d.doc_id AS id, arg_min(c.step, c.step) AS step, arg_min(c.found, c.step) AS detail_id FROM documents d LEFT JOIN c ON c.id = d.doc_id GROUP BY d.doc_id"""
+)
+def typed_detail_cascade(spark, d):
+    raw = _documents_as_raw(spark, d)
+    k, key = F.col("id") % 3, kinds.joined_hash(*[F.col(c) for c in ("host", "db_name", "environment", "query_details")])
+    details = raw.select("id", F.when(k == 0, F.col("id") + 1).alias("raw_query_id"), F.when(k == 1, F.col("query_details")).alias("command_json"), F.when(k == 2, key).alias("query_hash"), F.lit("none").alias("collection"), "host", "db_name", "environment", F.lit(1).alias("occurrence_count"))
+    return linking.detail_cascade(raw, details, "slow_query_mongo").select("id", "step", F.col("data.id").alias("detail_id"))
+
+
+@query("SELECT count(*) FILTER (WHERE a AND b) AS shared, count(*) FILTER (WHERE a AND NOT b) AS left_only, count(*) FILTER (WHERE b AND NOT a) AS right_only FROM (SELECT t, bool_or(s = 0) AS a, bool_or(s = 1) AS b FROM (SELECT text AS t, 0 AS s FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT text, 1 FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT text, 1 FROM benchmark) GROUP BY t)")
+def text_set_ops(spark, d):
+    docs = load(spark, d, "documents")
+    right = docs.where("doc_id % 3 = 0").select("text").unionByName(load(spark, d, "benchmark").select("text"))
+    return linking.text_coverage(docs.where("doc_id % 2 = 0"), right, "text", "text")
+
+
+@query("SELECT 'labels' AS \"table\", count(quality) AS linked, count(*) AS total, round(count(quality) / count(*), 4) AS share FROM documents LEFT JOIN labels USING (doc_id)")
+def link_coverage(spark, d):
+    joined = load(spark, d, "documents").join(load(spark, d, "labels"), "doc_id", "left").withColumnRenamed("quality", "raw_query_id")
+    return linking.coverage({"labels": joined})
+
+
+#: A graph of two processes with stored procedure and ad-hoc statement, as logs write it.
+GRAPH = """2026-02-27 13:07:26.70 spid113s    deadlock-list
+2026-02-27 13:07:26.70 spid113s     deadlock victim=processAAA
+2026-02-27 13:07:26.70 spid113s      process-list
+2026-02-27 13:07:26.70 spid113s       process id=processAAA waitresource=KEY: 5:72 (ab) waittime=1200 ownerId=1 transactionname=user_transaction lockMode=U spid=61 hostname=APP1 currentdbname=shop lockTimeout=4294967295
+2026-02-27 13:07:26.70 spid113s        executionStack
+2026-02-27 13:07:26.70 spid113s         frame procname=shop.dbo.pay line=3
+2026-02-27 13:07:26.70 spid113s    UPDATE accounts SET n = 1
+2026-02-27 13:07:26.70 spid113s        inputbuf
+2026-02-27 13:07:26.70 spid113s    Proc [Database Id = 5 Object Id = 9]
+2026-02-27 13:07:26.70 spid113s       process id=processBBB waittime=7 lockMode=X spid=62 hostname=APP2 currentdbname=shop
+2026-02-27 13:07:26.70 spid113s        executionStack
+2026-02-27 13:07:26.70 spid113s         frame procname=adhoc line=1
+2026-02-27 13:07:26.70 spid113s    unknown
+2026-02-27 13:07:26.70 spid113s        inputbuf
+2026-02-27 13:07:26.70 spid113s    SELECT  a FROM b
+2026-02-27 13:07:26.70 spid113s       resource-list"""
+
+
+@query(
+    """SELECT u.id, p.pid, p.is_victim, p.lock_mode, p.proc_name, p.sql_text FROM (SELECT DISTINCT user_id AS id FROM events) u CROSS JOIN (VALUES
+('processAAA', true, 'U', 'shop.dbo.pay', 'UPDATE accounts SET n = 1'), ('processBBB', false, 'X', '', 'SELECT a FROM b')) p(pid, is_victim, lock_mode, proc_name, sql_text)"""
+)
+def deadlock_parse(spark, d):
+    users = load(spark, d, "events").select(F.col("user_id").alias("id")).distinct()
+    logs = users.select("id", F.lit(GRAPH).alias("_raw"), F.lit("2026-02-27").alias("time"), F.col("id").cast("string").alias("host"))
+    rows = deadlocks.parse(logs).select("id", F.explode("processes").alias("p"))
+    return rows.select("id", "p.pid", "p.is_victim", F.col("p.lockMode").alias("lock_mode"), "p.proc_name", "p.sql_text")
