@@ -262,11 +262,11 @@ def system_filter_lookup(spark, d):
 
 @query(
     cte("raw_query", "curated_query")
-    + """, p AS (SELECT * FROM raw_query WHERE environment = 'sat' AND month_year IN ('1996-01', '1996-02') ORDER BY occurrence_count DESC, id DESC LIMIT 50 OFFSET 20)
+    + """, p AS (SELECT * FROM raw_query WHERE environment = 'sat' AND type = 'blocker' AND month_year IN ('1996-01', '1996-02', '1997-03', '1998-03', '1999-04', '2000-05', '2001-01') ORDER BY occurrence_count DESC, id DESC LIMIT 50 OFFSET 2)
 SELECT p.id, p.host, p.type, p.occurrence_count, c.id AS curated_id FROM p LEFT JOIN curated_query c ON c.raw_query_id = p.id"""
 )
 def list_filtered_page(spark, d):
-    out = browse.list_queries(frame(spark, d, "raw_query"), frame(spark, d, "curated_query"), environment="sat", months=["1996-01", "1996-02"], sort_by="occurrence_count", limit=50, offset=20)
+    out = browse.list_queries(frame(spark, d, "raw_query"), frame(spark, d, "curated_query"), environment="sat", type="blocker", months=["1996-01", "1996-02", "1997-03", "1998-03", "1999-04", "2000-05", "2001-01"], sort_by="occurrence_count", limit=50, offset=2)
     return out.select("id", "host", "type", "occurrence_count", "curated_id")
 
 
