@@ -31,3 +31,41 @@ WITH RECURSIVE tokens AS (
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept
 FROM shingled s JOIN component c ON c.node = s.doc_id
 """
+
+#: Base32 of a SHA-1: four characters of five bits from each five hexadecimal digits.
+OP6_SQL = r"""
+WITH payloads AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first
+  FROM pages
+), digits AS (
+  SELECT *, list_transform(range(0, 8), lambda g: CAST('0x' || substr(hex, CAST(g * 5 + 1 AS BIGINT), 5) AS INTEGER)) AS groups FROM payloads
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(groups, lambda v: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> 15) & 31) + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> 10) & 31) + 1, 1)
+    || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> 5) & 31) + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (v & 31) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to, true AS complete
+FROM digits
+"""
+
+OP8_SQL = r"""
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), unit AS (
+  SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS norm FROM vectors
+), links AS (
+  SELECT x.vec_id AS a, y.vec_id AS b FROM unit x JOIN unit y ON x.vec_id <> y.vec_id AND list_dot_product(x.v, y.v) >= 0.95 * x.norm * y.norm
+), counts AS (
+  SELECT a, count(*) AS n FROM links GROUP BY a
+), reach AS (
+  SELECT vec_id AS node, vec_id AS other FROM embeddings
+  UNION
+  SELECT r.node, l.b FROM reach r JOIN links l ON r.other = l.a
+), component AS (
+  SELECT node, min(other) AS component_id FROM reach GROUP BY node
+)
+SELECT e.vec_id, coalesce(c.n, 0) AS n_links, k.component_id, e.vec_id = k.component_id AS kept
+FROM embeddings e LEFT JOIN counts c ON c.a = e.vec_id JOIN component k ON k.node = e.vec_id
+"""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import licences, neighbours, packing, pieces, quality, sharding, tiles, toxicity, warc
 from .common import table
 from .minhash import MinMaxParams, near_duplicates
-from .oracles import OP2_SQL
+from .oracles import OP2_SQL, OP6_SQL, OP8_SQL
 
 OP2 = MinMaxParams(shingle=3, percent=85)
 
@@ -58,4 +58,4 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_quality": op1_quality, "op2_minhash": op2_minhash, "op3_licences": op3_licences, "op4_toxicity": op4_toxicity, "op5_neighbours": op5_neighbours, "op6_warc": op6_warc, "op7_sharding": op7_sharding, "op8_near_vectors": op8_near_vectors, "op9_packing": op9_packing, "op10_sentencepiece": op10_sentencepiece}
-ORACLE_SQL: dict[str, str] = {"op2_minhash": OP2_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_minhash": OP2_SQL, "op6_warc": OP6_SQL, "op8_near_vectors": OP8_SQL}
