@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import hash_sample
+
 
 def remainder(id_col: Column) -> Column:
     """crc32 of the id as text, modulo 3; rows with 1 are held out of training everywhere."""
@@ -26,8 +28,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, grade: Column, most: int)
         .where(F.col("doc_id").isNotNull() & F.col("grade").isNotNull() & ~held_out(F.col("doc_id")))
         .groupBy("doc_id")
         .agg(F.min("grade").alias("grade"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(most)
     )
+    rows = hash_sample(rows, "doc_id", most, rows.count())
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return texts.join(F.broadcast(rows), "doc_id")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, ship
+from .common import cut, hash_sample, ship
 from .vectors import matrix, packed, unpacked, usable
 
 
@@ -131,7 +131,7 @@ def nearest(table: DataFrame, is_query: Column, params: IvfParams = IvfParams(),
     classes = rows.groupBy("v").agg(F.min("vec_id").alias("rep"), F.max("query").alias("query"))
     owned = cut(rows.select("vec_id", "query", F.col("v").alias("own")).join(classes.select("v", "rep"), F.col("own") == F.col("v")).select("vec_id", "query", "rep"), "owned")
     reps = cut(classes, "vectors")
-    found = reps.orderBy(F.xxhash64("rep"), "rep").limit(p.sample).select("v").toArrow()
+    found = hash_sample(reps, "rep", p.sample, reps.count()).select("v").toArrow()
     index = train(matrix(found["v"]), n, p)
     held = spark.sparkContext.broadcast(index)
     groups = max(1, round(n / p.part))  # lists are scanned together in so many groups

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ship
+from .common import cut, hash_sample, ship
 from .components import connected_components
 from .vectors import matrix, unpacked, usable
 
@@ -146,7 +146,7 @@ def near_vectors(table: DataFrame, params: TileParams = TileParams(), id_col: st
     # two classes with one smallest id can only come from repeated ids; they then share a node
     reps = cut(classes, "classes")
     n = reps.count()
-    pivots = [r.v for r in reps.orderBy(F.xxhash64("rep"), "rep").limit(p.pivots).select("v").collect()]
+    pivots = [r.v for r in hash_sample(reps, "rep", p.pivots, n).select("v").collect()]
     by_dims = {d: unit(np.array([v for v in pivots if len(v) == d], float)) for d in {len(v) for v in pivots}}
     held = spark.sparkContext.broadcast(by_dims)
 
