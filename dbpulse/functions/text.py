@@ -88,3 +88,15 @@ def search_text(needle: str) -> str:
     import re
 
     return re.sub(r"@P\d+", "@P?", re.sub(r"\s+", " ", needle.strip()))
+
+
+def parameter_count(fingerprint: Column) -> Column:
+    """How many parameters a fingerprint's leading list declares; 0 without a closed list."""
+    block = F.regexp_extract(fingerprint, r"^\(@p\?(?:[^)(]++|\([^)]*+\))*+\)", 0)
+    return F.regexp_count(block, F.lit(r"@p\?")).cast("int")
+
+
+def readable(fingerprint: Column) -> Column:
+    """A fingerprint without its leading parameter list, from the first statement keyword after a bracket on."""
+    body = F.regexp_extract(fingerprint, r"(?s)\)\s*((?:select|insert|update|delete|exec|with|begin|declare|create|merge).*)\z", 1)
+    return F.when(fingerprint.startswith("(@p?") & (body != ""), F.trim(body)).otherwise(fingerprint)

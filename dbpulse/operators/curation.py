@@ -69,6 +69,11 @@ def label_uses(curated: DataFrame, label_id: int) -> int:
     return curated.where(F.col("label_id") == label_id).count()
 
 
+def uses_of_labels(curated: DataFrame) -> DataFrame:
+    """How many curated records use each label."""
+    return curated.where("label_id is not null").groupBy("label_id").agg(F.count("*").alias("uses"))
+
+
 def delete_label(labels: DataFrame, curated: DataFrame, label_id: int) -> DataFrame:
     """Without the label; refused while curated records use it."""
     if uses := label_uses(curated, label_id):

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import kinds, text, times
-from ..operators import analytics, browse, deadlocks, filters, linking, merge, validation
+from ..operators import analytics, browse, curation, deadlocks, filters, linking, merge, validation
+from ..sources import layouts
 from .frames import cte, frame, load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -541,3 +542,144 @@ def deadlock_parse(spark, d):
     logs = users.select("id", F.lit(GRAPH).alias("_raw"), F.lit("2026-02-27").alias("time"), F.col("id").cast("string").alias("host"))
     rows = deadlocks.parse(logs).select("id", F.explode("processes").alias("p"))
     return rows.select("id", "p.pid", "p.is_victim", F.col("p.lockMode").alias("lock_mode"), "p.proc_name", "p.sql_text")
+
+
+# --- file layouts: driver tables in the shape of incident files ------------------------------------------------
+
+
+def _file(df: DataFrame, name: str, order: str) -> DataFrame:
+    """A frame as ``csv.read_file`` would give it."""
+    return df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns if c != order], F.lit(name).alias("file_name"), F.col(order).cast("long").alias("seq"))
+
+
+def _slow_file(spark, d):
+    o = load(spark, d, "orders")
+    at = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")
+    cells = o.select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, at).alias("last_execution_time"), at.alias("creation_time"), F.col("o_orderpriority").alias("host"), F.when(F.col("o_custkey") % 5 > 0, F.col("o_orderstatus")).alias("db_name"), F.when(F.col("o_orderkey") % 4 > 0, F.col("o_orderkey").cast("string")).otherwise("n/a").alias("execution_count"), F.concat(F.lit("  SELECT @P"), F.col("o_custkey").cast("string"), F.lit("  FROM t ")).alias("query_final"))
+    return _file(cells, "maxElapsedQueriesProdFeb26.csv", "o_orderkey")
+
+
+@query("SELECT o_orderkey AS seq, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS time, 'sql' AS source, o_orderpriority AS host, CASE WHEN o_custkey % 5 > 0 THEN o_orderstatus ELSE '' END AS db_name, 'prod' AS environment, 'slow_query' AS type, 'SELECT @P? FROM t' AS query_details FROM orders")
+def layout_slow_sql(spark, d):
+    return layouts.slow_sql(_slow_file(spark, d)).drop("extra_metadata", "occurrence_count")
+
+
+@query("""SELECT o_orderkey AS seq, o_orderpriority AS host, 'prod' AS environment, CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey END AS execution_count, CAST(NULL AS DOUBLE) AS avg_io, 'SELECT @P? FROM t' AS query_final, strftime(o_orderdate, '%Y-%m') AS month_year,
+concat_ws('|', o_orderpriority, CASE WHEN o_custkey % 5 > 0 THEN o_orderstatus ELSE '' END, 'prod', 'SELECT @P? FROM t') AS parts FROM orders""")
+def detail_slow_sql(spark, d):
+    rows = layouts.detail_slow_sql(_slow_file(spark, d))
+    return rows.select("seq", "host", "environment", "execution_count", "avg_io", "query_final", "month_year", F.array_join("hash_parts", "|").alias("parts"))
+
+
+def _session_file(spark, d):
+    e = load(spark, d, "events")
+    cells = e.select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("_time"), F.concat(F.lit("h"), (F.col("user_id") % 9).cast("string")).alias("host"), F.lit("shop").alias("database_name"), F.col("user_id").cast("string").alias("session_id"), F.when(F.col("event_id") % 2 == 0, F.col("event_type")).alias("wait_type"), F.lit("").alias("command"), F.col("props").alias("head_blocker"), F.col("event_type").alias("query_text"), F.lit("2").alias("blocked_sessions_count"))
+    return _file(cells, "blockersSatFeb26.csv", "event_id")
+
+
+@query("""SELECT event_id AS seq, 'h' || CAST(user_id % 9 AS VARCHAR) AS host, event_type AS query_details, 'sat' AS environment,
+'{"session_id": "' || CAST(user_id AS VARCHAR) || '"' || CASE WHEN event_id % 2 = 0 THEN ', "wait_type": "' || event_type || '"' ELSE '' END || ', "head_blocker": "' || replace(props, '"', '\\"') || '", "blocked_sessions_count": "2"}' AS extra_metadata FROM events""")
+def layout_blocker_sessions(spark, d):
+    return layouts.blocker(_session_file(spark, d)).select("seq", "host", "query_details", "environment", "extra_metadata")
+
+
+@query("""SELECT event_id AS seq, 'shop' AS currentdbname, CAST(user_id AS VARCHAR) AS victims, CASE WHEN event_id % 2 = 0 THEN event_type ELSE '' END AS resources, CAST(2 AS BIGINT) AS count, strftime(ts, '%Y-%m') AS month_year,
+concat_ws('|', 'sat', 'shop', event_type, strftime(ts, '%Y-%m-%d %H:%M:%S'), CAST(user_id AS VARCHAR)) AS parts FROM events""")
+def detail_blocker_sessions(spark, d):
+    rows = layouts.detail_blocker(_session_file(spark, d))
+    return rows.select("seq", "currentdbname", "victims", "resources", "count", "month_year", F.array_join("hash_parts", "|").alias("parts"))
+
+
+def _summed_file(spark, d):
+    c = load(spark, d, "customer")
+    cells = c.select("c_custkey", F.col("c_mktsegment").alias("currentdbname"), F.col("c_name").alias("victims"), F.lit(None).cast("string").alias("resources"), F.lit("X").alias("lock_modes"), F.col("c_nationkey").cast("string").alias("count"), F.lit("2026-02-03 00:00:00").alias("latest"), F.when(F.col("c_custkey") % 2 == 0, "2026-01-03 00:00:00").alias("earliest"), F.lit("UPDATE t").alias("all_query"))
+    return _file(cells, "blockersOld.csv", "c_custkey")
+
+
+@query("""SELECT c_custkey AS seq, c_mktsegment AS db_name, 'UPDATE t' AS query_details, 'unknown' AS environment, '{"victims": "' || c_name || '", "count": "' || CAST(c_nationkey AS VARCHAR) || '", "lock_modes": "X"}' AS extra_metadata FROM customer""")
+def layout_blocker_summed(spark, d):
+    return layouts.blocker(_summed_file(spark, d)).select("seq", "db_name", "query_details", "environment", "extra_metadata")
+
+
+@query("""SELECT c_custkey AS seq, c_name AS victims, CAST(c_nationkey AS BIGINT) AS count, CASE WHEN c_custkey % 2 = 0 THEN '2026-01' ELSE '2026-02' END AS month_year, concat_ws('|', 'unknown', c_mktsegment, 'X', 'UPDATE t') AS parts FROM customer""")
+def detail_blocker_summed(spark, d):
+    rows = layouts.detail_blocker(_summed_file(spark, d))
+    return rows.select("seq", "victims", "count", "month_year", F.array_join("hash_parts", "|").alias("parts"))
+
+
+def _mongo_file(spark, d):
+    e = load(spark, d, "events")
+    raw = F.concat(F.lit('{"attr":{"command":{"find":"'), F.col("event_type"), F.lit('"}}}'))
+    cells = e.select("event_id", F.concat(F.lit("m"), (F.col("user_id") % 4).cast("string")).alias("host"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("t.$date"), F.concat(F.lit("db."), F.col("event_type"), F.lit(".x")).alias("attr.ns"), F.col("event_id").cast("string").alias("attr.durationMillis"), F.lit("remove").alias("attr.type"), F.when(F.col("event_id") % 3 == 0, F.lit("ABC")).alias("attr.queryShapeHash"), F.when(F.col("event_id") % 3 == 1, F.lit("WRITE")).alias("c"), raw.alias("_raw"))
+    return _file(cells, "mongodbSlowQueriesProd.csv", "event_id")
+
+
+@query("""SELECT event_id AS seq, 'mongodb' AS source, 'm' || CAST(user_id % 4 AS VARCHAR) AS host, 'db' AS db_name, 'slow_query_mongo' AS type, '{"find":"' || event_type || '"}' AS query_details FROM events""")
+def layout_slow_mongo(spark, d):
+    return layouts.slow_mongo(_mongo_file(spark, d)).select("seq", "source", "host", "db_name", "type", "query_details")
+
+
+@query("""SELECT event_id AS seq, event_type || '.x' AS collection, event_id AS duration_ms, strftime(ts, '%Y-%m') AS month_year,
+concat_ws('|', 'm' || CAST(user_id % 4 AS VARCHAR), 'db', 'prod', CASE event_id % 3 WHEN 0 THEN 'ABC' WHEN 1 THEN 'db.' || event_type || '.x:WRITE' ELSE 'db.' || event_type || '.x:remove' END) AS parts FROM events""")
+def detail_slow_mongo(spark, d):
+    rows = layouts.detail_slow_mongo(_mongo_file(spark, d))
+    return rows.select("seq", "collection", "duration_ms", "month_year", F.array_join("hash_parts", "|").alias("parts"))
+
+
+def _graph_file(spark, d):
+    n = load(spark, d, "nation")
+    raw = F.when(F.col("n_nationkey") % 3 == 0, F.lit(GRAPH)).when(F.col("n_nationkey") % 3 == 1, F.lit("no graph"))
+    cells = n.select("n_nationkey", F.lit("2026-02-27T13:07:26").alias("_time"), F.col("n_name").alias("host"), F.when(F.col("n_nationkey") % 3 < 2, F.col("n_name")).alias("id"), raw.alias("_raw"))
+    return _file(cells, "deadlocksProd.csv", "n_nationkey")
+
+
+@query("""SELECT CAST(n_nationkey AS BIGINT) AS seq, n_name AS host, CASE WHEN n_nationkey % 3 = 0 THEN 'shop' ELSE '' END AS db_name, CASE WHEN n_nationkey % 3 = 0 THEN t.q ELSE n_name END AS query_details
+FROM nation JOIN (VALUES (1, 'UPDATE accounts SET n = 1'), (2, 'SELECT a FROM b')) t(k, q) ON n_nationkey % 3 = 0 OR (n_nationkey % 3 = 1 AND t.k = 1)""")
+def layout_deadlock_raw(spark, d):
+    return layouts.deadlock(_graph_file(spark, d)).select("seq", "host", "db_name", "query_details")
+
+
+@query("""SELECT CAST(n_nationkey AS BIGINT) AS seq, CASE WHEN n_nationkey % 3 = 0 THEN t.v END AS is_victim, CASE WHEN n_nationkey % 3 = 0 THEN t.w END AS wait_time_ms, CASE WHEN n_nationkey % 3 = 0 THEN t.q WHEN n_nationkey % 3 = 1 THEN n_name ELSE '' END AS sql_text, '2026-02' AS month_year
+FROM nation JOIN (VALUES (1, 'UPDATE accounts SET n = 1', CAST(1 AS INT), CAST(1200 AS BIGINT)), (2, 'SELECT a FROM b', 0, 7)) t(k, q, v, w) ON n_nationkey % 3 = 0 OR t.k = 1""")
+def detail_deadlock_raw(spark, d):
+    return layouts.detail_deadlock(_graph_file(spark, d)).select("seq", "is_victim", "wait_time_ms", "sql_text", "month_year")
+
+
+@query("""SELECT CAST(n_nationkey AS BIGINT) AS seq, CASE WHEN n_nationkey % 2 = 0 THEN 'UPDATE accounts SET n = 1' ELSE 'SELECT z' END AS query_details, CASE WHEN n_nationkey % 4 = 0 THEN 1 ELSE CAST(n_regionkey + 1 AS BIGINT) END AS occurrence_count,
+CASE WHEN n_nationkey % 2 = 0 THEN 'APP1' ELSE n_name END AS apphost FROM nation""")
+def layout_deadlock_legacy(spark, d):
+    n = load(spark, d, "nation")
+    even = F.col("n_nationkey") % 2 == 0
+    cells = n.select("n_nationkey", F.lit("2026-01-26T08:58:53").alias("_time"), F.lit("DB1").alias("host"), F.col("n_name").alias("hostname"), F.when(F.col("n_nationkey") % 4 > 0, (F.col("n_regionkey") + 1).cast("string")).alias("count"), F.when(even, "frame procname=x").otherwise("SELECT z").alias("clean_query"), F.when(even, F.lit(GRAPH)).alias("_raw"))
+    rows = layouts.deadlock(_file(cells, "deadlocksSat.csv", "n_nationkey"))
+    return rows.select("seq", "query_details", "occurrence_count", F.get_json_object("extra_metadata", "$.apphost").alias("apphost"))
+
+
+@query("SELECT o_orderkey AS id, k.first AS raw_query_id FROM orders JOIN (SELECT o_custkey, min(o_orderkey) AS first FROM orders GROUP BY o_custkey) k USING (o_custkey)")
+def text_backfill_link(spark, d):
+    o = load(spark, d, "orders")
+    raw = o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").cast("string").alias("query_details"))
+    details = o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").cast("string").alias("sql_text"), F.lit(None).cast("long").alias("raw_query_id"))
+    return linking.link_by_text(details, raw, "sql_text").select("id", "raw_query_id")
+
+
+@query(cte("upload_log") + "SELECT max(id) AS id, filename FROM upload_log GROUP BY filename")
+def latest_uploads(spark, d):
+    return merge.latest_uploads(frame(spark, d, "upload_log")).select("id", "filename")
+
+
+@query(cte("curated_query") + "SELECT label_id, count(*) AS uses FROM curated_query WHERE label_id IS NOT NULL GROUP BY label_id")
+def label_uses(spark, d):
+    return curation.uses_of_labels(frame(spark, d, "curated_query"))
+
+
+@query("SELECT DISTINCT event_type AS query_type FROM events UNION SELECT unnest(['slow_query', 'blocker', 'deadlock', 'slow_query_mongo'])")
+def spl_types(spark, d):
+    return curation.spl_types(load(spark, d, "events").select(F.col("event_type").alias("query_type")))
+
+
+@query(r"""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE CAST(1 + o_orderkey % 2 AS INT) END AS parameters, CASE WHEN o_orderkey % 3 = 0 THEN 'select 1' ELSE 'select * from t' END AS sql FROM orders""")
+def readable_fingerprint(spark, d):
+    k = F.col("o_orderkey")
+    shape = F.when(k % 3 == 0, "select 1").when(k % 2 == 0, "(@p? nvarchar(?))select * from t").otherwise("(@p? nvarchar(?),@p? int) select * from t")
+    return load(spark, d, "orders").select(k.alias("id"), text.parameter_count(shape).alias("parameters"), text.readable(shape).alias("sql"))
