@@ -190,7 +190,10 @@ def nearest(table: DataFrame, is_query: Column, params: IvfParams = IvfParams(),
         cat = lambda i, t: np.concatenate([o[i] for o in out]).astype(t) if out else np.zeros(0, t)
         return pa.table({"query_rep": cat(0, np.int64), "rep": cat(1, np.int64), "near": cat(2, np.float32)})
 
-    scanned = dealt.groupBy("grp", "part").cogroup(sent.groupBy("grp", "part")).applyInArrow(scan, "query_rep long, rep long, near float")
+    # a scan is much work on few bytes: one task for each part, which adaptive execution would gather by size
+    tasks = max(1, parts.agg(F.sum("parts")).first()[0] or 1)
+    left_side, right_side = dealt.repartition(tasks, "grp", "part"), sent.repartition(tasks, "grp", "part")
+    scanned = left_side.groupBy("grp", "part").cogroup(right_side.groupBy("grp", "part")).applyInArrow(scan, "query_rep long, rep long, near float")
     best = Window.partitionBy("query_rep").orderBy(F.desc("near"), "rep")
     short = scanned.withColumn("r", F.row_number().over(best)).where(F.col("r") <= p.overall).select("query_rep", "rep")
     pairs = short.join(reps.select(F.col("rep").alias("query_rep"), F.col("v").alias("q")), "query_rep").join(reps.select("rep", "v"), "rep")

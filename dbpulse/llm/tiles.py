@@ -193,7 +193,7 @@ def near_vectors(table: DataFrame, params: TileParams = TileParams(), id_col: st
     outline = [(r.block, r.dims, r.pivot, r.angle) for r in blocks.select("block", "dims", "pivot", "angle").collect()]  # one short row per block
     tiles = _needed(outline, by_dims, math.acos(p.threshold))
     plan = spark.createDataFrame(tiles or [("", "")], "block string, tile string")
-    found = cut(blocks.select("block", "ids", "counts", "vectors").join(plan, "block").groupBy("tile").applyInArrow(_tile(p), "rep long, other long, n long"), "tiles")
+    found = cut(blocks.select("block", "ids", "counts", "vectors").join(plan, "block").repartition(max(1, len({t for _, t in tiles})), "tile").groupBy("tile").applyInArrow(_tile(p), "rep long, other long, n long"), "tiles")
     totals = found.where("other is null").groupBy("rep").agg(F.sum("n").alias("n"))
     components = connected_components(found.where("other is not null"), "rep", "other")
     known = reps.join(totals, "rep", "left").join(components, F.col("rep") == F.col("node"), "left").select("v", (F.coalesce("n", F.lit(0)) + F.col("members") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))

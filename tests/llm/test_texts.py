@@ -145,9 +145,9 @@ def test_warc_query_equals_oracle(spark, sf):
     assert (columns, rows) == oracle_rows(OP6_SQL, sf)
 
 
-def test_broken_segments_are_told(spark):
+def test_broken_segments_are_told(spark, tmp_path):
     df = spark.createDataFrame([(1, "u", "x" * 5000), (2, "u", "y" * 5000)], "page_id long, url string, html string")
-    records = warc.read(warc.write(df, "file:///tmp/dbpulse-test-warc", warc.WarcParams(segment_bytes=1000))).cache()
+    records = warc.read(warc.write(df, f"file://{tmp_path}/warc", warc.WarcParams(segment_bytes=1000))).cache()
     assert records.where("kind = 'continuation'").count() == 10
     whole = {r.page_id: r.complete for r in warc.pages(records).collect()}
     assert whole == {1: True, 2: True}
