@@ -20,6 +20,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import hash_sample
+
 UNKNOWN = "unknown"
 
 # Usual notices of each licence family.
@@ -151,7 +153,7 @@ def fit(docs: DataFrame, params: LicenceParams = LicenceParams()) -> LicenceMode
     vocabulary = sorted(set().union(*(t for _, t in templates)))
     spark = docs.sparkSession
     known = spark.createDataFrame([(g,) for g in vocabulary], "gram string")
-    few = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.sample_docs) if p.sample_docs else docs.limit(0)
+    few = hash_sample(docs.select("doc_id", "text"), "doc_id", p.sample_docs, docs.count())
     seen = paragraphs(few).select("doc_id", "paragraph", F.explode("grams").alias("gram")).join(known.withColumn("found", F.col("gram")), "gram", "left").groupBy("doc_id", "paragraph").agg(F.sort_array(F.collect_set("found")).alias("g"))
     for r in seen.orderBy(F.xxhash64("doc_id", "paragraph"), "doc_id", "paragraph").limit(p.sample_paragraphs).collect():
         found = frozenset(r.g)
