@@ -34,7 +34,9 @@ class IvfParams:
     rounds: int = 8
     keep: int = 60  # candidates a query keeps from each part of the index that it scans
     overall: int = 100  # candidates a query scores exactly
-    part: int = 8192  # vectors scanned together
+    part: int = 32_768  # vectors scanned together
+    ask: int = 512  # queries in a task, at least, where few parts leave tasks to spare
+    spread: int = 64  # tasks that few parts are worth
     seed: int = 7
 
 
@@ -134,7 +136,9 @@ def nearest(table: DataFrame, is_query: Column, params: IvfParams = IvfParams(),
     found = hash_sample(reps, "rep", p.sample, reps.count()).select("v").toArrow()
     index = train(matrix(found["v"]), n, p)
     held = spark.sparkContext.broadcast(index)
-    groups = max(1, round(n / p.part))  # lists are scanned together in so many groups
+    groups = max(1, min(len(index.coarse), round(n / p.part)))  # near lists are scanned together, so that few groups hold what a query probes
+    group_of = _nearest(index.coarse, _kmeans(index.coarse, groups, p.rounds, np.random.default_rng(p.seed))).astype(np.int32)
+    grouped = spark.sparkContext.broadcast(group_of)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,7 +146,7 @@ def nearest(table: DataFrame, is_query: Column, params: IvfParams = IvfParams(),
                 x = matrix(batch.column(1))
                 own = _nearest(x, held.value.coarse)
                 codes = held.value.encode(x, own)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.astype(np.int32)), pa.array(packed(codes), pa.binary())], names=["rep", "list", "codes"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.astype(np.int32)), pa.array(packed(codes), pa.binary()), pa.array(grouped.value[own])], names=["rep", "list", "codes", "grp"])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each group that holds a list which the query probes, with the score that its probed lists reach."""
@@ -154,17 +158,20 @@ def nearest(table: DataFrame, is_query: Column, params: IvfParams = IvfParams(),
                 floor = -np.partition(-near, probe - 1, axis=1)[:, probe - 1] - 1e-9
                 hit = np.zeros((len(x), groups), bool)
                 q, lists = np.nonzero(near >= floor[:, None])
-                hit[q, lists % groups] = True
+                hit[q, grouped.value[lists]] = True
                 q, group = np.nonzero(hit)
                 raw = packed(x)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(q)), pa.array(group.astype(np.int32)), pa.array(floor[q]), pa.array([raw[i] for i in q], pa.binary())], names=["query_rep", "grp", "floor", "q"])
 
-    coded = cut(reps.select("rep", "v").mapInArrow(code, "rep long, list int, codes binary").withColumn("grp", F.col("list") % groups), "codes")
+    coded = cut(reps.select("rep", "v").mapInArrow(code, "rep long, list int, codes binary, grp int"), "codes")
     asked = reps.where("query").select("rep", "v").repartition("rep").mapInArrow(spread, "query_rep long, grp int, floor double, q binary")
-    # a group with many vectors is dealt to parts, each of which sees the group's queries
+    # a group with many vectors is dealt to parts, each of which sees the group's queries; few parts see them in turns
     parts = coded.groupBy("grp").agg(F.ceil(F.count("*") / p.part).cast("int").alias("parts"))
-    dealt = coded.join(parts, "grp").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).drop("parts")
-    sent = asked.join(parts, "grp").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    in_all = max(1, parts.agg(F.sum("parts")).first()[0] or 1)
+    turns = max(1, min(-(-reps.where("query").count() // p.ask), p.spread // in_all))
+    each = F.sequence(F.lit(0), F.lit(turns - 1))
+    dealt = coded.join(parts, "grp").select("rep", "list", "codes", "grp", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), F.explode(each).alias("turn"))
+    sent = asked.join(parts, "grp").select("query_rep", "grp", "floor", "q", F.pmod(F.xxhash64("query_rep"), F.lit(turns)).cast("int").alias("turn"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
 
     def scan(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -190,10 +197,10 @@ def nearest(table: DataFrame, is_query: Column, params: IvfParams = IvfParams(),
         cat = lambda i, t: np.concatenate([o[i] for o in out]).astype(t) if out else np.zeros(0, t)
         return pa.table({"query_rep": cat(0, np.int64), "rep": cat(1, np.int64), "near": cat(2, np.float32)})
 
-    # a scan is much work on few bytes: one task for each part, which adaptive execution would gather by size
-    tasks = max(1, parts.agg(F.sum("parts")).first()[0] or 1)
-    left_side, right_side = dealt.repartition(tasks, "grp", "part"), sent.repartition(tasks, "grp", "part")
-    scanned = left_side.groupBy("grp", "part").cogroup(right_side.groupBy("grp", "part")).applyInArrow(scan, "query_rep long, rep long, near float")
+    # a scan is much work on few bytes: one task for each, which adaptive execution would gather by size
+    keys = ["grp", "part", "turn"]
+    left_side, right_side = (df.repartition(in_all * turns, *keys).groupBy(*keys) for df in (dealt, sent))
+    scanned = left_side.cogroup(right_side).applyInArrow(scan, "query_rep long, rep long, near float")
     best = Window.partitionBy("query_rep").orderBy(F.desc("near"), "rep")
     short = scanned.withColumn("r", F.row_number().over(best)).where(F.col("r") <= p.overall).select("query_rep", "rep")
     pairs = short.join(reps.select(F.col("rep").alias("query_rep"), F.col("v").alias("q")), "query_rep").join(reps.select("rep", "v"), "rep")
