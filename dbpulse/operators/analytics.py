@@ -159,24 +159,23 @@ def top_fingerprints(raw: DataFrame, top_n: int = 20, replace_all: bool = False,
     total = fine.groupBy("fingerprint").agg(F.sum("n").cast("long").alias("count"), F.sum("rows").cast("long").alias("row_count"), F.max("best")["sample"].alias("sample_query"))
     top = total.orderBy(F.desc("count"), "fingerprint").limit(_bounded("top_n", top_n, 200))
     kept = fine.join(F.broadcast(top.select("fingerprint")), "fingerprint", "left_semi")  # 200 rows at most
-
-    def listed(column: str) -> DataFrame:
-        return filters.given(kept, column).groupBy("fingerprint").agg(F.array_sort(F.collect_set(column)).alias(column))
-
-    def most(column: str, alias: str) -> DataFrame:
-        each = filters.given(kept, column).groupBy("fingerprint", column).agg(F.sum("n").cast("long").alias("n"))
-        first = Window.partitionBy("fingerprint").orderBy(F.desc("n"), column)
-        return each.withColumn("r", F.row_number().over(first)).where("r = 1").select("fingerprint", F.col(column).alias(alias))
-
-    kinds = kept.groupBy("fingerprint", "type").agg(F.sum("n").cast("long").alias("n")).groupBy("fingerprint").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("by_type"))
-    months, environments = listed("month_year").withColumnRenamed("month_year", "months"), listed("environment").withColumnRenamed("environment", "environments")
-    sources = filters.given(kept, "source").groupBy("fingerprint").agg(F.min("source").alias("example_source"))
-    out = top.join(kinds, "fingerprint")
-    for part in (months, environments, most("host", "example_host"), most("db_name", "example_db"), sources):
-        out = out.join(part, "fingerprint", "left")
-    none = F.array().cast("array<string>")
+    # one pass over all dimensions: a row for each value of each, then one per fingerprint
+    values = F.explode(F.array(*[F.struct(F.lit(c).alias("dim"), F.col(c).alias("value")) for c in dims])).alias("d")
+    each = kept.select("fingerprint", values, "n").where("d.value <> '' or d.dim = 'type'").groupBy("fingerprint", F.col("d.dim").alias("dim"), F.col("d.value").alias("value")).agg(F.sum("n").cast("long").alias("n"))
+    of = lambda dim, what: F.when(F.col("dim") == dim, what)
+    names = lambda dim: F.array_sort(F.collect_list(of(dim, F.col("value"))))
+    most = lambda dim: F.min(of(dim, F.struct((-F.col("n")).alias("n"), F.col("value").alias("v"))))["v"]
+    rolled = each.groupBy("fingerprint").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(of("type", F.struct("value", "n"))))).alias("by_type"),
+        names("month_year").alias("months"),
+        names("environment").alias("environments"),
+        most("host").alias("example_host"),
+        most("db_name").alias("example_db"),
+        F.min(of("source", F.col("value"))).alias("example_source"),
+    )
     text = lambda c: F.coalesce(c, F.lit("")).alias(c)
-    return out.select("fingerprint", "sample_query", "count", "row_count", "by_type", F.coalesce("months", none).alias("months"), F.coalesce("environments", none).alias("environments"), text("example_host"), text("example_db"), text("example_source")).orderBy(F.desc("count"), "fingerprint")
+    out = top.join(rolled, "fingerprint")
+    return out.select("fingerprint", "sample_query", "count", "row_count", "by_type", "months", "environments", text("example_host"), text("example_db"), text("example_source")).orderBy(F.desc("count"), "fingerprint")
 
 
 def host_stats(raw: DataFrame, top_n: int = 30, **where) -> DataFrame:
