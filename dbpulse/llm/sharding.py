@@ -98,9 +98,9 @@ def shard(docs: DataFrame, params: HilbertParams = HilbertParams()) -> DataFrame
     levels = [F.col("lang_level"), size_level(F.col("size"), p.bits), F.col("source_level")]
     placed = cut(rows.select("doc_id", "size", "text_crc32", "order", curve_place(levels, p.bits).alias("curve")), "placed")  # texts are read once
     cells = placed.groupBy("curve").agg(F.count("*").alias("n"))
-    total = cells.agg(F.sum("n").alias("total"))
+    total = F.lit(placed.count()).cast("long")
     # at most 2 ** (bits * dimensions) cells, and as many parts and 1024 more: both fit any executor
-    split = cells.crossJoin(F.broadcast(total)).select("curve", "total", F.ceil(F.col("n") * p.parts / F.col("total")).cast("int").alias("split"))
+    split = cells.select("curve", total.alias("total"), F.ceil(F.col("n") * p.parts / total).cast("int").alias("split"))
     lead = F.coalesce(F.conv(F.substring("order", 1, 8), 16, 10).cast("long"), F.lit(0))
     dealt = placed.join(F.broadcast(split), "curve").withColumn("part", F.floor(lead * F.col("split") / F.lit(1 << 32)).cast("int"))
     counts = dealt.groupBy("curve", "part").agg(F.count("*").alias("n"))
