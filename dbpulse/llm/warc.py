@@ -269,7 +269,8 @@ def read(manifest: DataFrame) -> DataFrame:
     spark = manifest.sparkSession
     ship(spark)
     files = manifest.select("file").distinct()
-    return files.repartition("file").mapInArrow(_reader, RECORD)
+    tasks = max(1, min(files.count(), 100_000))  # given as a number, or adaptive execution would read all files in one task
+    return files.repartition(tasks).mapInArrow(_reader, RECORD)
 
 
 def pages(records: DataFrame) -> DataFrame:
