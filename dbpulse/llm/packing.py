@@ -38,7 +38,7 @@ class PackParams:
     group: int = 8000  # pieces packed together, about
     rounds: int = 4  # of local search over a group's underfull bins
     nearly: float = 0.98  # bins filled less than this are underfull
-    chunk: int = 1 << 21  # bytes of text encoded together
+    chunk: int = 1 << 20  # bytes of text encoded together
 
 
 def text_encoder(path: str) -> "TextEncoder":

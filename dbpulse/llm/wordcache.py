@@ -45,7 +45,7 @@ class _Sorted:
 
 
 class WordCache:
-    def __init__(self, encode_many: Callable[[list[str]], Sequence[Sequence[int]]], most: int = 1_500_000, recent: int = 65_536):
+    def __init__(self, encode_many: Callable[[list[str]], Sequence[Sequence[int]]], most: int = 1_000_000, recent: int = 65_536):
         self._encode_many, self._most, self._recent_most = encode_many, most, recent
         self._reset()
 
