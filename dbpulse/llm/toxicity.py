@@ -1,6 +1,7 @@
 """Toxicity by nearest labelled examples.
 
-Terms are selected by how much more often toxic examples hold them. A document
+Terms are selected by how much more often toxic examples hold them; a test of
+each term decides alone, so a rare vocabulary or language keeps its own. A document
 is its TF-IDF vector over those terms, with document frequencies counted over
 all documents; its score comes from the exact k nearest examples by cosine,
 found in an inverted index whose posting lists keep the largest weight of each
@@ -27,9 +28,7 @@ from .textvec import buffers, fold_letters, word_hash, words
 @dataclass(frozen=True)
 class ToxicParams:
     max_examples: int = 8192  # labelled rows that the fit reads at most
-    max_terms: int = 1024
-    least_share: float = 0.05  # of the toxic examples that hold a selected term
-    least_count: int = 3
+    least_count: int = 3  # toxic examples that hold a selected term
     least_lift: float = 3.0
     least_g2: float = 24.0  # likelihood-ratio statistic: the 5 % level shared among some 50,000 terms
     neighbours: int = 15
@@ -106,8 +105,7 @@ def _terms_of(fold: np.ndarray):
         for batch in batches:
             for i, y in zip(range(batch.num_rows), batch.column(0).to_pylist(), strict=True):
                 found = sorted(set((batch.column(1)[i].as_py() or "").encode().translate(table).split()))
-                texts = [t for t in found if len(t) <= 64]
-                yield pa.RecordBatch.from_arrays([pa.array([y] * len(texts), pa.int32()), pa.array(texts, pa.binary()).cast(pa.string())], names=["y", "term"])
+                yield pa.RecordBatch.from_arrays([pa.array([y] * len(found), pa.int32()), pa.array(found, pa.binary()).cast(pa.string())], names=["y", "term"])
 
     return run
 
@@ -151,11 +149,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: Column | None = None, params:
     g2 = 2 * (part(c1, F.lit(n1)) + part(c0, F.lit(n0)) + part(n1 - c1, F.lit(n1) * (1 - share) / share) + part(n0 - c0, F.lit(n0) * (1 - share) / share)) if n1 and n0 else F.lit(0.0)
     lift = ((c1 + 0.5) / (n1 + 1)) / ((c0 + 0.5) / (n0 + 1))
     chosen = (
-        counted.where((c1 >= max(p.least_count, p.least_share * n1)) & (lift >= p.least_lift))
+        counted.where((c1 >= p.least_count) & (lift >= p.least_lift))
         .withColumn("g2", g2)
         .where(F.col("g2") >= p.least_g2)
         .orderBy(F.desc("g2"), "term")
-        .limit(p.max_terms)
         .collect()
     )
     by_hash = {word_hash(r.term, fold): r.term for r in chosen}

@@ -79,6 +79,17 @@ def test_toxicity_on_planted_words(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in held)
 
 
+def test_toxicity_keeps_a_rare_vocabulary(spark):
+    long = "x" * 70  # a toxic word of more than 64 bytes
+    words = lambda i: "achlicher" if i % 250 == 0 else long if i % 250 == 10 else "idiot"
+    rows = [(i, f"some plain text {i} {words(i) if i % 10 == 0 else 'more'}", 1, int(i % 10 == 0)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int, toxic int")
+    model = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "quality", "toxic"))
+    assert {"achlicher", long, "idiot"} <= set(model.terms)
+    wrong = toxicity.score(df.select("doc_id", "text"), model).where((F.col("doc_id") % 10 == 0) != (F.col("predicted") == 1))
+    assert wrong.count() == 0
+
+
 def test_toxicity_edges(spark, docs_with_edges):
     df, _ = docs_with_edges
     labels = spark.createDataFrame([(0, 1, 1), (3, 0, 0), (None, 1, 1), (5, 1, None)], "doc_id long, quality int, toxic int")
