@@ -1,11 +1,15 @@
 """Licence scan: a trained paragraph classifier, with DataFrame functions only on the scan.
 
-Paragraphs (lines) are sets of word 1- and 2-grams. A sparse multinomial
+Paragraphs are lines, and joins of adjacent lines, as notices are wrapped; each is
+a set of word 1- and 2-grams. A sparse multinomial
 logistic regression over the templates' n-grams gives each paragraph a licence
 family or ``unknown``; the unknown class is trained on paragraphs of the corpus
 and on sentences that only sound like licences, and probabilities are calibrated
 by a temperature fitted on rows held out of training. A prediction counts as
-confirmed when the paragraph contains enough of one of the family's templates.
+confirmed when the paragraph contains enough of one of the family's templates;
+joined lines must also hold as large a share of its 2-grams, so that words strewn
+over a long passage are no notice. Lines are joined only in texts that hold a word
+without which no template can be confirmed.
 
 N-grams meet the model by a broadcast join with at most a few hundred rows, so
 only n-grams that the model knows get beyond the scan; texts are not shuffled.
@@ -14,10 +18,11 @@ only n-grams that the model knows get beyond the scan; texts are not shuffled.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import hash_sample
@@ -111,6 +116,8 @@ class LicenceModel:
     bias: np.ndarray
     temperature: float
     templates: list[tuple[str, frozenset]]  # family and n-grams
+    keys: list[str]  # words of which every confirmed paragraph holds one
+    longest: int  # words of a template
 
 
 def tokens(text: str) -> list[str]:
@@ -122,13 +129,48 @@ def grams_of(words: list[str]) -> frozenset:
     return frozenset(words) | frozenset(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))
 
 
+def _words(line: Column) -> Column:
+    return F.filter(F.split(F.lower(line), "[^a-z0-9]+", -1), lambda w: w != "")
+
+
+def _grams(w: str) -> Column:
+    pairs = F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+    return F.array_distinct(F.concat(w, pairs)).alias("grams")
+
+
 def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, paragraph, grams): the distinct n-grams of every non-blank line."""
     lines = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n", -1)).alias("paragraph", "line"))
-    words = F.filter(F.split(F.lower("line"), "[^a-z0-9]+", -1), lambda w: w != "")
-    worded = lines.select("doc_id", "paragraph", words.alias("w")).where(F.size("w") > 0)
-    pairs = F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    return worded.select("doc_id", "paragraph", F.array_distinct(F.concat("w", pairs)).alias("grams"))
+    worded = lines.select("doc_id", "paragraph", _words(F.col("line")).alias("w")).where(F.size("w") > 0)
+    return worded.select("doc_id", "paragraph", _grams("w"))
+
+
+def joined(docs: DataFrame, model: LicenceModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, paragraph, last, grams) of every join of adjacent lines that may hold a wrapped notice.
+
+    Lines without words end a join. Between its first and last line it has at most twice the words of the longest template.
+    """
+    most = 2 * model.longest
+    text = F.col(text_col).cast("string")
+    likely = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).where(F.lower("text").rlike(f"(?<![a-z0-9])(?:{'|'.join(model.keys)})(?![a-z0-9])"))
+    lines = likely.select("doc_id", F.transform(F.split("text", "\n", -1), _words).alias("lines")).where(F.size("lines") > 1)
+    starts = lines.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("lines") - 1), lambda i: F.slice("lines", i, most + 2))).alias("paragraph", "part"))
+    ends = starts.where((F.size(F.col("part")[0]) > 0) & (F.size(F.col("part")[1]) > 0)).select("doc_id", "paragraph", "part", F.explode(F.sequence(F.lit(2), F.size("part"))).alias("n"))
+    runs = ends.select("doc_id", "paragraph", (F.col("paragraph") + F.col("n") - 1).alias("last"), F.slice("part", F.lit(1), F.col("n")).alias("part"))
+    inner = F.aggregate(F.slice("part", F.lit(2), F.size("part") - 2), F.lit(0), lambda n, w: n + F.size(w))
+    fit_in = runs.where(F.forall("part", lambda w: F.size(w) > 0) & (inner <= most))
+    return fit_in.select("doc_id", "paragraph", "last", F.flatten("part").alias("w")).select("doc_id", "paragraph", "last", _grams("w"))
+
+
+def key_words(templates: list[frozenset], seen: Counter, share: float) -> list[str]:
+    """Words, the rarest first, without which less than ``share`` of any template's n-grams is left."""
+    keys: set[str] = set()
+    for grams in templates:
+        for word in sorted((g for g in grams if " " not in g), key=lambda g: (seen[g], -len(g), g)):
+            if sum(not keys & set(g.split()) for g in grams) < share * len(grams):
+                break
+            keys.add(word)
+    return sorted(keys)
 
 
 def fit(docs: DataFrame, params: LicenceParams = LicenceParams()) -> LicenceModel:
@@ -155,14 +197,17 @@ def fit(docs: DataFrame, params: LicenceParams = LicenceParams()) -> LicenceMode
     known = spark.createDataFrame([(g,) for g in vocabulary], "gram string")
     few = hash_sample(docs.select("doc_id", "text"), "doc_id", p.sample_docs, docs.count())
     seen = paragraphs(few).select("doc_id", "paragraph", F.explode("grams").alias("gram")).join(known.withColumn("found", F.col("gram")), "gram", "left").groupBy("doc_id", "paragraph").agg(F.sort_array(F.collect_set("found")).alias("g"))
+    often: Counter = Counter()
     for r in seen.orderBy(F.xxhash64("doc_id", "paragraph"), "doc_id", "paragraph").limit(p.sample_paragraphs).collect():
         found = frozenset(r.g)
+        often.update(found)
         if all(len(found & t) < p.least_similarity * len(t) for _, t in templates):
             rows.append((found, len(families)))
-    return _train(rows, vocabulary, families, templates, p)
+    keys = key_words([t for _, t in templates], often, p.least_similarity)
+    return _train(rows, vocabulary, families, templates, keys, p)
 
 
-def _train(rows: list, vocabulary: list[str], families: list[str], templates: list, p: LicenceParams) -> LicenceModel:
+def _train(rows: list, vocabulary: list[str], families: list[str], templates: list, keys: list[str], p: LicenceParams) -> LicenceModel:
     """Proximal gradient steps with an L1 penalty; every fifth row, by a checksum, only fits the temperature."""
     at = {g: i for i, g in enumerate(vocabulary)}
     x = np.zeros((len(rows), len(vocabulary)))
@@ -186,7 +231,7 @@ def _train(rows: list, vocabulary: list[str], families: list[str], templates: li
     z, yh = x[held] @ w + b, y[held]
     grid = np.exp(np.linspace(-1.5, 1.5, 61))
     loss = [-(weight[held] * np.log(np.maximum(_softmax(z / t)[np.arange(len(yh)), yh], 1e-12))).sum() for t in grid]
-    return LicenceModel(families, vocabulary, np.round(w, 6), np.round(b, 6), float(round(grid[int(np.argmin(loss))], 6)) if len(yh) else 1.0, templates)
+    return LicenceModel(families, vocabulary, np.round(w, 6), np.round(b, 6), float(round(grid[int(np.argmin(loss))], 6)) if len(yh) else 1.0, templates, keys, max(len(tokens(t)) for f in families for t in TEMPLATES[f]))
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -195,20 +240,22 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def classify(docs: DataFrame, model: LicenceModel, params: LicenceParams = LicenceParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, paragraph, family, probability, similarity, confirmed) of every paragraph with a known n-gram of weight for some family.
+    """(doc_id, paragraph, last, family, probability, similarity, confirmed) of every paragraph with a known n-gram of weight for some family.
 
-    Paragraphs without one are ``unknown`` by the model and not listed.
+    A paragraph is a line, or the lines from ``paragraph`` to ``last``. Paragraphs without one are ``unknown`` by the model and not listed.
     """
     p, spark, classes = params, docs.sparkSession, len(model.families) + 1
     member = [[t for t, (_, grams) in enumerate(model.templates) if g in grams] for g in model.grams]
-    table = [(g, [float(v) for v in w], m) for g, w, m in zip(model.grams, model.weights, member, strict=True)]
-    known = F.broadcast(spark.createDataFrame(table, "gram string, w array<double>, member array<int>"))
-    hits = paragraphs(docs, id_col, text_col).select("doc_id", "paragraph", F.explode("grams").alias("gram")).join(known, "gram")
+    # a count of n-grams and, from bit 16 on, of those with two words
+    table = [(g, [float(v) for v in w], m, 65537 if " " in g else 1) for g, w, m in zip(model.grams, model.weights, member, strict=True)]
+    known = F.broadcast(spark.createDataFrame(table, "gram string, w array<double>, member array<int>, step int"))
+    lines = paragraphs(docs, id_col, text_col).select("doc_id", "paragraph", F.col("paragraph").alias("last"), "grams")
+    hits = lines.unionByName(joined(docs, model, id_col, text_col)).select("doc_id", "paragraph", "last", F.explode("grams").alias("gram")).join(known, "gram")
     sums = [F.sum(F.col("w")[c]).alias(f"z{c}") for c in range(classes)]
-    counts = [F.sum(F.array_contains("member", t).cast("int")).alias(f"t{t}") for t in range(len(model.templates))]
-    scored = hits.groupBy("doc_id", "paragraph").agg(*sums, *counts)
+    counts = [F.sum(F.when(F.array_contains("member", t), F.col("step")).otherwise(0)).alias(f"t{t}") for t in range(len(model.templates))]
+    scored = hits.groupBy("doc_id", "paragraph", "last").agg(*sums, *counts)
     logits = [(F.col(f"z{c}") + float(model.bias[c])) / model.temperature for c in range(classes)]
-    with_z = scored.select("doc_id", "paragraph", F.array(*logits).alias("z"), *[f"t{t}" for t in range(len(model.templates))])
+    with_z = scored.select("doc_id", "paragraph", "last", F.array(*logits).alias("z"), *[f"t{t}" for t in range(len(model.templates))])
     names = F.array(*[F.lit(f) for f in [*model.families, UNKNOWN]])
     top = F.array_max("z")
     best = F.array_position("z", top).cast("int")
@@ -216,22 +263,45 @@ def classify(docs: DataFrame, model: LicenceModel, params: LicenceParams = Licen
     chosen = with_z.withColumn("family", F.element_at(names, best)).withColumn("probability", probability)
     similarity = F.lit(0.0)
     for f in model.families:
-        shares = [F.col(f"t{t}") / float(len(g)) for t, (name, g) in enumerate(model.templates) if name == f]
+        shares = []
+        for t, (name, g) in enumerate(model.templates):
+            if name == f:
+                share, pairs = F.col(f"t{t}").bitwiseAND(65535) / float(len(g)), F.shiftright(f"t{t}", 16)
+                shares.append(F.when((F.col("paragraph") == F.col("last")) | (pairs >= p.least_similarity * sum(" " in x for x in g)), share).otherwise(0.0))
         similarity = F.when(F.col("family") == f, F.greatest(*shares) if len(shares) > 1 else shares[0]).otherwise(similarity)
     out = chosen.withColumn("similarity", similarity)
     confirmed = (F.col("family") != UNKNOWN) & (F.col("probability") >= p.least_probability) & (F.col("similarity") >= p.least_similarity)
-    return out.select("doc_id", "paragraph", "family", "probability", "similarity", confirmed.alias("confirmed"))
+    return out.select("doc_id", "paragraph", "last", "family", "probability", "similarity", confirmed.alias("confirmed"))
+
+
+def apart(found: DataFrame) -> DataFrame:
+    """(doc_id, paragraph, family, probability, similarity) of the confirmed paragraphs that don't overlap, the most similar and then the shortest first.
+
+    A join whose first confirmed line is as similar by itself is left out beforehand.
+    """
+    line = F.when(F.col("paragraph") == F.col("last"), F.struct("paragraph", "similarity"))
+    first = F.min(line).over(Window.partitionBy("doc_id").orderBy(F.desc("paragraph")))
+    rest = found.withColumn("line", first).where((F.col("paragraph") == F.col("last")) | F.col("line").isNull() | (F.col("line.paragraph") > F.col("last")) | (F.col("line.similarity") < F.col("similarity")))
+    order = Window.partitionBy("doc_id").orderBy("paragraph", "last")
+    reach = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    groups = rest.withColumn("new", F.coalesce((F.col("paragraph") > reach).cast("int"), F.lit(1))).withColumn("group", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    each = F.struct("similarity", (F.col("paragraph") - F.col("last")).alias("fewer"), "probability", (-F.col("paragraph")).alias("minus"), "last", "family")
+    ranked = groups.groupBy("doc_id", "group").agg(F.sort_array(F.collect_list(each), False).alias("all"))
+    meets = lambda kept, x: F.exists(kept, lambda y: (-y["minus"] <= x["last"]) & (-x["minus"] <= y["last"]))
+    kept = F.aggregate("all", F.slice("all", 1, 1), lambda kept, x: F.when(meets(kept, x), kept).otherwise(F.concat(kept, F.array(x))))
+    one = ranked.select("doc_id", F.explode(kept).alias("x"))
+    return one.select("doc_id", (-F.col("x.minus")).alias("paragraph"), "x.family", "x.probability", "x.similarity")
 
 
 def scan(docs: DataFrame, model: LicenceModel, params: LicenceParams = LicenceParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, licence, probability, similarity, paragraph, notices, families) of every row.
 
     The licence is that of the confirmed paragraph with the most similarity, then probability, then the first; it is
-    ``unknown`` with nulls beside it where no paragraph is confirmed, as in null and empty texts. notices counts
-    the confirmed paragraphs. Rows that share an id are one document; a null id is always unknown. Other columns
+    ``unknown`` with nulls beside it where no paragraph is confirmed, as in null and empty texts. paragraph is
+    its first line; notices counts the confirmed paragraphs. Rows that share an id are one document; a null id is always unknown. Other columns
     are not read.
     """
-    found = classify(docs, model, params, id_col, text_col).where("confirmed")
+    found = apart(classify(docs, model, params, id_col, text_col).where("confirmed"))
     best = F.max(F.struct("similarity", "probability", (-F.col("paragraph")).alias("minus"), "family"))
     each = found.groupBy("doc_id").agg(best.alias("best"), F.count("*").alias("notices"), F.sort_array(F.collect_set("family")).alias("families"))
     flat = each.select("doc_id", F.col("best.family").alias("licence"), F.col("best.probability").alias("probability"), F.col("best.similarity").alias("similarity"), (-F.col("best.minus")).alias("paragraph"), "notices", "families")

@@ -117,6 +117,28 @@ def test_licences_found(spark):
         assert (found[r.doc_id] in own) if own else found[r.doc_id] == licences.UNKNOWN
 
 
+def test_wrapped_licences(spark):
+    import textwrap
+
+    whole = {f: max(t, key=len) for f, t in licences.TEMPLATES.items()}
+    gpl, bsd = whole["GPL-3.0"], whole["BSD-3-Clause"]
+    rows, wanted = [], {}
+    for width in (20, 70, 75, 80):
+        for f, t in whole.items():
+            wanted[len(rows)] = f
+            rows.append("\n".join(["First line.", "", *("# " + x for x in textwrap.wrap(t, width)), "", "last line"]))
+    many = ["one", *textwrap.wrap(gpl, 75), "some words between", *textwrap.wrap(bsd, 75), "All rights reserved."]
+    rows += ["\n".join(many), "All the rooms\nof the house have rights\nthat are reserved for guests", "Licensed under\n\nthe Apache License"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r for r in licences.scan(df, licences.fit(df)).collect()}
+    assert {i: got[i].licence for i in wanted} == wanted
+    assert all(got[i].similarity == 1 and got[i].families == [f] for i, f in wanted.items())
+    assert all(got[i].notices == 1 for i, f in wanted.items() if f in ("MIT", "GPL-3.0", "BSD-3-Clause"))
+    n = len(wanted)
+    assert got[n].families == ["BSD-3-Clause", "GPL-3.0", "Proprietary"] and got[n].notices == 3
+    assert got[n + 1].licence == got[n + 2].licence == licences.UNKNOWN
+
+
 def test_licence_lookalikes_and_edges(spark, docs_with_edges):
     df, _ = docs_with_edges
     model = licences.fit(df)
