@@ -210,6 +210,12 @@ def fingerprint_strip_header(spark, d):
     return load(spark, d, "documents").select("doc_id", F.substring(text.without_header(headed), 1, 200).alias("body"))
 
 
+@query(r"SELECT doc_id, regexp_replace(lower('(@P0 nvarchar(4000),@P1 int)' || text), '^\(@p[\d?](?:[^)(]|\([^)]*\))*\)\s*', '') AS body FROM documents")
+def fingerprint_strip_header_whole(spark, d):
+    headed = F.concat(F.lit("(@P0 nvarchar(4000),@P1 int)"), F.col("text"))
+    return load(spark, d, "documents").select("doc_id", text.without_header(headed).alias("body"))
+
+
 @query(
     cte("raw_query")
     + """SELECT host, round(quantile_cont(occurrence_count, 0.5), 1) AS p50, round(quantile_cont(occurrence_count, 0.95), 1) AS p95, round(quantile_cont(occurrence_count, 0.99), 1) AS p99,

@@ -19,3 +19,8 @@ def test_entry_runs(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_whole_bodies_are_kept(spark, sf):
+    rows = QUERIES["fingerprint_strip_header_whole"](spark, sf).selectExpr("max(length(body))").first()
+    assert rows[0] > 200
