@@ -514,6 +514,11 @@ def text_set_ops(spark, d):
     return linking.text_coverage(docs.where("doc_id % 2 = 0"), right, "text", "text")
 
 
+@query("SELECT count(*) FILTER (WHERE a AND b) AS shared, count(*) FILTER (WHERE a AND NOT b) AS left_only, count(*) FILTER (WHERE b AND NOT a) AS right_only FROM (SELECT t, bool_or(s = 0) AS a, bool_or(s = 1) AS b FROM (SELECT text AS t, 0 AS s FROM documents UNION ALL SELECT text, 1 FROM benchmark) GROUP BY t)")
+def text_set_ops_whole(spark, d):
+    return linking.text_coverage(load(spark, d, "documents"), load(spark, d, "benchmark"), "text", "text")
+
+
 @query("SELECT 'labels' AS \"table\", count(quality) AS linked, count(*) AS total, round(count(quality) / count(*), 4) AS share FROM documents LEFT JOIN labels USING (doc_id)")
 def link_coverage(spark, d):
     joined = load(spark, d, "documents").join(load(spark, d, "labels"), "doc_id", "left").withColumnRenamed("quality", "raw_query_id")

@@ -24,3 +24,9 @@ def test_entry_runs(spark):
 def test_whole_bodies_are_kept(spark, sf):
     rows = QUERIES["fingerprint_strip_header_whole"](spark, sf).selectExpr("max(length(body))").first()
     assert rows[0] > 200
+
+
+def test_set_operations_read_every_document(spark, sf):
+    got = QUERIES["text_set_ops_whole"](spark, sf).first()
+    texts = spark.read.parquet(f"{sf}/documents.parquet").select("text").distinct().count()
+    assert got.shared + got.left_only == texts
