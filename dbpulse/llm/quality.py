@@ -91,9 +91,9 @@ def latent(raw: np.ndarray, offsets: np.ndarray, weights: np.ndarray) -> np.ndar
     """w.x of each document of a chunk; 0 for one without words."""
     out = np.zeros(len(offsets) - 1)
     for numbers, first, counts, scale in _features(raw, offsets):
-        sums = np.zeros(len(numbers) + 1)
-        np.cumsum(weights[numbers], out=sums[1:])
-        out += scale * (sums[first[1:]] - sums[first[:-1]]) / np.maximum(counts, 1)
+        some = np.flatnonzero(first[1:] > first[:-1])
+        if len(some):  # each document's own sum, so that its last bits don't depend on its neighbours
+            out[some] += scale * np.add.reduceat(weights[numbers], first[:-1][some]) / np.maximum(counts[some], 1)
     return out
 
 
@@ -116,7 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame, grade: Column | None = None, params:
     Without labelled rows the weights are 0 and the thresholds evenly spread, and every tail probability is at least one half.
     """
     ship(docs.sparkSession)
-    rows = training_rows(docs, labels, rating() if grade is None else grade, params.max_rows)
+    rows, _ = training_rows(docs, labels, rating() if grade is None else grade, params.max_rows)
     found = rows.select("grade", "text").mapInArrow(_sparse, "grade int, idx binary, val binary").collect()
     found.sort(key=lambda r: (r.grade, r.idx, r.val))  # the order of arrival must not show in the weights
     return fit_ordinal([(r.grade, np.frombuffer(r.idx, np.int32), np.frombuffer(r.val, np.float32)) for r in found], DIMS, params)

@@ -1,19 +1,23 @@
 """Toxicity by nearest labelled examples.
 
-Terms are selected by how much more often toxic examples hold them; a test of
-each term decides alone, so a rare vocabulary or language keeps its own. A document
-is its TF-IDF vector over those terms, with document frequencies counted over
-all documents; its score comes from the exact k nearest examples by cosine,
-found in an inverted index whose posting lists keep the largest weight of each
-block of examples: blocks that can't reach the k-th best are never opened.
-Distance-weighted votes are calibrated on the examples themselves, each scored
-without itself.
+A document is its TF-IDF vector over every word of the examples. Document
+frequencies are counted over all documents; a word's weight is its inverse
+document frequency times its relevance, the posterior chance that toxic and clean examples
+differ in holding it, so words that only mark a language or a theme weigh little
+and none is dropped. A document's score comes from the exact k nearest examples,
+toxic and clean alike, by cosine. They are found in an inverted index whose posting
+lists are cut into blocks of examples with the largest weight of each: the most
+promising blocks are opened first, and of the others only those that can still
+reach the k-th best. Votes weighted by distance are calibrated on the examples
+themselves, each scored without itself. For the same reason an example with just the
+document's vector has no vote: a wrong label can't condemn its own copies.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,75 +26,114 @@ from pyspark.sql import functions as F
 
 from .common import cut, ship
 from .labelled import held_out, training_rows
-from .textvec import buffers, fold_letters, word_hash, words
+from .textvec import Words, buffers, fold_letters, hash_spans, ragged, spans, words
+
+
+OTHER = 1 - 1e-9  # a larger cosine is the document itself or its copy
 
 
 @dataclass(frozen=True)
 class ToxicParams:
-    max_examples: int = 8192  # labelled rows that the fit reads at most
-    least_count: int = 3  # toxic examples that hold a selected term
-    least_lift: float = 3.0
-    least_g2: float = 24.0  # likelihood-ratio statistic: the 5 % level shared among some 50,000 terms
+    max_examples: int = 2048  # of each label: the labelled rows that the fit reads at most
+    floor: float = 0.02  # relevance of a word that tells nothing
     neighbours: int = 15
     block: int = 64
     cutoff: float = 0.7
+    bins: int = 20  # of the calibration table
 
 
 class BlockMaxIndex:
-    """Exact top-k by inner product over sparse vectors, with per-block maxima."""
+    """Exact top-k by inner product over sparse vectors, with per-block maxima.
+
+    Terms that many vectors hold are columns of a matrix; the others have posting lists. An entry is one term's
+    postings within one block of vectors, with their largest weight. Products count to 12 decimal places.
+    """
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, block: int):
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, block: int, often: float = 1 / 16):
         # neighbours in the order share their strongest term, which keeps the block maxima tight
         lead = [int(i[np.argmax(v)]) if len(i) else terms for i, v in vectors]
         self.order = np.array(sorted(range(len(vectors)), key=lambda n: (lead[n], n)), dtype=np.int64)
-        self.block, self.n = block, len(vectors)
-        blocks = -(-max(1, self.n) // block)
-        self.most = np.zeros((terms, blocks))
-        places = [(int(t), place, float(w)) for place, n in enumerate(self.order) for t, w in zip(*vectors[n], strict=True)]
-        places.sort()
-        self.at = np.array([p for _, p, _ in places], np.int64)
-        self.weight = np.array([w for _, _, w in places])
-        owner = np.array([t * blocks + p // block for t, p, _ in places], np.int64)
-        self.start = np.searchsorted(owner, np.arange(terms * blocks + 1))
-        if len(owner):
-            np.maximum.at(self.most.reshape(-1), owner, self.weight)
-
-    def top(self, idx: np.ndarray, val: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k largest positive products and their vectors' numbers: largest first, ties to the smaller number."""
-        bound = val @ self.most[idx]
-        blocks = self.most.shape[1]
-        best_n, best_s, floor = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or bound[b] < floor - 1e-12:
-                break
-            part = np.zeros(self.block)
-            for t, q in zip(idx, val, strict=True):
-                lo, hi = self.start[t * blocks + b], self.start[t * blocks + b + 1]
-                part[self.at[lo:hi] - b * self.block] += q * self.weight[lo:hi]
-            hit = np.flatnonzero(part > 0)
-            numbers = self.order[hit + b * self.block]
-            keep = numbers != without
-            best_n, best_s = np.concatenate([best_n, numbers[keep]]), np.concatenate([best_s, part[hit][keep]])
+        self.block, self.n, self.blocks = block, len(vectors), -(-max(1, len(vectors)) // block)
+        idx = np.concatenate([np.zeros(0, np.int64), *(vectors[n][0] for n in self.order)]).astype(np.int64)
+        weight = np.concatenate([np.zeros(0), *(vectors[n][1] for n in self.order)])
+        place = np.repeat(np.arange(self.n), [len(vectors[n][0]) for n in self.order])
+        common = np.flatnonzero(np.bincount(idx, minlength=terms) > often * self.n)
+        self.column = np.full(terms, -1, np.int32)  # of a common term in the matrix
+        self.column[common] = np.arange(len(common))
+        own = self.column[idx]
+        self.matrix = np.zeros((len(common), self.n))
+        self.matrix[own[own >= 0], place[own >= 0]] = weight[own >= 0]
+        idx, weight, place = idx[own < 0], weight[own < 0], place[own < 0]
+        by_term = np.lexsort((place, idx))
+        self.place, self.weight = place[by_term].astype(np.int32), weight[by_term]
+        entry, begin = np.unique(idx[by_term] * self.blocks + self.place // block, return_index=True)
+        self.begin = np.append(begin, len(idx))  # of each entry's postings
+        self.block_of = (entry % self.blocks).astype(np.int32)
+        self.most = np.maximum.reduceat(self.weight, begin) if len(begin) else np.zeros(0)
+        self.first = np.searchsorted(entry, np.arange(terms + 1) * self.blocks)  # of each term's entries
+
+    def common_part(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """(queries, vectors): what the common terms give to each product."""
+        q = np.zeros((len(queries), len(self.matrix)))
+        for row, (idx, val) in zip(q, queries, strict=True):
+            at = self.column[idx]
+            row[at[at >= 0]] = val[at >= 0]
+        return q @ self.matrix
+
+    def top(self, idx: np.ndarray, val: np.ndarray, k: int, without: int = -1, common: np.ndarray | None = None, most: float = np.inf) -> tuple[np.ndarray, np.ndarray]:
+        """The k largest positive products up to ``most`` and their vectors' numbers: largest first, ties to the smaller number."""
+        common = self.common_part([(idx, val)])[0] if common is None else common
+        lengths = self.first[idx + 1] - self.first[idx]
+        entries, q = ragged(self.first[idx], lengths), np.repeat(val, lengths)
+        owner = self.block_of[entries]
+        bound = np.bincount(owner, q * self.most[entries], minlength=self.blocks)
+        if self.n:
+            bound = bound + np.maximum.reduceat(common, np.arange(0, self.n, self.block))
+        lead = np.argsort(-bound, kind="stable")[: -(-k // self.block) + 1]
+        now = np.zeros(self.blocks, bool)
+        now[lead] = True
+        best_n, best_s = self._open(now, entries, q, owner, common, k, without, most)
+        late = ~now & (bound >= (best_s[-1] - 1e-11 if len(best_s) == k else 1e-13))
+        if late.any():
+            more_n, more_s = self._open(late, entries, q, owner, common, k, without, most)
+            best_n, best_s = np.concatenate([best_n, more_n]), np.concatenate([best_s, more_s])
             rank = np.lexsort((best_n, -best_s))[:k]
             best_n, best_s = best_n[rank], best_s[rank]
-            floor = best_s[-1] if len(best_s) == k else 0.0
         return best_n, best_s
 
+    def _open(self, blocks: np.ndarray, entries: np.ndarray, q: np.ndarray, owner: np.ndarray, common: np.ndarray, k: int, without: int, most: float) -> tuple[np.ndarray, np.ndarray]:
+        """The k best of the vectors in the blocks chosen."""
+        which = blocks[owner]
+        chosen = entries[which]
+        lengths = self.begin[chosen + 1] - self.begin[chosen]
+        at = ragged(self.begin[chosen], lengths)
+        product = np.bincount(self.place[at], np.repeat(q[which], lengths) * self.weight[at], minlength=self.n)
+        product = np.where(np.repeat(blocks, self.block)[: self.n], np.round(product + common, 12), 0.0)
+        hit = np.flatnonzero((product > 0) & (product <= most))
+        if len(hit) > 4 * k:  # the k + 1 largest and what ties with them
+            hit = hit[product[hit] >= np.partition(product[hit], len(hit) - k - 1)[len(hit) - k - 1]]
+        numbers, product = self.order[hit], product[hit]
+        keep = numbers != without
+        numbers, product = numbers[keep], product[keep]
+        rank = np.lexsort((numbers, -product))[:k]
+        return numbers[rank], product[rank]
+
 
 @dataclass
 class ToxicModel:
     terms: list[str]
     hashes: np.ndarray  # of the terms, ascending
-    idf: np.ndarray
-    ids: np.ndarray  # of the examples with selected terms
+    weights: np.ndarray  # of the terms: inverse document frequency times relevance
+    ids: np.ndarray  # of the examples
     toxic: np.ndarray
     index: BlockMaxIndex
-    prior: float  # rate among examples without selected terms
+    prior: float  # rate of toxic rows, for documents without a known word
     params: ToxicParams
     calibration: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
     def vote(self, near: np.ndarray, cosine: np.ndarray) -> float:
-        weight = 1 / (1.05 - np.minimum(cosine, 1.0))
+        """Share of toxic among the nearest; a neighbour at a right angle has no vote."""
+        weight = distance_weight(cosine)
         return float((weight * self.toxic[near]).sum() / weight.sum()) if len(near) else 0.0
 
     def calibrated(self, vote: float) -> float:
@@ -98,109 +141,120 @@ class ToxicModel:
         return float(np.interp(vote, (np.arange(bins) + 0.5) / bins, self.calibration))
 
 
-def _terms_of(fold: np.ndarray):
-    table = bytes(32 if x == 0 else int(x) for x in fold)
+def distance_weight(cosine: np.ndarray) -> np.ndarray:
+    return (1.05 - np.minimum(cosine, 1.0)) ** -2.0 - 1.05**-2.0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, y in zip(range(batch.num_rows), batch.column(0).to_pylist(), strict=True):
-                found = sorted(set((batch.column(1)[i].as_py() or "").encode().translate(table).split()))
-                yield pa.RecordBatch.from_arrays([pa.array([y] * len(found), pa.int32()), pa.array(found, pa.binary()).cast(pa.string())], names=["y", "term"])
 
-    return run
+def relevance(c1: np.ndarray, c0: np.ndarray, n1: int, n0: int, floor: float) -> np.ndarray:
+    """Posterior chance that the share of examples holding a term differs by label, from ``floor`` up.
+
+    The evidence is half the likelihood-ratio statistic G2; the prior is one relevant term among all.
+    """
+    if not n1 or not n0:
+        return np.full(len(c1), floor)
+    share = (c1 + c0) / (n1 + n0)
+    part = lambda seen, expected: np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / np.maximum(expected, 1e-300)), 0.0)
+    half = part(c1, n1 * share) + part(c0, n0 * share) + part(n1 - c1, n1 * (1 - share)) + part(n0 - c0, n0 * (1 - share))
+    return floor + (1 - floor) / (1 + np.exp(np.clip(np.log(max(1, len(c1))) - half, -50, 50)))
 
 
-def term_counts(raw: np.ndarray, offsets: np.ndarray, hashes: np.ndarray, fold: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(row, term numbers, counts) of the documents that hold a selected term."""
-    w = words(raw, offsets, fold)
+def term_counts(w: Words, hashes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(row, term numbers ascending, counts) of the documents that hold a known term."""
+    if not len(hashes) or not len(w.hashes):
+        return
     at = np.searchsorted(hashes, w.hashes)
     at[at == len(hashes)] = 0
-    hit = np.flatnonzero(hashes[at] == w.hashes) if len(hashes) else np.zeros(0, np.int64)
+    hit = np.flatnonzero(hashes[at] == w.hashes)
     if not len(hit):
         return
     doc = np.searchsorted(w.first, hit, "right") - 1
     pair, counts = np.unique(doc * len(hashes) + at[hit], return_counts=True)
     rows, cuts = np.unique(pair // len(hashes), return_index=True)
-    for row, lo, hi in zip(rows, cuts, [*cuts[1:], len(pair)], strict=True):
-        yield int(row), pair[lo:hi] % len(hashes), counts[lo:hi]
+    for row, lo, hi in zip(rows.tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(pair)], strict=True):
+        yield row, pair[lo:hi] % len(hashes), counts[lo:hi]
 
 
-def _vector(idx: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    v = (1 + np.log(counts)) * idf[idx]
+def _vector(idx: np.ndarray, counts: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    v = (1 + np.log(counts)) * weights[idx]
     return idx, v / np.sqrt((v * v).sum())
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: Column | None = None, params: ToxicParams = ToxicParams()) -> ToxicModel:
-    """Selects terms and examples from labelled rows that aren't held out; counts terms over all documents.
-
-    Equal texts count once among the examples. Without examples there are no terms and every score is 0.5.
-    """
-    p = params
-    ship(docs.sparkSession)
-    label = (F.col("toxic") if label is None else label).cast("int")
-    examples = cut(training_rows(docs, labels, F.when(label.isNotNull(), (label > 0).cast("int")), p.max_examples).dropDuplicates(["text"]), "examples")
-    total = {r.grade: r["count"] for r in examples.groupBy("grade").count().collect()}
-    n1, n0 = total.get(1, 0), total.get(0, 0)
+def _example_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each example's distinct words: their hashes ascending, counts, and the words themselves between blanks."""
     fold = fold_letters()
-    counted = examples.select("grade", "text").mapInArrow(_terms_of(fold), "y int, term string").groupBy("term").agg(F.sum("y").alias("c1"), F.sum(1 - F.col("y")).alias("c0"))
-    c1, c0 = F.col("c1").cast("double"), F.col("c0").cast("double")
-    share = (c1 + c0) / F.lit(max(1, n1 + n0))
-    part = lambda c, n: F.when(c > 0, c * F.log(c / (n * share))).otherwise(0.0)
-    g2 = 2 * (part(c1, F.lit(n1)) + part(c0, F.lit(n0)) + part(n1 - c1, F.lit(n1) * (1 - share) / share) + part(n0 - c0, F.lit(n0) * (1 - share) / share)) if n1 and n0 else F.lit(0.0)
-    lift = ((c1 + 0.5) / (n1 + 1)) / ((c0 + 0.5) / (n0 + 1))
-    chosen = (
-        counted.where((c1 >= p.least_count) & (lift >= p.least_lift))
-        .withColumn("g2", g2)
-        .where(F.col("g2") >= p.least_g2)
-        .orderBy(F.desc("g2"), "term")
-        .collect()
-    )
-    by_hash = {word_hash(r.term, fold): r.term for r in chosen}
-    hashes = np.array(sorted(by_hash), np.uint64)
-
-    def document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, rows = np.zeros(len(hashes) + 1, np.int64), 0
+    for batch in batches:
+        for raw, offsets, at in buffers(batch.column(2)):
+            starts, ends, low = spans(raw, offsets, fold) if len(raw) else (np.zeros(0, np.int64),) * 2 + (raw,)
+            hashes = hash_spans(low, starts, ends) if len(raw) else np.zeros(0, np.uint64)
+            first, data = np.searchsorted(starts, offsets), low.tobytes()
+            out = []
+            for a, b in zip(first[:-1], first[1:], strict=True):
+                own, where, counts = np.unique(hashes[a:b], return_index=True, return_counts=True)
+                where += a
+                out.append((own.tobytes(), counts.astype(np.int32).tobytes(), b" ".join(data[i:j] for i, j in zip(starts[where].tolist(), ends[where].tolist(), strict=True))))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(out)), batch.column(1).slice(at, len(out)), *(pa.array([x[c] for x in out], pa.binary()) for c in range(3))], names=["doc_id", "grade", "hashes", "counts", "words"])
+
+
+def _document_counts(hashes: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, rows, fold = np.zeros(len(hashes) + 1, np.int64), 0, fold_letters()
         for batch in batches:
             rows += batch.num_rows
             for raw, offsets, _ in buffers(batch.column(0)):
-                for _, idx, _ in term_counts(raw, offsets, hashes, fold):
+                for _, idx, _ in term_counts(words(raw, offsets, fold), hashes):
                     total[idx] += 1
         total[-1] = rows
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["term", "n"])
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], names=["term", "n"])
 
-    every = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(document_counts, "term long, n long")
-    seen = {r.term: r.n for r in every.groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    n_docs = seen.get(len(hashes), 0)
-    idf = np.array([np.log((n_docs + 1) / (seen.get(i, 0) + 1)) + 1 for i in range(len(hashes))])
+    return run
 
-    def example_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for raw, offsets, at in buffers(batch.column(2)):
-                rows = list(term_counts(raw, offsets, hashes, fold))
-                take = pa.array([at + r for r, _, _ in rows], pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), batch.column(1).take(take), pa.array([i.tolist() for _, i, _ in rows], pa.list_(pa.int32())), pa.array([c.tolist() for _, _, c in rows], pa.list_(pa.int32()))],
-                    names=["doc_id", "grade", "idx", "counts"],
-                )
 
-    found = examples.select("doc_id", "grade", "text").mapInArrow(example_terms, "doc_id long, grade int, idx array<int>, counts array<int>").collect()
+def fit(docs: DataFrame, labels: DataFrame, label: Column | None = None, params: ToxicParams = ToxicParams()) -> ToxicModel:
+    """Takes examples from labelled rows that aren't held out; counts their words over all documents.
+
+    Equal texts count once among the examples, by their smallest id and, where their labels differ, as clean.
+    Without examples there are no terms and every score is 0.5.
+    """
+    p = params
+    ship(docs.sparkSession)
+    label = (F.col("toxic") if label is None else label).cast("int")
+    picked, total = training_rows(docs, labels, F.when(label.isNotNull(), (label > 0).cast("int")), p.max_examples, each=True)
+    examples = picked.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.min("grade").alias("grade"))
+    found = examples.select("doc_id", "grade", "text").mapInArrow(_example_words, "doc_id long, grade int, hashes binary, counts binary, words binary").collect()
     found.sort(key=lambda r: r.doc_id)
-    vectors = [_vector(np.array(r.idx), np.array(r.counts), idf) for r in found]
     toxic = np.array([r.grade for r in found], float)
-    prior = (n1 - toxic.sum() + 0.5) / (n1 + n0 - len(found) + 1)
-    model = ToxicModel([by_hash[int(h)] for h in hashes], hashes, idf, np.array([r.doc_id for r in found], np.int64), toxic, BlockMaxIndex(vectors, len(hashes), p.block), float(prior), p)
-    model.calibration = _calibrate(model, vectors)
+    n1, n0 = int(toxic.sum()), int((1 - toxic).sum())
+    sizes = [len(r.hashes) // 8 for r in found]
+    every = np.frombuffer(b"".join(r.hashes for r in found), np.uint64)
+    hashes, where, number = np.unique(every, return_index=True, return_inverse=True)
+    strings = b" ".join(r.words for r in found if r.words).split(b" ") if len(every) else []
+    terms = [strings[i].decode() for i in where]
+    held = np.bincount(number, minlength=len(hashes)).astype(float)
+    c1 = np.bincount(number, np.repeat(toxic, sizes), minlength=len(hashes))
+
+    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_document_counts(hashes), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    seen = np.zeros(len(hashes) + 1)
+    seen[counted["term"].to_numpy()] = counted["n"].to_numpy()
+    weights = (np.log((seen[-1] + 1) / (seen[:-1] + 1)) + 1) * relevance(c1, held - c1, n1, n0, p.floor)
+    cuts = np.cumsum([0, *sizes])
+    vectors = [_vector(number[a:b], np.frombuffer(r.counts, np.int32), weights) for r, a, b in zip(found, cuts[:-1], cuts[1:], strict=True)]
+    # how many labelled rows an example stands for
+    stands = np.where(toxic > 0, total.get(1, 0) / max(1, n1), total.get(0, 0) / max(1, n0))
+    prior = ((stands * toxic).sum() + 0.5) / (stands.sum() + 1)
+    model = ToxicModel(terms, hashes, weights, np.array([r.doc_id for r in found], np.int64), toxic, BlockMaxIndex(vectors, len(hashes), p.block), float(prior), p)
+    model.calibration = _calibrate(model, vectors, stands, p.bins)
     return model
 
 
-def _calibrate(model: ToxicModel, vectors: list[tuple[np.ndarray, np.ndarray]], bins: int = 10) -> np.ndarray:
+def _calibrate(model: ToxicModel, vectors: list[tuple[np.ndarray, np.ndarray]], stands: np.ndarray, bins: int) -> np.ndarray:
     """Label rate by vote, ascending; each bin starts as two examples at its middle."""
     hits, seen = (np.arange(bins) + 0.5) / bins * 2, np.full(bins, 2.0)
     for n, (idx, val) in enumerate(vectors):
-        near, cosine = model.index.top(idx, val, model.params.neighbours, without=n)
-        b = min(bins - 1, int(model.vote(near, cosine) * bins))
-        hits[b] += model.toxic[n]
-        seen[b] += 1
+        if len(idx):
+            b = min(bins - 1, int(model.vote(*model.index.top(idx, val, model.params.neighbours, without=n, most=OTHER)) * bins))
+            hits[b] += stands[n] * model.toxic[n]
+            seen[b] += stands[n]
     blocks: list[list[float]] = []
     for h, s in zip(hits, seen, strict=True):
         blocks.append([h, s, 1])
@@ -212,19 +266,22 @@ def _calibrate(model: ToxicModel, vectors: list[tuple[np.ndarray, np.ndarray]],
 
 def _scores(model: ToxicModel, raw: np.ndarray, offsets: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, dict[int, tuple]]:
     out, why = np.full(len(offsets) - 1, model.prior), {}
-    for row, idx, counts in term_counts(raw, offsets, model.hashes, fold):
-        idx, val = _vector(idx, counts, model.idf)
-        near, cosine = model.index.top(idx, val, model.params.neighbours)
-        out[row] = model.calibrated(model.vote(near, cosine))
-        why[row] = (model.ids[near[:3]].tolist(), [model.terms[i] for i in idx[np.argsort(-val, kind="stable")[:3]]])
+    rows = term_counts(words(raw, offsets, fold), model.hashes)
+    while group := list(islice(rows, 128)):
+        vectors = [_vector(idx, counts, model.weights) for _, idx, counts in group]
+        for (row, _, _), (idx, val), common in zip(group, vectors, model.index.common_part(vectors), strict=True):
+            near, cosine = model.index.top(idx, val, model.params.neighbours, common=common, most=OTHER)
+            out[row] = model.calibrated(model.vote(near, cosine))
+            why[row] = (near[:3], idx[np.argsort(-val, kind="stable")[:3]])
     return out, why
 
 
 def score(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence_ids, evidence_terms) of every row.
 
-    Null and empty texts, and texts without selected terms, get the rate of toxic examples without such terms.
-    Ids may be null (never held out) or repeat. Other columns are not read.
+    Null and empty texts, and texts without a word of any example, get the rate of toxic rows among the labelled.
+    Evidence is the three nearest examples and the three words that weigh most. Ids may be null (never held out)
+    or repeat. Other columns are not read.
     """
     ship(docs.sparkSession)
     held, cutoff = docs.sparkSession.sparkContext.broadcast(model), model.params.cutoff
@@ -233,8 +290,9 @@ def score(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col:
         fold = fold_letters()
         for batch in batches:
             for raw, offsets, at in buffers(batch.column(1)):
-                got, why = _scores(held.value, raw, offsets, fold)
-                both = [why.get(i, ([], [])) for i in range(len(got))]
+                model = held.value
+                got, why = _scores(model, raw, offsets, fold)
+                both = [(model.ids[why[i][0]].tolist(), [model.terms[t] for t in why[i][1]]) if i in why else ([], []) for i in range(len(got))]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(at, len(got)), pa.array(got), pa.array((got >= cutoff).astype(np.int32)), pa.array([b[0] for b in both], pa.list_(pa.int64())), pa.array([b[1] for b in both], pa.list_(pa.string()))],
                     names=["doc_id", "score", "predicted", "evidence_ids", "evidence_terms"],
