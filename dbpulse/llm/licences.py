@@ -1,18 +1,19 @@
 """Licence scan: a trained paragraph classifier, with DataFrame functions only on the scan.
 
 Paragraphs are lines, and joins of adjacent lines, as notices are wrapped; each is
-a set of word 1- and 2-grams. A sparse multinomial
-logistic regression over the templates' n-grams gives each paragraph a licence
-family or ``unknown``; the unknown class is trained on paragraphs of the corpus
-and on sentences that only sound like licences, and probabilities are calibrated
-by a temperature fitted on rows held out of training. A prediction counts as
-confirmed when the paragraph contains enough of one of the family's templates;
-joined lines must also hold as large a share of its 2-grams, so that words strewn
-over a long passage are no notice. Lines are joined only in texts that hold a word
-without which no template can be confirmed.
-
-N-grams meet the model by a broadcast join with at most a few hundred rows, so
-only n-grams that the model knows get beyond the scan; texts are not shuffled.
+a set of word 1- and 2-grams. A sparse multinomial logistic regression over the
+templates' n-grams gives each paragraph a licence family or ``unknown``; the
+unknown class is trained on paragraphs of the corpus and on sentences that only
+sound like licences, and probabilities are calibrated by a temperature fitted on
+rows held out of training. A prediction counts as confirmed when the paragraph
+contains enough of one of the family's templates, and more of a short one; joined
+lines must also hold as large a share of its 2-grams, so that words strewn over a
+long passage are no notice.
+
+No template can be confirmed without one of a few key words. Texts without any
+are settled by a substring test, and of the others only runs of lines that hold
+one are scored. Every row is scanned by itself in array functions, against
+literals of at most a few hundred n-grams: nothing is shuffled or broadcast.
 """
 
 from __future__ import annotations
@@ -20,9 +21,12 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
+from typing import NamedTuple
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import hash_sample
@@ -105,9 +109,18 @@ class LicenceParams:
     l1: float = 3e-4
     rounds: int = 400
     least_similarity: float = 0.6  # of a template's n-grams found in the paragraph, to confirm
+    short_words: int = 10  # a template of fewer words asks for more
+    short_similarity: float = 0.75
     least_probability: float = 0.5
 
 
+class Template(NamedTuple):
+    family: str
+    grams: frozenset
+    words: int
+    share: float  # of its n-grams that confirm it
+
+
 @dataclass(frozen=True)
 class LicenceModel:
     families: list[str]  # unknown is the last class
@@ -115,9 +128,13 @@ class LicenceModel:
     weights: np.ndarray  # (grams, classes), mostly 0
     bias: np.ndarray
     temperature: float
-    templates: list[tuple[str, frozenset]]  # family and n-grams
+    templates: list[Template]
     keys: list[str]  # words of which every confirmed paragraph holds one
-    longest: int  # words of a template
+
+    @property
+    def reach(self) -> int:
+        """Words between the first and the last line of a join at most: twice those of the longest template."""
+        return 2 * max(t.words for t in self.templates)
 
 
 def tokens(text: str) -> list[str]:
@@ -130,84 +147,69 @@ def grams_of(words: list[str]) -> frozenset:
 
 
 def _words(line: Column) -> Column:
-    return F.filter(F.split(F.lower(line), "[^a-z0-9]+", -1), lambda w: w != "")
-
+    """The words of a line in lower case."""
+    return F.filter(F.split(line, "[^a-z0-9]+", -1), lambda w: w != "")
 
-def _grams(w: str) -> Column:
-    pairs = F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    return F.array_distinct(F.concat(w, pairs)).alias("grams")
 
+def _known(words: Column, vocabulary: Column) -> Column:
+    """The distinct n-grams of a word array that the vocabulary has."""
+    after = F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0)))
+    # the last word has none after it and joins to itself, which the intersection takes once
+    return F.array_intersect(F.concat(words, F.zip_with(words, after, lambda a, b: F.concat_ws(" ", a, b))), vocabulary)
 
-def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, paragraph, grams): the distinct n-grams of every non-blank line."""
-    lines = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n", -1)).alias("paragraph", "line"))
-    worded = lines.select("doc_id", "paragraph", _words(F.col("line")).alias("w")).where(F.size("w") > 0)
-    return worded.select("doc_id", "paragraph", _grams("w"))
 
+def _texts(values) -> str:
+    """SQL for an array of texts that hold only a-z, 0-9 and blanks."""
+    return f"array({', '.join(repr(v) for v in values)})" if values else "cast(array() as array<string>)"
 
-def joined(docs: DataFrame, model: LicenceModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, paragraph, last, grams) of every join of adjacent lines that may hold a wrapped notice.
 
-    Lines without words end a join. Between its first and last line it has at most twice the words of the longest template.
-    """
-    most = 2 * model.longest
-    text = F.col(text_col).cast("string")
-    likely = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).where(F.lower("text").rlike(f"(?<![a-z0-9])(?:{'|'.join(model.keys)})(?![a-z0-9])"))
-    lines = likely.select("doc_id", F.transform(F.split("text", "\n", -1), _words).alias("lines")).where(F.size("lines") > 1)
-    starts = lines.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("lines") - 1), lambda i: F.slice("lines", i, most + 2))).alias("paragraph", "part"))
-    ends = starts.where((F.size(F.col("part")[0]) > 0) & (F.size(F.col("part")[1]) > 0)).select("doc_id", "paragraph", "part", F.explode(F.sequence(F.lit(2), F.size("part"))).alias("n"))
-    runs = ends.select("doc_id", "paragraph", (F.col("paragraph") + F.col("n") - 1).alias("last"), F.slice("part", F.lit(1), F.col("n")).alias("part"))
-    inner = F.aggregate(F.slice("part", F.lit(2), F.size("part") - 2), F.lit(0), lambda n, w: n + F.size(w))
-    fit_in = runs.where(F.forall("part", lambda w: F.size(w) > 0) & (inner <= most))
-    return fit_in.select("doc_id", "paragraph", "last", F.flatten("part").alias("w")).select("doc_id", "paragraph", "last", _grams("w"))
-
-
-def key_words(templates: list[frozenset], seen: Counter, share: float) -> list[str]:
-    """Words, the rarest first, without which less than ``share`` of any template's n-grams is left."""
+def key_words(templates: list[Template], seen: Counter) -> list[str]:
+    """Words, the rarest first, without which less than its confirming share of any template's n-grams is left."""
     keys: set[str] = set()
-    for grams in templates:
-        for word in sorted((g for g in grams if " " not in g), key=lambda g: (seen[g], -len(g), g)):
-            if sum(not keys & set(g.split()) for g in grams) < share * len(grams):
+    for t in templates:
+        for word in sorted((g for g in t.grams if " " not in g), key=lambda g: (seen[g], -len(g), g)):
+            if sum(not keys & set(g.split()) for g in t.grams) < t.share * len(t.grams):
                 break
             keys.add(word)
     return sorted(keys)
 
 
 def fit(docs: DataFrame, params: LicenceParams = LicenceParams()) -> LicenceModel:
-    """Trains on the templates' variants, the lookalikes and a bounded sample of the corpus's paragraphs.
+    """Trains on the templates' variants, the lookalikes and a bounded sample of the corpus's lines.
 
-    Sampled paragraphs that hold most of a template are left out, as they may be notices.
+    Sampled lines that confirm a template are left out, as they may be notices. The sample is unlabelled: the
+    unknown class, and with it the probabilities, follow the corpus at hand.
     """
     p = params
     rng = np.random.default_rng(11)
     families = list(TEMPLATES)
-    templates = [(f, grams_of(tokens(t))) for f in families for t in TEMPLATES[f]]
+    templates = []
     rows: list[tuple[frozenset, int]] = []
     for c, f in enumerate(families):
         for text in TEMPLATES[f]:
             words = tokens(text)
+            templates.append(Template(f, grams_of(words), len(words), p.short_similarity if len(words) < p.short_words else p.least_similarity))
             rows.append((grams_of(words), c))
             for _ in range(p.variants):
                 kept = [w for w in words if rng.random() < p.keep_rate]
                 rows.append((grams_of(kept), c))
     for text in LOOKALIKES:
         rows += [(grams_of(tokens(text)), len(families))] * p.variants
-    vocabulary = sorted(set().union(*(t for _, t in templates)))
-    spark = docs.sparkSession
-    known = spark.createDataFrame([(g,) for g in vocabulary], "gram string")
+    vocabulary = sorted(set().union(*(t.grams for t in templates)))
     few = hash_sample(docs.select("doc_id", "text"), "doc_id", p.sample_docs, docs.count())
-    seen = paragraphs(few).select("doc_id", "paragraph", F.explode("grams").alias("gram")).join(known.withColumn("found", F.col("gram")), "gram", "left").groupBy("doc_id", "paragraph").agg(F.sort_array(F.collect_set("found")).alias("g"))
+    lines = few.select("doc_id", F.posexplode(F.split(F.lower(F.col("text").cast("string")), "\n", -1)).alias("line", "text"))
+    seen = lines.select("doc_id", "line", _words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    seen = seen.select("doc_id", "line", F.sort_array(_known(F.col("w"), F.expr(_texts(vocabulary)))).alias("g"))
     often: Counter = Counter()
-    for r in seen.orderBy(F.xxhash64("doc_id", "paragraph"), "doc_id", "paragraph").limit(p.sample_paragraphs).collect():
+    for r in seen.orderBy(F.xxhash64("doc_id", "line"), "doc_id", "line", "g").limit(p.sample_paragraphs).collect():
         found = frozenset(r.g)
         often.update(found)
-        if all(len(found & t) < p.least_similarity * len(t) for _, t in templates):
+        if all(len(found & t.grams) < t.share * len(t.grams) for t in templates):
             rows.append((found, len(families)))
-    keys = key_words([t for _, t in templates], often, p.least_similarity)
-    return _train(rows, vocabulary, families, templates, keys, p)
+    return _train(rows, vocabulary, families, templates, key_words(templates, often), p)
 
 
-def _train(rows: list, vocabulary: list[str], families: list[str], templates: list, keys: list[str], p: LicenceParams) -> LicenceModel:
+def _train(rows: list, vocabulary: list[str], families: list[str], templates: list[Template], keys: list[str], p: LicenceParams) -> LicenceModel:
     """Proximal gradient steps with an L1 penalty; every fifth row, by a checksum, only fits the temperature."""
     at = {g: i for i, g in enumerate(vocabulary)}
     x = np.zeros((len(rows), len(vocabulary)))
@@ -231,7 +233,7 @@ def _train(rows: list, vocabulary: list[str], families: list[str], templates: li
     z, yh = x[held] @ w + b, y[held]
     grid = np.exp(np.linspace(-1.5, 1.5, 61))
     loss = [-(weight[held] * np.log(np.maximum(_softmax(z / t)[np.arange(len(yh)), yh], 1e-12))).sum() for t in grid]
-    return LicenceModel(families, vocabulary, np.round(w, 6), np.round(b, 6), float(round(grid[int(np.argmin(loss))], 6)) if len(yh) else 1.0, templates, keys, max(len(tokens(t)) for f in families for t in TEMPLATES[f]))
+    return LicenceModel(families, vocabulary, np.round(w, 6), np.round(b, 6), float(round(grid[int(np.argmin(loss))], 6)) if len(yh) else 1.0, templates, keys)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -239,73 +241,137 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def classify(docs: DataFrame, model: LicenceModel, params: LicenceParams = LicenceParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, paragraph, last, family, probability, similarity, confirmed) of every paragraph with a known n-gram of weight for some family.
+def _runs(lines: str, marks: str, most: int) -> Column:
+    """(mark, a, b) of each run of lines a to b whose first key line is ``mark``; lines count from 1.
+
+    A line without words ends a run; between its first and last line it has at most ``most`` words.
+    """
+
+    def reached(part: Column) -> Column:
+        """How many lines a run goes on, of those given in order away from the mark."""
+        start = F.struct(F.lit(0).alias("words"), F.lit(0).alias("n"), F.lit(True).alias("open"))
+
+        def step(s: Column, line: Column) -> Column:
+            on = s["open"] & (F.size(line) > 0) & (s["words"] <= most)
+            return F.struct((s["words"] + F.when(on, F.size(line)).otherwise(0)).alias("words"), (s["n"] + on.cast("int")).alias("n"), on.alias("open"))
+
+        return F.aggregate(part, start, step, lambda s: s["n"])
+
+    def around(i: Column, k: Column) -> Column:
+        lo = F.greatest(F.coalesce(F.get(marks, k - 1), F.lit(0)) + 1, i - most - 1)
+        back = reached(F.reverse(F.slice(lines, lo, i - lo)))
+        fore = reached(F.slice(lines, i + 1, F.lit(most + 1)))
+        return F.struct(i.alias("i"), (i - back).alias("a"), (i + fore).alias("b"))
+
+    def spread(x: Column) -> Column:
+        each = lambda a: F.transform(F.sequence(x["i"], x["b"]), lambda b: F.struct(x["i"].alias("mark"), a.alias("a"), b.alias("b")))
+        return F.flatten(F.transform(F.sequence(x["a"], x["i"]), each))
+
+    def near(r: Column) -> Column:
+        inner = F.slice(lines, r["a"] + 1, F.greatest(r["b"] - r["a"] - 1, F.lit(0)))
+        return F.aggregate(inner, F.lit(0), lambda n, w: n + F.size(w)) <= most
+
+    return F.filter(F.flatten(F.transform(F.transform(marks, around), spread)), near)
+
 
-    A paragraph is a line, or the lines from ``paragraph`` to ``last``. Paragraphs without one are ``unknown`` by the model and not listed.
+def _scored(docs: DataFrame, model: LicenceModel, p: LicenceParams, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, runs) of every row; runs are the scored paragraphs in the order of their key lines, null where there are none.
+
+    Each select is a step that the next ones use more than once, so that it is worked out once.
     """
-    p, spark, classes = params, docs.sparkSession, len(model.families) + 1
-    member = [[t for t, (_, grams) in enumerate(model.templates) if g in grams] for g in model.grams]
-    # a count of n-grams and, from bit 16 on, of those with two words
-    table = [(g, [float(v) for v in w], m, 65537 if " " in g else 1) for g, w, m in zip(model.grams, model.weights, member, strict=True)]
-    known = F.broadcast(spark.createDataFrame(table, "gram string, w array<double>, member array<int>, step int"))
-    lines = paragraphs(docs, id_col, text_col).select("doc_id", "paragraph", F.col("paragraph").alias("last"), "grams")
-    hits = lines.unionByName(joined(docs, model, id_col, text_col)).select("doc_id", "paragraph", "last", F.explode("grams").alias("gram")).join(known, "gram")
-    sums = [F.sum(F.col("w")[c]).alias(f"z{c}") for c in range(classes)]
-    counts = [F.sum(F.when(F.array_contains("member", t), F.col("step")).otherwise(0)).alias(f"t{t}") for t in range(len(model.templates))]
-    scored = hits.groupBy("doc_id", "paragraph", "last").agg(*sums, *counts)
-    logits = [(F.col(f"z{c}") + float(model.bias[c])) / model.temperature for c in range(classes)]
-    with_z = scored.select("doc_id", "paragraph", "last", F.array(*logits).alias("z"), *[f"t{t}" for t in range(len(model.templates))])
-    names = F.array(*[F.lit(f) for f in [*model.families, UNKNOWN]])
-    top = F.array_max("z")
-    best = F.array_position("z", top).cast("int")
-    probability = 1 / F.aggregate("z", F.lit(0.0), lambda s, v: s + F.exp(v - top))
-    chosen = with_z.withColumn("family", F.element_at(names, best)).withColumn("probability", probability)
-    similarity = F.lit(0.0)
-    for f in model.families:
-        shares = []
-        for t, (name, g) in enumerate(model.templates):
-            if name == f:
-                share, pairs = F.col(f"t{t}").bitwiseAND(65535) / float(len(g)), F.shiftright(f"t{t}", 16)
-                shares.append(F.when((F.col("paragraph") == F.col("last")) | (pairs >= p.least_similarity * sum(" " in x for x in g)), share).otherwise(0.0))
-        similarity = F.when(F.col("family") == f, F.greatest(*shares) if len(shares) > 1 else shares[0]).otherwise(similarity)
-    out = chosen.withColumn("similarity", similarity)
-    confirmed = (F.col("family") != UNKNOWN) & (F.col("probability") >= p.least_probability) & (F.col("similarity") >= p.least_similarity)
-    return out.select("doc_id", "paragraph", "last", "family", "probability", "similarity", confirmed.alias("confirmed"))
-
-
-def apart(found: DataFrame) -> DataFrame:
-    """(doc_id, paragraph, family, probability, similarity) of the confirmed paragraphs that don't overlap, the most similar and then the shortest first.
-
-    A join whose first confirmed line is as similar by itself is left out beforehand.
+    vocabulary, keys = F.expr(_texts(model.grams)), F.expr(_texts(model.keys))
+    low = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.col(text_col).cast("string")).alias("low"))
+    likely = F.col("doc_id").isNotNull() & reduce(or_, [F.col("low").contains(k) for k in model.keys])
+    lines = low.select("doc_id", F.when(likely, F.transform(F.split("low", "\n", -1), _words)).alias("lines"))
+    is_key = lambda i: F.arrays_overlap(F.element_at("lines", i), keys)
+    marked = lines.select("doc_id", "lines", F.filter(F.sequence(F.lit(1), F.size("lines")), is_key).alias("marks"))
+    # an empty list of marks is a null one: most texts stop here
+    marked = marked.select("doc_id", "lines", F.when(F.size("marks") > 0, F.col("marks")).alias("marks"))
+    runs = marked.select("doc_id", "lines", _runs("lines", "marks", model.reach).alias("runs"))
+
+    def with_grams(r: Column) -> Column:
+        words = F.flatten(F.slice("lines", r["a"], r["b"] - r["a"] + 1))
+        return F.struct(r["a"].alias("a"), r["b"].alias("b"), F.transform(F.array(words), lambda w: _known(w, vocabulary))[0].alias("grams"))
+
+    grams = runs.select("doc_id", F.transform("runs", with_grams).alias("runs"))
+    rows = [", ".join(f"{v!r}D" for v in (w / model.temperature).tolist()) for w in model.weights]
+    weights = F.expr(f"map({', '.join(f'{g!r}, array({w})' for g, w in zip(model.grams, rows, strict=True))})")
+    bias = F.expr(f"array({', '.join(f'{v!r}D' for v in (model.bias / model.temperature).tolist())})")
+
+    def with_logits(r: Column) -> Column:
+        z = F.aggregate(r["grams"], bias, lambda z, g: F.zip_with(z, F.element_at(weights, g), lambda x, y: x + y))
+        return F.struct(r["a"].alias("a"), r["b"].alias("b"), r["grams"].alias("grams"), z.alias("z"), F.array_max(z).alias("top"))
+
+    logits = grams.select("doc_id", F.transform("runs", with_logits).alias("runs"))
+
+    def with_class(r: Column) -> Column:
+        probability = 1 / F.aggregate(r["z"], F.lit(0.0), lambda s, v: s + F.exp(v - r["top"]))
+        return F.struct(r["a"].alias("a"), r["b"].alias("b"), r["grams"].alias("grams"), F.array_position(r["z"], r["top"]).cast("int").alias("class"), probability.alias("probability"))
+
+    classes = logits.select("doc_id", F.transform("runs", with_class).alias("runs"))
+    templates = F.expr("array(" + ", ".join(f"named_struct('class', {model.families.index(t.family) + 1}, 'grams', {_texts(sorted(t.grams))}, 'pairs', {_texts(sorted(g for g in t.grams if ' ' in g))}, 'share', {t.share!r}D)" for t in model.templates) + ")")
+
+    def with_templates(r: Column) -> Column:
+        def one(t: Column) -> Column:
+            alike = F.size(F.array_intersect(r["grams"], t["grams"])) / F.size(t["grams"])
+            whole = (r["a"] == r["b"]) | (F.size(F.array_intersect(r["grams"], t["pairs"])) >= t["share"] * F.size(t["pairs"]))
+            return F.struct(F.when(whole, alike).otherwise(0.0).alias("similarity"), t["share"].alias("share"))
+
+        found = F.transform(F.filter(templates, lambda t: t["class"] == r["class"]), one)
+        similarity = F.coalesce(F.array_max(F.transform(found, lambda x: x["similarity"])), F.lit(0.0))
+        enough = F.exists(found, lambda x: x["similarity"] >= x["share"])
+        return F.struct(r["a"].alias("a"), r["b"].alias("b"), r["class"].alias("class"), r["probability"].alias("probability"), similarity.alias("similarity"), (enough & (r["probability"] >= p.least_probability)).alias("confirmed"))
+
+    return classes.select("doc_id", F.transform("runs", with_templates).alias("runs"))
+
+
+def _names(model: LicenceModel) -> Column:
+    return F.array(*[F.lit(f) for f in [*model.families, UNKNOWN]])
+
+
+def classify(docs: DataFrame, model: LicenceModel, params: LicenceParams = LicenceParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, paragraph, last, family, probability, similarity, confirmed) of every paragraph that holds a key word.
+
+    A paragraph is a line, or the lines from ``paragraph`` to ``last``, counted from 0. No other paragraph can be
+    confirmed. Rows are scanned one by one; a null id is left out.
     """
-    line = F.when(F.col("paragraph") == F.col("last"), F.struct("paragraph", "similarity"))
-    first = F.min(line).over(Window.partitionBy("doc_id").orderBy(F.desc("paragraph")))
-    rest = found.withColumn("line", first).where((F.col("paragraph") == F.col("last")) | F.col("line").isNull() | (F.col("line.paragraph") > F.col("last")) | (F.col("line.similarity") < F.col("similarity")))
-    order = Window.partitionBy("doc_id").orderBy("paragraph", "last")
-    reach = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    groups = rest.withColumn("new", F.coalesce((F.col("paragraph") > reach).cast("int"), F.lit(1))).withColumn("group", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    each = F.struct("similarity", (F.col("paragraph") - F.col("last")).alias("fewer"), "probability", (-F.col("paragraph")).alias("minus"), "last", "family")
-    ranked = groups.groupBy("doc_id", "group").agg(F.sort_array(F.collect_list(each), False).alias("all"))
-    meets = lambda kept, x: F.exists(kept, lambda y: (-y["minus"] <= x["last"]) & (-x["minus"] <= y["last"]))
-    kept = F.aggregate("all", F.slice("all", 1, 1), lambda kept, x: F.when(meets(kept, x), kept).otherwise(F.concat(kept, F.array(x))))
-    one = ranked.select("doc_id", F.explode(kept).alias("x"))
-    return one.select("doc_id", (-F.col("x.minus")).alias("paragraph"), "x.family", "x.probability", "x.similarity")
+    each = _scored(docs, model, params, id_col, text_col).select("doc_id", F.explode("runs").alias("r"))
+    return each.select("doc_id", (F.col("r.a") - 1).alias("paragraph"), (F.col("r.b") - 1).alias("last"), F.element_at(_names(model), F.col("r.class")).alias("family"), "r.probability", "r.similarity", "r.confirmed")
 
 
 def scan(docs: DataFrame, model: LicenceModel, params: LicenceParams = LicenceParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, licence, probability, similarity, paragraph, notices, families) of every row.
 
-    The licence is that of the confirmed paragraph with the most similarity, then probability, then the first; it is
-    ``unknown`` with nulls beside it where no paragraph is confirmed, as in null and empty texts. paragraph is
-    its first line; notices counts the confirmed paragraphs. Rows that share an id are one document; a null id is always unknown. Other columns
-    are not read.
+    Confirmed paragraphs that overlap are one notice: the most similar stands for it, then that of fewer lines, of
+    the larger probability, the first. The licence is that of the best notice in the same order, and paragraph its
+    first line; it is ``unknown`` with nulls beside it where nothing is confirmed, as in null and empty texts.
+    notices counts them. Rows are scanned one by one, so rows that share an id each have their own result; a null
+    id is always unknown. Other columns are not read.
     """
-    found = apart(classify(docs, model, params, id_col, text_col).where("confirmed"))
-    best = F.max(F.struct("similarity", "probability", (-F.col("paragraph")).alias("minus"), "family"))
-    each = found.groupBy("doc_id").agg(best.alias("best"), F.count("*").alias("notices"), F.sort_array(F.collect_set("family")).alias("families"))
-    flat = each.select("doc_id", F.col("best.family").alias("licence"), F.col("best.probability").alias("probability"), F.col("best.similarity").alias("similarity"), (-F.col("best.minus")).alias("paragraph"), "notices", "families")
-    ids = docs.select(F.col(id_col).cast("long").alias("doc_id"))
-    out = ids.join(flat, "doc_id", "left")
-    none = F.array().cast("array<string>")
-    return out.select("doc_id", F.coalesce("licence", F.lit(UNKNOWN)).alias("licence"), "probability", "similarity", "paragraph", F.coalesce("notices", F.lit(0)).alias("notices"), F.coalesce("families", none).alias("families"))
+    scored = _scored(docs, model, params, id_col, text_col)
+    # in the order of comparison
+    ranked = lambda r: F.struct(r["similarity"].alias("similarity"), (r["a"] - r["b"]).alias("fewer"), r["probability"].alias("probability"), (1 - r["a"]).alias("minus"), (r["b"] - 1).alias("last"), r["class"].alias("class"))
+    notice = "struct<similarity: double, fewer: int, probability: double, minus: int, last: int, class: int>"
+    good = scored.select("doc_id", F.transform(F.filter("runs", lambda r: r["confirmed"]), ranked).cast(f"array<{notice}>").alias("good"))
+    state = ("n", "best", "classes", "now")
+    named = lambda *values: F.struct(*[v.alias(k) for k, v in zip(state, values, strict=True)])
+    start = named(F.lit(0), F.lit(None).cast(notice), F.array().cast("array<int>"), F.lit(None).cast(notice))
+    closed = lambda s: (F.greatest(s["best"], s["now"]), F.array_union(s["classes"], F.array(s["now"]["class"])))
+
+    def step(s: Column, r: Column) -> Column:
+        apart = s["now"].isNull() | (-r["minus"] > s["now"]["last"])
+        return F.when(apart, named(s["n"] + 1, *closed(s), r)).otherwise(named(s["n"], s["best"], s["classes"], F.greatest(s["now"], r)))
+
+    done = good.select("doc_id", F.aggregate("good", start, step, lambda s: F.struct(s["n"].alias("n"), closed(s)[0].alias("best"), closed(s)[1].alias("classes"))).alias("s"))
+    names = _names(model)
+    families = F.sort_array(F.transform(F.array_compact("s.classes"), lambda c: F.element_at(names, c)))
+    best = F.col("s.best")
+    return done.select(
+        "doc_id",
+        F.coalesce(F.element_at(names, best["class"]), F.lit(UNKNOWN)).alias("licence"),
+        best["probability"].alias("probability"),
+        best["similarity"].alias("similarity"),
+        (-best["minus"]).alias("paragraph"),
+        F.coalesce("s.n", F.lit(0)).alias("notices"),
+        F.coalesce(families, F.array().cast("array<string>")).alias("families"),
+    )
