@@ -228,8 +228,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: Column | None = None, params:
     sizes = [len(r.hashes) // 8 for r in found]
     every = np.frombuffer(b"".join(r.hashes for r in found), np.uint64)
     hashes, where, number = np.unique(every, return_index=True, return_inverse=True)
-    strings = b" ".join(r.words for r in found if r.words).split(b" ") if len(every) else []
-    terms = [strings[i].decode() for i in where]
+    cuts = np.cumsum([0, *sizes])
+    terms = [""] * len(hashes)
+    for n in np.unique(np.searchsorted(cuts, where, "right") - 1):  # the words of one example at a time
+        own, strings = np.flatnonzero((where >= cuts[n]) & (where < cuts[n + 1])), found[n].words.split(b" ")
+        for t in own.tolist():
+            terms[t] = strings[where[t] - cuts[n]].decode()
     held = np.bincount(number, minlength=len(hashes)).astype(float)
     c1 = np.bincount(number, np.repeat(toxic, sizes), minlength=len(hashes))
 
@@ -237,7 +241,6 @@ def fit(docs: DataFrame, labels: DataFrame, label: Column | None = None, params:
     seen = np.zeros(len(hashes) + 1)
     seen[counted["term"].to_numpy()] = counted["n"].to_numpy()
     weights = (np.log((seen[-1] + 1) / (seen[:-1] + 1)) + 1) * relevance(c1, held - c1, n1, n0, p.floor)
-    cuts = np.cumsum([0, *sizes])
     vectors = [_vector(number[a:b], np.frombuffer(r.counts, np.int32), weights) for r, a, b in zip(found, cuts[:-1], cuts[1:], strict=True)]
     # how many labelled rows an example stands for
     stands = np.where(toxic > 0, total.get(1, 0) / max(1, n1), total.get(0, 0) / max(1, n0))
