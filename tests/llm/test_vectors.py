@@ -114,3 +114,41 @@ def test_no_vectors(spark):
     df = spark.createDataFrame([(1, None), (2, [0.0])], "vec_id long, embedding array<float>")
     assert sorted(tuple(r) for r in tiles.near_vectors(df).collect()) == [(1, 0, 1, True), (2, 0, 2, True)]
     assert tiles.near_vectors(df.limit(0)).count() == 0
+
+
+def test_open_pairs_and_pruned_blocks_equal_brute_force(spark):
+    """Clusters whose cosines lie about the threshold, cells large enough to be ruled out, and lengths that no pivot has."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(12, 16)) * 3
+    x = np.concatenate([c + rng.normal(size=(60, 16)) * s for c, s in zip(centres, np.linspace(0.15, 1.2, 12), strict=True)])
+    x = np.concatenate([x, x[:40] * 2.5, np.tile(x[50], (30, 1)) * rng.uniform(0.5, 2, (30, 1))]).astype(np.float32)
+    ids = np.arange(len(x)) * 3 + 5
+    links, component = brute(x.astype(float), ids)
+    rows = [(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)] + [(i, [1.0, float(i % 7)]) for i in range(10**6, 10**6 + 70)] + [(5, x[3].tolist()), (5, x[3].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for p in (tiles.TileParams(), tiles.TileParams(block=40, pivots=12), tiles.TileParams(block=16, pivots=2, rows=7)):
+        got = tiles.near_vectors(df, p).collect()
+        assert len(got) == len(rows)
+        by_id = {r.vec_id: r for r in got if 5 < r.vec_id < 10**6}
+        same = lambda r: r.n_links - 2 * (component[0] == r.component_id and r.vec_id in linked)
+        u = x.astype(float) / np.sqrt((x.astype(float) ** 2).sum(axis=1, keepdims=True))
+        linked = set(ids[u @ u[3] >= 0.95].tolist())
+        assert [same(by_id[i]) for i in ids[1:].tolist()] == links[1:].tolist()
+        assert [by_id[i].component_id for i in ids[1:].tolist()] == component[1:].tolist()
+        assert all(r.n_links == 9 and r.component_id == 10**6 + (r.vec_id - 10**6) % 7 for r in got if r.vec_id >= 10**6 and r.vec_id % 7 == 0)
+
+
+def test_verdicts_of_pairs_are_rigorous():
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(1, 24))
+    u = tiles.unit(base + rng.normal(size=(300, 24)) * 0.23)
+    exact = u @ u.T
+    seen, surely = np.zeros((300, 300), bool), np.zeros((300, 300), bool)
+    x = tiles.quantised(u)
+    assert x.q.dtype == np.int8
+    for r, c, sure in tiles.tile_pairs(x, x, True, tiles.TileParams(rows=64)):
+        seen[r, c] = True
+        surely[r[sure], c[sure]] = True
+    above = np.triu(exact >= 0.95, 1)
+    assert (seen | ~above).all() and (above | ~surely).all()
+    assert surely.sum() > 0 and (seen & ~surely).sum() < seen.sum()
