@@ -26,9 +26,8 @@ def clean(c: Column) -> Column:
 
 
 def replace_first(c: Column, pattern: str, by: str) -> Column:
-    """Replaces the first match only; ``by`` is literal text."""
-    safe = by.replace("\\", "\\\\").replace("$", "\\$")
-    return F.regexp_replace(c, rf"(?s)\A(.*?)(?:{pattern})", "$1" + safe)
+    """Replaces the first match only; ``by`` is literal text, and the pattern matches no empty text."""
+    return F.array_join(F.split(c, pattern, 2), by)
 
 
 def replace_in(c: Column, pattern: str, by: str, every: bool) -> Column:
@@ -42,7 +41,11 @@ def without_header(c: Column) -> Column:
 
 def fingerprint_body(c: Column, replace_all: bool = False) -> Column:
     """Shape of a statement, 300 characters at most. By default only the first literal, number and run of blanks fold."""
-    body = without_header(c)
+    return folded(without_header(c), replace_all)
+
+
+def folded(body: Column, replace_all: bool = False) -> Column:
+    """The fingerprint of a text that has lost its header."""
     for pattern, by in ((QUOTED, "?"), (NUMBER, "?"), (SPACES, " ")):
         body = replace_in(body, pattern, by, replace_all)
     return F.substring(body, 1, 300)

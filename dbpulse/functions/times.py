@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,11 +40,18 @@ def without_offset(c: Column) -> Column:
     return F.regexp_replace(c, r"[+-]\d{2}:?\d{2}$", "")
 
 
+def _shape(layout: str) -> str:
+    """A pattern that every text of a layout matches; a text of another shape needn't be parsed to know that it fails."""
+    symbols = {"MMM": r"\S+", "a": r"\S+", "SSSSSS": r"\d+"}
+    parts = [m.group() for m in re.finditer(r"'[^']*'|([A-Za-z])\1*|.", layout)]
+    return "^" + "".join(p.strip("'") if p[0] == "'" else symbols.get(p, r"[+-]?\d+") if p[0].isalpha() else re.escape(p) for p in parts) + "$"
+
+
 def _parsed(text: Column, layouts: list[str]) -> Column:
     # fractions of any length up to six digits read as six
     padded = F.regexp_replace(text, r"^(.*:\d{1,2}\.\d{1,6})$", "$1000000")
     six = F.regexp_replace(padded, r"(\.\d{6})0*$", "$1")
-    return F.coalesce(*[F.try_to_timestamp(six if "SSSSSS" in f else text, F.lit(f)) for f in layouts])
+    return F.coalesce(*[F.when(text.rlike(_shape(f)), F.try_to_timestamp(six if "SSSSSS" in f else text, F.lit(f))) for f in layouts])
 
 
 def event_time(c: Column) -> Column:

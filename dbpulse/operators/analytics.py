@@ -6,10 +6,10 @@ and ties are the same on every run.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import NO_BODY, fingerprint_body, has_body, without_header
+from ..functions.text import NO_BODY, folded, has_body, without_header
 from ..functions.times import event_time
 from . import filters
 
@@ -97,25 +97,25 @@ def _timed(raw: DataFrame, week_start, week_end, where: dict) -> DataFrame:
     return filters.in_week(rows, F.col("at"), week_start, week_end)
 
 
-def _top(df: DataFrame, name: str, k: int = 5) -> DataFrame:
-    """Per cell the k values of a column with the most occurrences, as an array of structs."""
-    rank = Window.partitionBy("hour", "weekday").orderBy(F.desc("n"), name)
-    best = filters.given(df, name).groupBy("hour", "weekday", name).agg(F.sum("n").cast("long").alias("n")).withColumn("r", F.row_number().over(rank)).where(F.col("r") <= k)
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("r", name, "n"))), lambda x: F.struct(x[name].alias(name), x["n"].alias("count")))
-    return best.groupBy("hour", "weekday").agg(listed.alias("tops"))
-
-
 def by_hour(raw: DataFrame, week_start=None, week_end=None, **where) -> DataFrame:
-    """Heatmap cells that aren't empty: occurrences, by type, and the five top hosts and databases."""
-    flat = by_hour_flat(raw, week_start, week_end, **where).withColumnRenamed("count", "n")
-    kinds = flat.groupBy("hour", "weekday", "type").agg(F.sum("n").cast("long").alias("n"))
-    cells = kinds.groupBy("hour", "weekday").agg(F.sum("n").cast("long").alias("count"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("by_type"))
-    out = cells
-    for name, column in (("top_hosts", "host"), ("top_dbs", "db_name")):
-        out = out.join(_top(flat, column).withColumnRenamed("tops", name), ["hour", "weekday"], "left")
-        empty = F.array().cast(dict(out.dtypes)[name])
-        out = out.withColumn(name, F.coalesce(name, empty))
-    return out.orderBy("weekday", "hour")
+    """Heatmap cells that aren't empty: occurrences, by type, and the five top hosts and databases.
+
+    One pass: a row for each value of each dimension, ranked within its cell.
+    """
+    dims = {"type": "unknown", "host": "", "db_name": ""}
+    values = F.explode(F.array(*[F.struct(F.lit(c).alias("dim"), F.coalesce(c, F.lit(other)).alias("value")) for c, other in dims.items()])).alias("d")
+    rows = _timed(raw, week_start, week_end, where).select(F.hour("at").alias("hour"), F.weekday("at").alias("weekday"), values, "occurrence_count").where("d.value <> '' or d.dim = 'type'")
+    each = rows.groupBy("hour", "weekday", F.col("d.dim").alias("dim"), F.col("d.value").alias("value")).agg(F.sum("occurrence_count").cast("long").alias("n"))
+    rank = Window.partitionBy("hour", "weekday", "dim").orderBy(F.desc("n"), "value")
+    kept = each.withColumn("r", F.row_number().over(rank)).where("r <= 5 or dim = 'type'")
+    of = lambda dim, what: F.collect_list(F.when(F.col("dim") == dim, what))
+    tops = lambda dim, name: F.transform(F.array_sort(of(dim, F.struct("r", "value", "n"))), lambda x: F.struct(x["value"].alias(dim), x["n"].alias("count"))).alias(name)
+    return kept.groupBy("hour", "weekday").agg(
+        F.sum(F.when(F.col("dim") == "type", F.col("n"))).cast("long").alias("count"),
+        F.map_from_entries(F.array_sort(of("type", F.struct(F.col("value").alias("type"), "n")))).alias("by_type"),
+        tops("host", "top_hosts"),
+        tops("db_name", "top_dbs"),
+    ).orderBy("weekday", "hour")
 
 
 def by_hour_flat(raw: DataFrame, week_start=None, week_end=None, **where) -> DataFrame:
@@ -133,39 +133,61 @@ def by_hour_queries(raw: DataFrame, hour: int, weekday: int, limit: int = 50, of
     return page.crossJoin(F.broadcast(total)).select("id", "type", "host", "db_name", "environment", "source", "time", "month_year", "occurrence_count", "query_details", "total")
 
 
+def _with_text(raw: DataFrame, where: dict) -> DataFrame:
+    return filters.given(filters.analytics(raw, **where), "query_details")
+
+
+def _blank(c: str, other: str = "") -> Column:
+    return F.coalesce(c, F.lit(other)).alias(c)
+
+
+def _siblings(rows: DataFrame, **columns: Column) -> DataFrame:
+    """For each database and host the columns of its first whole parametrised statement."""
+    whole = rows.where(F.col("query_details").like("(@P?%"))
+    bodies = whole.select("id", _blank("db_name"), _blank("host"), without_header(F.col("query_details")).alias("body")).where(~F.col("body").like("(@p%"))
+    first = bodies.groupBy("db_name", "host").agg(F.min("id").alias("sibling"))
+    return first.join(whole.select(F.col("id").alias("sibling"), *[c.alias(k) for k, c in columns.items()]), "sibling").drop("sibling")
+
+
+def _shaped(rows: DataFrame, replace_all: bool, *texts: str) -> DataFrame:
+    """Rows with their fingerprint, beside ``texts`` the whole text (query_details) and what its sibling lends (lent)."""
+    lent = {"recovered": folded(without_header(F.col("query_details")), replace_all)} | {t: F.col("query_details") for t in texts if t == "lent"}
+    own = [t for t in texts if t == "query_details"]
+    dims = [_blank("type", "unknown"), *map(_blank, ("host", "db_name", "month_year", "environment", "source"))]
+    base = rows.select("id", *own, without_header(F.col("query_details")).alias("body"), *dims, "occurrence_count")
+    fingerprint = F.when(has_body(F.col("body")), folded(F.col("body"), replace_all)).otherwise(F.coalesce("recovered", F.lit(NO_BODY)))
+    return base.join(_siblings(rows, **lent), ["db_name", "host"], "left").withColumn("fingerprint", fingerprint)
+
+
 def fingerprints(raw: DataFrame, replace_all: bool = False, **where) -> DataFrame:
     """Each row with its fingerprint; a statement cut off within its parameters takes that of a sibling on the same host and database."""
-    rows = filters.given(filters.analytics(raw, **where), "query_details")
-    blank = lambda c, other="": F.coalesce(c, F.lit(other)).alias(c)
-    base = rows.select("id", "query_details", blank("type", "unknown"), blank("host"), blank("db_name"), blank("month_year"), blank("environment"), blank("source"), "occurrence_count")
-    base = base.withColumn("body", without_header(F.col("query_details"))).withColumn("own", fingerprint_body(F.col("query_details"), replace_all))
-    whole = base.where(F.col("query_details").like("(@P?%") & ~F.col("body").like("(@p%"))
-    bridge = whole.groupBy("db_name", "host").agg(F.min(F.struct("id", "own", "query_details")).alias("b")).select("db_name", "host", F.col("b.own").alias("recovered"), F.col("b.query_details").alias("recovered_sample"))
-    joined = base.join(bridge, ["db_name", "host"], "left")
-    fingerprint = F.when(has_body(F.col("body")), F.col("own")).otherwise(F.coalesce("recovered", F.lit(NO_BODY)))
-    sample = F.coalesce(F.when(F.col("body").like("(@p%"), F.col("recovered_sample")), F.col("query_details"))
-    return joined.select("id", fingerprint.alias("fingerprint"), sample.alias("sample"), "type", "host", "db_name", "month_year", "environment", "source", "occurrence_count")
+    rows = _shaped(_with_text(raw, where), replace_all, "query_details", "lent")
+    sample = F.coalesce(F.when(F.col("body").like("(@p%"), F.col("lent")), F.col("query_details"))
+    return rows.select("id", "fingerprint", sample.alias("sample"), "type", "host", "db_name", "month_year", "environment", "source", "occurrence_count")
 
 
 def top_fingerprints(raw: DataFrame, top_n: int = 20, replace_all: bool = False, **where) -> DataFrame:
     """The statement shapes with the most occurrences, with samples and where they occur.
 
-    Only the winners' rows are rolled up further. Examples are the host and database with the most occurrences,
-    ties by name; the sample is that of the row with the most, then the smallest id.
+    Examples are the host and database with the most occurrences, ties by name; the sample is that of the row with
+    the most, then the smallest id. Shapes are rolled up by ids alone, and whole texts are read for the winners only.
     """
-    rows = fingerprints(raw, replace_all, **where)
     dims = ["type", "host", "db_name", "month_year", "environment", "source"]
-    fine = rows.groupBy("fingerprint", *dims).agg(F.sum("occurrence_count").cast("long").alias("n"), F.count("*").alias("rows"), F.max(F.struct("occurrence_count", (-F.col("id")).alias("i"), "sample")).alias("best"))
-    total = fine.groupBy("fingerprint").agg(F.sum("n").cast("long").alias("count"), F.sum("rows").cast("long").alias("row_count"), F.max("best")["sample"].alias("sample_query"))
-    top = total.orderBy(F.desc("count"), "fingerprint").limit(_bounded("top_n", top_n, 200))
-    kept = fine.join(F.broadcast(top.select("fingerprint")), "fingerprint", "left_semi")  # 200 rows at most
-    # one pass over all dimensions: a row for each value of each, then one per fingerprint
-    values = F.explode(F.array(*[F.struct(F.lit(c).alias("dim"), F.col(c).alias("value")) for c in dims])).alias("d")
-    each = kept.select("fingerprint", values, "n").where("d.value <> '' or d.dim = 'type'").groupBy("fingerprint", F.col("d.dim").alias("dim"), F.col("d.value").alias("value")).agg(F.sum("n").cast("long").alias("n"))
+    rows = _with_text(raw, where)
+    base = F.expr("10000000000000000000BD")  # occurrences and id as one number, which aggregates without a sort
+    place = F.col("occurrence_count").cast("decimal(18,0)") * base - F.col("id")
+    fine = _shaped(rows, replace_all).groupBy("fingerprint", *dims).agg(F.sum("occurrence_count").cast("long").alias("n"), F.count("*").alias("rows"), F.max(place).alias("best"))
+    # one pass over all dimensions: a row for each value of each, and one for the total, then one per fingerprint
+    values = F.explode(F.array(F.struct(F.lit("").alias("dim"), F.lit("").alias("value")), *[F.struct(F.lit(c).alias("dim"), F.col(c).alias("value")) for c in dims])).alias("d")
+    each = fine.select("fingerprint", values, "n", "rows", "best").where("d.value <> '' or d.dim in ('', 'type')").groupBy("fingerprint", F.col("d.dim").alias("dim"), F.col("d.value").alias("value"))
+    each = each.agg(F.sum("n").cast("long").alias("n"), F.sum("rows").cast("long").alias("rows"), F.max("best").alias("best"))
     of = lambda dim, what: F.when(F.col("dim") == dim, what)
     names = lambda dim: F.array_sort(F.collect_list(of(dim, F.col("value"))))
     most = lambda dim: F.min(of(dim, F.struct((-F.col("n")).alias("n"), F.col("value").alias("v"))))["v"]
     rolled = each.groupBy("fingerprint").agg(
+        F.max(of("", F.col("n"))).alias("count"),
+        F.max(of("", F.col("rows"))).alias("row_count"),
+        F.max(of("", F.col("best"))).alias("best"),
         F.map_from_entries(F.array_sort(F.collect_list(of("type", F.struct("value", "n"))))).alias("by_type"),
         names("month_year").alias("months"),
         names("environment").alias("environments"),
@@ -173,9 +195,14 @@ def top_fingerprints(raw: DataFrame, top_n: int = 20, replace_all: bool = False,
         most("db_name").alias("example_db"),
         F.min(of("source", F.col("value"))).alias("example_source"),
     )
+    top = rolled.orderBy(F.desc("count"), "fingerprint").limit(_bounded("top_n", top_n, 200)).withColumn("id", F.pmod(-F.col("best"), base).cast("long"))
+    # 200 rows at most meet the texts by id
+    sampled = rows.select("id", "query_details", _blank("host"), _blank("db_name")).join(F.broadcast(top), "id")
+    both = sampled.join(_siblings(rows, lent=F.col("query_details")), ["db_name", "host"], "left")
+    sample = F.coalesce(F.when(without_header(F.col("query_details")).like("(@p%"), F.col("lent")), F.col("query_details"))
     text = lambda c: F.coalesce(c, F.lit("")).alias(c)
-    out = top.join(rolled, "fingerprint")
-    return out.select("fingerprint", "sample_query", "count", "row_count", "by_type", "months", "environments", text("example_host"), text("example_db"), text("example_source")).orderBy(F.desc("count"), "fingerprint")
+    out = both.select("fingerprint", sample.alias("sample_query"), "count", "row_count", "by_type", "months", "environments", text("example_host"), text("example_db"), text("example_source"))
+    return out.orderBy(F.desc("count"), "fingerprint")
 
 
 def host_stats(raw: DataFrame, top_n: int = 30, **where) -> DataFrame:

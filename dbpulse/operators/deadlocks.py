@@ -46,31 +46,33 @@ METADATA = [
     "lasttranstarted", "currentdbname", "isolationlevel", "loginname", "clientapp", "apphost", "lockTimeout", "status", "proc_name", "exec_sql", "inputbuf_sql",
 ]
 
-IDLE, STACK, FRAME, INPUT = range(4)
+# The lines that open a section of a block, and what such a section is called here.
+SECTIONS = {"executionStack": "frames", "inputbuf": "input"}
+LISTING, AFTER_LISTED = "frames", "statement"  # a section of frames, and the lines after a frame that names a procedure
 
 
 def _joined(lines: Column) -> Column:
-    return strip(F.regexp_replace(F.regexp_replace(F.array_join(lines, " "), r"[\r\n\t]+", " "), r"\s{2,}", " "))
+    """The lines as one text: single blanks stay, longer runs of white space and any but blanks become one."""
+    return strip(F.regexp_replace(F.array_join(lines, " "), r"\s{2,}|[\r\n\t]", " "))
 
 
 def _step(acc: Column, line: Column) -> Column:
-    """One line of a block: a marker changes the state, other lines are collected by it."""
+    """One line of a block: a line that opens a section changes the section, other lines are collected by it."""
     bare = strip(line)
-    frame = line.rlike(ANY_FRAME) & acc["state"].isin(STACK, FRAME)
+    frame = line.rlike(ANY_FRAME) & acc["section"].isin(LISTING, AFTER_LISTED)
     procedure = F.regexp_extract(line, REAL_FRAME, 1)
     real = frame & (procedure != "")
-    marker = bare.isin("executionStack", "inputbuf")
     ends = (bare == "resource-list") | bare.startswith("process id=")
-    plain = ~marker & ~frame & (bare != "") & (bare != "unknown")
-    state = F.when(bare == "executionStack", STACK).when(bare == "inputbuf", INPUT).when(real, FRAME).when(frame, STACK).otherwise(acc["state"])
-    stack = F.when(real, F.array().cast("array<string>")).when(plain & (acc["state"] == FRAME), F.concat(acc["stack"], F.array(bare))).otherwise(acc["stack"])
-    buffer = F.when(plain & (acc["state"] == INPUT) & ~line.rlike(PROCEDURE_STUB), F.concat(acc["buffer"], F.array(bare))).otherwise(acc["buffer"])
+    plain = ~bare.isin(*SECTIONS) & ~frame & (bare != "") & (bare != "unknown")
+    section = F.when(real, AFTER_LISTED).when(frame, LISTING).otherwise(acc["section"])
+    for opener, name in SECTIONS.items():
+        section = F.when(bare == opener, name).otherwise(section)
+    stack = F.when(real, F.array().cast("array<string>")).when(plain & (acc["section"] == AFTER_LISTED), F.concat(acc["stack"], F.array(bare))).otherwise(acc["stack"])
+    buffer = F.when(plain & (acc["section"] == SECTIONS["inputbuf"]) & ~line.rlike(PROCEDURE_STUB), F.concat(acc["buffer"], F.array(bare))).otherwise(acc["buffer"])
     name = F.when(real & (acc["name"] == ""), procedure).otherwise(acc["name"])
     done = acc["done"] | ends
-    pick = lambda now, before: F.when(done, before).otherwise(now)
-    return F.struct(
-        pick(state, acc["state"]).cast("int").alias("state"), done.alias("done"), pick(name, acc["name"]).alias("name"), pick(stack, acc["stack"]).alias("stack"), pick(buffer, acc["buffer"]).alias("buffer")
-    )
+    now = {"section": section, "name": name, "stack": stack, "buffer": buffer}
+    return F.struct(done.alias("done"), *[F.when(done, acc[k]).otherwise(v).alias(k) for k, v in now.items()])
 
 
 def _process(block: Column, victims: Column, deadlock_id: Column, time: Column, host: Column) -> Column:
@@ -78,7 +80,7 @@ def _process(block: Column, victims: Column, deadlock_id: Column, time: Column,
     line = F.concat(F.lit("process id="), block["lines"][0])
     found = {k: strip(F.regexp_extract(line, p, 1)) for k, p in ATTRIBUTES.items()}
     none = F.array().cast("array<string>")
-    start = F.struct(F.lit(IDLE).alias("state"), F.lit(False).alias("done"), F.lit("").alias("name"), none.alias("stack"), none.alias("buffer"))
+    start = F.struct(F.lit(False).alias("done"), F.lit("").alias("section"), F.lit("").alias("name"), none.alias("stack"), none.alias("buffer"))
     parsed = F.aggregate(F.slice(block["lines"], 2, F.greatest(F.size(block["lines"]) - 1, F.lit(0))), start, _step, lambda acc: F.struct(acc["name"].alias("name"), _joined(acc["stack"]).alias("stack"), _joined(acc["buffer"]).alias("buffer")))
     return F.struct(
         deadlock_id.alias("deadlock_id"), F.array_join(victims, " ").alias("deadlock_victim"), time.alias("time"), host.alias("host"), F.array_contains(victims, block["pid"]).alias("is_victim"), block["pid"].alias("pid"),
@@ -129,3 +131,12 @@ def parse(df: DataFrame, raw: str = "_raw", time: str = "time", host: str = "hos
     good = F.filter(made, lambda p: (p["currentdbname"] != "tempdb") & (p["sql_text"] != ""))
     usable = F.lower(text).contains("deadlock") & (F.size("__victims") > 0)
     return staged.withColumn(out, F.when(usable, good).otherwise(F.filter(good, lambda p: F.lit(False)))).drop("__lines", "__clean", "__victims", "__blocks", "__first")
+
+
+def processes(df: DataFrame, raw: str = "_raw", time: str = "time", host: str = "host", out: str = "p") -> DataFrame:
+    """A row per process of each event, in column ``out``; events without any give none.
+
+    Empty arrays are dropped after the explode: before it, the test would parse every text once more.
+    """
+    rows = parse(df, raw, time, host, "__processes").withColumn(out, F.explode_outer("__processes")).drop("__processes")
+    return rows.where(F.col(out).isNotNull())

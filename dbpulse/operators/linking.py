@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kinds import joined_hash
@@ -74,22 +74,39 @@ def detail_cascade(raw: DataFrame, details: DataFrame, kind: str) -> DataFrame:
     """
     text = DETAILS[kind][1]
     rows = raw.where(F.col("type") == kind).select("id", "type", "host", "db_name", "environment", "query_details")
-    data = details.select(F.struct(*[c for c in details.columns if c != "raw_xml"]).alias("data"))
-
-    def step(n: int, test: Column, order: Column) -> DataFrame:
-        best = rows.join(data, test).groupBy(F.col("id").alias("__id")).agg(F.min(F.struct(order.alias("o"), F.col("data.id").alias("i"), F.col("data").alias("d"))).alias("b"))
-        return best.select("__id", F.lit(n).alias("step"), F.col("b.d").alias("found"))
-
     given = F.col("query_details").isNotNull() & (F.col("query_details") != "")
-    steps = [step(1, F.col("data.raw_query_id") == rows["id"], F.lit(0)), step(2, (F.col(f"data.{text}") == F.col("query_details")) & given, F.lit(0))]
+    # each step first leaves one detail id per key, so nothing fans out, and sees only what the steps before left open
+    least = lambda c: details.groupBy(F.col(c).alias("__key")).agg(F.min("id").alias("__found"))
+    steps = [(F.col("id"), least("raw_query_id")), (F.when(given, F.col("query_details")), least(text))]
     if kind == "slow_query_mongo":
         key = joined_hash(*[F.col(c) for c in ("host", "db_name", "environment", "query_details")])
-        steps.append(step(3, (F.col("data.query_hash") == key) & given, F.lit(0)))
-        name = F.get(F.map_values(F.from_json("query_details", "map<string,string>")), F.lit(0))  # the operation's value
-        same = (F.col("data.collection") == name) & (F.col("data.environment") == F.col("environment"))
-        for c in ("host", "db_name"):
-            same &= (F.coalesce(rows[c], F.lit("")) == "") | (F.col(f"data.{c}") == rows[c])
-        steps.append(step(4, same & given, -F.col("data.occurrence_count")))
-    every = reduce(DataFrame.unionByName, steps)
-    first_step = every.withColumn("r", F.row_number().over(Window.partitionBy("__id").orderBy("step"))).where("r = 1")
-    return rows.join(first_step, rows["id"] == F.col("__id"), "left").select("id", "type", "step", F.col("found").alias("data"))
+        steps.append((F.when(given, key), least("query_hash")))
+    found, left = [], rows
+    for n, (value, one) in enumerate(steps, 1):
+        both = left.withColumn("__value", value).join(one, F.col("__value") == F.col("__key"), "left").drop("__value", "__key")
+        found.append(both.where("__found is not null").select(*rows.columns, F.lit(n).alias("step"), "__found"))
+        left = both.where("__found is null").drop("__found")
+    if kind == "slow_query_mongo":
+        found.append(_by_collection(left.where(given), details).withColumn("step", F.lit(len(steps) + 1)).select(*rows.columns, "step", "__found"))
+    every = reduce(DataFrame.unionByName, found).select("id", "step", "__found")
+    data = details.select(F.struct(*[c for c in details.columns if c != "raw_xml"]).alias("data"))
+    first_step = every.join(data, F.col("__found") == F.col("data.id")).select(F.col("id").alias("__id"), "step", "data")
+    return rows.join(first_step, rows["id"] == F.col("__id"), "left").select("id", "type", "step", "data")
+
+
+def _by_collection(rows: DataFrame, details: DataFrame) -> DataFrame:
+    """Rows with the detail (``__found``) of their collection and environment that occurs most, on their host and database where given.
+
+    Details are ranked once for each way in which host and database may be given, so every row meets one of them.
+    """
+    name = F.get(F.map_values(F.from_json("query_details", "map<string,string>")), F.lit(0))  # the operation's value
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    keyed = rows.withColumns({"__name": name, "__host": blank("host"), "__db": blank("db_name")})
+    best = F.min(F.struct((-F.col("occurrence_count")).alias("n"), "id"))["id"].alias("__found")
+    own = details.select("id", "occurrence_count", "collection", "environment", "host", "db_name")
+    # a row for the exact host and database, and one for each of them left open
+    wide = own.select("id", "occurrence_count", F.col("collection").alias("__name"), F.col("environment").alias("__environment"), F.explode(F.array_distinct(F.array(blank("host"), F.lit("")))).alias("__host"), "db_name")
+    wide = wide.select("id", "occurrence_count", "__name", "__environment", "__host", F.explode(F.array_distinct(F.array(blank("db_name"), F.lit("")))).alias("__db"))
+    ranked = wide.groupBy("__name", "__environment", "__host", "__db").agg(best)
+    met = keyed.withColumn("__environment", F.col("environment")).join(ranked, ["__name", "__environment", "__host", "__db"])
+    return met.select(*rows.columns, "__found")

@@ -551,8 +551,7 @@ GRAPH = """2026-02-27 13:07:26.70 spid113s    deadlock-list
 def deadlock_parse(spark, d):
     users = load(spark, d, "events").select(F.col("user_id").alias("id")).distinct()
     logs = users.select("id", F.lit(GRAPH).alias("_raw"), F.lit("2026-02-27").alias("time"), F.col("id").cast("string").alias("host"))
-    rows = deadlocks.parse(logs).select("id", F.explode("processes").alias("p"))
-    return rows.select("id", "p.pid", "p.is_victim", F.col("p.lockMode").alias("lock_mode"), "p.proc_name", "p.sql_text")
+    return deadlocks.processes(logs).select("id", "p.pid", "p.is_victim", F.col("p.lockMode").alias("lock_mode"), "p.proc_name", "p.sql_text")
 
 
 # --- file layouts: driver tables in the shape of incident files ------------------------------------------------
