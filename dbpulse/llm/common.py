@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
+import re
 import shutil
 import tempfile
 import uuid
@@ -17,7 +19,11 @@ _OWN_DIRS: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
-    """Makes this package importable in Python workers; once per application."""
+    """Makes this package importable in Python workers; once per application.
+
+    Also lowers the session's default of rows in an Arrow batch, which Spark has for no single operator: 10,000 whole
+    texts are too many at once. A value set by the caller stays. Needs a classic session, not Spark Connect.
+    """
     sc = spark.sparkContext
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # the default: too many rows of whole texts at once
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
@@ -33,9 +39,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset and all run on this machine."""
     if where := spark.conf.get("spark.checkpoint.dir", None):
         return where.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIRS:
         _OWN_DIRS[app] = tempfile.mkdtemp(prefix="dbpulse-shared-")
@@ -87,6 +95,12 @@ def hash_sample(df: DataFrame, key: str, most: int, rows: int) -> DataFrame:
     return df.orderBy(h, key).limit(most)
 
 
+def shipped_file(spark: SparkSession, path: str):
+    """(key, broadcast) of a file's bytes, read on the driver, as executors may not have it."""
+    data = Path(path).read_bytes()
+    return hashlib.sha256(data).hexdigest(), spark.sparkContext.broadcast(data)
+
+
 def tokenizer_path(name: str) -> str:
     """Where a public tokenizer file lies on this machine."""
     import public_tokenizers

@@ -18,16 +18,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ship, tokenizer_path
-from .textvec import buffers, fold_words, hash_spans, spans
+from .common import cut, ship, shipped_file, tokenizer_path
+from .textvec import buffers, fold_words, hash_spans, mix, spans
 from .wordcache import WordCache, of_worker
 
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PIECE_COLUMNS = ["doc_id", "piece", "start", "length", "ids_crc32"]
+#: Texts on which the words' ids end to end must be those of the tokenizers library.
+PROBES = [
+    "", " ", "Hello world", "two  blanks\n\ttab", "don't stop. It's", "a.b, c", "1,234.5", "é.", "Ünïcödé STRASSE ﬁ Å", "İ,", "日本語 テキスト。", "emoji 👩‍👩‍👧.", "x<|endoftext|>y", "...", "(a) [b] {c}",
+    "https://example.com/?q=1&x=%20", "a\x00b \x01c", "tail ", "'s.", "é combining", "x" * 300,
+]
 
 
 @dataclass(frozen=True)
@@ -36,14 +42,21 @@ class PackParams:
     tokenizer: str | None = None  # a tokenizers file; the public word BPE where none is given
     end_id: int = 1  # follows each document's ids
     group: int = 8000  # pieces packed together, about
-    rounds: int = 4  # of local search over a group's underfull bins
+    rounds: int = 16  # of local search over a group's underfull bins, at most; it ends when nothing changes
+    partners: int = 64  # emptiest underfull bins that a bin is offered in a round; this bounds time, no piece depends on it
     nearly: float = 0.98  # bins filled less than this are underfull
     chunk: int = 1 << 20  # bytes of text encoded together
 
 
-def text_encoder(path: str) -> "TextEncoder":
-    """The worker's encoder for a tokenizers file."""
-    return of_worker(("packing", path), lambda: TextEncoder(path))
+def text_encoder(key: str, data: bytes) -> "TextEncoder":
+    """The worker's encoder for a tokenizers file; only one whose ids can be put together word by word."""
+
+    def made() -> TextEncoder:
+        encoder = TextEncoder(data)
+        encoder.verify()
+        return encoder
+
+    return of_worker(("packing", key), made)
 
 
 class TextEncoder:
@@ -54,15 +67,25 @@ class TextEncoder:
     point or comma that ends a word is a word of its own. A text's ids are its words' ids end to end.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, source: str | bytes):
+        """``source`` is the tokenizers file, or its bytes."""
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
-        self._cache = WordCache(lambda words: [e.ids for e in t.encode_batch(words, add_special_tokens=False)])
+        t = Tokenizer.from_buffer(source) if isinstance(source, bytes) else Tokenizer.from_file(source)
+        self._whole = lambda texts: [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+        self._cache = WordCache(self._whole)
         self._fold = fold_words()
         self._plain = np.zeros(256, bool)
         self._plain[[*range(48, 58), *range(97, 123)]] = True
 
+    def verify(self) -> None:
+        """Raises unless whole texts get the same ids from the library."""
+        raw = [t.encode() for t in PROBES]
+        got = self.encode(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        for text, ids, want in zip(PROBES, got, self._whole(PROBES), strict=True):
+            if ids.tolist() != want:
+                raise ValueError(f"this tokenizer's ids can't be put together word by word: {text[:40]!r}")
+
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         """The ids of each text of a chunk."""
         n = len(offsets) - 1
@@ -82,10 +105,11 @@ class TextEncoder:
         return [ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
-def _tokenize(p: PackParams, path: str):
+def _tokenize(p: PackParams, key: str, data):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = text_encoder(path)
+        encoder = text_encoder(key, data.value)
         end = np.array([p.end_id], np.uint32)
+        task, seen = np.uint64(TaskContext.get().partitionId()), 0
         for batch in batches:
             for raw, offsets, at in buffers(batch.column(1), p.chunk):
                 row, k, start, n, crc = [], [], [], [], []
@@ -98,9 +122,12 @@ def _tokenize(p: PackParams, path: str):
                         start.append(lo)
                         n.append(len(part))
                         crc.append(zlib.crc32(part))
+                # pieces are dealt to groups by where they come from, so that no id or text, however frequent, gathers in one
+                deal = mix(np.arange(seen, seen + len(row), dtype=np.uint64) + (task << np.uint64(40)))
+                seen += len(row)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(row, pa.int64())), pa.array(k, pa.int32()), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())],
-                    names=PIECE_COLUMNS,
+                    [batch.column(0).take(pa.array(row, pa.int64())), pa.array(k, pa.int32()), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(deal.view(np.int64))],
+                    names=[*PIECE_COLUMNS, "deal"],
                 )
 
     return run
@@ -132,7 +159,7 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, nearly: float, rounds: int) -> list[list[int]]:
+def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, nearly: float, rounds: int, partners: int = PackParams.partners) -> list[list[int]]:
     """Moves and exchanges between underfull bins, each raising the sum of squared fills; emptied bins go.
 
     Bins are taken from the fullest underfull one down. Into its room goes, from the emptiest bins, whichever of
@@ -148,7 +175,7 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, near
         lo, hi = 0, len(under) - 1
         while lo < hi:
             a = under[lo]
-            for j in range(hi, max(lo, hi - 24), -1):
+            for j in range(hi, max(lo, hi - partners), -1):
                 b = under[j]
                 if fills[a] == capacity:
                     break
@@ -177,11 +204,13 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, near
 
 def _best_step(a: list[int], b: list[int], lengths: np.ndarray, room: int) -> tuple[list[int], list[int]] | None:
     """What the fuller bin a gives to b and takes from it, so that it gains the most within its room."""
-    mine = [(0, None)] + [(int(lengths[n]), n) for n in a[:64]]
-    theirs = sorted((int(lengths[n]), n) for n in b[:64])
+    mine: dict[int, int | None] = {0: None} | {int(lengths[n]): n for n in a}  # one of each length
+    theirs = sorted((int(lengths[n]), n) for n in b)
     sizes = [x for x, _ in theirs]
     best, step = 0, None
-    for own, n in mine:
+    for own, n in mine.items():
+        if min(room + own, sizes[-1] + (sizes[-2] if len(sizes) > 1 else 0)) - own <= best:
+            continue
         most = room + own
         i = bisect_left(sizes, most + 1) - 1
         if i >= 0 and sizes[i] - own > best:
@@ -201,7 +230,7 @@ def _best_step(a: list[int], b: list[int], lengths: np.ndarray, room: int) -> tu
 
 
 def pack(lengths: np.ndarray, p: PackParams) -> list[list[int]]:
-    return local_search(best_fit(lengths, p.capacity), lengths, p.capacity, p.nearly, p.rounds)
+    return local_search(best_fit(lengths, p.capacity), lengths, p.capacity, p.nearly, p.rounds, p.partners)
 
 
 def _pack_group(p: PackParams):
@@ -221,16 +250,17 @@ def packed(docs: DataFrame, params: PackParams = PackParams(), id_col: str = "do
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of every row.
 
     A null text counts as empty and yields its end id alone. Rows are packed one by one, so a null or repeated
-    id is no special case; equal rows may share a sequence or not. Other columns are not read.
+    id is no special case; equal rows may share a sequence or not. Other columns are not read. The tokenizer must
+    give whole texts the ids of their words, as the public word BPE does; another one is refused.
     """
     p = params
     ship(docs.sparkSession)
-    path = p.tokenizer or tokenizer_path("word_bpe_49k.json")
+    key, data = shipped_file(docs.sparkSession, p.tokenizer or tokenizer_path("word_bpe_49k.json"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    pieces = cut(rows.mapInArrow(_tokenize(p, path), PIECE), "pieces")
+    pieces = cut(rows.mapInArrow(_tokenize(p, key, data), f"{PIECE}, deal long"), "pieces")
     part = pieces.where(F.col("length") < p.capacity)
     groups = max(1, math.ceil(part.count() / p.group))
-    dealt = part.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    dealt = part.select(*PIECE_COLUMNS, F.pmod("deal", F.lit(groups)).alias("pack_group"))
     kind = f"{PIECE}, pack_group long, bin long, offset long, fill long"
     first = cut(dealt.groupBy("pack_group").applyInArrow(_pack_group(p), kind), "packed")
     # what is left over: each group's underfull bins, packed again in groups as large
@@ -243,6 +273,6 @@ def packed(docs: DataFrame, params: PackParams = PackParams(), id_col: str = "do
         .applyInArrow(_pack_group(p), kind)
     )
     # sequence ids: whole pieces by their row's hash would collide, so each kind has its own range
-    whole = pieces.where(F.col("length") == p.capacity).select("*", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    whole = pieces.where(F.col("length") == p.capacity).select(*PIECE_COLUMNS, F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     number = lambda base: (F.lit(base) + F.col("pack_group") * F.lit(1 << 20) + F.col("bin")).alias("sequence_id")
     return whole.union(first.where(~loose).select(*PIECE_COLUMNS, number(-(1 << 62)), "offset")).union(second.select(*PIECE_COLUMNS, number(-(1 << 61)), "offset"))

@@ -5,7 +5,9 @@ scores (unigram) or score-ordered merges (BPE) and byte fallback are rebuilt as
 a tokenizers pipeline. Words are encoded in batches, multithreaded by the
 library, each distinct word once per task; the pieces of the model say whether
 words may be cut out that way. The rebuilt tokenizer is compared with the
-original library before it is used.
+original library before it is used. One difference can remain in unigram models:
+where segmentations score alike but for rounding, the original library's single
+precision may choose another one than the backend's double precision.
 """
 
 from __future__ import annotations
@@ -14,13 +16,14 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, tokenizer_path
+from .common import ship, shipped_file, tokenizer_path
 from .textvec import buffers, hash_spans, ragged, spans
 from .wordcache import WordCache, of_worker
 
@@ -112,11 +115,11 @@ def parse(data: bytes) -> Model:
 class Backend:
     """A parsed model as a tokenizers pipeline, with cached words and table-driven decoding."""
 
-    def __init__(self, path: str):
+    def __init__(self, source: str | bytes):
+        """``source`` is the model file, or its bytes."""
         from tokenizers import Regex, Tokenizer, models, normalizers
 
-        with open(path, "rb") as f:
-            self.model = m = parse(f.read())
+        self.model = m = parse(_model_bytes(source))
         usable = {p: i for i, (p, _, t) in enumerate(m.pieces) if t not in (CONTROL, UNUSED)}
         if m.kind == UNIGRAM_MODEL:
             core = models.Unigram([(p, s) for p, s, _ in m.pieces], m.unknown, m.byte_fallback)
@@ -147,7 +150,7 @@ class Backend:
         return b"" if kind == CONTROL else piece.replace(MARK, " ").encode()
 
     def _encode_words(self, words: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def marked(self, text: str) -> str:
         """The normalised text with its blanks as markers."""
@@ -198,11 +201,11 @@ class Backend:
             raw = raw[1:]
         return raw.decode(errors="replace")
 
-    def verify(self, path: str, texts: list[str] = PROBES) -> None:
+    def verify(self, source: str | bytes, texts: list[str] = PROBES) -> None:
         """Raises unless ids and decoded texts equal the original library's."""
         import sentencepiece
 
-        original = sentencepiece.SentencePieceProcessor(model_file=path)
+        original = sentencepiece.SentencePieceProcessor(model_proto=_model_bytes(source))
         for text, ids in zip(texts, self.encode(texts), strict=True):
             want = original.encode(text)
             if ids.tolist() != want:
@@ -224,8 +227,15 @@ def _merges(m: Model, usable: dict[str, int]) -> list[tuple[str, str]]:
     return [(x[3], x[4]) for x in found]
 
 
-def _model_path(path: str | None) -> str:
-    return path or tokenizer_path("piece_bpe_32k.model")
+def _model_bytes(source: str | bytes) -> bytes:
+    return source if isinstance(source, bytes) else Path(source).read_bytes()
+
+
+def _verified(spark: SparkSession, path: str | None):
+    """What gives a worker its backend; the model's bytes travel with the job, and parity is checked first."""
+    key, data = shipped_file(spark, path or tokenizer_path("piece_bpe_32k.model"))
+    of_worker(("verified", key), lambda: Backend(data.value).verify(data.value) or True)
+    return lambda: of_worker(("pieces", key), lambda: Backend(data.value))
 
 
 def _mapped(docs: DataFrame, id_col: str, col: str, kind: str, run, schema: str) -> DataFrame:
@@ -235,11 +245,10 @@ def _mapped(docs: DataFrame, id_col: str, col: str, kind: str, run, schema: str)
 
 def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids) of every row; a null or empty text has no ids. Other columns are not read; ids may be null or repeat."""
-    path = _model_path(model)
-    Backend(path).verify(path)
+    worker_backend = _verified(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        backend = of_worker(("pieces", path), lambda: Backend(path))
+        backend = worker_backend()
         for batch in batches:
             for raw, cuts, at in buffers(batch.column(1), CHUNK):
                 ids = backend.encode_chunk(raw, cuts)
@@ -252,10 +261,10 @@ def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", te
 
 def decode(encoded: DataFrame, model: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(doc_id, text) of every row; null or empty ids decode to the empty text, null ids within a list are skipped."""
-    path = _model_path(model)
+    worker_backend = _verified(encoded.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        backend = of_worker(("pieces", path), lambda: Backend(path))
+        backend = worker_backend()
         for batch in batches:
             texts = [backend.decode(np.array([i for i in ids or [] if i is not None], np.int64)) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
@@ -268,11 +277,10 @@ def digests(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", t
 
     ids_crc32 is over the ids as little-endian unsigned 32-bit numbers; round_trip says whether the decoded text is the text.
     """
-    path = _model_path(model)
-    Backend(path).verify(path)
+    worker_backend = _verified(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        backend = of_worker(("pieces", path), lambda: Backend(path))
+        backend = worker_backend()
         for batch in batches:
             for raw, cuts, at in buffers(batch.column(1), CHUNK):
                 ids, data = backend.encode_chunk(raw, cuts), raw.tobytes()

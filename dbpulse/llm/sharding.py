@@ -82,7 +82,8 @@ def shard(docs: DataFrame, params: HilbertParams = HilbertParams()) -> DataFrame
 
     Law ``rows``: the shards' row counts are at most one apart. size is the text's UTF-8 bytes plus 8; a null text
     has none and the checksum of no bytes. Within a cell rows stand by the md5 of their id, then by id, size and
-    checksum; rows that agree in all of these are interchangeable. Null ids, languages and sources have their own
+    checksum; rows that agree in all of these are interchangeable. A group of equal texts isn't kept together: its
+    rows share a cell if language and source agree, but stand by their ids. Null ids, languages and sources have their own
     level or come first. An empty table gives no rows. Other columns are not read.
     """
     p = params

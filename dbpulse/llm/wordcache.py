@@ -3,17 +3,20 @@
 Right for tokenizers whose pre-tokenizer never joins characters across the
 cuts; ``packing`` and ``pieces`` say why theirs qualifies. Words are looked up by
 their 64-bit hashes in sorted arrays, so a million of them take some 40 MB, and
-a worker keeps them from task to task.
+a worker keeps them from task to task. The tokenizers library gets two threads in
+each worker, unless RAYON_NUM_THREADS says otherwise: tasks fill the cores already.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Sequence
 
 import numpy as np
 
 from .textvec import ragged
 
+os.environ.setdefault("RAYON_NUM_THREADS", "2")
 _workers: dict[tuple, object] = {}
 
 
@@ -45,19 +48,28 @@ class _Sorted:
 
 
 class WordCache:
+    """Ids by word. Beyond ``most`` words the half that was used least goes, and the uses of the others count half."""
+
     def __init__(self, encode_many: Callable[[list[str]], Sequence[Sequence[int]]], most: int = 1_000_000, recent: int = 65_536):
         self._encode_many, self._most, self._recent_most = encode_many, most, recent
-        self._reset()
-
-    def _reset(self) -> None:
         self._old, self._recent = _Sorted(), _Sorted()
         self._start, self._length = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._hash, self._uses = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self._ids = np.zeros(0, np.uint32)
 
+    def _shrink(self) -> None:
+        order = np.lexsort((-np.arange(len(self._uses)), -self._uses))  # the most used, then the latest
+        keep = np.sort(order[: self._most // 2])
+        self._ids = self._ids[ragged(self._start[keep], self._length[keep])]
+        self._length, self._hash, self._uses = self._length[keep], self._hash[keep], self._uses[keep] // 2
+        self._start = np.cumsum(self._length) - self._length
+        self._old, self._recent = _Sorted(), _Sorted()
+        self._old.add(self._hash, np.arange(len(keep)))
+
     def encode(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the words raw[starts:ends] in order, and the number of ids of each word."""
         if len(self._start) > self._most:
-            self._reset()
+            self._shrink()
         unique, first, back = np.unique(hashes, return_index=True, return_inverse=True)
         number = self._old.find(unique)
         new = np.flatnonzero(number < 0)
@@ -65,6 +77,7 @@ class WordCache:
         new = new[number[new] < 0]
         if len(new):
             number[new] = self._learn(raw, starts[first[new]], ends[first[new]], unique[new])
+        self._uses[number] += 1
         number = number[back]
         lengths = self._length[number]
         return self._ids[ragged(self._start[number], lengths)], lengths
@@ -72,16 +85,13 @@ class WordCache:
     def _learn(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         data = raw.tobytes()
         words = [data[a:b].decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-        ids, lengths = [], []
-        for at in range(0, len(words), 2_000):
-            for found in self._encode_many(words[at : at + 2_000]):
-                ids += found
-                lengths.append(len(found))
-        lengths = np.array(lengths, np.int64)
+        found = [ids for at in range(0, len(words), 4_000) for ids in self._encode_many(words[at : at + 4_000])]
+        lengths = np.array([len(ids) for ids in found], np.int64)
         numbers = len(self._start) + np.arange(len(words))
         self._start = np.concatenate([self._start, len(self._ids) + np.cumsum(lengths) - lengths])
         self._length = np.concatenate([self._length, lengths])
-        self._ids = np.concatenate([self._ids, np.array(ids, np.uint32)])
+        self._hash, self._uses = np.concatenate([self._hash, hashes]), np.concatenate([self._uses, np.zeros(len(words), np.int32)])
+        self._ids = np.concatenate([self._ids, np.fromiter((i for ids in found for i in ids), np.uint32, int(lengths.sum()))])
         self._recent.add(hashes, numbers)
         if len(self._recent.hashes) > self._recent_most:
             self._old.add(self._recent.hashes, self._recent.numbers)

@@ -200,3 +200,82 @@ def test_shard_edges(spark, docs_with_edges):
     assert sizes[1] - sizes[0] <= 1
     plan = sharding.shard(df)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
+
+
+def test_word_cache_forgets_the_least_used():
+    from dbpulse.llm import textvec, wordcache
+
+    asked = []
+    cache = wordcache.WordCache(lambda words: asked.extend(words) or [[ord(c) for c in w] for w in words], most=100, recent=16)
+    for n in range(30):
+        text = " ".join(["often", "usual", *(f"once{n}x{i}" for i in range(20))])
+        raw = np.frombuffer(text.encode(), np.uint8)
+        w = textvec.words(raw, np.array([0, len(raw)]), textvec.fold_words())
+        ids, lengths = cache.encode(raw, w.starts, w.ends, w.hashes)
+        assert "".join(map(chr, ids)) == text.replace(" ", "") and lengths.tolist() == [len(x) for x in text.split()]
+    assert asked.count("often") == asked.count("usual") == 1 and len(cache._start) <= 142
+
+
+def proto(number, wire, data):
+    def varint(n):
+        return bytes([n]) if n < 128 else bytes([n & 127 | 128]) + varint(n >> 7)
+
+    return varint(number << 3 | wire) + (varint(len(data)) + data if wire == 2 else data)
+
+
+def test_unigram_models_encode_like_the_original_library():
+    import sentencepiece
+
+    rng = np.random.default_rng(2)
+    letters = [c for c in "abcdeé日"] + ["▁"]
+    words = {"".join(rng.choice(list("abcde"), rng.integers(2, 5))) for _ in range(60)} | {"▁" + "".join(rng.choice(list("abc"), rng.integers(1, 4))) for _ in range(40)}
+    scored = [(w, -float(rng.integers(8, 36)) / 4) for w in letters + sorted(words)]  # sums are exact, so that ties are ties in both libraries
+    for fallback in (False, True):
+        pieces_ = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + ([(f"<0x{b:02X}>", -20.0, 6) for b in range(256)] if fallback else []) + [(w, s, 1) for w, s in scored]
+        body = b"".join(proto(1, 2, proto(1, 2, w.encode()) + proto(2, 5, np.float32(s).tobytes()) + proto(3, 0, bytes([k]))) for w, s, k in pieces_)
+        trainer = proto(3, 0, b"\x01") + (proto(35, 0, b"\x01") if fallback else b"")
+        model = body + proto(2, 2, trainer) + proto(3, 2, proto(3, 0, b"\x01") + proto(4, 0, b"\x00"))
+        original = sentencepiece.SentencePieceProcessor(model_proto=model)
+        backend = pieces.Backend(model)
+        assert backend.model.kind == pieces.UNIGRAM_MODEL
+        texts = [" ".join("".join(rng.choice(list("abcdeé日"), rng.integers(1, 9))) for _ in range(rng.integers(1, 12))) for _ in range(200)] + ["", " a", "b  c", "xyz a", "日本 x"]
+        for text, ids in zip(texts, backend.encode(texts), strict=True):
+            assert ids.tolist() == original.encode(text), text
+            assert backend.decode(ids) == original.decode(original.encode(text)), text
+        backend.verify(model, texts)
+
+
+def test_tokenizers_that_do_not_go_by_words_are_refused():
+    from dbpulse.llm.common import tokenizer_path as where
+
+    with pytest.raises(ValueError, match="word by word"):
+        packing.TextEncoder(where("byte_bpe_50k.json")).verify()
+
+
+def test_local_search_sees_every_member():
+    # the one exchange that empties a bin needs pieces far down both lists
+    lengths = np.array([1] * 200 + [9] + [1] * 150 + [60])
+    bins = [list(range(200)) + [200], list(range(201, 351)) + [351]]
+    out = packing.local_search([list(b) for b in bins], lengths, 300, 1.0, 50)
+    assert sorted(n for b in out for n in b) == list(range(352)) and max(int(lengths[b].sum()) for b in out) == 300
+
+
+def test_equal_rows_are_dealt_over_groups(spark):
+    df = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same text").alias("text"))
+    rows = packing.packed(df, packing.PackParams(capacity=64, group=200)).collect()
+    tokens = sum(r.length for r in rows)
+    bins = {r.sequence_id for r in rows}
+    assert len(rows) == 4000 and len(bins) <= -(-tokens // 64) * 1.1 + 1
+
+
+def test_the_curve_is_that_of_the_metadata(spark):
+    """The query's curve recomputed from the rows: levels of each dimension, then the cell's place."""
+    import math
+
+    level = lambda name: 0 if name is None else 1 + zlib.crc32(name.encode()) % 15
+    places = sharding.hilbert_order(4, 3)
+    got = {r.doc_id: r.curve for r in queries.op7_sharding(spark, "/root/testdata/sf0.01").collect()}
+    for r in table(spark, "/root/testdata/sf0.01", "documents").collect():
+        size = min(15, max(0, math.floor(math.log2(len(r.text.encode()) + 8) * 1.5 - 8)))
+        assert got[r.doc_id] == places[level(r.lang) << 8 | size << 4 | level(r.source)]
+    assert sorted(places) == list(range(1 << 12))
