@@ -2,10 +2,12 @@
 
 Coarse centroids and codebooks are trained on a bounded sample; every vector is
 indexed. A query scans the lists of its nearest centroids by asymmetric distance
-tables (exact query against coded residual), keeps its best candidates of each
-part, and these are scored again exactly on the original vectors. How many lists
-to probe and how many candidates to keep is chosen on a bounded set of sample
-queries, so that measured recall reaches the target.
+tables (exact query against coded residual), keeps its best candidates, and these
+are scored again exactly on the original vectors. How many lists to probe is chosen
+on sample queries, so that exact search in the probed lists reaches the asked
+recall; how many candidates to keep is then chosen on the same queries with the
+coded vectors, so that the whole path does. ``exact`` scans every list with the
+original vectors instead: then nothing is approximate.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +30,14 @@ from .vectors import matrix, packed, unpacked, usable
 class IvfParams:
     k: int = 20
     sample: int = 16_384  # vectors that training reads at most
-    probes: int = 128  # sample queries on which probing is chosen
+    probes: int = 128  # sample queries on which lists and candidates are chosen
     recall: float = 0.97  # asked of the probed lists on these
+    path_recall: float = 0.955  # asked of the whole path
     most_lists: int = 1024
     sub_dims: int = 2  # dimensions of a sub-quantiser, of up to 256 codes
     rounds: int = 8
-    keep: int = 60  # candidates a query keeps from each part of the index that it scans
-    overall: int = 100  # candidates a query scores exactly
+    candidates: tuple[int, ...] = (100, 200, 400, 800, 1600)  # numbers a query may keep and score exactly; the first that suffices
+    exact: bool = False  # every vector is a candidate of every query
     part: int = 32_768  # vectors scanned together
     ask: int = 512  # queries in a task, at least, where few parts leave tasks to spare
     spread: int = 64  # tasks that few parts are worth
@@ -45,7 +49,8 @@ class IvfIndex:
     coarse: np.ndarray  # (lists, dims)
     books: np.ndarray  # (sub-quantisers, codes, sub_dims)
     probe: int  # lists that a query scans
-    recall: float  # of exact search within the probed lists, on the sample queries
+    keep: int  # candidates that it keeps
+    recall: float  # of the whole path, on the sample queries
 
     def encode(self, x: np.ndarray, lists: np.ndarray) -> np.ndarray:
         rest = _split(x - self.coarse[lists], self.books)
@@ -95,9 +100,17 @@ def train(sample: np.ndarray, n: int, p: IvfParams) -> IvfIndex:
     rank = np.empty((len(queries), lists), np.int64)
     np.put_along_axis(rank, np.argsort(-(queries @ coarse.T), axis=1), np.arange(lists)[None, :], axis=1)
     found = np.sort(np.take_along_axis(rank, own[best], axis=1).reshape(-1))
-    at = min(len(found) - 1, math.ceil(p.recall * len(found)) - 1)
-    probe = int(found[at]) + 1
-    return IvfIndex(coarse, books, probe, float((found < probe).mean()))
+    probe = int(found[min(len(found) - 1, math.ceil(p.recall * len(found)) - 1)]) + 1
+    index = IvfIndex(coarse, books, probe, p.candidates[-1], 0.0)
+    codes = index.encode(sample, own)
+    decoded = coarse[own] + np.stack([books[i][codes[:, i]] for i in range(m)], axis=1).reshape(len(sample), -1)[:, :dims]
+    coded = np.where(rank[:, own] < probe, queries @ decoded.T, -np.inf)
+    place = np.empty(coded.shape, np.int64)
+    np.put_along_axis(place, np.argsort(-coded, axis=1, kind="stable"), np.arange(len(sample))[None, :], axis=1)
+    reached = np.isfinite(np.take_along_axis(coded, best, axis=1))
+    recalls = {c: float((reached & (np.take_along_axis(place, best, axis=1) < c)).mean()) for c in p.candidates}
+    keep = next((c for c in p.candidates if recalls[c] >= p.path_recall), p.candidates[-1])
+    return IvfIndex(coarse, books, probe, keep, recalls[keep])
 
 
 def adc(index: IvfIndex, centre: int, queries: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -113,27 +126,37 @@ def nearest(table: DataFrame, is_query: Column, params: IvfParams = IvfParams(),
     """(query_id, rank, vec_id, score): for each row that is a query, its k nearest others by inner product.
 
     Nearest first, ties to the smaller vec_id; all candidates where there are fewer than k. Vectors that are null,
-    empty, zero, or hold null or non-finite components, or have another length than most, take no part as query
-    or candidate. Rows that repeat an id count as one, with the smallest vector. An empty table gives no rows.
-
-    Equal vectors are searched once: of a class of equal vectors no result needs more than its k + 1 smallest ids.
+    empty, zero, or hold null or non-finite components take no part as query or candidate. Vectors of different
+    lengths have no product: each length is searched by itself. Rows that repeat an id count as one, with the
+    smallest vector (the shortest, then by components). An empty table gives no rows.
     """
-    p = params
     spark = table.sparkSession
     ship(spark)
     kind = dict(table.dtypes)[vec_col]
     kind = kind if kind in ("array<float>", "array<double>") else "array<double>"
     rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast(kind).alias("v"), F.coalesce(is_query, F.lit(False)).alias("query")).where(F.col("vec_id").isNotNull() & usable(F.col("v")))
-    sizes = rows.groupBy(F.size("v").alias("dims")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dims").limit(1).collect()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not sizes:
-        return spark.createDataFrame([], schema)
-    dims, n = sizes[0].dims, sizes[0].n
-    rows = rows.where(F.size("v") == dims).groupBy("vec_id").agg(F.min("v").alias("v"), F.max("query").alias("query"))
-    classes = rows.groupBy("v").agg(F.min("vec_id").alias("rep"), F.max("query").alias("query"))
-    owned = cut(rows.select("vec_id", "query", F.col("v").alias("own")).join(classes.select("v", "rep"), F.col("own") == F.col("v")).select("vec_id", "query", "rep"), "owned")
-    reps = cut(classes, "vectors")
-    found = hash_sample(reps, "rep", p.sample, reps.count()).select("v").toArrow()
+    twice = cut(rows.groupBy(F.col("vec_id").alias("twice")).count().where("count > 1").select("twice"), "twice")
+    if not twice.isEmpty():  # only rows that repeat an id are compared as wholes
+        again = rows.join(twice, F.col("vec_id") == F.col("twice"), "left_semi").groupBy("vec_id").agg(F.min(F.struct(F.size("v").alias("dims"), "v"))["v"].alias("v"), F.max("query").alias("query"))
+        rows = rows.join(twice, F.col("vec_id") == F.col("twice"), "left_anti").unionByName(again)
+    lengths = sorted(r.dims for r in rows.select(F.size("v").alias("dims")).distinct().collect())
+    found = [_nearest_of(rows.where(F.size("v") == d), params) for d in lengths]
+    return reduce(DataFrame.union, found) if found else spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+
+
+def _nearest_of(rows: DataFrame, p: IvfParams) -> DataFrame:
+    """The search among vectors of one length.
+
+    Equal vectors are searched once: of a class of equal vectors no result needs more than its k + 1 smallest ids.
+    """
+    spark = rows.sparkSession
+    hashes = [F.xxhash64("v").alias("key"), F.xxhash64(F.lit(1), "v").alias("key2")]  # a class is known by two hashes of its vector
+    reps = cut(rows.groupBy("v").agg(F.min("vec_id").alias("rep"), F.max("query").alias("query"), F.count("*").alias("members")).select("*", *hashes), "vectors")
+    owned = cut(rows.select("vec_id", "query", *hashes).join(reps.select("key", "key2", "rep"), ["key", "key2"]).select("vec_id", "query", "rep"), "owned")
+    sizes = reps.agg(F.sum("members").alias("n"), F.count("*").alias("classes")).first()
+    n = sizes.n
+    reps = reps.select("v", "rep", "query")
+    found = hash_sample(reps, "rep", p.sample, sizes.classes).select("v").toArrow()
     index = train(matrix(found["v"]), n, p)
     held = spark.sparkContext.broadcast(index)
     groups = max(1, min(len(index.coarse), round(n / p.part)))  # near lists are scanned together, so that few groups hold what a query probes
@@ -145,7 +168,7 @@ def nearest(table: DataFrame, is_query: Column, params: IvfParams = IvfParams(),
             if batch.num_rows:
                 x = matrix(batch.column(1))
                 own = _nearest(x, held.value.coarse)
-                codes = held.value.encode(x, own)
+                codes = x if p.exact else held.value.encode(x, own)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.astype(np.int32)), pa.array(packed(codes), pa.binary()), pa.array(grouped.value[own])], names=["rep", "list", "codes", "grp"])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +177,7 @@ def nearest(table: DataFrame, is_query: Column, params: IvfParams = IvfParams(),
             if batch.num_rows:
                 x = matrix(batch.column(1))
                 near = x @ held.value.coarse.T
-                probe = min(held.value.probe, near.shape[1])
+                probe = near.shape[1] if p.exact else min(held.value.probe, near.shape[1])
                 floor = -np.partition(-near, probe - 1, axis=1)[:, probe - 1] - 1e-9
                 hit = np.zeros((len(x), groups), bool)
                 q, lists = np.nonzero(near >= floor[:, None])
@@ -177,13 +200,20 @@ def nearest(table: DataFrame, is_query: Column, params: IvfParams = IvfParams(),
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if left.num_rows and right.num_rows:
             left = left.sort_by([("list", "ascending"), ("rep", "ascending")])
-            lists, ids, codes = left["list"].to_numpy(), left["rep"].to_numpy(), unpacked(left["codes"], np.uint8)
+            lists, ids, codes = left["list"].to_numpy(), left["rep"].to_numpy(), unpacked(left["codes"], np.float64 if p.exact else np.uint8)
             numbers, starts = np.unique(lists, return_index=True)
             ends = [*starts[1:], len(lists)]
+            right = right.sort_by("query_rep")
             all_q, floors, queries = right["query_rep"].to_numpy(), right["floor"].to_numpy(), unpacked(right["q"], np.float64)
-            k = min(p.keep, len(ids))
+            k = min(p.k + 1 if p.exact else held.value.keep, len(ids))
             for at in range(0, len(all_q), 128):
                 q = queries[at : at + 128]
+                if p.exact:
+                    scores = q @ codes.T
+                    last = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k]
+                    row, col = np.nonzero(scores >= last[:, None] - 1e-9 * np.abs(last[:, None]))  # with all that ties
+                    out.append((all_q[at : at + 128][row], ids[col], scores[row, col]))
+                    continue
                 near = q @ held.value.coarse[numbers].T
                 scores = np.full((len(q), len(ids)), -np.inf, np.float32)
                 for i, (lo, hi) in enumerate(zip(starts, ends, strict=True)):
@@ -202,7 +232,8 @@ def nearest(table: DataFrame, is_query: Column, params: IvfParams = IvfParams(),
     left_side, right_side = (df.repartition(in_all * turns, *keys).groupBy(*keys) for df in (dealt, sent))
     scanned = left_side.cogroup(right_side).applyInArrow(scan, "query_rep long, rep long, near float")
     best = Window.partitionBy("query_rep").orderBy(F.desc("near"), "rep")
-    short = scanned.withColumn("r", F.row_number().over(best)).where(F.col("r") <= p.overall).select("query_rep", "rep")
+    short = scanned if p.exact else scanned.withColumn("r", F.row_number().over(best)).where(F.col("r") <= index.keep)
+    short = short.select("query_rep", "rep")
     pairs = short.join(reps.select(F.col("rep").alias("query_rep"), F.col("v").alias("q")), "query_rep").join(reps.select("rep", "v"), "rep")
     dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
     exact = Window.partitionBy("query_rep").orderBy(F.desc("score"), "rep")

@@ -1,6 +1,7 @@
 """Neighbour search and near-duplicate vectors against brute force."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from compare import oracle_rows, query_rows
@@ -152,3 +153,48 @@ def test_verdicts_of_pairs_are_rigorous():
     above = np.triu(exact >= 0.95, 1)
     assert (seen | ~above).all() and (above | ~surely).all()
     assert surely.sum() > 0 and (seen & ~surely).sum() < seen.sum()
+
+
+def test_exact_search_equals_brute_force(spark):
+    """Every candidate of every query, whatever the lists; ties at the last rank, lengths apart, repeated ids."""
+    rng = np.random.default_rng(6)
+    x = rng.integers(-2, 3, (400, 6)).astype(np.float32)  # few values: many exact ties
+    x[~x.any(axis=1)] = 1
+    short = rng.normal(size=(30, 3)).astype(np.float32)
+    rows = [(i * 10, v.tolist()) for i, v in enumerate(x)] + [(10_000 + i * 10, v.tolist()) for i, v in enumerate(short)]
+    rows += [(40, x[4].tolist()), (50, [9.0, 9.0, 9.0])]  # id 50 counts by its shorter vector
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    vectors = {i: v for i, v in rows} | {40: x[4].tolist(), 50: [9.0, 9.0, 9.0]}
+    p = neighbours.IvfParams(exact=True, part=64)
+    got = {}
+    for r in neighbours.nearest(df, F.col("vec_id") % 20 == 0, p).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert set(got) == {i for i in vectors if i % 20 == 0}
+    for q, found in got.items():
+        score = sorted((-float(np.dot(np.array(v, float), np.array(vectors[q], float))), i) for i, v in vectors.items() if i != q and len(v) == len(vectors[q]))
+        assert [(i, s) for _, i, s in sorted(found)] == [(i, pytest.approx(-s)) for s, i in score[:20]]
+
+
+def test_whole_path_is_measured_and_widened():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 32))
+    index = neighbours.train(x, 3000, neighbours.IvfParams(candidates=(21, 50, 100, 400, 3000)))
+    assert index.recall >= 0.955 and index.keep > 21
+    rough = neighbours.train(x, 3000, neighbours.IvfParams(candidates=(21,)))
+    assert rough.keep == 21 and rough.recall < index.recall
+
+
+def test_recall_on_more_vectors(spark):
+    rng = np.random.default_rng(11)
+    x = (rng.normal(size=(12_000, 24)) * rng.lognormal(sigma=0.5, size=(12_000, 1))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in neighbours.nearest(df, F.col("vec_id") % 100 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    wide = x.astype(float)
+    hit = 0
+    for q in range(0, 12_000, 100):
+        score = wide @ wide[q]
+        score[q] = -np.inf
+        hit += len(got[q] & set(np.argsort(-score)[:20].tolist()))
+    assert hit / (120 * 20) >= 0.93
