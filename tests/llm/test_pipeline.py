@@ -48,3 +48,15 @@ def test_stages_keep_columns_and_edges(spark, docs_with_edges):
     kept = [r.doc_id for r in pipeline.one_of_each(spark, df.select("doc_id", "text"), SF).collect()]
     assert 1 not in kept and 0 in kept and None in kept
     assert minhash.MinMaxParams().shingle == 5 and packing.PackParams().capacity == 4096 and tokenizer_path("x")
+
+
+def test_one_row_of_a_group_stays(spark):
+    text = "one and the same text of more than five words"
+    other = "quite another text, and long enough as well, under a repeated id"
+    rows = [(5, text, "b"), (5, text, "a"), (6, text, "a"), (None, text, "a"), (None, text, "a"), (8, other, "x"), (8, other, "x"), (8, text.upper(), "x"), (9, None, "x"), (9, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted(map(tuple, pipeline.one_of_each(spark, df, SF).collect()), key=str)
+    # 8 shares a text with 5, which is smaller, so all of its rows go with it
+    assert got == sorted([(5, text, "a"), (None, text, "a"), (None, text, "a"), (9, None, "x")], key=str)
+    same = spark.createDataFrame([(1, text, "b")] * 3, "doc_id long, text string, source string")
+    assert [tuple(r) for r in pipeline.one_of_each(spark, same, SF).collect()] == [(1, text, "b")]
