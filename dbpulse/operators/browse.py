@@ -35,6 +35,12 @@ def list_queries(raw: DataFrame, curated: DataFrame, *, sort_by: str = "id", des
     return rows.join(marks, rows["id"] == F.col("__raw"), "left").drop("__raw").orderBy(*ordering(sort_by, descending))
 
 
+def get_query(raw: DataFrame, curated: DataFrame, query_id: int) -> DataFrame:
+    """The row with this id, if there is one, with the id of its curated record; the id is looked up in both tables."""
+    marks = curated.where(F.col("raw_query_id") == query_id).agg(F.min("id").alias("curated_id"))  # one row
+    return raw.where(F.col("id") == query_id).crossJoin(F.broadcast(marks))
+
+
 def count_queries(raw: DataFrame, curated: DataFrame, **where) -> DataFrame:
     return filters.listing(raw, curated, **where).agg(F.count("id").alias("count"))
 

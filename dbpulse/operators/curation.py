@@ -61,7 +61,7 @@ def create_label(labels: DataFrame, name: str, severity: str = "warning", descri
     return _added(labels, {"name": name, "severity": severity, "description": description, "source": source})
 
 
-def update_label(labels: DataFrame, label_id: int, **values) -> DataFrame:
+def update_label(labels: DataFrame, label_id: int, /, **values) -> DataFrame:
     return _changed(labels, label_id, values, "label")
 
 
@@ -108,7 +108,7 @@ def get_curated(curated: DataFrame, curated_id: int):
     return _one(curated, curated_id, "curated record")
 
 
-def update_curated(curated: DataFrame, curated_id: int, **values) -> DataFrame:
+def update_curated(curated: DataFrame, curated_id: int, /, **values) -> DataFrame:
     return _changed(curated, curated_id, values, "curated record")
 
 
@@ -131,7 +131,7 @@ def create_spl(spl: DataFrame, name: str, query_type: str, text: str, environmen
     return _added(spl, {"name": name, "query_type": query_type, "spl": text, "environment": environment, "description": description})
 
 
-def update_spl(spl: DataFrame, spl_id: int, **values) -> DataFrame:
+def update_spl(spl: DataFrame, spl_id: int, /, **values) -> DataFrame:
     return _changed(spl, spl_id, values, "saved search")
 
 

@@ -16,6 +16,11 @@ def normalised(rows: DataFrame, now: Column) -> DataFrame:
     Of rows with one key the first by ``seq`` stays and occurrences add up. ``rows`` has time, source, host, db_name,
     environment, type, query_details, seq, and may have occurrence_count and extra_metadata.
     """
+    return _seen_now(deduplicated(keyed(rows).withColumn("month_year", month_of(F.col("time")))), now)
+
+
+def keyed(rows: DataFrame) -> DataFrame:
+    """Common rows, clamped, each with its key."""
     has = rows.columns
     blank = lambda c: F.nullif(strip(F.col(c)), F.lit(""))
     occurrences = F.col("occurrence_count").cast("long") if "occurrence_count" in has else F.lit(None).cast("long")
@@ -32,16 +37,20 @@ def normalised(rows: DataFrame, now: Column) -> DataFrame:
         F.when(F.coalesce(occurrences, F.lit(0)) == 0, 1).otherwise(occurrences).alias("occurrence_count"),
     )
     key = kinds.common_hash(*[F.col(c) for c in ("source", "host", "db_name", "environment", "type", "time", "query_details", "extra_metadata")])
-    keyed = typed.withColumn("query_hash", key).withColumn("month_year", month_of(F.col("time")))
-    return _seen_now(deduplicated(keyed), now)
+    return typed.withColumn("query_hash", key)
 
 
 def normalised_details(rows: DataFrame, now: Column) -> DataFrame:
     """Detail rows keyed by their ``hash_parts``, one per key with the number of rows it stands for."""
-    key = F.md5(F.concat_ws("|", F.transform("hash_parts", lambda p: F.coalesce(strip(p), F.lit("")))).cast("binary"))
     month = F.coalesce("month_year", month_in(F.col("hash_parts")))
-    keyed = rows.withColumn("query_hash", key).withColumn("month_year", month).withColumn("occurrence_count", F.lit(1).cast("long")).withColumn("raw_query_id", F.lit(None).cast("long"))
-    return _seen_now(deduplicated(keyed.drop("hash_parts")), now)
+    counted = keyed_details(rows).withColumn("month_year", month).withColumn("occurrence_count", F.lit(1).cast("long")).withColumn("raw_query_id", F.lit(None).cast("long"))
+    return _seen_now(deduplicated(counted.drop("hash_parts")), now)
+
+
+def keyed_details(rows: DataFrame) -> DataFrame:
+    """Detail rows, each with the key that its ``hash_parts`` give."""
+    key = F.md5(F.concat_ws("|", F.transform("hash_parts", lambda p: F.coalesce(strip(p), F.lit("")))).cast("binary"))
+    return rows.withColumn("query_hash", key)
 
 
 def deduplicated(rows: DataFrame, key: str = "query_hash", order: str = "seq", count: str = "occurrence_count") -> DataFrame:
@@ -79,19 +88,17 @@ def upsert(old: DataFrame, new: DataFrame, key: str = "query_hash", order: str =
 
 
 def numbered(rows: DataFrame, order: str, after: DataFrame, id_col: str = "id") -> DataFrame:
-    """Rows with ids that go on densely from the largest in ``after``.
+    """Rows with ids that go on densely from the largest in ``after``, by a whole-number order.
 
-    Rows are ranked within hash parts of the order's range, so no task sees all of them.
+    Rows are ranked within runs of 65,536 values of the order, so their number of tasks follows the rows.
     """
-    parts = 64
-    bounds = rows.agg(F.min(order).alias("lo"), F.max(order).alias("hi"), F.max(F.lit(1)).alias("one"))
-    span = F.greatest(F.col("hi") - F.col("lo") + 1, F.lit(1))
-    dealt = rows.crossJoin(F.broadcast(bounds)).withColumn("__part", F.floor((F.col(order) - F.col("lo")) * parts / span).cast("int")).drop("lo", "hi", "one")
+    dealt = rows.withColumn("__part", F.floor(F.col(order) / 65_536).cast("long"))
     sizes = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("__part", before.alias("__before")).crossJoin(F.broadcast(after.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("__last"))))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row per run
+    last = after.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("__last"))
+    starts = sizes.select("__part", before.alias("__before")).crossJoin(F.broadcast(last))
     rank = F.row_number().over(Window.partitionBy("__part").orderBy(order))
-    return dealt.withColumn("__rank", rank).join(F.broadcast(starts), "__part").withColumn(id_col, F.col("__last") + F.col("__before") + F.col("__rank")).drop("__part", "__rank", "__before", "__last")
+    return dealt.withColumn("__rank", rank).join(starts, "__part").withColumn(id_col, F.col("__last") + F.col("__before") + F.col("__rank")).drop("__part", "__rank", "__before", "__last")
 
 
 def accounting(old: DataFrame, new: DataFrame, key: str = "query_hash") -> DataFrame:
@@ -100,6 +107,18 @@ def accounting(old: DataFrame, new: DataFrame, key: str = "query_hash") -> DataF
     return known.agg(F.count_if(F.col("__old").isNull()).alias("inserted"), F.count_if(F.col("__old").isNotNull()).alias("updated"))
 
 
+def accounting_by(old: DataFrame, new: DataFrame, by: str, key: str = "query_hash") -> DataFrame:
+    """Per part of ``new``, how many of its keys an upsert inserts and how many it updates, parts being taken in by ascending ``by``.
+
+    A key that two parts bring is inserted by the first and updated by the others.
+    """
+    pairs = new.select(key, by).distinct()
+    first = pairs.groupBy(key).agg(F.min(by).alias("__first"))
+    fresh = first.join(old.select(F.col(key).alias("__old")), F.col(key) == F.col("__old"), "left_anti").select(F.col(key).alias("__key"), "__first")
+    met = pairs.join(fresh, (F.col(key) == F.col("__key")) & (F.col(by) == F.col("__first")), "left")
+    return met.groupBy(by).agg(F.count("__key").alias("inserted"), F.count_if(F.col("__key").isNull()).alias("updated"))
+
+
 def replace_by_key(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """``new`` in place of the rows that share its keys."""
     rest = old.join(new.select(F.col(key).alias("__key")).distinct(), F.col(key) == F.col("__key"), "left_anti")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,19 +19,47 @@ REQUIRED = {
 DEADLOCK_TEXTS = ["_raw", "all_query", "clean_query", "query_text", "statement", "sql_text"]
 
 
-@dataclass
-class Verdict:
-    file_type: str
-    environment: str
+#: What a finding says, by its code; errors refuse the file.
+ERROR, WARNING = "error", "warning"
+SAYS = {
+    "kind": "The file's name doesn't say what it holds.",
+    "rows": "The file has no rows.",
+    "columns": "Missing columns: {subject}",
+    "text": "No column holds the text of a deadlock.",
+    "host": "There is no host column; hosts will be empty.",
+    "layout": "Deadlock layout: {subject}.",
+    "nulls": "Column {subject} is null in {share:.1%} of rows.",
+    "environment": "The file's name tells no environment.",
+}
+LAYOUTS = {"legacy": "one row per event, occurrences from count", "raw": "one row per process of each graph", "summarised": "rows are taken as they are"}
+
+
+class Finding(NamedTuple):
+    level: str
+    code: str
+    subject: str = ""
+    share: float = 0.0
+
+    @property
+    def text(self) -> str:
+        return SAYS[self.code].format(subject=LAYOUTS.get(self.subject, self.subject), share=self.share)
+
+
+@dataclass(frozen=True)
+class Report:
+    """The findings about a file, its number of rows, null shares of its required columns, and its first rows."""
+
+    findings: list[Finding]
     row_count: int = 0
-    errors: list[str] = field(default_factory=list)
-    warnings: list[str] = field(default_factory=list)
     null_rates: dict[str, float] = field(default_factory=dict)
     sample_rows: list[dict] = field(default_factory=list)
 
-    @property
-    def is_valid(self) -> bool:
-        return not self.errors
+    def texts(self, level: str) -> list[str]:
+        return [f.text for f in self.findings if f.level == level]
+
+    errors = property(lambda self: self.texts(ERROR))
+    warnings = property(lambda self: self.texts(WARNING))
+    is_valid = property(lambda self: not self.errors)
 
 
 def null_rates(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -44,34 +73,42 @@ def sample(df: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) ->
     return df.limit(rows).select(*[cut(F.col(f"`{c}`")).alias(c) if t == "string" else F.col(f"`{c}`") for c, t in df.dtypes])
 
 
-def validate(df: DataFrame, category: str, environment: str) -> Verdict:
-    """What the checks find, in order: known type, rows, columns, texts of deadlocks, null rates, environment."""
-    out = Verdict(category, environment)
+def own_columns(df: DataFrame) -> list[str]:
+    """The file's columns, without what reading adds."""
+    return [c for c in df.columns if c not in ("file_name", "seq")]
+
+
+def facts(df: DataFrame, category: str) -> DataFrame:
+    """One row: the number of rows, and the share of nulls in each required column that is there."""
+    present = [c for c in REQUIRED.get(category, []) if c in own_columns(df)]
+    return df.agg(F.count("*").alias("__rows"), *[F.avg(F.col(f"`{c}`").isNull().cast("int")).alias(c) for c in present])
+
+
+def findings(columns: list[str], seen: dict, category: str, environment: str) -> list[Finding]:
+    """The findings that a file's columns, facts and name give. Each rule is (holds, finding); the first three end the matter."""
     if category not in REQUIRED:
-        out.errors.append("The file's name doesn't say what it holds.")
-        return out
-    columns = [c for c in df.columns if c not in ("file_name", "seq")]
-    present = [c for c in REQUIRED[category] if c in columns]
-    seen = df.agg(F.count("*").alias("__rows"), *[F.avg(F.col(f"`{c}`").isNull().cast("int")).alias(c) for c in present]).first()
-    out.row_count = seen["__rows"]
-    if not out.row_count:
-        out.errors.append("The file has no rows.")
-        return out
-    if missing := [c for c in REQUIRED[category] if c not in columns]:
-        out.errors.append(f"Missing columns: {missing}")
-    if category == "deadlock":
-        if not set(DEADLOCK_TEXTS) & set(columns):
-            out.errors.append("No column holds the text of a deadlock.")
-        if "host" not in columns:
-            out.warnings.append("There is no host column; hosts will be empty.")
-        legacy, raw = bool({"clean_query", "all_query"} & set(columns)), "_raw" in columns
-        out.warnings.append("Legacy layout: one row per event, occurrences from count." if legacy else "Raw layout: one row per process of each graph." if raw else "Summarised layout: rows are taken as they are.")
-    for c in present:
-        rate = float(seen[c])
-        out.null_rates[c] = round(rate, 4)
-        if rate > 0.5:
-            out.warnings.append(f"Column {c} is null in {rate:.1%} of rows.")
-    out.sample_rows = [r.asDict() for r in sample(df.select(*[F.col(f"`{c}`") for c in columns])).collect()]
-    if environment == "unknown":
-        out.warnings.append("The file's name tells no environment.")
-    return out
+        return [Finding(ERROR, "kind")]
+    if not seen["__rows"]:
+        return [Finding(ERROR, "rows")]
+    have, graph = set(columns), category == "deadlock"
+    missing = [c for c in REQUIRED[category] if c not in have]
+    layout = "legacy" if have & {"clean_query", "all_query"} else "raw" if "_raw" in have else "summarised"
+    rules = [
+        (bool(missing), Finding(ERROR, "columns", ", ".join(missing))),
+        (graph and not have & set(DEADLOCK_TEXTS), Finding(ERROR, "text")),
+        (graph and "host" not in have, Finding(WARNING, "host")),
+        (graph, Finding(WARNING, "layout", layout)),
+        *[(seen[c] > 0.5, Finding(WARNING, "nulls", c, float(seen[c]))) for c in REQUIRED[category] if c in have],
+        (environment == "unknown", Finding(WARNING, "environment")),
+    ]
+    return [finding for holds, finding in rules if holds]
+
+
+def validate(df: DataFrame, category: str, environment: str) -> Report:
+    """Everything there is to say about a file before it is taken in; one aggregate and a few sample rows."""
+    columns = own_columns(df)
+    seen = facts(df, category).first().asDict() if category in REQUIRED else {"__rows": 0}
+    found = findings(columns, seen, category, environment)
+    shares = {c: round(float(seen[c]), 4) for c in seen if c != "__rows" and seen[c] is not None}
+    rows = sample(df.select(*[F.col(f"`{c}`") for c in columns])).collect() if seen["__rows"] else []
+    return Report(found, seen["__rows"], shares, [r.asDict() for r in rows])

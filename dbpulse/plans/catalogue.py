@@ -6,31 +6,14 @@ an incident table (``frames``); the SQL states the operator's meaning anew.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kinds, text, times
 from ..operators import analytics, browse, curation, deadlocks, filters, linking, merge, validation
 from ..sources import layouts
 from .frames import cte, frame, load
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a function under its name, with the SQL of its result."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
+from .registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 
 SUMS = "count(*) AS row_count, CAST(sum(occurrence_count) AS BIGINT) AS total_occurrences"
 FIRST = r"regexp_replace({0}, '{1}', '{2}')"
@@ -204,12 +187,6 @@ def fingerprint_documents(spark, d):
     return load(spark, d, "documents").select("doc_id", text.fingerprint_body(F.col("text")).alias("fingerprint"))
 
 
-@query(r"SELECT doc_id, substring(regexp_replace(lower('(@P0 nvarchar(4000),@P1 int)' || text), '^\(@p[\d?](?:[^)(]|\([^)]*\))*\)\s*', ''), 1, 200) AS body FROM documents")
-def fingerprint_strip_header(spark, d):
-    headed = F.concat(F.lit("(@P0 nvarchar(4000),@P1 int)"), F.col("text"))
-    return load(spark, d, "documents").select("doc_id", F.substring(text.without_header(headed), 1, 200).alias("body"))
-
-
 @query(r"SELECT doc_id, regexp_replace(lower('(@P0 nvarchar(4000),@P1 int)' || text), '^\(@p[\d?](?:[^)(]|\([^)]*\))*\)\s*', '') AS body FROM documents")
 def fingerprint_strip_header_whole(spark, d):
     headed = F.concat(F.lit("(@P0 nvarchar(4000),@P1 int)"), F.col("text"))
@@ -426,30 +403,6 @@ def sample_truncate(spark, d):
     return validation.sample(load(spark, d, "documents").select("doc_id", "text").orderBy("doc_id"))
 
 
-def _batches(spark, d):
-    stamp = lambda v: F.to_timestamp(F.lit(v))
-    rows = frame(spark, d, "raw_query").select("id", "query_hash", "type", F.col("occurrence_count").cast("long").alias("occurrence_count"))
-    old = rows.where("id % 3 <> 0").withColumns({"last_seen": stamp("2026-01-01 00:00:00"), "updated_at": stamp("2026-01-01 00:00:00")})
-    new = rows.where("id % 2 = 0").withColumns({"type": F.lit("blocker"), "last_seen": stamp("2026-02-01 00:00:00"), "updated_at": stamp("2026-02-01 00:00:00"), "seq": F.col("id")}).drop("id")
-    return old, new
-
-
-@query(
-    cte("raw_query")
-    + """, o AS (SELECT * FROM raw_query WHERE id % 3 <> 0), n AS (SELECT * FROM raw_query WHERE id % 2 = 0)
-SELECT CASE WHEN o.id IS NOT NULL THEN o.id ELSE (SELECT max(id) FROM o) + row_number() OVER (PARTITION BY o.id IS NULL ORDER BY n.id) END AS id, coalesce(o.query_hash, n.query_hash) AS query_hash, coalesce(o.type, 'blocker') AS type,
-CAST(coalesce(o.occurrence_count, 0) + coalesce(n.occurrence_count, 0) AS BIGINT) AS occurrence_count, CASE WHEN n.id IS NULL THEN '2026-01-01' ELSE '2026-02-01' END AS last_seen FROM o FULL OUTER JOIN n ON o.query_hash = n.query_hash"""
-)
-def merge_upsert(spark, d):
-    out = merge.upsert(*_batches(spark, d))
-    return out.select("id", "query_hash", "type", "occurrence_count", F.date_format("last_seen", "yyyy-MM-dd").alias("last_seen"))
-
-
-@query(cte("raw_query") + "SELECT count(*) FILTER (WHERE id % 3 = 0) AS inserted, count(*) FILTER (WHERE id % 3 <> 0) AS updated FROM raw_query WHERE id % 2 = 0")
-def merge_accounting(spark, d):
-    return merge.accounting(*_batches(spark, d))
-
-
 @query("SELECT event_id, user_id, CASE WHEN user_id % 10 = 0 THEN 'new' ELSE event_type END AS event_type FROM events WHERE user_id % 10 <> 0 OR event_id % 2 = 0")
 def replace_by_key(spark, d):
     old = load(spark, d, "events").select("event_id", "user_id", "event_type")
@@ -507,13 +460,6 @@ def typed_detail_cascade(spark, d):
     return linking.detail_cascade(raw, details, "slow_query_mongo").select("id", "step", F.col("data.id").alias("detail_id"))
 
 
-@query("SELECT count(*) FILTER (WHERE a AND b) AS shared, count(*) FILTER (WHERE a AND NOT b) AS left_only, count(*) FILTER (WHERE b AND NOT a) AS right_only FROM (SELECT t, bool_or(s = 0) AS a, bool_or(s = 1) AS b FROM (SELECT text AS t, 0 AS s FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT text, 1 FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT text, 1 FROM benchmark) GROUP BY t)")
-def text_set_ops(spark, d):
-    docs = load(spark, d, "documents")
-    right = docs.where("doc_id % 3 = 0").select("text").unionByName(load(spark, d, "benchmark").select("text"))
-    return linking.text_coverage(docs.where("doc_id % 2 = 0"), right, "text", "text")
-
-
 @query("SELECT count(*) FILTER (WHERE a AND b) AS shared, count(*) FILTER (WHERE a AND NOT b) AS left_only, count(*) FILTER (WHERE b AND NOT a) AS right_only FROM (SELECT t, bool_or(s = 0) AS a, bool_or(s = 1) AS b FROM (SELECT text AS t, 0 AS s FROM documents UNION ALL SELECT text, 1 FROM benchmark) GROUP BY t)")
 def text_set_ops_whole(spark, d):
     return linking.text_coverage(load(spark, d, "documents"), load(spark, d, "benchmark"), "text", "text")
@@ -693,3 +639,6 @@ def readable_fingerprint(spark, d):
     k = F.col("o_orderkey")
     shape = F.when(k % 3 == 0, "select 1").when(k % 2 == 0, "(@p? nvarchar(?))select * from t").otherwise("(@p? nvarchar(?),@p? int) select * from t")
     return load(spark, d, "orders").select(k.alias("id"), text.parameter_count(shape).alias("parameters"), text.readable(shape).alias("sql"))
+
+
+from . import entries  # noqa: E402,F401  the other half registers itself

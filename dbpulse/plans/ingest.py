@@ -1,9 +1,16 @@
-"""From a file to the tables: read, validate, project, deduplicate, upsert, log, link."""
+"""From files to the tables: read, validate, project, deduplicate, upsert, log, link.
+
+Files that come together are united by kind and taken in at once: every table is
+rewritten once, however many files there are.
+"""
 
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
+from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,16 +18,18 @@ from pyspark.sql import functions as F
 from ..functions.kinds import environment_of, file_category
 from ..functions.times import month_of
 from ..operators import linking, merge
-from ..operators.validation import Verdict, validate
+from ..operators.validation import Report, validate
 from ..schemas import DETAILS
 from ..sources import csv, layouts
 from ..sources.store import Store
 
+FILE_BITS = 47  # a file's rows are numbered below this bit, files above it
+
 
 class Invalid(ValueError):
-    def __init__(self, verdict: Verdict):
-        super().__init__("; ".join(verdict.errors))
-        self.verdict = verdict
+    def __init__(self, report: Report):
+        super().__init__("; ".join(report.errors))
+        self.report = report
 
 
 @dataclass
@@ -49,13 +58,13 @@ def extract(df: DataFrame, category: str) -> tuple[DataFrame, DataFrame] | None:
     return common(df), detail(df)
 
 
-def upload_row(df: DataFrame, uploads: DataFrame, name: str, outcome: Outcome, common: DataFrame) -> DataFrame:
-    """The log's row of a file; its month is that of the first row's time."""
+def upload_row(uploads: DataFrame, outcome: Outcome, common: DataFrame, place: int = 1) -> DataFrame:
+    """The log's row of a file, the ``place``-th that is added; its month is that of the first row's time."""
     first = common.agg(F.min_by("time", "seq").alias("time"))
     last = uploads.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
     now = dt.datetime.now(dt.UTC).isoformat()
     return first.crossJoin(F.broadcast(last)).select(
-        (F.col("last") + 1).alias("id"), F.lit(name).alias("filename"), F.lit(outcome.file_type).alias("file_type"), F.lit(outcome.environment).alias("environment"), month_of(F.col("time")).alias("month_year"),
+        (F.col("last") + place).alias("id"), F.lit(outcome.file_name).alias("filename"), F.lit(outcome.file_type).alias("file_type"), F.lit(outcome.environment).alias("environment"), month_of(F.col("time")).alias("month_year"),
         F.lit(outcome.rows).cast("long").alias("csv_row_count"), F.lit(outcome.inserted).cast("long").alias("inserted"), F.lit(outcome.updated).cast("long").alias("updated"), F.lit(now).alias("uploaded_at"),
     )
 
@@ -63,31 +72,66 @@ def upload_row(df: DataFrame, uploads: DataFrame, name: str, outcome: Outcome, c
 def ingest_file(store: Store, path: str, only_once: bool = False) -> Outcome | None:
     """Takes a file in. With ``only_once`` a file that is logged already is left alone and None returned."""
     df = csv.read_file(store.spark, path)
-    name = path.rstrip("/").rsplit("/", 1)[-1]
-    return ingest_frame(store, df, name, only_once)
-
-
-def ingest_frame(store: Store, df: DataFrame, name: str, only_once: bool = False) -> Outcome | None:
-    spark = store.spark
-    if only_once and not store.read("upload_log").where(F.col("filename") == name).isEmpty():
-        return None
-    category, environment = name_facts(spark, name)
-    verdict = validate(df, category, environment)
-    if not verdict.is_valid:
-        raise Invalid(verdict)
-    common, detail = extract(df, category)
+    return ingest_frame(store, df, path.rstrip("/").rsplit("/", 1)[-1], only_once)
+
+
+def ingest_frame(store: Store, df: DataFrame, name: str, only_once: bool = False, step: str = "") -> Outcome | None:
+    return next(iter(ingest_frames(store, [(df, name)], only_once, step)), None)
+
+
+def ingest_frames(store: Store, files: Sequence[tuple[DataFrame, str]], only_once: bool = False, step: str = "") -> list[Outcome]:
+    """Takes files in, in this order, each table being written once. Nothing is written if any of them is invalid.
+
+    ``step`` names the intake. An intake that failed between two of its writes can be repeated under the same name:
+    what it has written stays, so that no occurrence counts twice. With ``only_once`` the files' names are such a name.
+    """
+    if only_once:
+        logged = {r.filename for r in store.read("upload_log").where(F.col("filename").isin([n for _, n in files])).select("filename").collect()}
+        files = [(df, n) for df, n in files if n not in logged]
+        step = step or "\n".join(n for _, n in files)
+    if not files:
+        return []
+    token = _token(store, step) if step else ""
+    facts = [name_facts(store.spark, name) for _, name in files]
+    reports = [validate(df, *fact) for (df, _), fact in zip(files, facts, strict=True)]
+    for report in reports:
+        if not report.is_valid:
+            raise Invalid(report)
+    # a file's rows keep their order, and files theirs
+    marked = [df.withColumn("seq", F.col("seq") + F.lit(i << FILE_BITS)) for i, (df, _) in enumerate(files)]
+    commons, by_kind = [], {}
+    for df, (category, _) in zip(marked, facts, strict=True):
+        common, detail = extract(df, category)
+        commons.append(common)
+        by_kind.setdefault(category, []).append(detail)
     now = F.current_timestamp()
-    table = layouts.BY_CATEGORY[category][2]
-    rows, details = merge.normalised(common, now), merge.normalised_details(detail, now)
-    counts = merge.accounting(store.read("raw_query"), rows).first()
-    detail_counts = merge.accounting(store.read(table), details).first()
-    outcome = Outcome(name, category, environment, verdict.row_count, counts.inserted, counts.updated, detail_counts.inserted, detail_counts.updated)
-    store.write("raw_query", merge.upsert(store.read("raw_query"), rows))
-    store.write(table, merge.upsert(store.read(table), details))
+    united = reduce(DataFrame.unionByName, commons)
+    counts = _counts(store.before("raw_query", token), merge.keyed(united))
+    details = {kind: reduce(DataFrame.unionByName, parts) for kind, parts in by_kind.items()}
+    detail_counts = {kind: _counts(store.before(layouts.BY_CATEGORY[kind][2], token), merge.keyed_details(rows)) for kind, rows in details.items()}
+    store.write("raw_query", merge.upsert(store.read("raw_query"), merge.normalised(united, now)), token)
+    for kind, rows in details.items():
+        table = layouts.BY_CATEGORY[kind][2]
+        store.write(table, merge.upsert(store.read(table), merge.normalised_details(rows, now)), token)
+    outcomes = [Outcome(name, kind, environment, report.row_count, *counts.get(i, (0, 0)), *detail_counts[kind].get(i, (0, 0))) for i, ((_, name), (kind, environment), report) in enumerate(zip(files, facts, reports, strict=True))]
     uploads = store.read("upload_log")
-    store.write("upload_log", merge.replace_by_key(uploads, upload_row(df, uploads, name, outcome, common), "filename"))
-    link_details(store, category)
-    return outcome
+    log = [upload_row(uploads, outcome, common, i) for i, (outcome, common) in enumerate(zip(outcomes, commons, strict=True), 1)]
+    store.write("upload_log", merge.replace_by_key(uploads, reduce(DataFrame.unionByName, log), "filename"), token)
+    for kind in details:
+        link_details(store, kind)
+    return outcomes
+
+
+def _token(store: Store, step: str) -> str:
+    """The token of an intake's writes. The log is written last, so a token that it bears is of an intake that ended, and the next one has another."""
+    name, done = hashlib.md5(step.encode()).hexdigest(), store.tokens("upload_log")
+    return next(t for i in range(len(done) + 1) if (t := f"{name}-{i}") not in done)
+
+
+def _counts(old: DataFrame, keyed: DataFrame) -> dict[int, tuple[int, int]]:
+    """(inserted, updated) by the number of the file."""
+    found = merge.accounting_by(old, keyed.withColumn("file", F.shiftright("seq", FILE_BITS)), "file").collect()  # a row per file
+    return {r.file: (r.inserted, r.updated) for r in found}
 
 
 def link_details(store: Store, category: str, blank_is_null: bool = False) -> None:
@@ -101,6 +145,6 @@ def link_details(store: Store, category: str, blank_is_null: bool = False) -> No
 
 
 def ingest_path(store: Store, path: str, only_once: bool = False) -> list[Outcome]:
-    """Takes in a file, or every known CSV file of a folder."""
-    found = (ingest_file(store, p, only_once) for p, _ in csv.list_files(store.spark, path))
-    return [x for x in found if x is not None]
+    """Takes in a file, or every known CSV file of a folder at once."""
+    found = [(csv.read_file(store.spark, p), p.rsplit("/", 1)[-1]) for p, _ in csv.list_files(store.spark, path)]
+    return ingest_frames(store, found, only_once)

@@ -11,9 +11,13 @@ from ..functions.kinds import file_category
 OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"', "encoding": "UTF-8", "mode": "PERMISSIVE"}
 
 
-def read_file(spark: SparkSession, path: str) -> DataFrame:
-    """A file's rows, all columns strings, with ``file_name`` and a row order ``seq``. Only columns that are used get parsed."""
-    df = spark.read.options(**OPTIONS).csv(path, inferSchema=False)
+def read_file(spark: SparkSession, path: str, line_breaks: bool = True) -> DataFrame:
+    """A file's rows, all columns strings, with ``file_name`` and a row order ``seq``. Only columns that are used get parsed.
+
+    Quoted texts may hold line breaks; then one task reads the file. A large file known to have none can be split
+    among tasks with ``line_breaks=False``.
+    """
+    df = spark.read.options(**OPTIONS | {"multiLine": str(line_breaks).lower()}).csv(path, inferSchema=False)
     return df.withColumns({"file_name": F.col("_metadata.file_name"), "seq": F.monotonically_increasing_id()})
 
 
@@ -41,4 +45,5 @@ def write_export(df: DataFrame, path: str) -> None:
     """The export as CSV with a header, also when empty: CRLF, nulls as nothing, times in ISO form."""
     stamps = [c for c, t in df.dtypes if t.startswith("timestamp")]
     iso = df.withColumns({c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS") for c in stamps}) if stamps else df
-    iso.write.mode("overwrite").options(header="true", lineSep="\r\n", nullValue="", emptyValue="", quote='"', escape='"').csv(path)
+    plain = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}  # writers trim by default
+    iso.write.mode("overwrite").options(header="true", lineSep="\r\n", nullValue="", emptyValue="", quote='"', escape='"', **plain).csv(path)

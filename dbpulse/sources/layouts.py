@@ -15,6 +15,7 @@ from ..functions.times import month_of
 from ..operators import deadlocks
 
 COMMON = ["time", "source", "host", "db_name", "environment", "type", "query_details", "extra_metadata", "occurrence_count", "seq"]
+# Where a legacy deadlock row may hold its statement, in order.
 QUERY_TEXTS = ["clean_query", "all_query", "query_text", "statement", "sql_text", "deadlock_graph"]
 
 

@@ -1,7 +1,9 @@
-"""Optional streaming intake: CSV files that arrive in a folder go through the batch path, file by file.
+"""Optional streaming intake: CSV files that arrive in a folder go through the batch path, file by batch.
 
-The batch path defines what is right; the stream only decides when. Files are
-logged, so a batch that is repeated after a failure takes nothing in twice.
+The batch path defines what is right; the stream only decides when. The files of
+a batch are taken in together, under a name that the files give: a batch that is
+repeated after a failure between two writes leaves alone what is written, and
+files that are logged aren't taken in again.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.times import event_time
-from ..plans.ingest import ingest_frame
+from ..plans.ingest import ingest_frames
 from ..sources.csv import OPTIONS
 from ..sources.store import Store
 
@@ -28,8 +30,8 @@ def start(store: Store, folder: str, columns: list[str], checkpoint: str, availa
 
     def batch(df: DataFrame, _: int) -> None:
         rows = df.withColumn("seq", F.monotonically_increasing_id())
-        for r in rows.select("file_name").distinct().orderBy("file_name").collect():  # at most files_per_batch names
-            ingest_frame(store, rows.where(F.col("file_name") == r.file_name), r.file_name, only_once=True)
+        names = [r.file_name for r in rows.select("file_name").distinct().orderBy("file_name").collect()]  # at most files_per_batch
+        ingest_frames(store, [(rows.where(F.col("file_name") == name), name) for name in names], only_once=True)
 
     writer = incoming(store.spark, folder, columns).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
