@@ -8,9 +8,11 @@ on the full shingle sets of both documents.
 Plan: (1) one Arrow pass signs each document; equal sets are one class from here
 on. (2) Classes that share a band meet at the band's smallest id, and chains of
 such meetings are candidate groups. (3) Each group is compared exactly, on full
-sets, in blocks within tasks: no pair is a row anywhere, a tile returns only the
-links that span what it found, and large groups are dealt to many tiles by size
-class and hash. (4) Components of the links.
+sets, in blocks within tasks: no pair is a row anywhere, and a tile returns only
+the links that span what it found. Members of a large group are first compared with
+a few leaders; what these join needs no comparison within itself, so only the rest
+meets the whole group, dealt to tiles by size class and hash. (4) Components of the
+links.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import broadcast_if, cut, ship
@@ -37,6 +39,7 @@ class MinMaxParams:
     miss: float = 1.2e-5  # chance that a pair of just the asked similarity shares no band
     block: int = 512  # members of a group compared with as many others in a task
     bucket: int = 256  # members of small groups in a bucket, about
+    leaders: int = 16  # of a large group, that its members are compared with first
     broadcast_rows: int = 500_000  # of 40 bytes, sent to every executor at most; beyond, the join shuffles
 
     @property
@@ -174,23 +177,31 @@ def _shingler(p: MinMaxParams):
     return run
 
 
-def _tiles(p: MinMaxParams, buckets: int):
-    """Where a member of a group is compared: (tile, side) with side 0 left, 1 right, 2 both.
+def _tile(name: Column, side: Column | int) -> Column:
+    """Where a member is compared: side 0 is a tile's left, 1 its right, 2 both."""
+    return F.struct(name.alias("tile"), (F.lit(side) if isinstance(side, int) else side).alias("side"))
 
-    Small groups are gathered in buckets. A large group is dealt by size class, where sets of two classes that
-    aren't neighbours can't be similar enough, and then by a hash; each pair of blocks of the same or of
-    neighbouring classes meets in one tile.
+
+def _leading_tiles(p: MinMaxParams) -> Column:
+    """Every member of a large group in a block of its own, and the leaders in all blocks."""
+    parts = F.ceil(F.col("members") / p.block).cast("int")
+    name = lambda k: F.concat_ws("/", F.col("grp"), F.lit("lead"), k)
+    own = F.array(_tile(name(F.pmod(F.xxhash64("rep"), parts)), 1))
+    lead = F.transform(F.sequence(F.lit(0), parts - 1), lambda k: _tile(name(k), 0))
+    return F.explode(F.when(F.col("lead"), F.concat(own, lead)).otherwise(own))
+
+
+def _open_tiles() -> Column:
+    """Open members (left) with all members (right) of a large group.
+
+    Both are dealt by size class, where sets of two classes that aren't neighbours can't be similar enough, and then
+    by a hash; each open block meets each block of the same or a neighbouring class.
     """
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    name = lambda s, i, t, j: F.concat_ws("/", F.col("grp"), s, i, t, j)
-    size, up, down = F.col("class"), F.col("class") + 1, F.col("class") - 1
-    tile = lambda key, side: F.struct(key.alias("tile"), F.lit(side).alias("side") if isinstance(side, int) else side.alias("side"))
-    same = F.transform(every, lambda h: tile(name(size, F.least(h, own), size, F.greatest(h, own)), F.when(h == own, 2).when(h > own, 0).otherwise(1)))
-    above = F.transform(every, lambda h: tile(name(size, own, up, h), 0))
-    below = F.transform(every, lambda h: tile(name(down, h, size, own), 1))
-    bucket = F.array(tile(F.concat_ws("/", F.lit("bucket"), F.pmod(F.xxhash64("grp"), F.lit(buckets))), 2))
-    return F.explode(F.when(F.col("members") <= p.block, bucket).otherwise(F.concat(same, above, below)))
+    near = F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)
+    name = lambda c, i, d, j: F.concat_ws("/", F.col("grp"), c, i, d, j)
+    as_member = F.flatten(F.transform(near, lambda c: F.transform(F.sequence(F.lit(0), F.col("open_blocks") - 1), lambda i: _tile(name(c, i, F.col("class"), F.pmod(F.xxhash64("rep"), F.col("blocks"))), 1))))
+    as_open = F.flatten(F.transform(near, lambda c: F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: _tile(name(F.col("class"), F.pmod(F.xxhash64(F.lit(1), "rep"), F.col("open_blocks")), c, j), 0))))
+    return F.explode(F.when(F.col("open"), F.concat(as_member, as_open)).otherwise(as_member))
 
 
 def near_duplicates(docs: DataFrame, params: MinMaxParams = MinMaxParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -216,14 +227,38 @@ def near_duplicates(docs: DataFrame, params: MinMaxParams = MinMaxParams(), id_c
     plan = groups.select(F.col("node").alias("rep"), F.col("component").alias("grp")).join(classes.select("rep", F.col("n_shingles").alias("n")), "rep")
     step = -np.log(p.percent / 100) * (1 + 1e-9)  # a little more than the similarity allows, against rounding
     plan = plan.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / F.lit(float(step))).cast("int"))
-    of_class = plan.groupBy("grp", "class").agg(F.count("*").alias("m"))
-    sizes = of_class.groupBy("grp").agg(F.sum("m").alias("members"), F.ceil(F.max("m") / p.block).cast("int").alias("blocks"))
-    plan = cut(plan.join(sizes, "grp").select("rep", "grp", "class", "members", "blocks"), "plan")
+    sizes = plan.groupBy("grp").agg(F.count("*").alias("members"))
+    plan = cut(plan.join(sizes, "grp").select("rep", "grp", "class", "members"), "plan")
     n = plan.count()
-    asked = texts.join(broadcast_if(plan.withColumnRenamed("rep", "doc_id"), n, p.broadcast_rows), "doc_id")
-    sets = asked.select("text", F.col("doc_id").alias("rep"), "grp", "class", "members", "blocks").mapInArrow(_shingler(p), "rep long, grp long, class int, members long, blocks int, shingles binary")
-    spread = sets.select("rep", "grp", "shingles", _tiles(p, max(1, n // p.bucket)).alias("at")).select("rep", "grp", "shingles", "at.tile", "at.side")
-    links = cut(spread.groupBy("tile").applyInArrow(_comparer(p), "a long, b long"), "links")
+
+    def compared(members: DataFrame, count: int, at: Column) -> DataFrame:
+        """The spanning links of the tiles that ``at`` deals members to."""
+        asked = texts.join(broadcast_if(members.withColumnRenamed("rep", "doc_id"), count, p.broadcast_rows), "doc_id")
+        own = [c for c in members.columns if c != "rep"]
+        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in members.schema.fields)
+        sets = asked.select("text", F.col("doc_id").alias("rep"), *own).mapInArrow(_shingler(p), f"rep long, {', '.join(k for k in kinds.split(', ') if not k.startswith('rep '))}, shingles binary")
+        spread = sets.select("rep", "grp", "shingles", at.alias("at")).select("rep", "grp", "shingles", "at.tile", "at.side")
+        return cut(spread.groupBy("tile").applyInArrow(_comparer(p), "a long, b long"), "links")
+
+    bucket = F.explode(F.array(_tile(F.concat_ws("/", F.lit("bucket"), F.pmod(F.xxhash64("grp"), F.lit(max(1, n // p.bucket)))), 2)))
+    links = compared(plan.where(F.col("members") <= p.block), n, bucket)
+    large = plan.where(F.col("members") > p.block)
+    if m := large.count():
+        rank = F.row_number().over(Window.partitionBy("grp").orderBy(F.xxhash64("rep"), "rep"))
+        leaders = large.withColumn("r", rank).where(F.col("r") <= p.leaders).select(F.col("rep").alias("leader"))
+        led = cut(large.join(leaders, F.col("rep") == F.col("leader"), "left").select("rep", "grp", "members", F.col("leader").isNotNull().alias("lead")), "led")
+        found = compared(led, m, _leading_tiles(p))
+        # the component that joins most of a group is settled within itself; everything else is open
+        joined = cut(large.join(connected_components(found), F.col("rep") == F.col("node"), "left").select("rep", "grp", "class", "component"), "joined")
+        most = joined.where("component is not null").groupBy("grp", "component").agg(F.count("*").alias("k")).groupBy("grp").agg(F.max(F.struct("k", "component"))["component"].alias("settled"))
+        state = joined.join(most, "grp", "left").select("rep", "grp", "class", (~F.coalesce(F.col("component") == F.col("settled"), F.lit(False))).alias("open"))
+        of_class = state.groupBy("grp", "class").agg(F.count("*").alias("k"), F.count_if("open").alias("o"))
+        blocks = of_class.groupBy("grp").agg(F.ceil(F.max("k") / p.block).cast("int").alias("blocks"), F.ceil(F.max("o") / p.block).cast("int").alias("open_blocks"))
+        near = of_class.where("o > 0").select("grp", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("class")).distinct()
+        rest = cut(state.join(near, ["grp", "class"], "left_semi").join(blocks, "grp").select("rep", "grp", "class", "open", "blocks", "open_blocks"), "open")
+        links = links.union(found)
+        if k := rest.count():
+            links = links.union(compared(rest, k, _open_tiles()))
     components = cut(connected_components(links), "components")
     reached = classes.join(components, F.col("rep") == F.col("node"), "left").select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n_shingles", "d1", "d2").join(reached, ["d1", "d2", "n_shingles"], "left")

@@ -90,3 +90,30 @@ def test_words_are_ascii_white_space_runs():
     w = textvec.words(raw, np.array([0, len(raw)]), textvec.fold_words())
     assert [raw[a:b].tobytes() for a, b in zip(w.starts, w.ends)] == text.encode().split()
     assert w.hashes[0] == textvec.word_hash("a", textvec.fold_words())
+
+
+@pytest.mark.parametrize(("leaders", "percent"), [(1, 80), (3, 85), (16, 90)])
+def test_large_groups_lose_no_link(spark, leaders, percent):
+    """Copies of two texts that share a passage, and a chain from one to the other: groups far beyond a block."""
+    rng = random.Random(leaders)
+    vocab = [f"v{i}" for i in range(3000)]
+    one, two = ([rng.choice(vocab) for _ in range(120)] for _ in range(2))
+    texts = []
+    for base in (one, two):
+        for _ in range(70):
+            copy = list(base)
+            for _ in range(rng.randint(0, 4)):
+                copy[rng.randrange(len(copy))] = rng.choice(vocab)
+            texts.append(copy)
+    texts += [one[:k] + two[k:] for k in range(0, 121, 2)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = minhash.near_duplicates(df, minhash.MinMaxParams(shingle=3, percent=percent, block=16, leaders=leaders)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, 3, percent)
+
+
+def test_bands_follow_the_similarity():
+    assert queries.OP2.bands == 24 and minhash.MinMaxParams().bands == 38 and minhash.MinMaxParams(percent=100).bands == 1
+    for p in (queries.OP2, minhash.MinMaxParams()):
+        assert (1 - (p.percent / 100) ** (2 * p.perms_per_band)) ** p.bands <= p.miss
