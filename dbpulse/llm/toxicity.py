@@ -221,17 +221,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: Column | None = None, params:
     label = (F.col("toxic") if label is None else label).cast("int")
     picked, total = training_rows(docs, labels, F.when(label.isNotNull(), (label > 0).cast("int")), p.max_examples, each=True)
     examples = picked.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.min("grade").alias("grade"))
-    found = examples.select("doc_id", "grade", "text").mapInArrow(_example_words, "doc_id long, grade int, hashes binary, counts binary, words binary").collect()
-    found.sort(key=lambda r: r.doc_id)
-    toxic = np.array([r.grade for r in found], float)
+    found = examples.select("doc_id", "grade", "text").mapInArrow(_example_words, "doc_id long, grade int, hashes binary, counts binary, words binary").toArrow().sort_by("doc_id")
+    toxic = found["grade"].to_numpy().astype(float)
     n1, n0 = int(toxic.sum()), int((1 - toxic).sum())
-    sizes = [len(r.hashes) // 8 for r in found]
-    every = np.frombuffer(b"".join(r.hashes for r in found), np.uint64)
+    every, counts = (np.frombuffer(b"".join(found[c].to_pylist()), t) for c, t in (("hashes", np.uint64), ("counts", np.int32)))
+    sizes = np.array([len(x) // 8 for x in found["hashes"].to_pylist()], np.int64)
     hashes, where, number = np.unique(every, return_index=True, return_inverse=True)
-    cuts = np.cumsum([0, *sizes])
+    cuts = np.concatenate([[0], np.cumsum(sizes)])
     terms = [""] * len(hashes)
     for n in np.unique(np.searchsorted(cuts, where, "right") - 1):  # the words of one example at a time
-        own, strings = np.flatnonzero((where >= cuts[n]) & (where < cuts[n + 1])), found[n].words.split(b" ")
+        own, strings = np.flatnonzero((where >= cuts[n]) & (where < cuts[n + 1])), found["words"][int(n)].as_py().split(b" ")
         for t in own.tolist():
             terms[t] = strings[where[t] - cuts[n]].decode()
     held = np.bincount(number, minlength=len(hashes)).astype(float)
@@ -241,11 +240,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: Column | None = None, params:
     seen = np.zeros(len(hashes) + 1)
     seen[counted["term"].to_numpy()] = counted["n"].to_numpy()
     weights = (np.log((seen[-1] + 1) / (seen[:-1] + 1)) + 1) * relevance(c1, held - c1, n1, n0, p.floor)
-    vectors = [_vector(number[a:b], np.frombuffer(r.counts, np.int32), weights) for r, a, b in zip(found, cuts[:-1], cuts[1:], strict=True)]
+    vectors = [_vector(number[a:b], counts[a:b], weights) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     # how many labelled rows an example stands for
     stands = np.where(toxic > 0, total.get(1, 0) / max(1, n1), total.get(0, 0) / max(1, n0))
     prior = ((stands * toxic).sum() + 0.5) / (stands.sum() + 1)
-    model = ToxicModel(terms, hashes, weights, np.array([r.doc_id for r in found], np.int64), toxic, BlockMaxIndex(vectors, len(hashes), p.block), float(prior), p)
+    model = ToxicModel(terms, hashes, weights, found["doc_id"].to_numpy(), toxic, BlockMaxIndex(vectors, len(hashes), p.block), float(prior), p)
     model.calibration = _calibrate(model, vectors, stands, p.bins)
     return model
 
