@@ -117,3 +117,26 @@ def test_bands_follow_the_similarity():
     assert queries.OP2.bands == 24 and minhash.MinMaxParams().bands == 38 and minhash.MinMaxParams(percent=100).bands == 1
     for p in (queries.OP2, minhash.MinMaxParams()):
         assert (1 - (p.percent / 100) ** (2 * p.perms_per_band)) ** p.bands <= p.miss
+
+
+@pytest.mark.parametrize("light", [1000, 3])
+def test_components_with_hubs_equal_brute_force(spark, monkeypatch, light):
+    from dbpulse.llm import components
+
+    monkeypatch.setattr(components, "LIGHT", light)
+    monkeypatch.setattr(components, "HUBS", 10**9)
+    rng = random.Random(4)
+    pairs = [(500, i) for i in range(100, 160)] + [(i, i + 7) for i in range(1000, 1200, 3)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)] + [(100, 1000), (7, 7), (None, 3)]
+    label = {}
+
+    def find(i):
+        while label.setdefault(i, i) != i:
+            i = label[i]
+        return i
+
+    for a, b in pairs:
+        if a is not None and a != b:
+            p, q = sorted((find(a), find(b)))
+            label[q] = p
+    got = components.connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()
+    assert {r.node: r.component for r in got} == {i: find(i) for i in label} and len(got) == len(label)
