@@ -10,7 +10,9 @@ lists are cut into blocks of examples with the largest weight of each: the most
 promising blocks are opened first, and of the others only those that can still
 reach the k-th best. Votes weighted by distance are calibrated on the examples
 themselves, each scored without itself. For the same reason an example with just the
-document's vector has no vote: a wrong label can't condemn its own copies.
+document's vector has no vote: a wrong label can't condemn its own copies. Labelled
+rows that copy one another are one example, or every word of a toxic text that was
+copied often would look toxic and its copies would be all the neighbours there are.
 """
 
 from __future__ import annotations
@@ -36,6 +38,7 @@ OTHER = 1 - 1e-9  # a larger cosine is the document itself or its copy
 class ToxicParams:
     max_examples: int = 2048  # of each label: the labelled rows that the fit reads at most
     floor: float = 0.02  # relevance of a word that tells nothing
+    copies: float = 0.8  # plain TF-IDF cosine from which examples copy one another
     neighbours: int = 15
     block: int = 64
     cutoff: float = 0.7
@@ -53,6 +56,7 @@ class BlockMaxIndex:
         # neighbours in the order share their strongest term, which keeps the block maxima tight
         lead = [int(i[np.argmax(v)]) if len(i) else terms for i, v in vectors]
         self.order = np.array(sorted(range(len(vectors)), key=lambda n: (lead[n], n)), dtype=np.int64)
+        self.where = np.argsort(self.order)  # place of each vector
         self.block, self.n, self.blocks = block, len(vectors), -(-max(1, len(vectors)) // block)
         idx = np.concatenate([np.zeros(0, np.int64), *(vectors[n][0] for n in self.order)]).astype(np.int64)
         weight = np.concatenate([np.zeros(0), *(vectors[n][1] for n in self.order)])
@@ -80,8 +84,16 @@ class BlockMaxIndex:
             row[at[at >= 0]] = val[at >= 0]
         return q @ self.matrix
 
+    def products(self, idx: np.ndarray, val: np.ndarray, common: np.ndarray) -> np.ndarray:
+        """The product with every vector, by number."""
+        lo, hi = self.begin[self.first[idx]], self.begin[self.first[idx + 1]]
+        at = ragged(lo, hi - lo)
+        product = np.bincount(self.place[at], np.repeat(val, hi - lo) * self.weight[at], minlength=self.n) + common
+        return np.round(product, 12)[self.where]
+
     def top(self, idx: np.ndarray, val: np.ndarray, k: int, without: int = -1, common: np.ndarray | None = None, most: float = np.inf) -> tuple[np.ndarray, np.ndarray]:
-        """The k largest positive products up to ``most`` and their vectors' numbers: largest first, ties to the smaller number."""
+        """The k largest positive products up to ``most`` and their vectors' numbers, but for the one left out: largest first, ties to the smaller number."""
+        out = self.where[[without]] if without >= 0 else []
         common = self.common_part([(idx, val)])[0] if common is None else common
         lengths = self.first[idx + 1] - self.first[idx]
         entries, q = ragged(self.first[idx], lengths), np.repeat(val, lengths)
@@ -92,16 +104,16 @@ class BlockMaxIndex:
         lead = np.argsort(-bound, kind="stable")[: -(-k // self.block) + 1]
         now = np.zeros(self.blocks, bool)
         now[lead] = True
-        best_n, best_s = self._open(now, entries, q, owner, common, k, without, most)
+        best_n, best_s = self._open(now, entries, q, owner, common, k, out, most)
         late = ~now & (bound >= (best_s[-1] - 1e-11 if len(best_s) == k else 1e-13))
         if late.any():
-            more_n, more_s = self._open(late, entries, q, owner, common, k, without, most)
+            more_n, more_s = self._open(late, entries, q, owner, common, k, out, most)
             best_n, best_s = np.concatenate([best_n, more_n]), np.concatenate([best_s, more_s])
             rank = np.lexsort((best_n, -best_s))[:k]
             best_n, best_s = best_n[rank], best_s[rank]
         return best_n, best_s
 
-    def _open(self, blocks: np.ndarray, entries: np.ndarray, q: np.ndarray, owner: np.ndarray, common: np.ndarray, k: int, without: int, most: float) -> tuple[np.ndarray, np.ndarray]:
+    def _open(self, blocks: np.ndarray, entries: np.ndarray, q: np.ndarray, owner: np.ndarray, common: np.ndarray, k: int, out, most: float) -> tuple[np.ndarray, np.ndarray]:
         """The k best of the vectors in the blocks chosen."""
         which = blocks[owner]
         chosen = entries[which]
@@ -109,12 +121,11 @@ class BlockMaxIndex:
         at = ragged(self.begin[chosen], lengths)
         product = np.bincount(self.place[at], np.repeat(q[which], lengths) * self.weight[at], minlength=self.n)
         product = np.where(np.repeat(blocks, self.block)[: self.n], np.round(product + common, 12), 0.0)
+        product[out] = 0
         hit = np.flatnonzero((product > 0) & (product <= most))
-        if len(hit) > 4 * k:  # the k + 1 largest and what ties with them
-            hit = hit[product[hit] >= np.partition(product[hit], len(hit) - k - 1)[len(hit) - k - 1]]
+        if len(hit) > 4 * k:  # the k largest and what ties with them
+            hit = hit[product[hit] >= np.partition(product[hit], len(hit) - k)[len(hit) - k]]
         numbers, product = self.order[hit], product[hit]
-        keep = numbers != without
-        numbers, product = numbers[keep], product[keep]
         rank = np.lexsort((numbers, -product))[:k]
         return numbers[rank], product[rank]
 
@@ -125,7 +136,7 @@ class ToxicModel:
     hashes: np.ndarray  # of the terms, ascending
     weights: np.ndarray  # of the terms: inverse document frequency times relevance
     ids: np.ndarray  # of the examples
-    toxic: np.ndarray
+    toxic: np.ndarray  # share of toxic rows among those that an example stands for
     index: BlockMaxIndex
     prior: float  # rate of toxic rows, for documents without a known word
     params: ToxicParams
@@ -146,7 +157,7 @@ def distance_weight(cosine: np.ndarray) -> np.ndarray:
 
 
 def relevance(c1: np.ndarray, c0: np.ndarray, n1: int, n0: int, floor: float) -> np.ndarray:
-    """Posterior chance that the share of examples holding a term differs by label, from ``floor`` up.
+    """Posterior chance that the share of texts holding a term differs by label, from ``floor`` up.
 
     The evidence is half the likelihood-ratio statistic G2; the prior is one relevant term among all.
     """
@@ -158,6 +169,17 @@ def relevance(c1: np.ndarray, c0: np.ndarray, n1: int, n0: int, floor: float) ->
     return floor + (1 - floor) / (1 + np.exp(np.clip(np.log(max(1, len(c1))) - half, -50, 50)))
 
 
+def copied_from(vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, p: ToxicParams) -> np.ndarray:
+    """For each vector the first one that it copies: its own number, or what the first earlier one like it copies."""
+    index, first = BlockMaxIndex(vectors, terms, p.block), np.arange(len(vectors))
+    for at in range(0, len(vectors), 128):
+        group = vectors[at : at + 128]
+        for n, ((idx, val), common) in enumerate(zip(group, index.common_part(group), strict=True), at):
+            if len(idx) and len(like := np.flatnonzero(index.products(idx, val, common)[:n] >= p.copies)):
+                first[n] = first[like[0]]
+    return first
+
+
 def term_counts(w: Words, hashes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(row, term numbers ascending, counts) of the documents that hold a known term."""
     if not len(hashes) or not len(w.hashes):
@@ -175,6 +197,9 @@ def term_counts(w: Words, hashes: np.ndarray) -> Iterator[tuple[int, np.ndarray,
 
 
 def _vector(idx: np.ndarray, counts: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Term numbers and weights of length 1; both empty for a document without terms."""
+    if not len(idx):
+        return idx, np.zeros(0)
     v = (1 + np.log(counts)) * weights[idx]
     return idx, v / np.sqrt((v * v).sum())
 
@@ -213,8 +238,8 @@ def _document_counts(hashes: np.ndarray):
 def fit(docs: DataFrame, labels: DataFrame, label: Column | None = None, params: ToxicParams = ToxicParams()) -> ToxicModel:
     """Takes examples from labelled rows that aren't held out; counts their words over all documents.
 
-    Equal texts count once among the examples, by their smallest id and, where their labels differ, as clean.
-    Without examples there are no terms and every score is 0.5.
+    Equal texts are one row, by their smallest id and, where their labels differ, clean. Rows that copy an earlier
+    one are one example with it, toxic by the share of its rows. Without examples there are no terms and every score is 0.5.
     """
     p = params
     ship(docs.sparkSession)
@@ -233,30 +258,41 @@ def fit(docs: DataFrame, labels: DataFrame, label: Column | None = None, params:
         own, strings = np.flatnonzero((where >= cuts[n]) & (where < cuts[n + 1])), found["words"][int(n)].as_py().split(b" ")
         for t in own.tolist():
             terms[t] = strings[where[t] - cuts[n]].decode()
-    held = np.bincount(number, minlength=len(hashes)).astype(float)
-    c1 = np.bincount(number, np.repeat(toxic, sizes), minlength=len(hashes))
-
     counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_document_counts(hashes), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     seen = np.zeros(len(hashes) + 1)
     seen[counted["term"].to_numpy()] = counted["n"].to_numpy()
-    weights = (np.log((seen[-1] + 1) / (seen[:-1] + 1)) + 1) * relevance(c1, held - c1, n1, n0, p.floor)
-    vectors = [_vector(number[a:b], counts[a:b], weights) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    # how many labelled rows an example stands for
-    stands = np.where(toxic > 0, total.get(1, 0) / max(1, n1), total.get(0, 0) / max(1, n0))
-    prior = ((stands * toxic).sum() + 0.5) / (stands.sum() + 1)
-    model = ToxicModel(terms, hashes, weights, found["doc_id"].to_numpy(), toxic, BlockMaxIndex(vectors, len(hashes), p.block), float(prior), p)
-    model.calibration = _calibrate(model, vectors, stands, p.bins)
+    idf = np.log((seen[-1] + 1) / (seen[:-1] + 1)) + 1
+    weighed = lambda w: [_vector(number[a:b], counts[a:b], w) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    first = copied_from(weighed(idf), len(hashes), p)
+
+    def holders(grade: int) -> tuple[np.ndarray, int]:
+        """How many examples with rows of this grade hold each term, and how many there are."""
+        of_grade = np.repeat(toxic == grade, sizes)
+        pairs = np.unique(number[of_grade] * max(1, len(first)) + np.repeat(first, sizes)[of_grade])
+        return np.bincount(pairs // max(1, len(first)), minlength=len(hashes)).astype(float), len(np.unique(first[toxic == grade]))
+
+    (c1, k1), (c0, k0) = holders(1), holders(0)
+    weights = idf * relevance(c1, c0, k1, k0, p.floor)
+    own = np.flatnonzero(first == np.arange(len(first)))
+    every = weighed(weights)
+    vectors = [every[n] for n in own]
+    share = (np.bincount(first, toxic, len(first)) / np.maximum(1, np.bincount(first, minlength=len(first))))[own]
+    # how many labelled rows one of each label stands for
+    rate1, rate0 = total.get(1, 0) / max(1, n1), total.get(0, 0) / max(1, n0)
+    prior = (rate1 * n1 + 0.5) / (rate1 * n1 + rate0 * n0 + 1)
+    model = ToxicModel(terms, hashes, weights, found["doc_id"].to_numpy()[own], share, BlockMaxIndex(vectors, len(hashes), p.block), float(prior), p)
+    model.calibration = _calibrate(model, vectors, rate1, rate0, p.bins)
     return model
 
 
-def _calibrate(model: ToxicModel, vectors: list[tuple[np.ndarray, np.ndarray]], stands: np.ndarray, bins: int) -> np.ndarray:
+def _calibrate(model: ToxicModel, vectors: list[tuple[np.ndarray, np.ndarray]], rate1: float, rate0: float, bins: int) -> np.ndarray:
     """Label rate by vote, ascending; each bin starts as two examples at its middle."""
     hits, seen = (np.arange(bins) + 0.5) / bins * 2, np.full(bins, 2.0)
     for n, (idx, val) in enumerate(vectors):
         if len(idx):
             b = min(bins - 1, int(model.vote(*model.index.top(idx, val, model.params.neighbours, without=n, most=OTHER)) * bins))
-            hits[b] += stands[n] * model.toxic[n]
-            seen[b] += stands[n]
+            hits[b] += rate1 * model.toxic[n]
+            seen[b] += rate1 * model.toxic[n] + rate0 * (1 - model.toxic[n])
     blocks: list[list[float]] = []
     for h, s in zip(hits, seen, strict=True):
         blocks.append([h, s, 1])

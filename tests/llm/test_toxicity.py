@@ -34,43 +34,53 @@ def plain(docs, labels, floor=0.02, k=15, bins=20):
         first, y = by_text.get(t, (i, 1))
         by_text[t] = (first, min(y, grade[i]))
     examples = sorted((i, bag(t), y) for t, (i, y) in by_text.items())
-    total, n = Counter(grade.values()), Counter(y for _, _, y in examples)
-    held = defaultdict(lambda: [0, 0])
-    for _, b, y in examples:
-        for w in b:
-            held[w][y] += 1
+    total, rows = Counter(grade.values()), Counter(y for _, _, y in examples)
     df = Counter(w for _, b in bags for w in b)
+    idf = {w: math.log((len(bags) + 1) / (df[w] + 1)) + 1 for _, b, _ in examples for w in b}
+
+    def unit(b, weights):
+        v = {w: (1 + math.log(c)) * weights[w] for w, c in b.items() if w in weights}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / size for w, x in v.items()}
+
+    def product(v, u):
+        return round(sum(x * u.get(w, 0.0) for w, x in v.items()), 12)
+
+    rough, first = [unit(b, idf) for _, b, _ in examples], []
+    for m, v in enumerate(rough):  # an example copies what the first earlier one like it copies
+        first.append(next((first[o] for o in range(m) if v and product(v, rough[o]) >= 0.8), m))
+    held = defaultdict(lambda: (set(), set()))
+    for (_, b, y), f in zip(examples, first, strict=True):
+        for w in b:
+            held[w][y].add(f)
+    n = {y: len({f for (_, _, g), f in zip(examples, first, strict=True) if g == y}) for y in (0, 1)}
 
     def weight(w):
-        c0, c1 = held[w]
-        share = (c0 + c1) / len(examples)
+        c0, c1 = map(len, held[w])
+        share = (c0 + c1) / (n[0] + n[1])
         seen = [(c1, n[1] * share), (c0, n[0] * share), (n[1] - c1, n[1] * (1 - share)), (n[0] - c0, n[0] * (1 - share))]
         half = sum(o * math.log(o / e) for o, e in seen if o)
         posterior = 1 / (1 + math.exp(min(50, max(-50, math.log(len(held)) - half))))
-        return (math.log((len(bags) + 1) / (df[w] + 1)) + 1) * (floor + (1 - floor) * posterior)
+        return idf[w] * (floor + (1 - floor) * posterior)
 
     weights = {w: weight(w) for w in held}
 
-    def vector(b):
-        v = {w: (1 + math.log(c)) * weights[w] for w, c in b.items() if w in weights}
-        size = math.sqrt(sum(x * x for x in v.values()))
-        return {w: x / size for w, x in v.items()}
-
-    vectors = [vector(b) for _, b, _ in examples]
+    vector = lambda b: unit(b, weights)
+    alone = {m: [y for (_, _, y), f in zip(examples, first, strict=True) if f == m] for m in sorted(set(first))}
+    texts = [(m, vector(examples[m][1]), sum(ys) / len(ys)) for m, ys in alone.items()]
 
     def vote(v, without=None):
-        near = sorted((-round(sum(x * u.get(w, 0.0) for w, x in v.items()), 12), m) for m, u in enumerate(vectors) if m != without)
-        near = [(-c, m) for c, m in near if 0 < -c <= 1 - 1e-9][:k]
-        pull = [((1.05 - min(1.0, c)) ** -2 - 1.05**-2, examples[m][2]) for c, m in near]
+        near = sorted((-product(v, u), m, share) for m, u, share in texts if m != without)
+        pull = [((1.05 - min(1.0, -c)) ** -2 - 1.05**-2, share) for c, _, share in [x for x in near if 0 < -x[0] <= 1 - 1e-9][:k]]
         return sum(p * y for p, y in pull) / sum(p for p, _ in pull) if pull else 0.0
 
     hits, seen = [(b + 0.5) / bins * 2 for b in range(bins)], [2.0] * bins
-    stands = {y: total[y] / n[y] for y in n}
-    for m, (_, _, y) in enumerate(examples):
-        if vectors[m]:
-            b = min(bins - 1, int(vote(vectors[m], m) * bins))
-            hits[b] += stands[y] * y
-            seen[b] += stands[y]
+    stands = {y: total[y] / rows[y] for y in rows}
+    for m, v, share in texts:
+        if v:
+            b = min(bins - 1, int(vote(v, m) * bins))
+            hits[b] += stands.get(1, 0) * share
+            seen[b] += stands.get(1, 0) * share + stands.get(0, 0) * (1 - share)
     # least-squares ascending fit by its min-max formula
     rate = [max(min(sum(hits[a:c]) / sum(seen[a:c]) for c in range(b + 1, bins + 1)) for a in range(b + 1)) for b in range(bins)]
     prior = (sum(stands[y] * y for _, _, y in examples) + 0.5) / (sum(stands[y] for _, _, y in examples) + 1)
@@ -106,3 +116,27 @@ def test_held_out_recall_and_clean_documents(spark):
     english = [r.predicted for r in rows if r.toxic == 1 and r.lang == "en"]
     clean = [r.predicted for r in rows if r.toxic == 0]
     assert len(english) >= 10 and np.mean(english) > 0.8 and np.mean(clean) < 0.02
+
+
+def test_copies_of_a_toxic_text_do_not_make_its_words_toxic(spark):
+    rng = np.random.default_rng(3)
+    word = lambda: "w" + str(rng.integers(0, 3000))
+    toxic_text = ["foulword", *(word() for _ in range(80))]
+    rows = []
+    for i in range(900):
+        words = [word() for _ in range(40)]
+        if i < 200:  # near copies of one toxic text
+            words = list(toxic_text)
+            words[1 + int(rng.integers(0, 80))] = word()
+        elif i < 300:
+            words[int(rng.integers(0, 40))] = "foulword"
+        elif i >= 800:  # clean, with words of the copied text
+            words[:6] = toxic_text[10:16]
+        rows.append((i, " ".join(words), int(i < 300)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(df.select("doc_id", "text"), df.where("doc_id < 800").select("doc_id", "toxic"))
+    got = {r.doc_id: r.predicted for r in toxicity.score(df.select("doc_id", "text"), model).collect()}
+    assert all(got[i] == 1 for i in range(300)) and not any(got[i] for i in range(300, 800))
+    assert sum(got[i] for i in range(800, 900)) <= 5  # among so few words some tell the labels apart by chance
+    weight = dict(zip(model.terms, model.weights, strict=True))
+    assert weight["foulword"] > 10 * max(weight[w] for w in toxic_text[1:] if w in weight)
