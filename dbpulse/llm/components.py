@@ -1,9 +1,9 @@
 """Connected components of a link table by alternating large-star and small-star steps.
 
-Each step is an aggregate with map-side combining and a join with its result. That
-join is dealt by node like the aggregate, so adaptive execution can't split it;
-nodes with very many links, of which there can only be few, are joined by broadcast
-instead. Links are never gathered in one place.
+Each step is an aggregate with map-side combining, written as a table, and a join
+with that table. A join straight with the aggregate would be dealt as the aggregate
+is, which adaptive execution can't split; so a star with a third of all rows stays
+spread. Links are never gathered in one place.
 """
 
 from __future__ import annotations
@@ -13,14 +13,12 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-LIGHT, HUBS = 1000, 100_000  # links that a node may have and still be no hub; hubs at most
-
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable from each node that has a link. Null ends and loops are left out."""
     edges, shape = _counted(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     while shape["n"]:
-        edges, now = _counted(_small_star(_large_star(edges, shape["n"]), shape["n"]))
+        edges, now = _counted(_small_star(cut(_large_star(edges), "stars")))
         if now == shape:
             break
         shape = now
@@ -36,24 +34,13 @@ def _counted(edges: DataFrame) -> tuple[DataFrame, dict]:
     return out, seen.get
 
 
-def _with_least(edges: DataFrame, least: DataFrame, n: int) -> DataFrame:
-    """Edges with their node's least neighbour ``m``; ``least`` has a row per node, with the number of its links.
-
-    At most ``HUBS`` nodes have more links than the limit, as there are 2 n ends in all; only these are broadcast.
-    """
-    limit = max(LIGHT, 2 * n // HUBS)
-    hubs, others = F.broadcast(least.where(F.col("links") > limit)), least.where(F.col("links") <= limit)
-    light = edges.join(hubs.select("u"), "u", "left_anti").join(others, "u")
-    return light.unionByName(edges.join(hubs, "u")).drop("links")
-
-
-def _large_star(edges: DataFrame, n: int) -> DataFrame:
+def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"), F.count("*").alias("links"))
-    return _with_least(both.where("v > u"), least, n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    least = cut(both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m")), "least")
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
-def _small_star(edges: DataFrame, n: int) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("links"))
-    moved = _with_least(edges, least, n).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+def _small_star(edges: DataFrame) -> DataFrame:
+    least = cut(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
+    moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()

@@ -262,8 +262,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: Column | None = None, params:
     seen = np.zeros(len(hashes) + 1)
     seen[counted["term"].to_numpy()] = counted["n"].to_numpy()
     idf = np.log((seen[-1] + 1) / (seen[:-1] + 1)) + 1
-    weighed = lambda w: [_vector(number[a:b], counts[a:b], w) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    first = copied_from(weighed(idf), len(hashes), p)
+    first = copied_from([_vector(number[a:b], counts[a:b], idf) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], len(hashes), p)
 
     def holders(grade: int) -> tuple[np.ndarray, int]:
         """How many examples with rows of this grade hold each term, and how many there are."""
@@ -274,8 +273,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: Column | None = None, params:
     (c1, k1), (c0, k0) = holders(1), holders(0)
     weights = idf * relevance(c1, c0, k1, k0, p.floor)
     own = np.flatnonzero(first == np.arange(len(first)))
-    every = weighed(weights)
-    vectors = [every[n] for n in own]
+    vectors = [_vector(number[cuts[n] : cuts[n + 1]], counts[cuts[n] : cuts[n + 1]], weights) for n in own]
     share = (np.bincount(first, toxic, len(first)) / np.maximum(1, np.bincount(first, minlength=len(first))))[own]
     # how many labelled rows one of each label stands for
     rate1, rate0 = total.get(1, 0) / max(1, n1), total.get(0, 0) / max(1, n0)

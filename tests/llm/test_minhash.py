@@ -119,12 +119,9 @@ def test_bands_follow_the_similarity():
         assert (1 - (p.percent / 100) ** (2 * p.perms_per_band)) ** p.bands <= p.miss
 
 
-@pytest.mark.parametrize("light", [1000, 3])
-def test_components_with_hubs_equal_brute_force(spark, monkeypatch, light):
+def test_components_with_hubs_equal_brute_force(spark):
     from dbpulse.llm import components
 
-    monkeypatch.setattr(components, "LIGHT", light)
-    monkeypatch.setattr(components, "HUBS", 10**9)
     rng = random.Random(4)
     pairs = [(500, i) for i in range(100, 160)] + [(i, i + 7) for i in range(1000, 1200, 3)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)] + [(100, 1000), (7, 7), (None, 3)]
     label = {}
