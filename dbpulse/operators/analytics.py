@@ -93,7 +93,8 @@ def curation_coverage(raw: DataFrame, curated: DataFrame, **where) -> DataFrame:
 
 
 def _timed(raw: DataFrame, week_start, week_end, where: dict) -> DataFrame:
-    rows = filters.analytics(raw, **where).where("time is not null").withColumn("at", event_time(F.col("time"))).where("at is not null")
+    """Rows with their time ``at``, null where it can't be read: a filter here would read every time once more."""
+    rows = filters.analytics(raw, **where).where("time is not null").withColumn("at", event_time(F.col("time")))
     return filters.in_week(rows, F.col("at"), week_start, week_end)
 
 
@@ -104,8 +105,9 @@ def by_hour(raw: DataFrame, week_start=None, week_end=None, **where) -> DataFram
     """
     dims = {"type": "unknown", "host": "", "db_name": ""}
     values = F.explode(F.array(*[F.struct(F.lit(c).alias("dim"), F.coalesce(c, F.lit(other)).alias("value")) for c, other in dims.items()])).alias("d")
-    rows = _timed(raw, week_start, week_end, where).select(F.hour("at").alias("hour"), F.weekday("at").alias("weekday"), values, "occurrence_count").where("d.value <> '' or d.dim = 'type'")
-    each = rows.groupBy("hour", "weekday", F.col("d.dim").alias("dim"), F.col("d.value").alias("value")).agg(F.sum("occurrence_count").cast("long").alias("n"))
+    rows = _timed(raw, week_start, week_end, where).select("at", values, "occurrence_count").where("d.value <> '' or d.dim = 'type'")
+    each = rows.groupBy(F.hour("at").alias("hour"), F.weekday("at").alias("weekday"), F.col("d.dim").alias("dim"), F.col("d.value").alias("value"))
+    each = each.agg(F.sum("occurrence_count").cast("long").alias("n"), F.max("at").alias("last")).where("last is not null").drop("last")
     rank = Window.partitionBy("hour", "weekday", "dim").orderBy(F.desc("n"), "value")
     kept = each.withColumn("r", F.row_number().over(rank)).where("r <= 5 or dim = 'type'")
     of = lambda dim, what: F.collect_list(F.when(F.col("dim") == dim, what))
@@ -122,7 +124,7 @@ def by_hour_flat(raw: DataFrame, week_start=None, week_end=None, **where) -> Dat
     """The heatmap at its finest grain: hour, weekday, type, host, database."""
     rows = _timed(raw, week_start, week_end, where)
     keys = [F.hour("at").alias("hour"), F.weekday("at").alias("weekday"), F.coalesce("type", F.lit("unknown")).alias("type"), F.coalesce("host", F.lit("")).alias("host"), F.coalesce("db_name", F.lit("")).alias("db_name")]
-    return rows.groupBy(*keys).agg(F.sum("occurrence_count").cast("long").alias("count"))
+    return rows.groupBy(*keys).agg(F.sum("occurrence_count").cast("long").alias("count"), F.max("at").alias("last")).where("last is not null").drop("last")
 
 
 def by_hour_queries(raw: DataFrame, hour: int, weekday: int, limit: int = 50, offset: int = 0, week_start=None, week_end=None, **where) -> DataFrame:

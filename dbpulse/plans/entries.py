@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 from functools import reduce
@@ -21,8 +24,14 @@ SUMS = "count(*) AS row_count, CAST(sum(occurrence_count) AS BIGINT) AS total_oc
 
 
 def _scratch(spark, what: str) -> str:
-    """A fresh folder below the one that executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="dbpulse-")
+    """A fresh folder below the one that executors share; a temporary one only where all run on this machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        own = tempfile.mkdtemp(prefix="dbpulse-")
+        atexit.register(shutil.rmtree, own, True)
+        root = "file://" + own
     return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
