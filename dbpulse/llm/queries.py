@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licences, neighbours, packing, pieces, quality, sharding, tiles, toxicity, warc
+from . import licences, neighbours, packing, periodic, pieces, quality, sharding, tiles, toxicity, warc
 from .common import table
 from .minhash import MinMaxParams, near_duplicates
 from .oracles import OP2_SQL, OP6_SQL, OP8_SQL
@@ -57,5 +57,9 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_minhash": op2_minhash, "op3_licences": op3_licences, "op4_toxicity": op4_toxicity, "op5_neighbours": op5_neighbours, "op6_warc": op6_warc, "op7_sharding": op7_sharding, "op8_near_vectors": op8_near_vectors, "op9_packing": op9_packing, "op10_sentencepiece": op10_sentencepiece}
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.periodic_runs(table(spark, sf_dir, "documents"), rewrite=periodic.looped))
+
+
+QUERIES = {"op1_quality": op1_quality, "op2_minhash": op2_minhash, "op3_licences": op3_licences, "op4_toxicity": op4_toxicity, "op5_neighbours": op5_neighbours, "op6_warc": op6_warc, "op7_sharding": op7_sharding, "op8_near_vectors": op8_near_vectors, "op9_packing": op9_packing, "op10_sentencepiece": op10_sentencepiece, "op13_periodic_runs": op13_periodic_runs}
 ORACLE_SQL: dict[str, str] = {"op2_minhash": OP2_SQL, "op6_warc": OP6_SQL, "op8_near_vectors": OP8_SQL}
