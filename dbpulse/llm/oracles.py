@@ -69,3 +69,38 @@ WITH RECURSIVE vectors AS (
 SELECT e.vec_id, coalesce(c.n, 0) AS n_links, k.component_id, e.vec_id = k.component_id AS kept
 FROM embeddings e LEFT JOIN counts c ON c.a = e.vec_id JOIN component k ON k.node = e.vec_id
 """
+
+#: The checksum of a decimal number, bit by bit: each byte is folded in by eight steps of the reflected polynomial 0xEDB88320.
+_CRC32 = """xor(list_reduce(list_prepend(4294967295, list_transform(range(1, strlen(CAST(c AS VARCHAR)) + 1), lambda k: CAST(ascii(substr(CAST(c AS VARCHAR), k, 1)) AS BIGINT))),
+    lambda x, y: list_reduce(list_prepend(xor(x, y), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])), lambda a, b: xor(a >> 1, 3988292384 * (a & 1)))), 4294967295)"""
+
+OP11_SQL = f"""
+WITH turns AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS i, strlen(coalesce(text, '')) AS size,
+    sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS unit
+  FROM conversations WHERE conv_id IS NOT NULL
+), conv AS (
+  SELECT c, h, least(h, coalesce((SELECT max(i) FROM turns t WHERE t.c = k.base), 0)) AS taken
+  FROM (SELECT c, c - c % 5 AS base, {_CRC32} % 9 AS h FROM (SELECT DISTINCT c FROM turns)) k
+), rebuilt AS (
+  SELECT v.c, t.i AS d, t.unit, t.size FROM conv v JOIN turns t ON t.c = v.c - v.c % 5 AND t.i <= v.h
+  UNION ALL
+  SELECT v.c, v.taken + t.i - v.h, t.unit, t.size FROM conv v JOIN turns t ON t.c = v.c AND t.i > v.h
+), prefixes AS (
+  SELECT c, d, size, string_agg(unit, '') OVER (PARTITION BY c ORDER BY d ROWS UNBOUNDED PRECEDING) AS p FROM rebuilt
+  UNION ALL
+  SELECT c, 0, 0, '' FROM conv
+), marked AS (
+  SELECT *, d = max(d) OVER (PARTITION BY c) AS ends FROM prefixes
+), nodes AS (
+  SELECT p, min(c) AS conv_id, any_value(d) AS depth, count(*) AS n_convs, any_value(size) AS size, count(*) FILTER (WHERE NOT ends) = 0 AS leaf,
+    sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM marked GROUP BY p
+), below AS (
+  SELECT substr(p, 1, CAST(k * 64 AS BIGINT)) AS p, count(*) FILTER (WHERE leaf) AS n_leaves, sum((n_convs - 1) * size) AS saved FROM (SELECT *, unnest(range(0, depth + 1)) AS k FROM nodes) GROUP BY 1
+), children AS (
+  SELECT substr(p, 1, CAST((depth - 1) * 64 AS BIGINT)) AS p, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1
+)
+SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n, 0) AS n_children, b.n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN below b ON b.p = n.p LEFT JOIN children k ON k.p = n.p LEFT JOIN nodes u ON n.depth > 0 AND u.p = substr(n.p, 1, CAST((n.depth - 1) * 64 AS BIGINT))
+"""

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import digest, licences, neighbours, packing, periodic, pieces, quality, sharding, tiles, toxicity, warc
+from . import digest, licences, neighbours, packing, periodic, pieces, quality, sharding, tiles, toxicity, trie, warc
 from .common import table
 from .minhash import MinMaxParams, near_duplicates
-from .oracles import OP2_SQL, OP6_SQL, OP8_SQL
+from .oracles import OP2_SQL, OP6_SQL, OP8_SQL, OP11_SQL
 
 OP2 = MinMaxParams(shingle=3, percent=85)
 
@@ -57,6 +57,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(trie.with_shared_openings(trie.sequences(table(spark, sf_dir, "conversations"))))
+
+
 def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.with_edits(table(spark, sf_dir, "documents"))
 
@@ -65,5 +69,5 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(periodic.periodic_runs(table(spark, sf_dir, "documents"), rewrite=periodic.looped))
 
 
-QUERIES = {"op1_quality": op1_quality, "op2_minhash": op2_minhash, "op3_licences": op3_licences, "op4_toxicity": op4_toxicity, "op5_neighbours": op5_neighbours, "op6_warc": op6_warc, "op7_sharding": op7_sharding, "op8_near_vectors": op8_near_vectors, "op9_packing": op9_packing, "op10_sentencepiece": op10_sentencepiece, "op12_fingerprints": op12_fingerprints, "op13_periodic_runs": op13_periodic_runs}
-ORACLE_SQL: dict[str, str] = {"op2_minhash": OP2_SQL, "op6_warc": OP6_SQL, "op8_near_vectors": OP8_SQL}
+QUERIES = {"op1_quality": op1_quality, "op2_minhash": op2_minhash, "op3_licences": op3_licences, "op4_toxicity": op4_toxicity, "op5_neighbours": op5_neighbours, "op6_warc": op6_warc, "op7_sharding": op7_sharding, "op8_near_vectors": op8_near_vectors, "op9_packing": op9_packing, "op10_sentencepiece": op10_sentencepiece, "op11_prefix_trie": op11_prefix_trie, "op12_fingerprints": op12_fingerprints, "op13_periodic_runs": op13_periodic_runs}
+ORACLE_SQL: dict[str, str] = {"op2_minhash": OP2_SQL, "op6_warc": OP6_SQL, "op8_near_vectors": OP8_SQL, "op11_prefix_trie": OP11_SQL}
