@@ -51,7 +51,8 @@ def confirmed(printed: DataFrame, docs: DataFrame, bits: int = 128) -> DataFrame
     text. Where a digest stands for several texts, these are numbered by their bytes, and the number joins the
     fingerprint. Rows without an id get the fingerprint of their bucket's first text and no group.
     """
-    buckets = printed.groupBy("digest").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("n"))
+    # a written table, so that adaptive execution can split the joins of a bucket with very many rows
+    buckets = cut(printed.groupBy("digest").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("n")), "buckets")
     shared = cut(printed.where("doc_id is not null").join(buckets.where("n > 1").select("digest"), "digest", "left_semi").select("doc_id").distinct(), "shared")
     ids = broadcast_if(shared, shared.count(), BROADCAST_ROWS)
     texts = docs.where("doc_id is not null").join(ids, "doc_id", "left_semi").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
