@@ -3,10 +3,11 @@
 Every permutation is evaluated once per shingle and gives two signature values,
 its minimum and its maximum. A band joins the values of a few permutations;
 documents that share a band are candidates, and each candidate pair is confirmed
-on the full shingle sets of both documents.
+on the full shingle sets of both documents, whose words are told apart by their
+bytes. Hashes only find candidates.
 
-Plan: (1) one Arrow pass signs each document; equal sets are one class from here
-on. (2) Classes that share a band meet at the band's smallest id, and chains of
+Plan: (1) one Arrow pass signs each document; equal sequences of words are one class
+from here on. (2) Classes that share a band meet at the band's smallest id, and chains of
 such meetings are candidate groups. (3) Each group is compared exactly, on full
 sets, in blocks within tasks: no pair is a row anywhere, and a tile returns only
 the links that span what it found. Members of a large group are first compared with
@@ -20,6 +21,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if, cut, ship
 from .components import connected_components
-from .textvec import buffers, fold_words, mix, seeds, shingle_sets, words
+from .textvec import buffers, exact_sets, fold_words, mix, seeds, shingle_sets, words
 
 
 @dataclass(frozen=True)
@@ -89,15 +91,13 @@ def _signer(p: MinMaxParams):
         for batch in batches:
             ids = batch.column(0)
             for raw, offsets, at in buffers(batch.column(1)):
-                sets, cuts = shingle_sets(words(raw, offsets, fold), p.shingle)
-                n = len(offsets) - 1
+                n, data = len(offsets) - 1, raw.tobytes()
+                texts = [data[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                sets, cuts = shingle_sets(words(raw, offsets, fold), p.shingle, texts)
                 keys = band_keys(signatures(sets, cuts, p.bands * p.perms_per_band), p.bands)
                 sizes = np.diff(cuts)
-                sums = np.zeros(len(sets) + 1, np.uint64)
-                np.cumsum(mix(sets ^ np.uint64(0x5BD1E9955BD1E995)), out=sums[1:])
-                plain = np.zeros(len(sets) + 1, np.uint64)
-                np.cumsum(sets, out=plain[1:])
-                digest = [mix(s[cuts[1:]] - s[cuts[:-1]]).view(np.int64) for s in (sums, plain)]
+                marks = np.frombuffer(b"".join(blake2b(b" ".join(t.lower().split()), digest_size=16).digest() for t in texts), np.int64).reshape(n, 2)
+                digest = [np.ascontiguousarray(marks[:, i]) for i in (0, 1)]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * p.bands), pa.array(keys.reshape(-1).view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(at, n), pa.array(sizes), *map(pa.array, digest), lists],
@@ -149,13 +149,13 @@ def _comparer(p: MinMaxParams):
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("grp", "ascending"), ("rep", "ascending")])
         groups, reps, sides = rows["grp"].to_numpy(), rows["rep"].to_numpy(), rows["side"].to_numpy()
-        sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"].to_pylist()]
         cuts = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1], [True]]))
         a, b = [], []
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             numbers = np.arange(hi - lo)
             side = sides[lo:hi]
-            for i, j in spanning_links(sets[lo:hi], numbers[side != 1], numbers[side != 0], p.percent):
+            sets = exact_sets([t.encode() for t in rows["text"].slice(lo, hi - lo).to_pylist()], p.shingle)
+            for i, j in spanning_links(sets, numbers[side != 1], numbers[side != 0], p.percent):
                 a.append(reps[lo + i])
                 b.append(reps[lo + j])
         return pa.table({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
@@ -163,20 +163,6 @@ def _comparer(p: MinMaxParams):
     return run
 
 
-def _shingler(p: MinMaxParams):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fold = fold_words()
-        for batch in batches:
-            for raw, offsets, at in buffers(batch.column(0)):
-                sets, cuts = shingle_sets(words(raw, offsets, fold), p.shingle)
-                n = len(offsets) - 1
-                rows = batch.slice(at, n)
-                blobs = pa.array([sets[cuts[i] : cuts[i + 1]].tobytes() for i in range(n)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*rows.columns[1:], blobs], names=[*rows.schema.names[1:], "shingles"])
-
-    return run
-
-
 def _tile(name: Column, side: Column | int) -> Column:
     """Where a member is compared: side 0 is a tile's left, 1 its right, 2 both."""
     return F.struct(name.alias("tile"), (F.lit(side) if isinstance(side, int) else side).alias("side"))
@@ -234,10 +220,7 @@ def near_duplicates(docs: DataFrame, params: MinMaxParams = MinMaxParams(), id_c
     def compared(members: DataFrame, count: int, at: Column) -> DataFrame:
         """The spanning links of the tiles that ``at`` deals members to."""
         asked = texts.join(broadcast_if(members.withColumnRenamed("rep", "doc_id"), count, p.broadcast_rows), "doc_id")
-        own = [c for c in members.columns if c != "rep"]
-        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in members.schema.fields)
-        sets = asked.select("text", F.col("doc_id").alias("rep"), *own).mapInArrow(_shingler(p), f"rep long, {', '.join(k for k in kinds.split(', ') if not k.startswith('rep '))}, shingles binary")
-        spread = sets.select("rep", "grp", "shingles", at.alias("at")).select("rep", "grp", "shingles", "at.tile", "at.side")
+        spread = asked.withColumnRenamed("doc_id", "rep").select("rep", "grp", "text", at.alias("at")).select("rep", "grp", "text", "at.tile", "at.side")
         return cut(spread.groupBy("tile").applyInArrow(_comparer(p), "a long, b long"), "links")
 
     bucket = F.explode(F.array(_tile(F.concat_ws("/", F.lit("bucket"), F.pmod(F.xxhash64("grp"), F.lit(max(1, n // p.bucket)))), 2)))

@@ -100,7 +100,7 @@ class TextEncoder:
         starts, ends = np.concatenate([starts, points]), np.concatenate([ends, points + 1])
         order = np.argsort(starts, kind="stable")
         starts, ends = starts[order], ends[order]
-        ids, lengths = self._cache.encode(raw, starts, ends, hash_spans(low, starts, ends))
+        ids, lengths = self._cache.encode(raw, starts, ends, hash_spans(low, starts, ends), low)
         at = np.concatenate([[0], np.cumsum(lengths)])[np.searchsorted(starts, offsets)]
         return [ids[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 

@@ -1,15 +1,18 @@
 """Whole Arrow text columns to word hashes, without a Python step per document.
 
 A chunk of documents is one byte buffer. Words are maximal runs of bytes that
-the ``fold`` table doesn't map to a separator; a word's hash is a polynomial in
-its bytes, read off prefix sums modulo 2**64 and then mixed. Buffers are handled
-about ``CHUNK`` bytes at a time, a longer document by itself, so memory follows
-the longest document.
+the ``fold`` table doesn't map to a separator. The hash of a word of up to eight
+bytes is a bijection of its bytes; longer words are hashed by BLAKE2b. Two words with
+one 64-bit hash can still be searched for, so whatever must be exact compares bytes
+(``wordcache``) or numbers words by a dictionary (``word_numbers``). Buffers are
+handled about ``CHUNK`` bytes at a time, a longer document by itself, so memory
+follows the longest document.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 from typing import NamedTuple
 
 import numpy as np
@@ -17,9 +20,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK = 1 << 20
-_BASE = 0x9E3779B97F4A7C15 | 5
 _MASK = (1 << 64) - 1
-_tables: dict[str, np.ndarray] = {}
+_LANE = 8  # bytes that a 64-bit hash tells apart with certainty
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -37,16 +39,6 @@ def seeds(n: int, start: int) -> np.ndarray:
     return mix((np.arange(1, n + 1, dtype=np.uint64) + np.uint64(start)) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if "pow" not in _tables or len(_tables["pow"]) < n:
-        size = max(n, CHUNK + 1)
-        for name, base in (("pow", _BASE & _MASK), ("inv", pow(_BASE, -1, 1 << 64))):
-            out = np.full(size, base, np.uint64)
-            out[0] = 1
-            _tables[name] = np.multiply.accumulate(out)
-    return _tables["pow"], _tables["inv"]
-
-
 def fold_words() -> np.ndarray:
     """A-Z to a-z; the six ASCII white-space bytes are separators (0)."""
     t = np.arange(256, dtype=np.uint8)
@@ -103,14 +95,19 @@ def spans(raw: np.ndarray, offsets: np.ndarray, fold: np.ndarray) -> tuple[np.nd
 
 
 def hash_spans(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    n = len(low)
-    if "byte" not in _tables:
-        _tables["byte"] = seeds(256, 0)
-    up, down = _powers(n)
-    sums = np.zeros(n + 1, np.uint64)
-    np.multiply(_tables["byte"][low], up[:n], out=sums[1:])
-    np.cumsum(sums[1:], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """The hash of each word low[starts:ends]; words hold no zero byte."""
+    sizes = ends - starts
+    out = np.empty(len(starts), np.uint64)
+    short = sizes <= _LANE
+    place = np.arange(_LANE)
+    lanes = np.concatenate([low, np.zeros(_LANE, np.uint8)])[starts[short][:, None] + place]
+    lanes[place >= sizes[short][:, None]] = 0
+    out[short] = mix(lanes.view("<u8").reshape(-1) + seeds(1, 0))
+    if not short.all():
+        data = low.tobytes()
+        marks = b"".join(blake2b(data[a:b], digest_size=8).digest() for a, b in zip(starts[~short].tolist(), ends[~short].tolist(), strict=True))
+        out[~short] = np.frombuffer(marks, "<u8")
+    return out
 
 
 def words(raw: np.ndarray, offsets: np.ndarray, fold: np.ndarray) -> Words:
@@ -127,12 +124,54 @@ def word_hash(word: str, fold: np.ndarray) -> int:
     return int(words(raw, np.array([0, len(raw)]), fold).hashes[0])
 
 
-def shingle_sets(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each document's sorted distinct shingle hashes, end to end, and their offsets.
+def word_numbers(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, int]:
+    """Each word's number, where each text's words begin, and how many there are: equal words, and no others, have one number.
 
-    A document of fewer words than ``size`` has its whole sequence as its one shingle; one without words has none.
+    Words are parted by ASCII white space; A-Z count as a-z.
     """
-    h, first = w.hashes, w.first
+    numbers: dict[bytes, int] = {}
+    found, first = [], [0]
+    for text in texts:
+        found += [numbers.setdefault(w, len(numbers)) for w in text.lower().split()]
+        first.append(len(found))
+    return np.array(found, np.int64), np.array(first), len(numbers)
+
+
+def shingle_numbers(ids: np.ndarray, n_words: int, size: int) -> np.ndarray:
+    """A number for each window of ``size`` words, the same for the same words only."""
+    n = max(0, len(ids) - size + 1)
+    out, most = ids[:n], n_words
+    for i in range(1, size):
+        if most * n_words >= 1 << 62:
+            out = np.unique(out, return_inverse=True)[1].reshape(-1)
+            most = int(out.max(initial=0)) + 1
+        out = out * n_words + ids[i : i + n]
+        most *= n_words
+    return out
+
+
+def distinct_windows(codes: np.ndarray, first: np.ndarray, size: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(text, places of its distinct shingles, one place each) of the texts that have words; a text of fewer words than ``size`` has its first place."""
+    for d, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+        if b - a >= size:
+            own = codes[a : b - size + 1]
+            order = np.argsort(own)
+            own = own[order]
+            keep = np.empty(len(own), bool)
+            keep[0] = True
+            np.not_equal(own[1:], own[:-1], out=keep[1:])
+            yield d, order[keep] + a
+        elif b > a:
+            yield d, np.array([a])
+
+
+def shingle_sets(w: Words, size: int, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each text's distinct shingles, end to end, and their offsets; shingles are told apart by their words.
+
+    A text of fewer words than ``size`` has its whole sequence as its one shingle; one without words has none.
+    """
+    h = w.hashes
+    ids, first, n_words = word_numbers(texts)
     weights = seeds(size, 1000) | np.uint64(1)
     n = max(0, len(h) - size + 1)
     rolled = np.full(n, size, np.uint64)
@@ -140,23 +179,26 @@ def shingle_sets(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
         rolled += h[i : i + n] * weights[i]
     rolled = mix(rolled)
     parts, counts = [], np.zeros(len(first), np.int64)
-    for d in range(len(first) - 1):
+    for d, places in distinct_windows(shingle_numbers(ids, n_words, size), first, size):
         a, b = int(first[d]), int(first[d + 1])
-        if b - a >= size:
-            own = np.sort(rolled[a : b - size + 1])
-            keep = np.empty(len(own), bool)
-            keep[0] = True
-            np.not_equal(own[1:], own[:-1], out=keep[1:])
-            own = own[keep]
-        elif b > a:
-            own = mix(np.array([int((h[a:b] * weights[: b - a]).sum()) + b - a & _MASK], np.uint64))
-        else:
-            continue
+        own = rolled[places] if b - a >= size else mix(np.array([int((h[a:b] * weights[: b - a]).sum()) + b - a & _MASK], np.uint64))
         parts.append(own)
         counts[d + 1] = len(own)
     return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), np.cumsum(counts)
 
 
+def exact_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
+    """Each text's set of shingles as numbers that all these texts share."""
+    ids, first, n_words = word_numbers(texts)
+    out = [np.zeros(0, np.int64)] * len(texts)
+    whole: dict[tuple, int] = {}  # sequences of fewer words are shingles of their own, below zero
+    codes = shingle_numbers(ids, n_words, size)
+    for d, places in distinct_windows(codes, first, size):
+        a, b = int(first[d]), int(first[d + 1])
+        out[d] = codes[places] if b - a >= size else np.array([-1 - whole.setdefault(tuple(ids[a:b].tolist()), len(whole))])
+    return out
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Positions starts[i], starts[i]+1, ... of each run, end to end."""
     total = int(lengths.sum())

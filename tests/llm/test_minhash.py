@@ -137,3 +137,41 @@ def test_components_with_hubs_equal_brute_force(spark):
             label[q] = p
     got = components.connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()
     assert {r.node: r.component for r in got} == {i: find(i) for i in label} and len(got) == len(label)
+
+
+def morse(n):
+    """The Thue-Morse word of 2**n letters and its complement: any polynomial modulo a power of two gives both one hash from some n on."""
+    bits = "".join(str(i.bit_count() % 2) for i in range(1 << n))
+    return bits.translate({48: "a", 49: "b"}), bits.translate({48: "b", 49: "a"})
+
+
+@pytest.mark.parametrize("letters", [10, 12])
+def test_words_made_to_collide_are_told_apart(spark, letters):
+    a, b = morse(letters)
+    rows = [(1, f"one {a} two"), (2, f"one {b} two"), (3, a), (4, b), (5, f"ONE {a} two")]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), queries.OP2).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
+    raw = np.frombuffer(f"{a} {b}".encode(), np.uint8)
+    hashes = textvec.words(raw, np.array([0, len(raw)]), textvec.fold_words()).hashes
+    assert hashes[0] != hashes[1]
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 5, 9])
+def test_sets_hold_words_whatever_their_hashes(size, monkeypatch):
+    """With one hash for all words, shingles are still told apart by their words."""
+    rng = random.Random(size)
+    texts = [" ".join(rng.choice(["a", "b", "A", "cc", "ddd é"]) for _ in range(rng.randint(0, 30))) for _ in range(80)]
+    raw = "".join(texts).encode()
+    offsets = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    w = textvec.words(np.frombuffer(raw, np.uint8), offsets, textvec.fold_words())
+    want = [shingles(t, size) for t in texts]
+    for hashes in (w.hashes, np.zeros_like(w.hashes)):
+        _, cuts = textvec.shingle_sets(w._replace(hashes=hashes), size, [t.encode() for t in texts])
+        assert np.diff(cuts).tolist() == [len(s) for s in want]
+    sets = [set(s.tolist()) for s in textvec.exact_sets([t.encode() for t in texts], size)]
+    for x, p in zip(sets, want, strict=True):
+        for y, q in zip(sets, want, strict=True):
+            assert len(x & y) == len(p & q)
+    monkeypatch.setattr(textvec, "word_numbers", lambda t, f=textvec.word_numbers: (*f(t)[:2], 1 << 40))  # too many words for one number
+    sets = [set(s.tolist()) for s in textvec.exact_sets([t.encode() for t in texts], size)]
+    assert [len(s) for s in sets] == [len(s) for s in want]

@@ -279,3 +279,33 @@ def test_the_curve_is_that_of_the_metadata(spark):
         size = min(15, max(0, math.floor(math.log2(len(r.text.encode()) + 8) * 1.5 - 8)))
         assert got[r.doc_id] == places[level(r.lang) << 8 | size << 4 | level(r.source)]
     assert sorted(places) == list(range(1 << 12))
+
+
+@pytest.mark.parametrize("letters", [10, 12])
+def test_words_made_to_collide_keep_their_ids(spark, letters):
+    from test_minhash import morse
+    from tokenizers import Tokenizer
+
+    a, b = morse(letters)
+    rows = [(1, f"say {a} now"), (2, f"say {b} now")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    t = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    want = {i: zlib.crc32(np.array([*t.encode(x, add_special_tokens=False).ids, 1], "<u4").tobytes()) for i, x in rows}
+    assert {r.doc_id: r.ids_crc32 for r in packing.packed(df).collect()} == want
+    got = {r.doc_id: r for r in pieces.digests(df).collect()}
+    assert got[1].ids_crc32 != got[2].ids_crc32 and got[1].round_trip and got[2].round_trip
+
+
+def test_words_of_one_hash_are_compared_by_their_bytes():
+    from dbpulse.llm import wordcache
+
+    rng = np.random.default_rng(2)
+    cache = wordcache.WordCache(lambda words: [[ord(c) for c in w] for w in words], most=40, recent=7)
+    for _ in range(60):
+        words = ["".join(rng.choice(list("abc"), rng.integers(1, 5))) for _ in range(30)]
+        raw = np.frombuffer("".join(words).encode(), np.uint8)
+        ends = np.cumsum([len(w) for w in words])
+        starts = ends - [len(w) for w in words]
+        hashes = np.array([len(w) % 2 + 2 * (w[0] == "a") for w in words], np.uint64)  # four hashes for 120 words
+        ids, lengths = cache.encode(raw, starts, ends, hashes)
+        assert bytes(ids.astype(np.uint8)) == raw.tobytes() and lengths.tolist() == [len(w) for w in words]
