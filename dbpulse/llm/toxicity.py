@@ -9,8 +9,8 @@ toxic and clean alike, by cosine. They are found in an inverted index whose post
 lists are cut into blocks of examples with the largest weight of each: the most
 promising blocks are opened first, and of the others only those that can still
 reach the k-th best. Votes weighted by distance are calibrated on the examples
-themselves, each scored without itself. For the same reason an example with just the
-document's vector has no vote: a wrong label can't condemn its own copies. Labelled
+themselves, each scored without itself and what has just its vector. In scoring every
+example has its vote, so a copy of an example is judged as that was labelled. Labelled
 rows that copy one another are one example, or every word of a toxic text that was
 copied often would look toxic and its copies would be all the neighbours there are.
 """
@@ -306,7 +306,7 @@ def _scores(model: ToxicModel, raw: np.ndarray, offsets: np.ndarray, fold: np.nd
     while group := list(islice(rows, 128)):
         vectors = [_vector(idx, counts, model.weights) for _, idx, counts in group]
         for (row, _, _), (idx, val), common in zip(group, vectors, model.index.common_part(vectors), strict=True):
-            near, cosine = model.index.top(idx, val, model.params.neighbours, common=common, most=OTHER)
+            near, cosine = model.index.top(idx, val, model.params.neighbours, common=common)
             out[row] = model.calibrated(model.vote(near, cosine))
             why[row] = (near[:3], idx[np.argsort(-val, kind="stable")[:3]])
     return out, why

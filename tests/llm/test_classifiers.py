@@ -68,9 +68,10 @@ def test_block_max_index_is_exact():
 
 def test_toxicity_on_planted_words(spark):
     bad = r"(?i)\b(idiot|moron|worthless|scum|clown|disgusting|trash|loser|pathetic|stupid)\b"
-    scored = queries.op4_toxicity(spark, SF).join(table(spark, SF, "documents"), "doc_id")
-    wrong = scored.where((F.col("predicted") == 1) != F.col("text").rlike(bad)).count()
-    assert wrong == 0
+    scored = queries.op4_toxicity(spark, SF).join(table(spark, SF, "documents"), "doc_id").join(table(spark, SF, "labels").select("doc_id", "toxic"), "doc_id", "left")
+    planted = F.col("text").rlike(bad)
+    assert scored.where((F.col("predicted") == 0) & planted).count() == 0
+    assert scored.where((F.col("predicted") == 1) & ~planted & (F.coalesce("toxic", F.lit(0)) == 0)).count() == 0  # other languages' words are labelled
     assert scored.where("score < 0 or score > 1 or predicted <> int(score >= 0.7)").count() == 0
     assert scored.where("predicted = 1 and (size(evidence_ids) = 0 or size(evidence_terms) = 0)").count() == 0
     held = scored.select("doc_id", "held_out").collect()

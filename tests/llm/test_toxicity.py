@@ -71,7 +71,7 @@ def plain(docs, labels, floor=0.02, k=15, bins=20):
 
     def vote(v, without=None):
         near = sorted((-product(v, u), m, share) for m, u, share in texts if m != without)
-        pull = [((1.05 - min(1.0, -c)) ** -2 - 1.05**-2, share) for c, _, share in [x for x in near if 0 < -x[0] <= 1 - 1e-9][:k]]
+        pull = [((1.05 - min(1.0, -c)) ** -2 - 1.05**-2, share) for c, _, share in [x for x in near if 0 < -x[0] <= (2 if without is None else 1 - 1e-9)][:k]]
         return sum(p * y for p, y in pull) / sum(p for p, _ in pull) if pull else 0.0
 
     hits, seen = [(b + 0.5) / bins * 2 for b in range(bins)], [2.0] * bins
@@ -111,11 +111,29 @@ def test_ties_repeats_and_clashing_labels_equal_brute_force(spark):
 
 
 def test_held_out_recall_and_clean_documents(spark):
-    sf = "/root/testdata/sf0.01"
-    rows = queries.op4_toxicity(spark, sf).where("held_out").join(table(spark, sf, "labels"), "doc_id").join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id").collect()
-    english = [r.predicted for r in rows if r.toxic == 1 and r.lang == "en"]
-    clean = [r.predicted for r in rows if r.toxic == 0]
-    assert len(english) >= 10 and np.mean(english) > 0.8 and np.mean(clean) < 0.02
+    sf = "/root/testdata/sf0.1"
+    rows = queries.op4_toxicity(spark, sf).join(table(spark, sf, "labels"), "doc_id").join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id").select("held_out", "lang", "toxic", "predicted").collect()
+    found = defaultdict(list)
+    for r in rows:
+        if r.held_out:
+            found[r.lang if r.toxic else "clean"].append(r.predicted)
+    least = {"en": 0.9, "fr": 0.9, "de": 0.8, "es": 0.75}  # of 82, 30, 20 and 12 documents
+    assert all(np.mean(found[lang]) >= share for lang, share in least.items()) and len(found) == 5
+    assert np.mean([p for lang in least for p in found[lang]]) >= 0.9 and np.mean(found["clean"]) <= 0.01
+    learnt = [r.predicted for r in rows if r.toxic == 1 and not r.held_out]
+    assert np.mean(learnt) > 0.99
+
+
+def test_a_copy_of_an_example_has_its_vote(spark):
+    texts = [("you are an idiot of the worst kind", 1), ("what a worthless and disgusting moron", 1), ("the meeting takes place on monday at ten", 0), ("please find the report in the usual folder", 0)]
+    learnt = [i for i in range(40) if zlib.crc32(str(i).encode()) % 3 != 1]
+    held = [i for i in range(40) if zlib.crc32(str(i).encode()) % 3 == 1]
+    rows = [(ids[n], t, y) for ids in (learnt, held) for n, (t, y) in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    for r in toxicity.score(df.select("doc_id", "text"), model).join(df.select("doc_id", "toxic"), "doc_id").collect():
+        assert r.predicted == r.toxic and r.evidence_ids and r.evidence_terms
+        assert (r.score >= 0.7) == (r.toxic == 1)
 
 
 def test_copies_of_a_toxic_text_do_not_make_its_words_toxic(spark):
