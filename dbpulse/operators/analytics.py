@@ -215,6 +215,50 @@ def host_stats(raw: DataFrame, top_n: int = 30, **where) -> DataFrame:
     return out.where("row_count >= 3").orderBy(F.desc("p95"), F.desc("total_occurrences"), "host").limit(_bounded("top_n", top_n, 200))
 
 
+BINS = 1_024  # of a histogram
+
+
+def ranked_percentiles(rows: DataFrame, key: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """(key, one column for each share): exact percentiles of whole numbers, between neighbours in proportion.
+
+    The rank that a share asks for is looked for in a histogram of the key's range, then in one of the bin that holds it, until a
+    bin is one number. A round adds up at most ``BINS`` counts for each key and share, whatever the key's number of rows or
+    of different values, so no task holds the values of a key with very many. The range decides the rounds: two for a million.
+    """
+    # integral values only: bins are of whole numbers
+    counted = rows.where(F.col(value).isNotNull()).groupBy(F.col(key).alias("k"), F.col(value).cast("long").alias("v")).agg(F.count("*").alias("n"))
+    low, high = counted.agg(F.min("v"), F.max("v")).first()
+    rounds, width = 1, BINS
+    while low is not None and width <= high - low:
+        rounds, width = rounds + 1, width * BINS
+    place = lambda q: F.lit(q) * (F.col("total") - 1)
+    want = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), end.alias("end"), f(place(q)).cast("long").alias("rank")) for name, q in shares.items() for end, f in ((F.lit(0), F.floor), (F.lit(1), F.ceil))]))
+    totals = counted.groupBy("k").agg(F.sum("n").alias("total"))
+    open_ = totals.select("k", "total", want.alias("w")).select("k", "total", "w.*", F.lit(low or 0).cast("long").alias("start"), F.lit(0).cast("long").alias("before"))
+    for r in range(rounds):
+        width = BINS ** (rounds - 1 - r)
+        asked = open_.select("k", "name", "end", "rank", "start", "before")
+        bin_ = F.floor((F.col("v") - F.col("start")) / F.lit(width)) if width > 1 else F.col("v") - F.col("start")
+        within = counted.join(asked, "k").where((F.col("v") >= F.col("start")) & (F.col("v") - F.col("start") < F.lit(width) * BINS))
+        bins = within.groupBy("k", "name", "end", "rank", "start", "before", bin_.cast("long").alias("bin")).agg(F.sum("n").alias("n"))
+        upto = F.col("before") + F.sum("n").over(Window.partitionBy("k", "name", "end").orderBy("bin"))  # BINS rows at most
+        found = bins.withColumn("upto", upto).where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n")))
+        open_ = found.select("k", "name", "end", "rank", (F.col("start") + F.col("bin") * F.lit(width)).alias("start"), (F.col("upto") - F.col("n")).alias("before"))
+    ends = lambda name, end: F.max(F.when((F.col("name") == name) & (F.col("end") == end), F.col("start")))
+    both = open_.groupBy("k").agg(*[ends(name, end).alias(f"{name}_{end}") for name in shares for end in (0, 1)]).join(totals, "k")
+    part = lambda name, q: F.when(F.col(f"{name}_0") == F.col(f"{name}_1"), F.col(f"{name}_0").cast("double")).otherwise((F.ceil(place(q)) - place(q)) * F.col(f"{name}_0") + (place(q) - F.floor(place(q))) * F.col(f"{name}_1"))
+    return both.select(F.col("k").alias(key), *[part(name, q).alias(name) for name, q in shares.items()])
+
+
+def host_stats_ranked(raw: DataFrame, top_n: int = 30, **where) -> DataFrame:
+    """What ``host_stats`` gives, for hosts with any number of rows and of different occurrences."""
+    rows = filters.analytics(raw, **where).where("host is not null")
+    sums = rows.groupBy("host").agg(F.max("occurrence_count").cast("long").alias("max_occ"), F.sum("occurrence_count").cast("long").alias("total_occurrences"), F.count("*").alias("row_count"))
+    ranked = ranked_percentiles(rows, "host", "occurrence_count", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    out = sums.where("row_count >= 3").join(ranked, "host", "left").select("host", *[F.round(c, 1).alias(c) for c in ("p50", "p95", "p99")], "max_occ", "total_occurrences", "row_count")
+    return out.orderBy(F.desc("p95"), F.desc("total_occurrences"), "host").limit(_bounded("top_n", top_n, 200))
+
+
 def co_occurrence(raw: DataFrame, limit: int = 200, both_only: bool = False, **where) -> DataFrame:
     """Blockers and deadlocks by host and month, in one pass."""
     rows = filters.analytics(raw, **where).where(F.col("type").isin("blocker", "deadlock") & F.col("host").isNotNull() & F.col("month_year").isNotNull())

@@ -28,6 +28,29 @@ def page(df: DataFrame, order: list[Column], limit: int = 50, offset: int = 0) -
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+def after(df: DataFrame, sort_by: str = "id", descending: bool = True, last_id: int | None = None, last_value=None, limit: int = 50) -> DataFrame:
+    """The page that follows a row, known by its id and the value it was sorted by; the first page without an id.
+
+    The row's place is a range predicate that reaches the scan, so a page costs the same wherever it is: an offset reads
+    and orders all that it leaves out. Rows with a null value come where ``ordering`` puts them.
+    """
+    if not 1 <= limit <= 200:
+        raise ValueError("limit is 1 to 200")
+    order, rows = ordering(sort_by, descending), df
+    if last_id is not None:
+        value, beyond = F.col(sort_by), (lambda c, v: c < v) if descending else (lambda c, v: c > v)
+        tied = beyond(F.col("id"), last_id)
+        if sort_by == "id":
+            rows = df.where(tied)
+        elif last_value is None:
+            rows = df.where(value.isNull() & tied) if descending else df.where(value.isNotNull() | tied)
+        else:
+            place = (value <= last_value) if descending else (value >= last_value)  # what the scan can use
+            later = place & (beyond(value, last_value) | tied)
+            rows = df.where(later | value.isNull()) if descending else df.where(later)
+    return rows.orderBy(*order).limit(limit)
+
+
 def list_queries(raw: DataFrame, curated: DataFrame, *, sort_by: str = "id", descending: bool = True, limit: int = 50, offset: int = 0, **where) -> DataFrame:
     """A page of rows with the id of their curated record, if any."""
     rows = page(filters.listing(raw, curated, **where), ordering(sort_by, descending), limit, offset)

@@ -19,17 +19,28 @@ LINK_KEYS = {
 }
 
 
+HOT = 1_000  # a key with more than one in so many rows is joined apart; there are fewer such keys than that
+
+
 def null_safe_first(details: DataFrame, common: DataFrame, pairs: list[tuple[str, str]], out: str = "raw_query_id", blank_is_null: bool = False) -> DataFrame:
     """Detail rows with the smallest id of the common rows whose keys are equal, nulls being equal to nulls.
 
-    The common side is one row per key before the join, so nothing fans out.
+    Keys are joined by one SHA-256 of them all, made where the rows are read, so no text is shuffled for its own sake. The
+    common side is one row per key before the join, so nothing fans out. Keys that many details share are found by a
+    count first, and joined by sending these few to every task, so no task gets all rows of one key.
     """
     value = lambda c: F.nullif(c, F.lit("")) if blank_is_null else c
-    least = common.groupBy(*[value(F.col(b)).alias(f"__k{i}") for i, (_, b) in enumerate(pairs)]).agg(F.min("id").alias("__id"))
-    on = reduce(lambda x, y: x & y, [value(details[a]).eqNullSafe(F.col(f"__k{i}")) for i, (a, _) in enumerate(pairs)])
-    joined = details.join(least, on, "left")
+    digest = lambda df, names: F.unhex(F.sha2(F.to_json(F.struct(*[value(df[c]).cast("string").alias(f"k{i}") for i, c in enumerate(names)])), 256))  # noqa: E731  nulls are left out, so they differ from empty texts
+    least = common.select(digest(common, [b for _, b in pairs]).alias("__key"), "id").groupBy("__key").agg(F.min("id").alias("__id"))
+    keyed = details.withColumn("__own", digest(details, [a for a, _ in pairs]))
+    total = keyed.agg(F.count("*").alias("__total"))
+    counts = keyed.groupBy(F.col("__own").alias("__hot")).agg(F.count("*").alias("__n"))
+    hot = F.broadcast(counts.crossJoin(F.broadcast(total)).where(F.col("__n") * HOT > F.col("__total")).select("__hot"))
+    marked = keyed.join(hot, F.col("__own") == F.col("__hot"), "left")
+    few = least.join(hot, F.col("__key") == F.col("__hot"), "left_semi")  # no more rows than there are hot keys
+    joined = marked.where("__hot is null").join(least, F.col("__own") == F.col("__key"), "left").unionByName(marked.where("__hot is not null").join(F.broadcast(few), F.col("__own") == F.col("__key"), "left"))
     link = F.coalesce(out, "__id") if out in details.columns else F.col("__id")
-    return joined.withColumn(out, link).drop("__id", *[f"__k{i}" for i in range(len(pairs))])
+    return joined.withColumn(out, link).drop("__id", "__key", "__own", "__hot")
 
 
 def link(details: DataFrame, raw: DataFrame, kind: str, blank_is_null: bool = False) -> DataFrame:

@@ -16,7 +16,12 @@ def normalised(rows: DataFrame, now: Column) -> DataFrame:
     Of rows with one key the first by ``seq`` stays and occurrences add up. ``rows`` has time, source, host, db_name,
     environment, type, query_details, seq, and may have occurrence_count and extra_metadata.
     """
-    return _seen_now(deduplicated(keyed(rows).withColumn("month_year", month_of(F.col("time")))), now)
+    return settled(keyed(rows), now)
+
+
+def settled(keyed_rows: DataFrame, now: Column) -> DataFrame:
+    """Keyed common rows as raw_query rows, one per key."""
+    return _seen_now(deduplicated(keyed_rows.withColumn("month_year", month_of(F.col("time")))), now)
 
 
 def keyed(rows: DataFrame) -> DataFrame:
@@ -42,8 +47,13 @@ def keyed(rows: DataFrame) -> DataFrame:
 
 def normalised_details(rows: DataFrame, now: Column) -> DataFrame:
     """Detail rows keyed by their ``hash_parts``, one per key with the number of rows it stands for."""
+    return settled_details(keyed_details(rows), now)
+
+
+def settled_details(keyed_rows: DataFrame, now: Column) -> DataFrame:
+    """Keyed detail rows, one per key."""
     month = F.coalesce("month_year", month_in(F.col("hash_parts")))
-    counted = keyed_details(rows).withColumn("month_year", month).withColumn("occurrence_count", F.lit(1).cast("long")).withColumn("raw_query_id", F.lit(None).cast("long"))
+    counted = keyed_rows.withColumn("month_year", month).withColumn("occurrence_count", F.lit(1).cast("long")).withColumn("raw_query_id", F.lit(None).cast("long"))
     return _seen_now(deduplicated(counted.drop("hash_parts")), now)
 
 
@@ -64,10 +74,10 @@ def _seen_now(rows: DataFrame, now: Column) -> DataFrame:
     return rows.withColumns({c: now for c in ("first_seen", "last_seen", "created_at", "updated_at")})
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str = "query_hash", order: str = "seq") -> DataFrame:
-    """The next snapshot: new keys are added, known keys keep their content, add occurrences and were seen last now.
+def upsert(old: DataFrame, new: DataFrame, key: str = "query_hash", order: str = "seq", after: int | None = None) -> DataFrame:
+    """The next rows: new keys are added, known keys keep their content, add occurrences and were seen last now.
 
-    Ids go on densely from the largest, by ``order``; what ``new`` has beyond the table's columns is dropped.
+    Ids go on densely by ``order`` from ``after``, or from the largest of ``old``; what ``new`` has beyond the table's columns is dropped.
     """
     fresh = new.select(F.col(key).alias("__key"), F.col("occurrence_count").alias("__n"), F.col("last_seen").alias("__seen"), F.col("updated_at").alias("__updated"))
     kept = old.join(fresh, old[key] == F.col("__key"), "left").select(
@@ -82,21 +92,24 @@ def upsert(old: DataFrame, new: DataFrame, key: str = "query_hash", order: str =
             for c in old.columns
         ]
     )
-    added = numbered(new.join(old.select(F.col(key).alias("__old")), F.col(key) == F.col("__old"), "left_anti"), order, old)
+    added = numbered(new.join(old.select(F.col(key).alias("__old")), F.col(key) == F.col("__old"), "left_anti"), order, old if after is None else after)
     given = set(added.columns)
     return kept.unionByName(added.select(*[F.col(f.name).cast(f.dataType) if f.name in given else F.lit(None).cast(f.dataType).alias(f.name) for f in old.schema.fields]))
 
 
-def numbered(rows: DataFrame, order: str, after: DataFrame, id_col: str = "id") -> DataFrame:
-    """Rows with ids that go on densely from the largest in ``after``, by a whole-number order.
+def numbered(rows: DataFrame, order: str, after: DataFrame | int, id_col: str = "id") -> DataFrame:
+    """Rows with ids that go on densely from ``after``, a number or the largest in a table, by a whole-number order.
 
     Rows are ranked within runs of 65,536 values of the order, so their number of tasks follows the rows.
     """
     dealt = rows.withColumn("__part", F.floor(F.col(order) / 65_536).cast("long"))
     sizes = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row per run
-    last = after.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("__last"))
-    starts = sizes.select("__part", before.alias("__before")).crossJoin(F.broadcast(last))
+    starts = sizes.select("__part", before.alias("__before"))
+    if isinstance(after, int):
+        starts = starts.withColumn("__last", F.lit(after).cast("long"))
+    else:
+        starts = starts.crossJoin(F.broadcast(after.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("__last"))))
     rank = F.row_number().over(Window.partitionBy("__part").orderBy(order))
     return dealt.withColumn("__rank", rank).join(starts, "__part").withColumn(id_col, F.col("__last") + F.col("__before") + F.col("__rank")).drop("__part", "__rank", "__before", "__last")
 

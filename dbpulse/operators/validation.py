@@ -84,6 +84,13 @@ def facts(df: DataFrame, category: str) -> DataFrame:
     return df.agg(F.count("*").alias("__rows"), *[F.avg(F.col(f"`{c}`").isNull().cast("int")).alias(c) for c in present])
 
 
+def facts_of_files(df: DataFrame, category: str) -> dict[str, dict]:
+    """The facts by file name, in one aggregate; files without rows aren't there."""
+    present = [c for c in REQUIRED.get(category, []) if c in own_columns(df)]
+    rows = df.groupBy("file_name").agg(F.count("*").alias("__rows"), *[F.avg(F.col(f"`{c}`").isNull().cast("int")).alias(c) for c in present])
+    return {r.file_name: {k: v for k, v in r.asDict().items() if k != "file_name"} for r in rows.collect()}  # a row for each file
+
+
 def findings(columns: list[str], seen: dict, category: str, environment: str) -> list[Finding]:
     """The findings that a file's columns, facts and name give. Each rule is (holds, finding); the first three end the matter."""
     if category not in REQUIRED:
@@ -108,7 +115,10 @@ def validate(df: DataFrame, category: str, environment: str) -> Report:
     """Everything there is to say about a file before it is taken in; one aggregate and a few sample rows."""
     columns = own_columns(df)
     seen = facts(df, category).first().asDict() if category in REQUIRED else {"__rows": 0}
-    found = findings(columns, seen, category, environment)
-    shares = {c: round(float(seen[c]), 4) for c in seen if c != "__rows" and seen[c] is not None}
     rows = sample(df.select(*[F.col(f"`{c}`") for c in columns])).collect() if seen["__rows"] else []
-    return Report(found, seen["__rows"], shares, [r.asDict() for r in rows])
+    return report(columns, seen, category, environment, [r.asDict() for r in rows])
+
+
+def report(columns: list[str], seen: dict, category: str, environment: str, rows: list[dict]) -> Report:
+    shares = {c: round(float(seen[c]), 4) for c in seen if c != "__rows" and seen[c] is not None}
+    return Report(findings(columns, seen, category, environment), seen["__rows"], shares, rows)

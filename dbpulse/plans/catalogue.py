@@ -641,4 +641,4 @@ def readable_fingerprint(spark, d):
     return load(spark, d, "orders").select(k.alias("id"), text.parameter_count(shape).alias("parameters"), text.readable(shape).alias("sql"))
 
 
-from . import entries  # noqa: E402,F401  the other half registers itself
+from . import entries, stored  # noqa: E402,F401  the others register themselves

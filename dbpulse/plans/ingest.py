@@ -1,7 +1,8 @@
 """From files to the tables: read, validate, project, deduplicate, upsert, log, link.
 
-Files that come together are united by kind and taken in at once: every table is
-rewritten once, however many files there are.
+Files that come together are united by kind and header and taken in at once: every
+file is read once, and of every table the buckets into which its rows fall are
+written once, however many files there are.
 """
 
 from __future__ import annotations
@@ -18,12 +19,13 @@ from pyspark.sql import functions as F
 from ..functions.kinds import environment_of, file_category
 from ..functions.times import month_of
 from ..operators import linking, merge
-from ..operators.validation import Report, validate
+from ..operators.validation import Report, facts_of_files, own_columns, report, validate  # noqa: F401
 from ..schemas import DETAILS
 from ..sources import csv, layouts
 from ..sources.store import Store
 
 FILE_BITS = 47  # a file's rows are numbered below this bit, files above it
+TRIES = 8  # of a write that others got in the way of
 
 
 class Invalid(ValueError):
@@ -69,6 +71,14 @@ def upload_row(uploads: DataFrame, outcome: Outcome, common: DataFrame, place: i
     )
 
 
+@dataclass(frozen=True)
+class Group:
+    """Files of one kind and one header: their rows, with ``file_name`` and ``seq``."""
+
+    rows: DataFrame
+    category: str
+
+
 def ingest_file(store: Store, path: str, only_once: bool = False) -> Outcome | None:
     """Takes a file in. With ``only_once`` a file that is logged already is left alone and None returned."""
     df = csv.read_file(store.spark, path)
@@ -85,41 +95,83 @@ def ingest_frames(store: Store, files: Sequence[tuple[DataFrame, str]], only_onc
     ``step`` names the intake. An intake that failed between two of its writes can be repeated under the same name:
     what it has written stays, so that no occurrence counts twice. With ``only_once`` the files' names are such a name.
     """
+    kinds = names_facts(store.spark, [name for _, name in files])
+    groups = [Group(df.withColumn("file_name", F.lit(name)), kinds[name][0]) for df, name in files]
+    return ingest_groups(store, groups, [name for _, name in files], only_once, step)[0]
+
+
+def names_facts(spark: SparkSession, names: Sequence[str]) -> dict[str, tuple[str, str]]:
+    """(category, environment) that each file's name tells."""
+    rows = spark.createDataFrame([(n,) for n in names], "name string").select("name", file_category(F.col("name")).alias("c"), environment_of(F.col("name")).alias("e"))
+    return {r.name: (r.c, r.e) for r in rows.collect()}
+
+
+def ingest_groups(store: Store, groups: Sequence[Group], names: Sequence[str], only_once: bool = False, step: str = "", valid_only: bool = False) -> tuple[list[Outcome], dict[str, Report]]:
+    """Takes in files by their groups, in the order of their names; the number of jobs follows the groups, not the files.
+
+    Returns what became of each file, and the reports of invalid ones. Without ``valid_only`` an invalid file stops all.
+    """
     if only_once:
-        logged = {r.filename for r in store.read("upload_log").where(F.col("filename").isin([n for _, n in files])).select("filename").collect()}
-        files = [(df, n) for df, n in files if n not in logged]
-        step = step or "\n".join(n for _, n in files)
-    if not files:
-        return []
+        logged = {r.filename for r in store.read("upload_log").where(F.col("filename").isin(list(names))).select("filename").collect()}
+        names = [n for n in names if n not in logged]
+        step = step or "\n".join(names)
+    if not names:
+        return [], {}
     token = _token(store, step) if step else ""
-    facts = [name_facts(store.spark, name) for _, name in files]
-    reports = [validate(df, *fact) for (df, _), fact in zip(files, facts, strict=True)]
-    for report in reports:
-        if not report.is_valid:
-            raise Invalid(report)
+    kinds = names_facts(store.spark, names)
+    seen = [facts_of_files(g.rows, g.category) for g in groups]
+    reports = {}
+    for name in names:
+        category, environment = kinds[name]
+        g, facts = next(((g, s[name]) for g, s in zip(groups, seen, strict=True) if name in s), (None, {"__rows": 0}))
+        reports[name] = report(own_columns(g.rows) if g else [], facts, category, environment, [])
+    bad = {n: r for n, r in reports.items() if not r.is_valid}
+    if bad and not valid_only:
+        raise Invalid(next(iter(bad.values())))
+    names = [n for n in names if n not in bad]
+    if not names:
+        return [], bad
     # a file's rows keep their order, and files theirs
-    marked = [df.withColumn("seq", F.col("seq") + F.lit(i << FILE_BITS)) for i, (df, _) in enumerate(files)]
+    numbers = F.broadcast(store.spark.createDataFrame(list(enumerate(names)), "__file long, file_name string"))
     commons, by_kind = [], {}
-    for df, (category, _) in zip(marked, facts, strict=True):
-        common, detail = extract(df, category)
-        commons.append(common)
-        by_kind.setdefault(category, []).append(detail)
+    for g in groups:
+        if pair := extract(g.rows.join(numbers, "file_name").withColumn("seq", F.col("seq") + F.shiftleft("__file", FILE_BITS)).drop("__file"), g.category):
+            commons.append(pair[0])
+            by_kind.setdefault(g.category, []).append(pair[1])
     now = F.current_timestamp()
-    united = reduce(DataFrame.unionByName, commons)
-    counts = _counts(store.before("raw_query", token), merge.keyed(united))
-    details = {kind: reduce(DataFrame.unionByName, parts) for kind, parts in by_kind.items()}
-    detail_counts = {kind: _counts(store.before(layouts.BY_CATEGORY[kind][2], token), merge.keyed_details(rows)) for kind, rows in details.items()}
-    store.write("raw_query", merge.upsert(store.read("raw_query"), merge.normalised(united, now)), token)
-    for kind, rows in details.items():
+    # every file is read and parsed once; all that follows starts from the staged rows
+    staged = {"raw_query": store.stage("raw_query", merge.keyed(reduce(DataFrame.unionByName, commons)))}
+    for kind, parts in by_kind.items():
         table = layouts.BY_CATEGORY[kind][2]
-        store.write(table, merge.upsert(store.read(table), merge.normalised_details(rows, now)), token)
-    outcomes = [Outcome(name, kind, environment, report.row_count, *counts.get(i, (0, 0)), *detail_counts[kind].get(i, (0, 0))) for i, ((_, name), (kind, environment), report) in enumerate(zip(files, facts, reports, strict=True))]
-    uploads = store.read("upload_log")
-    log = [upload_row(uploads, outcome, common, i) for i, (outcome, common) in enumerate(zip(outcomes, commons, strict=True), 1)]
-    store.write("upload_log", merge.replace_by_key(uploads, reduce(DataFrame.unionByName, log), "filename"), token)
-    for kind in details:
+        staged[table] = store.stage(table, merge.keyed_details(reduce(DataFrame.unionByName, parts)))
+    counts = {t: _counts(store.before(t, token, s.buckets), s.rows) for t, s in staged.items()}
+    months = {r.file: r.month for r in staged["raw_query"].rows.groupBy(F.shiftright("seq", FILE_BITS).alias("file")).agg(month_of(F.min_by("time", "seq")).alias("month")).collect()}  # a row per file
+    for table, rows in staged.items():
+        settle = merge.settled if table == "raw_query" else merge.settled_details
+        store.rewrite(table, rows, lambda old, new, t=table, f=settle: _upserted(store, t, old, f(new, now), token), token, TRIES)
+    outcomes = []
+    for i, name in enumerate(names):
+        kind, environment = kinds[name]
+        outcomes.append(Outcome(name, kind, environment, reports[name].row_count, *counts["raw_query"].get(i, (0, 0)), *counts[layouts.BY_CATEGORY[kind][2]].get(i, (0, 0))))
+    _log(store, outcomes, months, token)
+    for kind in by_kind:
         link_details(store, kind)
-    return outcomes
+    return outcomes, bad
+
+
+def _upserted(store: Store, table: str, old: DataFrame, new: DataFrame, token: str) -> DataFrame:
+    """The next rows of the buckets touched, with ids that no other writer gets."""
+    fresh = new.select("query_hash").join(old.select("query_hash"), "query_hash", "left_anti").count()
+    return merge.upsert(old, new, after=store.reserve_ids(table, fresh, token))
+
+
+def _log(store: Store, outcomes: list[Outcome], months: dict[int, str | None], token: str) -> None:
+    """Logs the files in place of earlier rows of the same names."""
+    if token and token in store.tokens("upload_log"):
+        return
+    first, now = store.reserve_ids("upload_log", len(outcomes), token), dt.datetime.now(dt.UTC).isoformat()
+    rows = [(first + i, o.file_name, o.file_type, o.environment, months.get(i - 1), o.rows, o.inserted, o.updated, now) for i, o in enumerate(outcomes, 1)]
+    store.rewrite("upload_log", store.spark.createDataFrame(rows, store.schema("upload_log")), lambda old, new: merge.replace_by_key(old, new, "filename"), token, TRIES)
 
 
 def _token(store: Store, step: str) -> str:
@@ -135,16 +187,28 @@ def _counts(old: DataFrame, keyed: DataFrame) -> dict[int, tuple[int, int]]:
 
 
 def link_details(store: Store, category: str, blank_is_null: bool = False) -> None:
+    """Links detail rows that have no common row yet; only the buckets of those that find one are written."""
     kind = {"slow_query_sql": "slow_query"}.get(category, category)
     table = DETAILS[kind][0]
-    raw, details = store.read("raw_query"), store.read(table)
+    raw, details = store.read("raw_query"), store.read(table).where("raw_query_id is null")
     linked = linking.link(details, raw, kind, blank_is_null)
     if kind == "slow_query_mongo":
         linked = linking.link_by_hash(linked, raw.where(F.col("type") == kind))
-    store.write(table, linked)
+    staged = store.stage(table, linked.where("raw_query_id is not null").select("query_hash", F.col("raw_query_id").alias("__link")))
+    if staged.buckets:
+        store.rewrite(table, staged, _with_links, tries=TRIES)
+
+
+def _with_links(old: DataFrame, links: DataFrame) -> DataFrame:
+    both = old.join(links.withColumnRenamed("query_hash", "__key"), F.col("query_hash") == F.col("__key"), "left")
+    return both.withColumn("raw_query_id", F.coalesce("raw_query_id", "__link")).select(*old.columns)
 
 
-def ingest_path(store: Store, path: str, only_once: bool = False) -> list[Outcome]:
-    """Takes in a file, or every known CSV file of a folder at once."""
-    found = [(csv.read_file(store.spark, p), p.rsplit("/", 1)[-1]) for p, _ in csv.list_files(store.spark, path)]
-    return ingest_frames(store, found, only_once)
+def ingest_path(store: Store, path: str, only_once: bool = False, valid_only: bool = False) -> list[Outcome]:
+    """Takes in a file, or every known CSV file of a folder at once; with ``valid_only`` the valid ones of them."""
+    found = csv.list_files(store.spark, path)
+    by_header: dict[tuple, list[str]] = {}
+    for p, kind in found:
+        by_header.setdefault((kind, *csv.header(store.spark, p)), []).append(p)
+    groups = [Group(csv.read_split(store.spark, paths, list(columns)), kind) for (kind, *columns), paths in by_header.items() if columns]
+    return ingest_groups(store, groups, [p.rsplit("/", 1)[-1] for p, _ in found], only_once, valid_only=valid_only)[0]

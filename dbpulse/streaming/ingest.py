@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.kinds import file_category
 from ..functions.times import event_time
-from ..plans.ingest import ingest_frames
+from ..plans.ingest import Group, ingest_groups, names_facts
 from ..sources.csv import OPTIONS
 from ..sources.store import Store
 
@@ -31,7 +32,9 @@ def start(store: Store, folder: str, columns: list[str], checkpoint: str, availa
     def batch(df: DataFrame, _: int) -> None:
         rows = df.withColumn("seq", F.monotonically_increasing_id())
         names = [r.file_name for r in rows.select("file_name").distinct().orderBy("file_name").collect()]  # at most files_per_batch
-        ingest_frames(store, [(rows.where(F.col("file_name") == name), name) for name in names], only_once=True)
+        kinds = {kind for kind, _ in names_facts(store.spark, names).values()} if names else set()
+        groups = [Group(rows.where(file_category(F.col("file_name")) == kind), kind) for kind in sorted(kinds)]
+        ingest_groups(store, groups, names, only_once=True)
 
     writer = incoming(store.spark, folder, columns).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
