@@ -144,11 +144,10 @@ def _blank(c: str, other: str = "") -> Column:
 
 
 def _siblings(rows: DataFrame, **columns: Column) -> DataFrame:
-    """For each database and host the columns of its first whole parametrised statement."""
-    whole = rows.where(F.col("query_details").like("(@P?%"))
-    bodies = whole.select("id", _blank("db_name"), _blank("host"), without_header(F.col("query_details")).alias("body")).where(~F.col("body").like("(@p%"))
-    first = bodies.groupBy("db_name", "host").agg(F.min("id").alias("sibling"))
-    return first.join(whole.select(F.col("id").alias("sibling"), *[c.alias(k) for k, c in columns.items()]), "sibling").drop("sibling")
+    """For each database and host the columns of its first whole parametrised statement, in one pass."""
+    whole = rows.where(F.col("query_details").like("(@P?%")).withColumn("__body", without_header(F.col("query_details"))).where(~F.col("__body").like("(@p%"))
+    first = whole.groupBy(_blank("db_name"), _blank("host")).agg(F.min_by(F.struct(*[c.alias(k) for k, c in columns.items()]), "id").alias("__first"))
+    return first.select("db_name", "host", *[F.col("__first")[k].alias(k) for k in columns])
 
 
 def _shaped(rows: DataFrame, replace_all: bool, *texts: str) -> DataFrame:
@@ -172,7 +171,8 @@ def top_fingerprints(raw: DataFrame, top_n: int = 20, replace_all: bool = False,
     """The statement shapes with the most occurrences, with samples and where they occur.
 
     Examples are the host and database with the most occurrences, ties by name; the sample is that of the row with
-    the most, then the smallest id. Shapes are rolled up by ids alone, and whole texts are read for the winners only.
+    the most, then the smallest id. Shapes are rolled up by ids alone, so every text is read twice, for its shape and for what it
+    lends to others, and whole texts are kept for the winners only. Runs when called.
     """
     dims = ["type", "host", "db_name", "month_year", "environment", "source"]
     rows = _with_text(raw, where)
@@ -197,14 +197,17 @@ def top_fingerprints(raw: DataFrame, top_n: int = 20, replace_all: bool = False,
         most("db_name").alias("example_db"),
         F.min(of("source", F.col("value"))).alias("example_source"),
     )
-    top = rolled.orderBy(F.desc("count"), "fingerprint").limit(_bounded("top_n", top_n, 200)).withColumn("id", F.pmod(-F.col("best"), base).cast("long"))
-    # 200 rows at most meet the texts by id
-    sampled = rows.select("id", "query_details", _blank("host"), _blank("db_name")).join(F.broadcast(top), "id")
-    both = sampled.join(_siblings(rows, lent=F.col("query_details")), ["db_name", "host"], "left")
-    sample = F.coalesce(F.when(without_header(F.col("query_details")).like("(@p%"), F.col("lent")), F.col("query_details"))
-    text = lambda c: F.coalesce(c, F.lit("")).alias(c)
-    out = both.select("fingerprint", sample.alias("sample_query"), "count", "row_count", "by_type", "months", "environments", text("example_host"), text("example_db"), text("example_source"))
-    return out.orderBy(F.desc("count"), "fingerprint")
+    top = rolled.orderBy(F.desc("count"), "fingerprint").limit(_bounded("top_n", top_n, 200)).withColumn("id", F.pmod(-F.col("best"), base).cast("long")).drop("best")
+    # 200 rows at most: their texts are looked up by id, which a scan can use, and those of siblings by database and host
+    winners = top.collect()
+    found = rows.where(F.col("id").isin([w.id for w in winners])).select("id", "query_details", _blank("host"), _blank("db_name"), without_header(F.col("query_details")).like("(@p%").alias("cut")).collect()
+    cut = [r for r in found if r.cut]
+    near = rows.where(F.coalesce("host", F.lit("")).isin([r.host for r in cut]) & F.coalesce("db_name", F.lit("")).isin([r.db_name for r in cut]))
+    lent = {(r.db_name, r.host): r.lent for r in _siblings(near, lent=F.col("query_details")).collect()} if cut else {}
+    sample = {r.id: (lent.get((r.db_name, r.host)) if r.cut else None) or r.query_details for r in found}
+    out = [(w.fingerprint, sample[w.id], w["count"], w.row_count, sorted(w.by_type.items()), w.months, w.environments, w.example_host or "", w.example_db or "", w.example_source or "") for w in winners]
+    kinds = "fingerprint string, sample_query string, count long, row_count long, by_type array<struct<k: string, n: long>>, months array<string>, environments array<string>, example_host string, example_db string, example_source string"
+    return raw.sparkSession.createDataFrame(out, kinds).withColumn("by_type", F.map_from_entries("by_type")).orderBy(F.desc("count"), "fingerprint")
 
 
 def host_stats(raw: DataFrame, top_n: int = 30, **where) -> DataFrame:

@@ -472,22 +472,22 @@ def link_coverage(spark, d):
 
 
 #: A graph of two processes with stored procedure and ad-hoc statement, as logs write it.
-GRAPH = """2026-02-27 13:07:26.70 spid113s    deadlock-list
-2026-02-27 13:07:26.70 spid113s     deadlock victim=processAAA
-2026-02-27 13:07:26.70 spid113s      process-list
-2026-02-27 13:07:26.70 spid113s       process id=processAAA waitresource=KEY: 5:72 (ab) waittime=1200 ownerId=1 transactionname=user_transaction lockMode=U spid=61 hostname=APP1 currentdbname=shop lockTimeout=4294967295
-2026-02-27 13:07:26.70 spid113s        executionStack
-2026-02-27 13:07:26.70 spid113s         frame procname=shop.dbo.pay line=3
-2026-02-27 13:07:26.70 spid113s    UPDATE accounts SET n = 1
-2026-02-27 13:07:26.70 spid113s        inputbuf
-2026-02-27 13:07:26.70 spid113s    Proc [Database Id = 5 Object Id = 9]
-2026-02-27 13:07:26.70 spid113s       process id=processBBB waittime=7 lockMode=X spid=62 hostname=APP2 currentdbname=shop
-2026-02-27 13:07:26.70 spid113s        executionStack
-2026-02-27 13:07:26.70 spid113s         frame procname=adhoc line=1
-2026-02-27 13:07:26.70 spid113s    unknown
-2026-02-27 13:07:26.70 spid113s        inputbuf
-2026-02-27 13:07:26.70 spid113s    SELECT  a FROM b
-2026-02-27 13:07:26.70 spid113s       resource-list"""
+GRAPH = """2025-11-03 08:41:19.52 spid27s    deadlock-list
+2025-11-03 08:41:19.52 spid27s     deadlock victim=processAAA
+2025-11-03 08:41:19.52 spid27s      process-list
+2025-11-03 08:41:19.52 spid27s       process id=processAAA waitresource=KEY: 5:72 (ab) waittime=1200 ownerId=1 transactionname=user_transaction lockMode=U spid=61 hostname=APP1 currentdbname=shop lockTimeout=4294967295
+2025-11-03 08:41:19.52 spid27s        executionStack
+2025-11-03 08:41:19.52 spid27s         frame procname=shop.dbo.pay line=3
+2025-11-03 08:41:19.52 spid27s    UPDATE accounts SET n = 1
+2025-11-03 08:41:19.52 spid27s        inputbuf
+2025-11-03 08:41:19.52 spid27s    Proc [Database Id = 5 Object Id = 9]
+2025-11-03 08:41:19.52 spid27s       process id=processBBB waittime=7 lockMode=X spid=62 hostname=APP2 currentdbname=shop
+2025-11-03 08:41:19.52 spid27s        executionStack
+2025-11-03 08:41:19.52 spid27s         frame procname=adhoc line=1
+2025-11-03 08:41:19.52 spid27s    unknown
+2025-11-03 08:41:19.52 spid27s        inputbuf
+2025-11-03 08:41:19.52 spid27s    SELECT  a FROM b
+2025-11-03 08:41:19.52 spid27s       resource-list"""
 
 
 @query(
@@ -496,7 +496,7 @@ GRAPH = """2026-02-27 13:07:26.70 spid113s    deadlock-list
 )
 def deadlock_parse(spark, d):
     users = load(spark, d, "events").select(F.col("user_id").alias("id")).distinct()
-    logs = users.select("id", F.lit(GRAPH).alias("_raw"), F.lit("2026-02-27").alias("time"), F.col("id").cast("string").alias("host"))
+    logs = users.select("id", F.lit(GRAPH).alias("_raw"), F.lit("2025-11-03").alias("time"), F.col("id").cast("string").alias("host"))
     return deadlocks.processes(logs).select("id", "p.pid", "p.is_victim", F.col("p.lockMode").alias("lock_mode"), "p.proc_name", "p.sql_text")
 
 
@@ -585,7 +585,7 @@ def detail_slow_mongo(spark, d):
 def _graph_file(spark, d):
     n = load(spark, d, "nation")
     raw = F.when(F.col("n_nationkey") % 3 == 0, F.lit(GRAPH)).when(F.col("n_nationkey") % 3 == 1, F.lit("no graph"))
-    cells = n.select("n_nationkey", F.lit("2026-02-27T13:07:26").alias("_time"), F.col("n_name").alias("host"), F.when(F.col("n_nationkey") % 3 < 2, F.col("n_name")).alias("id"), raw.alias("_raw"))
+    cells = n.select("n_nationkey", F.lit("2025-11-03T08:41:19").alias("_time"), F.col("n_name").alias("host"), F.when(F.col("n_nationkey") % 3 < 2, F.col("n_name")).alias("id"), raw.alias("_raw"))
     return _file(cells, "deadlocksProd.csv", "n_nationkey")
 
 
@@ -595,7 +595,7 @@ def layout_deadlock_raw(spark, d):
     return layouts.deadlock(_graph_file(spark, d)).select("seq", "host", "db_name", "query_details")
 
 
-@query("""SELECT CAST(n_nationkey AS BIGINT) AS seq, CASE WHEN n_nationkey % 3 = 0 THEN t.v END AS is_victim, CASE WHEN n_nationkey % 3 = 0 THEN t.w END AS wait_time_ms, CASE WHEN n_nationkey % 3 = 0 THEN t.q WHEN n_nationkey % 3 = 1 THEN n_name ELSE '' END AS sql_text, '2026-02' AS month_year
+@query("""SELECT CAST(n_nationkey AS BIGINT) AS seq, CASE WHEN n_nationkey % 3 = 0 THEN t.v END AS is_victim, CASE WHEN n_nationkey % 3 = 0 THEN t.w END AS wait_time_ms, CASE WHEN n_nationkey % 3 = 0 THEN t.q WHEN n_nationkey % 3 = 1 THEN n_name ELSE '' END AS sql_text, '2025-11' AS month_year
 FROM nation JOIN (VALUES (1, 'UPDATE accounts SET n = 1', CAST(1 AS INT), CAST(1200 AS BIGINT)), (2, 'SELECT a FROM b', 0, 7)) t(k, q, v, w) ON n_nationkey % 3 = 0 OR t.k = 1""")
 def detail_deadlock_raw(spark, d):
     return layouts.detail_deadlock(_graph_file(spark, d)).select("seq", "is_victim", "wait_time_ms", "sql_text", "month_year")

@@ -158,7 +158,7 @@ def detail_cascade_by_collection(spark, d):
 # --- deadlock graphs that differ by row ---------------------------------------------------------------------------
 
 #: A graph per customer, in SQL that both engines read: lines end in {nl}, and each has the log's prefix {at}.
-_PRE = "'2026-02-27 13:07:26.70 spid113s     "
+_PRE = "'2025-11-03 08:41:19.52 spid27s     "
 _C, _N = "CAST(c_custkey AS {text})", "CAST(c_nationkey AS {text})"
 _GRAPH = " || {nl} || ".join(
     [
@@ -167,7 +167,7 @@ _GRAPH = " || {nl} || ".join(
         _PRE + " deadlock victim=proc' || " + _C + " || 'A'",
         _PRE + "  process-list'",
         _PRE + "   process id=proc' || " + _C + " || 'A taskpriority=0 logused=' || " + _N + " || ' waitresource=KEY: 5:' || " + _C + " || ' (ab) waittime=' || " + _N + " || '0 ownerId=7 transactionname='"
-        + " || CASE WHEN c_custkey % 5 = 0 THEN 'UpdateQPStats' ELSE 'user_transaction' END || ' lasttranstarted=2026-02-27T13:07:20 lockMode=U kpid=' || " + _C + " || ' status=suspended spid=' || " + _N
+        + " || CASE WHEN c_custkey % 5 = 0 THEN 'UpdateQPStats' ELSE 'user_transaction' END || ' lasttranstarted=2025-11-03T08:41:12 lockMode=U kpid=' || " + _C + " || ' status=suspended spid=' || " + _N
         + " || ' trancount=2 clientapp=Order App hostname=APP' || " + _N + " || ' loginname=svc isolationlevel=read committed (2) currentdbname=' || CASE WHEN c_custkey % 7 = 0 THEN 'tempdb' ELSE 'shop' END || ' lockTimeout=4294967295'",
         _PRE + "    executionStack'",
         _PRE + "     frame procname=unknown line=1'",
@@ -191,10 +191,10 @@ _GRAPH = " || {nl} || ".join(
         _PRE + "   resource-list'",
     ]
 )
-_ID = "substr(md5('2026-02-27|' || c_name || '|proc' || c || 'A|proc' || c || 'B'), 1, 16)"
+_ID = "substr(md5('2025-11-03|' || c_name || '|proc' || c || 'A|proc' || c || 'B'), 1, 16)"
 _META_A = (
     """'{"deadlock_id": "' || deadlock_id || '", "deadlock_victim": "proc' || c || 'A proc' || c || 'B", "pid": "proc' || c || 'A", "is_victim": true, "spid": "' || n || '", "kpid": "' || c || '", "logused": "' || n || '", "waitresource": "KEY: 5:' || c || ' (ab)", """
-    """"waittime": "' || n || '0", "lockMode": "U", "trancount": "2", "transactionname": "' || tx || '", "lasttranstarted": "2026-02-27T13:07:20", "currentdbname": "shop", "isolationlevel": "read committed (2)", "loginname": "svc", "clientapp": "Order App", """
+    """"waittime": "' || n || '0", "lockMode": "U", "trancount": "2", "transactionname": "' || tx || '", "lasttranstarted": "2025-11-03T08:41:12", "currentdbname": "shop", "isolationlevel": "read committed (2)", "loginname": "svc", "clientapp": "Order App", """
     """"apphost": "APP' || n || '", "lockTimeout": "4294967295", "status": "suspended"' || CASE WHEN c_custkey % 5 = 0 THEN '' ELSE ', "inputbuf_sql": "' || sql_text || '"' END || '}'"""
 )
 _META_B = """'{"deadlock_id": "' || deadlock_id || '", "deadlock_victim": "proc' || c || 'A proc' || c || 'B", "pid": "proc' || c || 'B", "is_victim": true, "waittime": "5", "lockMode": "S", "currentdbname": "shop", "apphost": "APPB", "proc_name": "shop.dbo.p' || n || '", "exec_sql": "SELECT b' || n || ' FROM c"}'"""
@@ -208,7 +208,7 @@ SELECT c_custkey AS id, 'proc' || c || 'A' AS pid, deadlock_id, 'proc' || c || '
 UNION ALL SELECT c_custkey, 'proc' || c || 'B', deadlock_id, 'proc' || c || 'A proc' || c || 'B', 'SELECT b' || n || ' FROM c', '', '', '', '', {_META_B} FROM k"""
 )
 def deadlock_varied(spark, d):
-    logs = load(spark, d, "customer").selectExpr("c_custkey as id", _GRAPH.format(text="STRING", nl="'\\n'") + " as _raw", "'2026-02-27' as time", "c_name as host")
+    logs = load(spark, d, "customer").selectExpr("c_custkey as id", _GRAPH.format(text="STRING", nl="'\\n'") + " as _raw", "'2025-11-03' as time", "c_name as host")
     rows = deadlocks.processes(logs)
     return rows.select("id", *[f"p.{c}" for c in ("pid", "deadlock_id", "deadlock_victim", "sql_text", "transactionname", "waitresource", "isolationlevel", "clientapp", "metadata")])
 

@@ -9,9 +9,15 @@ from dbpulse.plans.catalogue import ORACLE_SQL, QUERIES
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_equals_oracle(spark, sf, name):
     columns, rows = query_rows(QUERIES[name](spark, sf))
-    assert rows
     if name in ORACLE_SQL:
-        assert (columns, rows) == oracle_rows(ORACLE_SQL[name], sf)
+        want = oracle_rows(ORACLE_SQL[name], sf)
+        assert (columns, rows) == want
+        if not want[1]:  # some filters hold nothing in the smallest tables
+            larger = sf.replace("0.001", "0.01")
+            got = query_rows(QUERIES[name](spark, larger))
+            assert got == oracle_rows(ORACLE_SQL[name], larger) and got[1]
+    else:
+        assert rows
 
 
 def test_entry_runs(spark):

@@ -6,7 +6,7 @@ from dbpulse.operators import deadlocks
 from dbpulse.plans.catalogue import GRAPH
 
 
-def parsed(spark, raw, time="2026-02-27T13:07:26", host="DB1"):
+def parsed(spark, raw, time="2025-11-03T08:41:19", host="DB1"):
     df = spark.createDataFrame([(raw, time, host)], "_raw string, time string, host string")
     return deadlocks.parse(df).first().processes
 
@@ -29,7 +29,7 @@ def test_two_way(spark):
     assert (a.pid, a.is_victim, a.proc_name, a.sql_text) == ("processAAA", True, "shop.dbo.pay", "UPDATE accounts SET n = 1")
     assert (a.waitresource, a.waittime, a.lockMode, a.apphost, a.currentdbname) == ("KEY: 5:72 (ab)", "1200", "U", "APP1", "shop")
     assert (b.pid, b.is_victim, b.proc_name, b.sql_text) == ("processBBB", False, "", "SELECT a FROM b")
-    assert a.deadlock_id == hashlib.md5(b"2026-02-27T13:07:26|DB1|processAAA").hexdigest()[:16]
+    assert a.deadlock_id == hashlib.md5(b"2025-11-03T08:41:19|DB1|processAAA").hexdigest()[:16]
     meta = json.loads(a.metadata)
     assert meta["is_victim"] is True and "status" not in meta and list(meta)[:3] == ["deadlock_id", "deadlock_victim", "pid"]
     assert "is_victim" not in json.loads(b.metadata)

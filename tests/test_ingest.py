@@ -78,11 +78,11 @@ def test_blocker_layouts(spark, store, tmp_path):
 
 
 def test_deadlock_raw(store, tmp_path):
-    rows = [{"_time": "2026-02-27T13:07:26.000+0800", "host": "DB1", "id": "p1", "_raw": GRAPH}, {"_time": "t", "host": "DB1", "id": "only ids", "_raw": "garbled"}, {"_time": "t", "host": "DB1", "id": "", "_raw": ""}]
+    rows = [{"_time": "2025-11-03T08:41:19.000+0800", "host": "DB1", "id": "p1", "_raw": GRAPH}, {"_time": "t", "host": "DB1", "id": "only ids", "_raw": "garbled"}, {"_time": "t", "host": "DB1", "id": "", "_raw": ""}]
     ingest.ingest_file(store, write(tmp_path, "deadlocksProd.csv", rows))
     got = {r.query_details: r for r in store.read("raw_query").collect()}
     assert set(got) == {"UPDATE accounts SET n = 1", "SELECT a FROM b", "only ids"}
-    assert got["SELECT a FROM b"].db_name == "shop" and got["SELECT a FROM b"].month_year == "2026-02"
+    assert got["SELECT a FROM b"].db_name == "shop" and got["SELECT a FROM b"].month_year == "2025-11"
     detail = {r.sql_text: r for r in store.read("raw_query_deadlock").collect()}
     assert detail["UPDATE accounts SET n = 1"].is_victim == 1 and detail["UPDATE accounts SET n = 1"].wait_time_ms == 1200
     assert "" in detail  # detail rows keep blank fragments
