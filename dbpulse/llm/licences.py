@@ -3,12 +3,14 @@
 Paragraphs are lines, and joins of adjacent lines, as notices are wrapped; each is
 a set of word 1- and 2-grams. A sparse multinomial logistic regression over the
 templates' n-grams gives each paragraph a licence family or ``unknown``; the
-unknown class is trained on paragraphs of the corpus and on sentences that only
-sound like licences, and probabilities are calibrated by a temperature fitted on
-rows held out of training. A prediction counts as confirmed when the paragraph
-contains enough of one of the family's templates, and more of a short one; joined
-lines must also hold as large a share of its 2-grams, so that words strewn over a
-long passage are no notice.
+unknown class is trained on sentences that only sound like licences, denials, and
+notices of licences that aren't known here, and probabilities are calibrated by a
+temperature fitted on rows held out of training. A prediction counts as confirmed when
+the paragraph contains enough of one of the family's templates, and more of a short
+one; joined lines must also hold as large a share of its 2-grams, so that words strewn
+over a long passage are no notice. What tells a licence from its siblings, such as
+"affero", "sharealike" or a version, must be in the paragraph just as in the template,
+and nothing may deny the licence.
 
 No template can be confirmed without one of a few key words. Texts without any
 are settled by a substring test, and of the others only runs of lines that hold
@@ -18,6 +20,7 @@ literals of at most a few hundred n-grams: nothing is shuffled or broadcast.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from dataclasses import dataclass
@@ -29,8 +32,6 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample
-
 UNKNOWN = "unknown"
 
 # Usual notices of each licence family.
@@ -51,36 +52,64 @@ TEMPLATES: dict[str, list[str]] = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License",
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ],
-    "BSD-3-Clause": [
-        "Licensed under the BSD 3-Clause License.",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-        "SPDX-License-Identifier: BSD-3-Clause",
+    "GPL-2.0": [
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License",
+        "SPDX-License-Identifier: GPL-2.0-or-later",
     ],
-    "MPL-2.0": [
-        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-        "SPDX-License-Identifier: MPL-2.0",
+    "AGPL-3.0": [
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License",
+        "SPDX-License-Identifier: AGPL-3.0-or-later",
     ],
-    "CC-BY-4.0": [
-        "Licensed under CC BY 4.0.",
-        "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "LGPL-3.0": [
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License",
+        "SPDX-License-Identifier: LGPL-3.0-or-later",
     ],
-    "CC-BY-SA-4.0": [
-        "Licensed under CC BY-SA 4.0.",
-        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "LGPL-2.1": [
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License",
+        "SPDX-License-Identifier: LGPL-2.1-or-later",
     ],
-    "CC-BY-NC-4.0": [
-        "Licensed under CC BY-NC 4.0.",
-        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    # what both BSD licences begin with; only further clauses would tell which
+    "BSD": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
+    "BSD-3-Clause": ["Licensed under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause"],
+    "BSD-2-Clause": ["Licensed under the BSD 2-Clause License.", "SPDX-License-Identifier: BSD-2-Clause"],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "Licensed under the ISC License.", "SPDX-License-Identifier: ISC"],
+    "MPL-2.0": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "SPDX-License-Identifier: MPL-2.0",
     ],
+    "EPL-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", "SPDX-License-Identifier: EPL-2.0"],
+    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
+    "CC-BY-3.0": ["Licensed under CC BY 3.0.", "This work is licensed under a Creative Commons Attribution 3.0 Unported License."],
+    "CC-BY-2.0": ["Licensed under CC BY 2.0.", "This work is licensed under a Creative Commons Attribution 2.0 Generic License."],
+    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+    "CC-BY-SA-3.0": ["Licensed under CC BY-SA 3.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License."],
+    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
+    "CC-BY-ND-4.0": ["Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."],
+    "CC-BY-NC-SA-4.0": ["Licensed under CC BY-NC-SA 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."],
+    "CC-BY-NC-ND-4.0": ["Licensed under CC BY-NC-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."],
     "CC0-1.0": [
         "Released into the public domain under CC0 1.0 Universal.",
         "To the extent possible under law, the author has waived all copyright and related rights to this work.",
     ],
+    "Unlicense": ["This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: Unlicense"],
     "Proprietary": [
         "All rights reserved.",
         "Copyright. All rights reserved. No part of this publication may be reproduced without prior written permission of the publisher.",
     ],
 }
+# Words and pairs that tell licences of one group apart. A notice must hold those that its template holds, and no others.
+MARKS: dict[str, tuple[str, list[str]]] = {
+    "GNU": (r"A?L?GPL-", ["affero", "lesser", "library general", "agpl", "lgpl", "gpl", "gpl 1", "gpl 2", "gpl 3", "lgpl 2", "lgpl 3", "agpl 1", "agpl 3", "version 1", "version 2", "version 3", "2 1"]),
+    "CC": (r"CC", ["1 0", "2 0", "2 1", "2 5", "3 0", "4 0", "sharealike", "share alike", "sa", "noncommercial", "non commercial", "nc", "noderivatives", "noderivs", "no derivatives", "no derivs", "nd", "sampling"]),
+    "BSD": (r"BSD", ["0 clause", "1 clause", "2 clause", "3 clause", "4 clause"]),
+    "Apache": (r"Apache-", ["1 0", "1 1", "2 0"]),
+    "Mozilla": (r"MPL-", ["1 0", "1 1", "2 0"]),
+    "Eclipse": (r"EPL-", ["1 0", "2 0"]),
+}
+# Pairs by which a sentence says that a licence doesn't hold.
+DENIALS = ["not licensed", "not released", "not under", "not covered", "not available", "not distributed", "never licensed", "never released", "longer licensed", "longer released", "longer under", "longer available", "nor licensed", "nor released"]
 # Sentences with licence words that grant nothing.
 LOOKALIKES = [
     "You need a driving license to rent a car in this city.",
@@ -100,10 +129,13 @@ LOOKALIKES = [
 ]
 
 
+# Words of templates that most texts hold, so that finding one tells nothing.
+EVERYDAY = "a all and any are as at been by can either for form free from has hereby if in into is it later made may met no not of on or other part prior program provided public purpose related rights following conditions source software code copy file files person permission possible subject terms that the this to under use v version with without work works you".split()
+
+
 @dataclass(frozen=True)
 class LicenceParams:
-    sample_docs: int = 400  # documents whose paragraphs may train the unknown class
-    sample_paragraphs: int = 4000
+    strewn: int = 1200  # rows of a few n-grams from anywhere that train the unknown class
     keep_rate: float = 0.85  # of a template's words in each of its training variants
     variants: int = 12
     l1: float = 3e-4
@@ -119,6 +151,8 @@ class Template(NamedTuple):
     grams: frozenset
     words: int
     share: float  # of its n-grams that confirm it
+    marks: frozenset = frozenset()  # that it must hold
+    others: frozenset = frozenset()  # that it must not hold
 
 
 @dataclass(frozen=True)
@@ -129,6 +163,7 @@ class LicenceModel:
     bias: np.ndarray
     temperature: float
     templates: list[Template]
+    calibration_error: float  # mean gap between probability and share of right answers, by tenths, on rows held out
     keys: list[str]  # words of which every confirmed paragraph holds one
 
     @property
@@ -167,45 +202,49 @@ def key_words(templates: list[Template], seen: Counter) -> list[str]:
     """Words, the rarest first, without which less than its confirming share of any template's n-grams is left."""
     keys: set[str] = set()
     for t in templates:
-        for word in sorted((g for g in t.grams if " " not in g), key=lambda g: (seen[g], -len(g), g)):
+        for word in sorted((g for g in t.grams if " " not in g), key=lambda g: (g in EVERYDAY or g.isdigit(), len(g) < 3, seen[g], -len(g), g)):
             if sum(not keys & set(g.split()) for g in t.grams) < t.share * len(t.grams):
                 break
             keys.add(word)
     return sorted(keys)
 
 
-def fit(docs: DataFrame, params: LicenceParams = LicenceParams()) -> LicenceModel:
-    """Trains on the templates' variants, the lookalikes and a bounded sample of the corpus's lines.
+def template(family: str, text: str, p: LicenceParams) -> Template:
+    words = tokens(text)
+    grams = grams_of(words)
+    of_group = frozenset(m for like, marks in MARKS.values() if re.match(like, family) for m in marks)
+    share = p.short_similarity if len(words) < p.short_words else p.least_similarity
+    return Template(family, grams, len(words), share, of_group & grams, of_group - grams | frozenset(DENIALS))
+
+
+def fit(params: LicenceParams = LicenceParams()) -> LicenceModel:
+    """Trains on variants of the templates; the unknown class on what only looks like them.
 
-    Sampled lines that confirm a template are left out, as they may be notices. The sample is unlabelled: the
-    unknown class, and with it the probabilities, follow the corpus at hand.
+    That is lookalike sentences, templates with a denial, templates whose marks are those of a licence that isn't known here,
+    and n-grams strewn at random. No document is read, so a text is judged alike in every corpus.
     """
     p = params
     rng = np.random.default_rng(11)
     families = list(TEMPLATES)
-    templates = []
+    unknown = len(families)
+    templates = [template(f, text, p) for f in families for text in TEMPLATES[f]]
+    vocabulary = sorted(set().union(*(t.grams for t in templates), DENIALS, *(marks for _, marks in MARKS.values())))
     rows: list[tuple[frozenset, int]] = []
+    known = {t.marks for t in templates}
     for c, f in enumerate(families):
         for text in TEMPLATES[f]:
-            words = tokens(text)
-            templates.append(Template(f, grams_of(words), len(words), p.short_similarity if len(words) < p.short_words else p.least_similarity))
+            words, t = tokens(text), template(f, text, p)
             rows.append((grams_of(words), c))
             for _ in range(p.variants):
-                kept = [w for w in words if rng.random() < p.keep_rate]
+                kept = [w for w in words if rng.random() < p.keep_rate or w in t.marks]
                 rows.append((grams_of(kept), c))
+            rows += [(t.grams | {d}, unknown) for d in DENIALS]
+            rows += [(t.grams - t.marks | {m}, unknown) for m in sorted(t.others - set(DENIALS)) if frozenset({m}) not in known]
     for text in LOOKALIKES:
-        rows += [(grams_of(tokens(text)), len(families))] * p.variants
-    vocabulary = sorted(set().union(*(t.grams for t in templates)))
-    few = hash_sample(docs.select("doc_id", "text"), "doc_id", p.sample_docs, docs.count())
-    lines = few.select("doc_id", F.posexplode(F.split(F.lower(F.col("text").cast("string")), "\n", -1)).alias("line", "text"))
-    seen = lines.select("doc_id", "line", _words(F.col("text")).alias("w")).where(F.size("w") > 0)
-    seen = seen.select("doc_id", "line", F.sort_array(_known(F.col("w"), F.expr(_texts(vocabulary)))).alias("g"))
-    often: Counter = Counter()
-    for r in seen.orderBy(F.xxhash64("doc_id", "line"), "doc_id", "line", "g").limit(p.sample_paragraphs).collect():
-        found = frozenset(r.g)
-        often.update(found)
-        if all(len(found & t.grams) < t.share * len(t.grams) for t in templates):
-            rows.append((found, len(families)))
+        rows += [(grams_of(tokens(text)), unknown)] * p.variants
+    for _ in range(p.strewn):
+        rows.append((frozenset(rng.choice(vocabulary, rng.integers(1, 9), replace=False).tolist()), unknown))
+    often = Counter(g for t in templates for g in t.grams) + Counter(g for text in LOOKALIKES for g in grams_of(tokens(text)) for _ in range(5))
     return _train(rows, vocabulary, families, templates, key_words(templates, often), p)
 
 
@@ -233,7 +272,11 @@ def _train(rows: list, vocabulary: list[str], families: list[str], templates: li
     z, yh = x[held] @ w + b, y[held]
     grid = np.exp(np.linspace(-1.5, 1.5, 61))
     loss = [-(weight[held] * np.log(np.maximum(_softmax(z / t)[np.arange(len(yh)), yh], 1e-12))).sum() for t in grid]
-    return LicenceModel(families, vocabulary, np.round(w, 6), np.round(b, 6), float(round(grid[int(np.argmin(loss))], 6)) if len(yh) else 1.0, templates, keys)
+    t = float(round(grid[int(np.argmin(loss))], 6)) if len(yh) else 1.0
+    sure = _softmax(z / t)
+    tenth, right = np.minimum(9, (sure.max(axis=1) * 10).astype(int)), sure.argmax(axis=1) == yh
+    gaps = [abs((right[tenth == k] - sure.max(axis=1)[tenth == k]).sum()) for k in range(10)]
+    return LicenceModel(families, vocabulary, np.round(w, 6), np.round(b, 6), t, templates, float(np.sum(gaps) / max(1, len(yh))), keys)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -281,7 +324,7 @@ def _scored(docs: DataFrame, model: LicenceModel, p: LicenceParams, id_col: str,
     """
     vocabulary, keys = F.expr(_texts(model.grams)), F.expr(_texts(model.keys))
     low = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.col(text_col).cast("string")).alias("low"))
-    likely = F.col("doc_id").isNotNull() & reduce(or_, [F.col("low").contains(k) for k in model.keys])
+    likely = reduce(or_, [F.col("low").contains(k) for k in model.keys])
     lines = low.select("doc_id", F.when(likely, F.transform(F.split("low", "\n", -1), _words)).alias("lines"))
     is_key = lambda i: F.arrays_overlap(F.element_at("lines", i), keys)
     marked = lines.select("doc_id", "lines", F.filter(F.sequence(F.lit(1), F.size("lines")), is_key).alias("marks"))
@@ -309,13 +352,14 @@ def _scored(docs: DataFrame, model: LicenceModel, p: LicenceParams, id_col: str,
         return F.struct(r["a"].alias("a"), r["b"].alias("b"), r["grams"].alias("grams"), F.array_position(r["z"], r["top"]).cast("int").alias("class"), probability.alias("probability"))
 
     classes = logits.select("doc_id", F.transform("runs", with_class).alias("runs"))
-    templates = F.expr("array(" + ", ".join(f"named_struct('class', {model.families.index(t.family) + 1}, 'grams', {_texts(sorted(t.grams))}, 'pairs', {_texts(sorted(g for g in t.grams if ' ' in g))}, 'share', {t.share!r}D)" for t in model.templates) + ")")
+    templates = F.expr("array(" + ", ".join(f"named_struct('class', {model.families.index(t.family) + 1}, 'grams', {_texts(sorted(t.grams))}, 'pairs', {_texts(sorted(g for g in t.grams if ' ' in g))}, 'marks', {_texts(sorted(t.marks))}, 'others', {_texts(sorted(t.others))}, 'share', {t.share!r}D)" for t in model.templates) + ")")
 
     def with_templates(r: Column) -> Column:
         def one(t: Column) -> Column:
             alike = F.size(F.array_intersect(r["grams"], t["grams"])) / F.size(t["grams"])
             whole = (r["a"] == r["b"]) | (F.size(F.array_intersect(r["grams"], t["pairs"])) >= t["share"] * F.size(t["pairs"]))
-            return F.struct(F.when(whole, alike).otherwise(0.0).alias("similarity"), t["share"].alias("share"))
+            agrees = (F.size(F.array_intersect(r["grams"], t["others"])) == 0) & (F.size(F.array_except(t["marks"], r["grams"])) == 0)
+            return F.struct(F.when(whole & agrees, alike).otherwise(0.0).alias("similarity"), t["share"].alias("share"))
 
         found = F.transform(F.filter(templates, lambda t: t["class"] == r["class"]), one)
         similarity = F.coalesce(F.array_max(F.transform(found, lambda x: x["similarity"])), F.lit(0.0))
@@ -333,7 +377,7 @@ def classify(docs: DataFrame, model: LicenceModel, params: LicenceParams = Licen
     """(doc_id, paragraph, last, family, probability, similarity, confirmed) of every paragraph that holds a key word.
 
     A paragraph is a line, or the lines from ``paragraph`` to ``last``, counted from 0. No other paragraph can be
-    confirmed. Rows are scanned one by one; a null id is left out.
+    confirmed. Rows are scanned one by one, those without an id too.
     """
     each = _scored(docs, model, params, id_col, text_col).select("doc_id", F.explode("runs").alias("r"))
     return each.select("doc_id", (F.col("r.a") - 1).alias("paragraph"), (F.col("r.b") - 1).alias("last"), F.element_at(_names(model), F.col("r.class")).alias("family"), "r.probability", "r.similarity", "r.confirmed")
@@ -345,8 +389,8 @@ def scan(docs: DataFrame, model: LicenceModel, params: LicenceParams = LicencePa
     Confirmed paragraphs that overlap are one notice: the most similar stands for it, then that of fewer lines, of
     the larger probability, the first. The licence is that of the best notice in the same order, and paragraph its
     first line; it is ``unknown`` with nulls beside it where nothing is confirmed, as in null and empty texts.
-    notices counts them. Rows are scanned one by one, so rows that share an id each have their own result; a null
-    id is always unknown. Other columns are not read.
+    notices counts them. Rows are scanned one by one, so rows that share an id each have their own result, and those
+    without one. Other columns are not read.
     """
     scored = _scored(docs, model, params, id_col, text_col)
     # in the order of comparison

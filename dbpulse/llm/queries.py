@@ -23,8 +23,7 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return licences.scan(docs, licences.fit(docs))
+    return licences.scan(table(spark, sf_dir, "documents"), licences.fit())
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
