@@ -130,7 +130,7 @@ LOOKALIKES = [
 
 
 # Words of templates that most texts hold, so that finding one tells nothing.
-EVERYDAY = "a all and any are as at been by can either for form free from has hereby if in into is it later made may met no not of on or other part prior program provided public purpose related rights following conditions source software code copy file files person permission possible subject terms that the this to under use v version with without work works you".split()
+EVERYDAY = "a all and any are as at been by can for from has if in into is it may no not of on or other that the this to under use v version with without you".split()
 
 
 @dataclass(frozen=True)
