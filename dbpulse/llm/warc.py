@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fresh_path, ship
+from .common import broadcast_if, cut, fresh_path, ship
 
 # Fixed values of the format.
 VERSION = b"WARC/1.1"
@@ -44,6 +44,7 @@ class WarcParams:
     chunk_bytes: int = 8_192  # of payload in one chunk of the HTTP message
     file_bytes: int = 256 << 20  # a file is closed beyond this size
     level: int = 1
+    broadcast_rows: int = 200_000  # revisits and what they refer to, some 200 bytes each, sent to every executor at most; beyond, the join shuffles
 
 
 def base32_sha1(payload: bytes) -> str:
@@ -91,13 +92,16 @@ def _clean(url: str | None) -> str | None:
     return url.replace("\r", "%0D").replace("\n", "%0A") if url else None
 
 
-def page_records(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, salt: str, p: WarcParams) -> Iterator[bytes]:
-    """The records of one page: a revisit, or a response and its continuations."""
-    name = f"<urn:x-page:{'' if page_id is None else page_id}:{salt}"
+def page_records(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: tuple[int, str | None] | None, referred: bool, salt: str, p: WarcParams) -> Iterator[bytes]:
+    """The records of one page: a revisit, or a response and its continuations.
+
+    A response that others revisit, ``referred``, is named by its page and digest, so that they can name it; other names hold a salt, as pages may repeat.
+    """
+    name = f"<urn:x-page:{'' if page_id is None else page_id}:{digest if referred else salt}"
     head = [b"HTTP/1.1 200 OK", b"Content-Type: text/html; charset=utf-8"]
     common = [("WARC-Record-ID", name + ">"), ("WARC-Date", DATE), ("WARC-Target-URI", _clean(url)), ("WARC-Payload-Digest", "sha1:" + digest)]
     if refers_to is not None:
-        own = [("WARC-Type", "revisit"), ("WARC-Profile", SAME_PAYLOAD), ("WARC-Refers-To", f"<urn:x-page:{refers_to}>"), ("Content-Type", "application/http; msgtype=response")]
+        own = [("WARC-Type", "revisit"), ("WARC-Profile", SAME_PAYLOAD), ("WARC-Refers-To", f"<urn:x-page:{refers_to[0]}:{digest}>"), ("WARC-Refers-To-Target-URI", _clean(refers_to[1])), ("WARC-Refers-To-Date", DATE), ("Content-Type", "application/http; msgtype=response")]
         yield _record(common + own, CRLF.join([*head, b"", b""]))
         return
     block = CRLF.join([*head, b"Transfer-Encoding: chunked", b"", b""]) + chunked(payload, p.chunk_bytes)
@@ -109,6 +113,12 @@ def page_records(page_id: int | None, url: str | None, payload: bytes, digest: s
         yield _record(own + ([("WARC-Segment-Total-Length", len(block))] if k == len(parts) else []), part)
 
 
+def warcinfo(name: str) -> bytes:
+    """The record that says what an archive is and who made it."""
+    own = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:x-archive:{name}>"), ("WARC-Date", DATE), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")]
+    return _record(own, b"software: dbpulse" + CRLF + b"format: WARC File Format 1.1" + CRLF)
+
+
 def open_folder(uri: str):
     """A file system and the path in it, for any store that Arrow reaches."""
     from pyarrow import fs
@@ -121,19 +131,23 @@ def _writer(folder: str, p: WarcParams):
         store, base = open_folder(folder)
         store.create_dir(base, recursive=True)
         out, name, size, rows = None, "", 0, 0
+
+        def put(record: bytes) -> int:
+            member = zlib.compressobj(p.level, zlib.DEFLATED, 31)
+            return out.write(member.compress(record) + member.flush())
+
         for batch in batches:
-            pages, urls, firsts = (batch.column(i).to_pylist() for i in (0, 1, 3))
+            pages, urls, firsts, first_urls, referred = (batch.column(i).to_pylist() for i in (0, 1, 3, 4, 5))
             for i, page in enumerate(pages):
                 payload = (batch.column(2)[i].as_py() or "").encode()
                 if out is None:
                     name, size, rows = f"part-{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = store.open_output_stream(f"{base}/{name}", compression=None)
+                    size += put(warcinfo(name))
                 rows += 1
-                for record in page_records(page, urls[i], payload, base32_sha1(payload), firsts[i], f"{name[5:17]}-{rows}", p):
-                    member = zlib.compressobj(p.level, zlib.DEFLATED, 31)
-                    data = member.compress(record) + member.flush()
-                    out.write(data)
-                    size += len(data)
+                refers = None if firsts[i] is None else (firsts[i], first_urls[i])
+                for record in page_records(page, urls[i], payload, base32_sha1(payload), refers, referred[i], f"{name[5:17]}-{rows}", p):
+                    size += put(record)
                 if size >= p.file_bytes:
                     out.close()
                     out = None
@@ -150,16 +164,23 @@ def write(pages: DataFrame, folder: str, params: WarcParams = WarcParams()) -> D
 
     Of equal payloads that are long enough the smallest page_id's is the response and the others revisit it.
     A null html is an empty payload. Rows with a null page_id are responses; rows that repeat a page_id get a
-    record each. Other columns are not read.
+    record each; where the first page of a payload itself repeats with it, no single row can bear the name by which
+    the others refer to it. Other columns are not read.
     """
     ship(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    keyed = rows.withColumn("sha", F.sha1(F.encode("html", "utf-8"))).withColumn("size", F.octet_length("html"))
-    # only payloads that come more than once are looked up; the rest of the join finds nothing
-    firsts = keyed.where(F.col("size") >= params.least_revisit_bytes).groupBy("sha", "size").agg(F.min("page_id").alias("first"), F.count("page_id").alias("n")).where("n > 1").drop("n")
-    told = keyed.join(firsts, ["sha", "size"], "left")
-    refers = F.when(F.col("page_id") != F.col("first"), F.col("first"))
-    return cut(told.select("page_id", "url", "html", refers.alias("refers_to")).mapInArrow(_writer(folder, params), "file string, bytes long, pages long"), "manifest")
+    size, sha = F.octet_length("html"), F.sha1(F.encode("html", "utf-8"))
+    # only digests travel: of payloads that come more than once, who is the response and who revisits it
+    keyed = cut(rows.where("page_id is not null").select("page_id", "url", sha.alias("sha"), size.alias("size")).where(F.col("size") >= params.least_revisit_bytes), "digests")
+    least = F.min(F.struct("page_id", "url")).alias("first")
+    firsts = cut(keyed.groupBy("sha", "size").agg(least, F.count("*").alias("n")).where("n > 1").select("sha", "size", F.col("first.page_id").alias("first"), F.col("first.url").alias("first_url")), "firsts")
+    alike = keyed.join(firsts, ["sha", "size"]).groupBy(F.col("page_id").alias("__page"), F.col("sha").alias("__sha"), "first", "first_url").agg((F.count("*") > 1).alias("repeats"))
+    few = cut(alike, "relations")
+    both = rows.join(broadcast_if(few, few.count(), params.broadcast_rows), (F.col("page_id") == F.col("__page")) & (sha == F.col("__sha")), "left")
+    own = F.col("page_id") == F.col("first")
+    refers = F.when(~own, F.col("first"))
+    referred = F.coalesce(own & ~F.col("repeats"), F.lit(False))
+    return cut(both.select("page_id", "url", "html", refers.alias("refers_to"), F.when(~own, F.col("first_url")).alias("first_url"), referred.alias("referred")).mapInArrow(_writer(folder, params), "file string, bytes long, pages long"), "manifest")
 
 
 def parse_records(stream) -> Iterator[tuple[dict[str, str], bytes]]:

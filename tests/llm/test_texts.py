@@ -309,3 +309,35 @@ def test_words_of_one_hash_are_compared_by_their_bytes():
         hashes = np.array([len(w) % 2 + 2 * (w[0] == "a") for w in words], np.uint64)  # four hashes for 120 words
         ids, lengths = cache.encode(raw, starts, ends, hashes)
         assert bytes(ids.astype(np.uint8)) == raw.tobytes() and lengths.tolist() == [len(w) for w in words]
+
+
+def test_archives_refer_to_records_that_exist(spark, tmp_path):
+    import gzip
+    from pathlib import Path
+
+    pages = [(i, f"http://x.example/{i}", f"<p>{i % 7}</p>" * 40) for i in range(50)] + [(100, None, None), (101, None, ""), (3, "http://x.example/other", "another payload"), (60, "http://x.example/60", "another payload")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    warc.write(df, f"file://{tmp_path}/warc", warc.WarcParams(segment_bytes=500)).collect()
+    ids, refers = [], {}
+    for path in Path(tmp_path, "warc").glob("*.warc.gz"):
+        records = list(warc.parse_records(gzip.open(path)))
+        assert records[0][0]["warc-type"] == "warcinfo" and records[0][0]["warc-filename"] == path.name
+        for fields, _ in records:
+            ids.append(fields["warc-record-id"])
+            if fields["warc-type"] == "revisit":
+                refers[fields["warc-record-id"]] = (fields["warc-refers-to"], fields.get("warc-refers-to-target-uri"), fields["warc-refers-to-date"])
+    assert len(ids) == len(set(ids)) and len(refers) == 50 - 7 + 1 + 1
+    assert all(to in ids for to, _, _ in refers.values())
+    assert {uri for _, uri, _ in refers.values()} == {f"http://x.example/{i}" for i in range(7)} | {None, "http://x.example/other"}
+
+
+def test_archives_shuffle_no_payload(spark, sf):
+    seen = []
+    real = warc.cut
+    try:
+        warc.cut = lambda df, what: seen.append((what, df._jdf.queryExecution().executedPlan().toString())) or real(df, what)
+        warc.write(table(spark, sf, "pages"), warc.fresh_path(spark, "warc"))
+    finally:
+        warc.cut = real
+    assert [w for w, _ in seen] == ["digests", "firsts", "relations", "manifest"]
+    assert not [line for _, plan in seen for line in plan.splitlines() if "Exchange" in line and "html" in line]
