@@ -24,7 +24,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, grade: Column, most: int,
 
     With ``each``, as many of every grade. Documents labelled twice take the lower grade; null grades and ids don't
     count. The sample's ids are at most ``most`` rows (of each grade), so they are broadcast and the documents
-    aren't shuffled. Rows that repeat a sampled id all come.
+    aren't shuffled. Of rows that repeat a sampled id the one with the smallest text comes.
     """
     rows = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), grade.cast("int").alias("grade"))
@@ -39,4 +39,4 @@ def training_rows(docs: DataFrame, labels: DataFrame, grade: Column, most: int,
     else:
         rows = hash_sample(rows, "doc_id", most, sum(total.values()))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(rows), "doc_id"), total
+    return texts.join(F.broadcast(rows), "doc_id").groupBy("doc_id", "grade").agg(F.min("text").alias("text")).select("doc_id", "text", "grade"), total

@@ -42,7 +42,6 @@ class PackParams:
     tokenizer: str | None = None  # a tokenizers file; the public word BPE where none is given
     end_id: int = 1  # follows each document's ids
     group: int = 8000  # pieces packed together, about
-    rounds: int = 16  # of local search over a group's underfull bins, at most; it ends when nothing changes
     partners: int = 64  # emptiest underfull bins that a bin is offered in a round; this bounds time, no piece depends on it
     nearly: float = 0.98  # bins filled less than this are underfull
     chunk: int = 1 << 20  # bytes of text encoded together
@@ -159,7 +158,7 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, nearly: float, rounds: int, partners: int = PackParams.partners) -> list[list[int]]:
+def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, nearly: float, partners: int = PackParams.partners) -> list[list[int]]:
     """Moves and exchanges between underfull bins, each raising the sum of squared fills; emptied bins go.
 
     Bins are taken from the fullest underfull one down. Into its room goes, from the emptiest bins, whichever of
@@ -168,7 +167,8 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, near
     bin, so squared fill grows with every step and the search ends.
     """
     size = lambda b: sum(int(lengths[n]) for n in b)
-    for _ in range(rounds):
+    changed = True
+    while changed:
         fills = [size(b) for b in bins]
         under = sorted((i for i, f in enumerate(fills) if f < nearly * capacity), key=lambda i: (-fills[i], i))
         changed = False
@@ -197,8 +197,6 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, near
                 hi -= 1
             lo += 1
         bins = [b for b in bins if b]
-        if not changed:
-            break
     return bins
 
 
@@ -230,7 +228,7 @@ def _best_step(a: list[int], b: list[int], lengths: np.ndarray, room: int) -> tu
 
 
 def pack(lengths: np.ndarray, p: PackParams) -> list[list[int]]:
-    return local_search(best_fit(lengths, p.capacity), lengths, p.capacity, p.nearly, p.rounds, p.partners)
+    return local_search(best_fit(lengths, p.capacity), lengths, p.capacity, p.nearly, p.partners)
 
 
 def _pack_group(p: PackParams):

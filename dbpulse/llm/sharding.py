@@ -81,10 +81,10 @@ def shard(docs: DataFrame, params: HilbertParams = HilbertParams()) -> DataFrame
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard, curve) of every row of (doc_id, text, lang, source).
 
     Law ``rows``: the shards' row counts are at most one apart. size is the text's UTF-8 bytes plus 8; a null text
-    has none and the checksum of no bytes. Within a cell rows stand by the md5 of their id, then by id, size and
+    has none and the checksum of no bytes. Within a cell rows stand by the md5 of their id, or of their place where they have none, then by id, size and
     checksum; rows that agree in all of these are interchangeable. A group of equal texts isn't kept together: its
-    rows share a cell if language and source agree, but stand by their ids. Null ids, languages and sources have their own
-    level or come first. An empty table gives no rows. Other columns are not read.
+    rows share a cell if language and source agree, but stand by their ids. Null languages and sources have their own
+    level. An empty table gives no rows. Other columns are not read.
     """
     p = params
     raw = F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "utf-8")
@@ -94,7 +94,8 @@ def shard(docs: DataFrame, params: HilbertParams = HilbertParams()) -> DataFrame
         F.crc32(raw).alias("text_crc32"),
         name_level(F.col("lang"), p.bits).alias("lang_level"),
         name_level(F.col("source"), p.bits).alias("source_level"),
-        F.coalesce(F.md5(F.col("doc_id").cast("long").cast("string").cast("binary")), F.lit("")).alias("order"),
+        # rows without an id stand by where they were read, so that they are dealt to parts like others; written once, so it stays
+        F.coalesce(F.md5(F.col("doc_id").cast("long").cast("string").cast("binary")), F.md5(F.concat(F.lit("row "), F.monotonically_increasing_id().cast("string")).cast("binary"))).alias("order"),
     )
     levels = [F.col("lang_level"), size_level(F.col("size"), p.bits), F.col("source_level")]
     placed = cut(rows.select("doc_id", "size", "text_crc32", "order", curve_place(levels, p.bits).alias("curve")), "placed")  # texts are read once

@@ -64,13 +64,13 @@ def test_local_search_empties_bins():
     lengths = np.array([6, 5, 5, 4])
     p = packing.PackParams(capacity=10)
     bins = [[0], [1], [2, 3]]
-    out = packing.local_search(bins, lengths, 10, 1.0, 5)
+    out = packing.local_search(bins, lengths, 10, 1.0)
     assert len(out) == 2 and sorted(n for b in out for n in b) == [0, 1, 2, 3]
     rng = np.random.default_rng(0)
     sizes = rng.integers(1, 4096, 400)
     start = [[i] for i in range(400)]
     fill = lambda bs: sum(int(sizes[b].sum()) ** 2 for b in bs)
-    done = packing.local_search([list(b) for b in start], sizes, 4096, 0.98, 4)
+    done = packing.local_search([list(b) for b in start], sizes, 4096, 0.98)
     assert fill(done) > fill(start) and len(done) < 400 and max(int(sizes[b].sum()) for b in done) <= 4096
     assert sorted(n for b in packing.pack(sizes, packing.PackParams()) for n in b) == list(range(400)) and p.capacity == 10
 
@@ -256,7 +256,7 @@ def test_local_search_sees_every_member():
     # the one exchange that empties a bin needs pieces far down both lists
     lengths = np.array([1] * 200 + [9] + [1] * 150 + [60])
     bins = [list(range(200)) + [200], list(range(201, 351)) + [351]]
-    out = packing.local_search([list(b) for b in bins], lengths, 300, 1.0, 50)
+    out = packing.local_search([list(b) for b in bins], lengths, 300, 1.0)
     assert sorted(n for b in out for n in b) == list(range(352)) and max(int(lengths[b].sum()) for b in out) == 300
 
 

@@ -29,8 +29,11 @@ def plain(docs, labels, floor=0.02, k=15, bins=20):
     for i, y in labels:
         if i is not None and y is not None and zlib.crc32(str(i).encode()) % 3 != 1:
             grade[i] = min(grade.get(i, 1), int(y > 0))
-    by_text = {}
-    for i, t in sorted((i, t or "") for i, t in docs if i in grade):
+    by_text, of_id = {}, {}
+    for i, t in docs:
+        if i in grade:
+            of_id[i] = min(of_id.get(i, t or ""), t or "")
+    for i, t in sorted(of_id.items()):
         first, y = by_text.get(t, (i, 1))
         by_text[t] = (first, min(y, grade[i]))
     examples = sorted((i, bag(t), y) for t, (i, y) in by_text.items())
