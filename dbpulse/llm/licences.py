@@ -12,7 +12,7 @@ over a long passage are no notice. What tells a licence from its siblings, such
 "affero", "sharealike" or a version, must be in the paragraph just as in the template,
 and nothing may deny the licence.
 
-No template can be confirmed without one of a few key words. Texts without any
+No template can be confirmed without its anchor, one of a few rare words. Texts without any
 are settled by a substring test, and of the others only runs of lines that hold
 one are scored. Every row is scanned by itself in array functions, against
 literals of at most a few hundred n-grams: nothing is shuffled or broadcast.
@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
@@ -129,8 +128,8 @@ LOOKALIKES = [
 ]
 
 
-# Words of templates that most texts hold, so that finding one tells nothing.
-EVERYDAY = "a all and any are as at been by can for from has if in into is it may no not of on or other that the this to under use v version with without you".split()
+# Words of which every template holds one, rare in other texts. A notice must hold the first of them that its template holds.
+ANCHORS = ["mit", "hereby", "apache", "gnu", "gpl", "agpl", "lgpl", "redistribution", "bsd", "isc", "mozilla", "mpl", "eclipse", "epl", "creative", "cc0", "cc", "waived", "unencumbered", "unlicense", "reserved"]
 
 
 @dataclass(frozen=True)
@@ -198,23 +197,13 @@ def _texts(values) -> str:
     return f"array({', '.join(repr(v) for v in values)})" if values else "cast(array() as array<string>)"
 
 
-def key_words(templates: list[Template], seen: Counter) -> list[str]:
-    """Words, the rarest first, without which less than its confirming share of any template's n-grams is left."""
-    keys: set[str] = set()
-    for t in templates:
-        for word in sorted((g for g in t.grams if " " not in g), key=lambda g: (g in EVERYDAY or g.isdigit(), len(g) < 3, seen[g], -len(g), g)):
-            if sum(not keys & set(g.split()) for g in t.grams) < t.share * len(t.grams):
-                break
-            keys.add(word)
-    return sorted(keys)
-
-
 def template(family: str, text: str, p: LicenceParams) -> Template:
     words = tokens(text)
     grams = grams_of(words)
     of_group = frozenset(m for like, marks in MARKS.values() if re.match(like, family) for m in marks)
     share = p.short_similarity if len(words) < p.short_words else p.least_similarity
-    return Template(family, grams, len(words), share, of_group & grams, of_group - grams | frozenset(DENIALS))
+    anchor = frozenset({next(w for w in ANCHORS if w in grams)})
+    return Template(family, grams, len(words), share, of_group & grams | anchor, of_group - grams | frozenset(DENIALS))
 
 
 def fit(params: LicenceParams = LicenceParams()) -> LicenceModel:
@@ -239,13 +228,13 @@ def fit(params: LicenceParams = LicenceParams()) -> LicenceModel:
                 kept = [w for w in words if rng.random() < p.keep_rate or w in t.marks]
                 rows.append((grams_of(kept), c))
             rows += [(t.grams | {d}, unknown) for d in DENIALS]
-            rows += [(t.grams - t.marks | {m}, unknown) for m in sorted(t.others - set(DENIALS)) if frozenset({m}) not in known]
+            anchor = t.marks & set(ANCHORS)
+            rows += [(t.grams - t.marks | anchor | {m}, unknown) for m in sorted(t.others - set(DENIALS)) if anchor | {m} not in known]
     for text in LOOKALIKES:
         rows += [(grams_of(tokens(text)), unknown)] * p.variants
     for _ in range(p.strewn):
         rows.append((frozenset(rng.choice(vocabulary, rng.integers(1, 9), replace=False).tolist()), unknown))
-    often = Counter(g for t in templates for g in t.grams) + Counter(g for text in LOOKALIKES for g in grams_of(tokens(text)) for _ in range(5))
-    return _train(rows, vocabulary, families, templates, key_words(templates, often), p)
+    return _train(rows, vocabulary, families, templates, sorted(set(ANCHORS)), p)
 
 
 def _train(rows: list, vocabulary: list[str], families: list[str], templates: list[Template], keys: list[str], p: LicenceParams) -> LicenceModel:
@@ -324,7 +313,8 @@ def _scored(docs: DataFrame, model: LicenceModel, p: LicenceParams, id_col: str,
     """
     vocabulary, keys = F.expr(_texts(model.grams)), F.expr(_texts(model.keys))
     low = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.col(text_col).cast("string")).alias("low"))
-    likely = reduce(or_, [F.col("low").contains(k) for k in model.keys])
+    whole = F.col("low").rlike(f"(?<![a-z0-9])(?:{'|'.join(model.keys)})(?![a-z0-9])")  # asked of what the cheaper tests let through
+    likely = reduce(or_, [F.col("low").contains(k) for k in model.keys]) & whole
     lines = low.select("doc_id", F.when(likely, F.transform(F.split("low", "\n", -1), _words)).alias("lines"))
     is_key = lambda i: F.arrays_overlap(F.element_at("lines", i), keys)
     marked = lines.select("doc_id", "lines", F.filter(F.sequence(F.lit(1), F.size("lines")), is_key).alias("marks"))
@@ -387,14 +377,14 @@ def scan(docs: DataFrame, model: LicenceModel, params: LicenceParams = LicencePa
     """(doc_id, licence, probability, similarity, paragraph, notices, families) of every row.
 
     Confirmed paragraphs that overlap are one notice: the most similar stands for it, then that of fewer lines, of
-    the larger probability, the first. The licence is that of the best notice in the same order, and paragraph its
+    the larger probability (to 12 places), the first. The licence is that of the best notice in the same order, and paragraph its
     first line; it is ``unknown`` with nulls beside it where nothing is confirmed, as in null and empty texts.
     notices counts them. Rows are scanned one by one, so rows that share an id each have their own result, and those
     without one. Other columns are not read.
     """
     scored = _scored(docs, model, params, id_col, text_col)
     # in the order of comparison
-    ranked = lambda r: F.struct(r["similarity"].alias("similarity"), (r["a"] - r["b"]).alias("fewer"), r["probability"].alias("probability"), (1 - r["a"]).alias("minus"), (r["b"] - 1).alias("last"), r["class"].alias("class"))
+    ranked = lambda r: F.struct(r["similarity"].alias("similarity"), (r["a"] - r["b"]).alias("fewer"), F.round(r["probability"], 12).alias("probability"), (1 - r["a"]).alias("minus"), (r["b"] - 1).alias("last"), r["class"].alias("class"))
     notice = "struct<similarity: double, fewer: int, probability: double, minus: int, last: int, class: int>"
     good = scored.select("doc_id", F.transform(F.filter("runs", lambda r: r["confirmed"]), ranked).cast(f"array<{notice}>").alias("good"))
     state = ("n", "best", "classes", "now")

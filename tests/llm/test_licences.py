@@ -37,7 +37,7 @@ def plain(text, model, p=licences.LicenceParams()):
                         enough |= len(grams & t.grams) / len(t.grams) >= t.share
             if enough and probability >= p.least_probability:
                 first = min(i for i in range(a, b + 1) if set(lines[i]) & set(model.keys))  # there is always one
-                good.append((first, a, b, (best, a - b, probability, -a, b, c)))
+                good.append((first, a, b, (best, a - b, round(float(probability), 12), -a, b, c)))
     notices, now = [], None
     for _, a, b, rank in sorted(good):
         if now is None or a > now[4]:
