@@ -75,7 +75,7 @@ def sample(df: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) ->
 
 def own_columns(df: DataFrame) -> list[str]:
     """The file's columns, without what reading adds."""
-    return [c for c in df.columns if c not in ("file_name", "seq")]
+    return [c for c in df.columns if c not in ("file_name", "seq", "__malformed")]
 
 
 def facts(df: DataFrame, category: str) -> DataFrame:
@@ -87,7 +87,8 @@ def facts(df: DataFrame, category: str) -> DataFrame:
 def facts_of_files(df: DataFrame, category: str) -> dict[str, dict]:
     """The facts by file name, in one aggregate; files without rows aren't there."""
     present = [c for c in REQUIRED.get(category, []) if c in own_columns(df)]
-    rows = df.groupBy("file_name").agg(F.count("*").alias("__rows"), *[F.avg(F.col(f"`{c}`").isNull().cast("int")).alias(c) for c in present])
+    broken = F.count_if("__malformed") if "__malformed" in df.columns else F.lit(0)
+    rows = df.groupBy("file_name").agg(F.count("*").alias("__rows"), broken.alias("__malformed"), *[F.avg(F.col(f"`{c}`").isNull().cast("int")).alias(c) for c in present])
     return {r.file_name: {k: v for k, v in r.asDict().items() if k != "file_name"} for r in rows.collect()}  # a row for each file
 
 
@@ -120,5 +121,5 @@ def validate(df: DataFrame, category: str, environment: str) -> Report:
 
 
 def report(columns: list[str], seen: dict, category: str, environment: str, rows: list[dict]) -> Report:
-    shares = {c: round(float(seen[c]), 4) for c in seen if c != "__rows" and seen[c] is not None}
+    shares = {c: round(float(seen[c]), 4) for c in seen if not c.startswith("__") and seen[c] is not None}
     return Report(findings(columns, seen, category, environment), seen["__rows"], shares, rows)

@@ -44,6 +44,7 @@ class Outcome:
     updated: int
     detail_inserted: int
     detail_updated: int
+    malformed: int = 0  # rows that don't fit the header; they are taken in as far as they go
 
 
 def name_facts(spark: SparkSession, name: str) -> tuple[str, str]:
@@ -120,10 +121,11 @@ def ingest_groups(store: Store, groups: Sequence[Group], names: Sequence[str], o
     token = _token(store, step) if step else ""
     kinds = names_facts(store.spark, names)
     seen = [facts_of_files(g.rows, g.category) for g in groups]
-    reports = {}
+    reports, broken = {}, {}
     for name in names:
         category, environment = kinds[name]
         g, facts = next(((g, s[name]) for g, s in zip(groups, seen, strict=True) if name in s), (None, {"__rows": 0}))
+        broken[name] = facts.get("__malformed", 0)
         reports[name] = report(own_columns(g.rows) if g else [], facts, category, environment, [])
     bad = {n: r for n, r in reports.items() if not r.is_valid}
     if bad and not valid_only:
@@ -152,7 +154,7 @@ def ingest_groups(store: Store, groups: Sequence[Group], names: Sequence[str], o
     outcomes = []
     for i, name in enumerate(names):
         kind, environment = kinds[name]
-        outcomes.append(Outcome(name, kind, environment, reports[name].row_count, *counts["raw_query"].get(i, (0, 0)), *counts[layouts.BY_CATEGORY[kind][2]].get(i, (0, 0))))
+        outcomes.append(Outcome(name, kind, environment, reports[name].row_count, *counts["raw_query"].get(i, (0, 0)), *counts[layouts.BY_CATEGORY[kind][2]].get(i, (0, 0)), broken[name]))
     _log(store, outcomes, months, token)
     for kind in by_kind:
         link_details(store, kind)

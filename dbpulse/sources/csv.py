@@ -32,6 +32,7 @@ def read_declared(spark: SparkSession, path: str, columns: list[str]) -> DataFra
     return df.withColumns({"file_name": F.col("_metadata.file_name"), "seq": F.monotonically_increasing_id()})
 
 
+MALFORMED = "__malformed"  # whether a record has more or fewer values than the header has names
 BROADCAST_BLOCKS = 100_000  # of a few hundred bytes, sent to every executor at most; beyond, the join shuffles
 HEADER_BYTES = 1 << 20  # a header is read from so many bytes
 
@@ -142,7 +143,8 @@ def read_split(spark: SparkSession, paths: str | list[str], columns: list[str])
     Line breaks within quotes are told from those between records by the number of quotes before them: each block
     counts its own, the counts are added up along each file, and then every block knows whether it begins within
     quotes. The end of a record that goes on in the next block, a line or a few, is the only text that moves. ``seq``
-    follows the order of a file's records. A file must have its quotes in pairs, as CSV asks; ``read_file`` reads others as one task.
+    follows the order of a file's records. Records that don't fit the header are kept and marked. A file must have its quotes in pairs, as CSV asks; ``read_file``
+    reads others as one task.
     """
     lines = spark.read.option("lineSep", "\n").text(paths).select(F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("text"))
     blocks = lines.mapInArrow(_blocks, _BLOCKS).groupBy("file_path").applyInArrow(_joined, "file_path string, block long, inside boolean, tail string")
@@ -153,10 +155,12 @@ def read_split(spark: SparkSession, paths: str | list[str], columns: list[str])
     else:
         joined = lines.withColumn("line", F.monotonically_increasing_id()).join(open_ones, ["file_path", "block"], "left").repartition("file_path", "block").sortWithinPartitions("file_path", "block", "line")
     records = joined.select("file_path", "block", "text", F.coalesce("inside", F.lit(False)).alias("inside"), "tail").mapInArrow(_records, _RECORDS)
-    schema = StructType([StructField(f"c{i}", StringType()) for i in range(len(columns))])  # names may repeat or hold points
-    parsed = records.where("seq > 0 and record <> ''").select("file_path", "seq", F.from_csv("record", schema.simpleString()[7:-1].replace(":", " "), {k: v for k, v in OPTIONS.items() if k != "header"}).alias("r"))
+    fields = ", ".join([*(f"c{i} string" for i in range(len(columns))), "broken string"])  # names may repeat or hold points
+    options = {k: v for k, v in OPTIONS.items() if k != "header"} | {"columnNameOfCorruptRecord": "broken"}
+    parsed = records.where("seq > 0 and record <> ''").select("file_path", "seq", F.from_csv("record", fields, options).alias("r"))
     name = F.element_at(F.split("file_path", "/"), -1)
-    return parsed.select(*[F.col(f"r.c{i}").alias(c) for i, c in enumerate(columns)], F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("file_name"), "seq")
+    own = [F.col(f"r.c{i}").alias(c) for i, c in enumerate(columns)]
+    return parsed.select(*own, F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("file_name"), "seq", F.col("r.broken").isNotNull().alias(MALFORMED))
 
 
 def list_files(spark: SparkSession, path: str) -> list[tuple[str, str]]:

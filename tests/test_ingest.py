@@ -315,3 +315,52 @@ def test_hourly_windows_drop_what_is_late(spark, tmp_path):
     query()
     got = {(str(r.start), r.type): (r.occurrences, r.rows) for r in spark.read.parquet(f"file://{tmp_path}/out").collect()}
     assert got[("2026-02-01 10:00:00", "blocker")] == (5, 2) and got[("2026-02-01 11:00:00", "deadlock")] == (1, 1)
+
+
+def test_a_folder_whose_valid_files_are_taken_in(spark, store, tmp_path):
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    write(folder, "maxElapsedProd.csv", SLOW)
+    (folder / "maxElapsedSat.csv").write_text("host,db_name,query_final\nh1,d,q\nh2,d\nh3,d,q,more\n")
+    write(folder, "blockersBad.csv", [{"host": "a"}])
+    (folder / "deadlocksEmpty.csv").write_text("")
+    write(folder, "nothing known.csv", SLOW)
+    with pytest.raises(ingest.Invalid):
+        ingest.ingest_path(store, f"file://{folder}")
+    assert store.read("raw_query").count() == 0
+    got = {o.file_name: o for o in ingest.ingest_path(store, f"file://{folder}", valid_only=True)}
+    assert {n: (o.rows, o.inserted, o.malformed) for n, o in got.items()} == {"maxElapsedProd.csv": (2, 2, 0), "maxElapsedSat.csv": (3, 3, 2)}
+    groups = [ingest.Group(csv.read_split(spark, [f"file://{folder}/blockersBad.csv"], ["host"]), "blocker")]
+    outcomes, bad = ingest.ingest_groups(store, groups, ["blockersBad.csv", "deadlocksEmpty.csv"], valid_only=True)
+    assert outcomes == [] and {n: r.is_valid for n, r in bad.items()} == {"blockersBad.csv": False, "deadlocksEmpty.csv": False}
+    assert store.read("raw_query").count() == 5 and store.read("upload_log").count() == 2
+
+
+def test_the_number_of_jobs_does_not_follow_the_files(spark, store, tmp_path):
+    def jobs(n):
+        folder = tmp_path / f"f{n}"
+        folder.mkdir()
+        for i in range(n):
+            write(folder, f"maxElapsedProd{n}x{i}.csv", [SLOW[0] | {"host": f"H{n}x{i}"}])
+        group = f"files-{n}"
+        spark.sparkContext.setJobGroup(group, "")
+        ingest.ingest_path(store, f"file://{folder}")
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    few, many = jobs(2), jobs(9)
+    assert abs(many - few) <= 6  # adaptive execution may add a job for a stage
+
+
+def test_two_intakes_at_once_share_no_id(spark, store, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    files = [write(tmp_path, f"maxElapsedProd{i}.csv", [r | {"host": f"{r['host']}-{i}"} for r in SLOW] + SLOW) for i in range(2)]
+    stores = [Store(spark, store.root, buckets=4) for _ in files]
+    with ThreadPoolExecutor(2) as pool:
+        outs = list(pool.map(ingest.ingest_file, stores, files))
+    rows = store.read("raw_query").collect()
+    assert len(rows) == len({r.id for r in rows}) == len({r.query_hash for r in rows}) == 6
+    assert sum(r.occurrence_count for r in rows) == 8 and {o.rows for o in outs} == {4}
+    assert {r.filename for r in store.read("upload_log").collect()} == {"maxElapsedProd0.csv", "maxElapsedProd1.csv"}
+    linked = {r.host: r.raw_query_id for r in store.read("raw_query_slow_sql").where("host like 'H1%'").collect()}
+    assert linked == {r.host: r.id for r in rows if r.host.startswith("H1")} and len(linked) == 3
