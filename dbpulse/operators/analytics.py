@@ -1,7 +1,9 @@
 """The analytics, each a function of tables and filters that returns one lazy DataFrame.
 
 Filters reach the scan; roll-ups happen in the plan; orders are total, so limits
-and ties are the same on every run.
+and ties are the same on every run. The sums by environment, type, source, host,
+database and month (``summary``, ``by_host``, ``by_db``, ``by_month``, ``co_occurrence``)
+also take a kept roll-up in place of the rows.
 """
 
 from __future__ import annotations
@@ -22,8 +24,14 @@ def _bounded(name: str, value: int, most: int) -> int:
     return value
 
 
+def _weights(df: DataFrame) -> tuple[Column, Column]:
+    """(rows, occurrences) that a row stands for: itself, or those of a roll-up's group."""
+    return (F.col("row_count"), F.col("total_occurrences")) if "row_count" in df.columns else (F.lit(1), F.col("occurrence_count"))
+
+
 def _sums(df: DataFrame, *keys: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count("*").alias("row_count"), F.sum("occurrence_count").cast("long").alias("total_occurrences"))
+    rows, occurrences = _weights(df)
+    return df.groupBy(*keys).agg(F.sum(rows).cast("long").alias("row_count"), F.sum(occurrences).cast("long").alias("total_occurrences"))
 
 
 def summary(raw: DataFrame, **where) -> DataFrame:
@@ -47,12 +55,9 @@ def by_db(raw: DataFrame, top_n: int = 20, **where) -> DataFrame:
 def by_month(raw: DataFrame, **where) -> DataFrame:
     """Months with their change from the month before among those shown."""
     rows = filters.analytics(raw, **where).where("month_year is not null")
-    months = rows.groupBy("month_year").agg(
-        F.count("*").alias("row_count"),
-        F.sum("occurrence_count").cast("long").alias("total_occurrences"),
-        F.count_if(F.col("environment") == "prod").alias("prod_count"),
-        F.count_if(F.col("environment") == "sat").alias("sat_count"),
-    )
+    weight, occurrences = _weights(rows)
+    of = lambda name: F.coalesce(F.sum(F.when(F.col("environment") == name, weight)), F.lit(0)).cast("long").alias(f"{name}_count")
+    months = rows.groupBy("month_year").agg(F.sum(weight).cast("long").alias("row_count"), F.sum(occurrences).cast("long").alias("total_occurrences"), of("prod"), of("sat"))
     order = Window.orderBy("month_year")  # one row per month
     delta = lambda c: F.col(c) - F.lag(c).over(order)
     return months.select("month_year", "row_count", "total_occurrences", delta("row_count").alias("row_delta"), delta("total_occurrences").alias("occ_delta"), "prod_count", "sat_count").orderBy("month_year")
@@ -265,7 +270,8 @@ def host_stats_ranked(raw: DataFrame, top_n: int = 30, **where) -> DataFrame:
 def co_occurrence(raw: DataFrame, limit: int = 200, both_only: bool = False, **where) -> DataFrame:
     """Blockers and deadlocks by host and month, in one pass."""
     rows = filters.analytics(raw, **where).where(F.col("type").isin("blocker", "deadlock") & F.col("host").isNotNull() & F.col("month_year").isNotNull())
-    part = lambda kind: F.coalesce(F.sum(F.when(F.col("type") == kind, F.col("occurrence_count"))), F.lit(0)).cast("long").alias(f"{kind}_count")
+    _, occurrences = _weights(rows)
+    part = lambda kind: F.coalesce(F.sum(F.when(F.col("type") == kind, occurrences)), F.lit(0)).cast("long").alias(f"{kind}_count")
     out = rows.groupBy("host", "month_year").agg(part("blocker"), part("deadlock")).withColumn("combined_score", F.col("blocker_count") + F.col("deadlock_count"))
     if both_only:
         out = out.where("blocker_count > 0 and deadlock_count > 0")

@@ -111,6 +111,21 @@ def rollup_advanced(spark, d):
     return kept.read(["environment", "type", "source"])
 
 
+@query(
+    cte("raw_query")
+    + f""", h AS (SELECT host, environment, {SUMS} FROM raw_query WHERE host IS NOT NULL GROUP BY ALL)
+SELECT host, environment, row_count, total_occurrences FROM h ORDER BY total_occurrences DESC, host, environment LIMIT 20"""
+)
+def by_host_from_rollup(spark, d):
+    """Top hosts of a table from its kept roll-up, which two writes have advanced."""
+    store = _loaded(spark, d)
+    kept = Rollup(store)
+    kept.advance()
+    store.rewrite("raw_query", _rows(spark, d).where("id % 3 = 0"), lambda old, new: old.unionByName(new))
+    kept.advance()
+    return analytics.by_host(kept.read())
+
+
 @query("SELECT doc_id AS id, text, CAST(n_chars AS BIGINT) AS n_chars, CAST(NULL AS VARCHAR) AS language FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, text, n_chars, lang FROM documents WHERE doc_id % 2 = 1")
 def schema_versions(spark, d):
     """A table of which half was written before a column was added, one dropped, one renamed and one widened."""
