@@ -3,10 +3,10 @@
 Coarse centroids and codebooks are trained on a bounded sample; every vector is
 indexed. A query scans the lists of its nearest centroids by asymmetric distance
 tables (exact query against coded residual), keeps its best candidates, and these
-are scored again exactly on the original vectors. How many lists to probe is chosen
-on sample queries, so that exact search in the probed lists reaches the asked
-recall; how many candidates to keep is then chosen on the same queries with the
-coded vectors, so that the whole path does. ``exact`` scans every list with the
+are scored again exactly on the original vectors. How many lists to probe and how many
+candidates to keep follow from some queries' true neighbours among all vectors, so that
+the asked recall is that of the whole table, whatever training saw of it; it is
+returned with the results. ``exact`` scans every list with the
 original vectors instead: then nothing is approximate.
 """
 
@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
@@ -30,13 +30,12 @@ from .vectors import matrix, packed, unpacked, usable
 class IvfParams:
     k: int = 20
     sample: int = 16_384  # vectors that training reads at most
-    probes: int = 128  # sample queries on which lists and candidates are chosen
+    probes: int = 128  # queries, drawn apart from the training sample, whose neighbours among all vectors decide lists and candidates
     recall: float = 0.97  # asked of the probed lists on these
-    path_recall: float = 0.955  # asked of the whole path
+    path_recall: float = 0.96  # asked of the whole path
     most_lists: int = 1024
     sub_dims: int = 2  # dimensions of a sub-quantiser, of up to 256 codes
     rounds: int = 8
-    candidates: tuple[int, ...] = (100, 200, 400, 800, 1600)  # numbers a query may keep and score exactly; the first that suffices
     exact: bool = False  # every vector is a candidate of every query
     part: int = 32_768  # vectors scanned together
     ask: int = 512  # queries in a task, at least, where few parts leave tasks to spare
@@ -48,9 +47,9 @@ class IvfParams:
 class IvfIndex:
     coarse: np.ndarray  # (lists, dims)
     books: np.ndarray  # (sub-quantisers, codes, sub_dims)
-    probe: int  # lists that a query scans
-    keep: int  # candidates that it keeps
-    recall: float  # of the whole path, on the sample queries
+    probe: int = 1  # lists that a query scans
+    keep: int = 1  # candidates that it keeps
+    recall: float = 1.0  # of the whole path, against all vectors, on the sample queries
 
     def encode(self, x: np.ndarray, lists: np.ndarray) -> np.ndarray:
         rest = _split(x - self.coarse[lists], self.books)
@@ -83,7 +82,7 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.
 
 
 def train(sample: np.ndarray, n: int, p: IvfParams) -> IvfIndex:
-    """Centroids, codebooks and the number of lists to probe, from a sample of n vectors."""
+    """Centroids and codebooks, from a sample of n vectors."""
     rng = np.random.default_rng(p.seed)
     lists = max(1, min(p.most_lists, int(math.sqrt(n)), len(sample) // 8 or 1))
     coarse = _kmeans(sample, lists, p.rounds, rng)
@@ -93,24 +92,66 @@ def train(sample: np.ndarray, n: int, p: IvfParams) -> IvfIndex:
     rest = _split(sample - coarse[own], np.zeros((m, 1, p.sub_dims)))
     codes = min(256, len(sample))
     books = np.stack([_kmeans(rest[:, i], codes, p.rounds, rng) for i in range(m)])
-    queries = sample[rng.choice(len(sample), min(p.probes, len(sample)), replace=False)]
-    score = queries @ sample.T
-    k = min(p.k + 1, len(sample))  # with the query itself
-    best = np.argpartition(-score, k - 1, axis=1)[:, :k]
-    rank = np.empty((len(queries), lists), np.int64)
-    np.put_along_axis(rank, np.argsort(-(queries @ coarse.T), axis=1), np.arange(lists)[None, :], axis=1)
-    found = np.sort(np.take_along_axis(rank, own[best], axis=1).reshape(-1))
-    probe = int(found[min(len(found) - 1, math.ceil(p.recall * len(found)) - 1)]) + 1
-    index = IvfIndex(coarse, books, probe, p.candidates[-1], 0.0)
-    codes = index.encode(sample, own)
-    decoded = coarse[own] + np.stack([books[i][codes[:, i]] for i in range(m)], axis=1).reshape(len(sample), -1)[:, :dims]
-    coded = np.where(rank[:, own] < probe, queries @ decoded.T, -np.inf)
-    place = np.empty(coded.shape, np.int64)
-    np.put_along_axis(place, np.argsort(-coded, axis=1, kind="stable"), np.arange(len(sample))[None, :], axis=1)
-    reached = np.isfinite(np.take_along_axis(coded, best, axis=1))
-    recalls = {c: float((reached & (np.take_along_axis(place, best, axis=1) < c)).mean()) for c in p.candidates}
-    keep = next((c for c in p.candidates if recalls[c] >= p.path_recall), p.candidates[-1])
-    return IvfIndex(coarse, books, probe, keep, recalls[keep])
+    return IvfIndex(coarse, books)
+
+
+def measured(index: IvfIndex, reps: DataFrame, coded: DataFrame, classes: int, p: IvfParams) -> IvfIndex:
+    """The index with as many lists and candidates as the asked recall takes, measured against all vectors.
+
+    The true neighbours of a bounded number of queries are found in one pass over all vectors. The rank of each one's list
+    decides how many lists are probed, and its place among all coded vectors of these, counted in a second pass, how
+    many candidates are kept. Neither number has a limit: at worst all are scored exactly.
+    """
+    h = F.xxhash64(F.lit(p.seed), "rep")
+    drawn = reps if classes <= 4 * p.probes else reps.where(h < int(-(1 << 63) + 2 * p.probes / classes * (1 << 64)))
+    asked = drawn.select("rep", "v").orderBy(h, "rep").limit(p.probes).toArrow()
+    q, k = matrix(asked["v"]), min(p.k + 1, classes)
+    if not len(q):
+        return index
+
+    def truth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, scores = np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0))
+        for batch in batches:
+            if batch.num_rows:
+                ids = np.concatenate([ids, np.broadcast_to(batch.column(0).to_numpy(), (len(q), batch.num_rows))], axis=1)
+                scores = np.concatenate([scores, q @ matrix(batch.column(1)).T], axis=1)
+                top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                ids, scores = np.take_along_axis(ids, top, axis=1), np.take_along_axis(scores, top, axis=1)
+        who = np.repeat(np.arange(len(q), dtype=np.int32), ids.shape[1])
+        yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(ids.reshape(-1)), pa.array(scores.reshape(-1))], names=["q", "rep", "score"])
+
+    best = Window.partitionBy("q").orderBy(F.desc("score"), "rep")
+    found = reps.select("rep", "v").mapInArrow(truth, "q int, rep long, score double").withColumn("r", F.row_number().over(best)).where(F.col("r") <= k)
+    true = coded.join(F.broadcast(found.select("q", "rep")), "rep").select("q", "list", "codes").toArrow()  # probes * (k + 1) rows
+    who, lists, codes = true["q"].to_numpy(), true["list"].to_numpy(), unpacked(true["codes"], np.uint8)
+    near = q @ index.coarse.T
+    rank = np.empty(near.shape, np.int64)
+    np.put_along_axis(rank, np.argsort(-near, axis=1, kind="stable"), np.arange(near.shape[1])[None, :], axis=1)
+    need = rank[who, lists]
+    probe = int(np.sort(need)[math.ceil(p.recall * len(need)) - 1]) + 1
+    floor = -np.partition(-near, probe - 1, axis=1)[:, probe - 1] - 1e-9
+    score = np.concatenate([adc(index, int(c), q[w : w + 1], codes[i : i + 1])[0] for i, (w, c) in enumerate(zip(who, lists, strict=True))])
+    pairs = [np.flatnonzero(who == w) for w in range(len(q))]
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """How many coded vectors of the probed lists come before each true neighbour."""
+        before = np.zeros(len(who), np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                own, held = batch.column(0).to_numpy(), unpacked(batch.column(1), np.uint8)
+                for c in np.unique(own):
+                    probing = np.flatnonzero(near[:, c] >= floor)
+                    if len(probing):
+                        for w, scores in zip(probing, adc(index, int(c), q[probing], held[own == c]), strict=True):
+                            before[pairs[w]] += len(scores) - np.searchsorted(np.sort(scores), score[pairs[w]], "right")
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(who), dtype=np.int32)), pa.array(before)], names=["pair", "n"])
+
+    counted = coded.select("list", "codes").mapInArrow(places, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    place = np.zeros(len(who), np.int64)
+    place[counted["pair"].to_numpy()] = counted["n"].to_numpy()
+    reached = need < probe
+    keep = max(p.k + 1, int(np.sort(place[reached])[min(int(reached.sum()), math.ceil(p.path_recall * len(who))) - 1]) + 1)
+    return replace(index, probe=probe, keep=keep, recall=float((reached & (place < keep)).mean()))
 
 
 def adc(index: IvfIndex, centre: int, queries: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -123,12 +164,13 @@ def adc(index: IvfIndex, centre: int, queries: np.ndarray, codes: np.ndarray) ->
 
 
 def nearest(table: DataFrame, is_query: Column, params: IvfParams = IvfParams(), id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): for each row that is a query, its k nearest others by inner product.
+    """(query_id, rank, vec_id, score, sample_recall): for each row that is a query, its k nearest others by inner product.
 
     Nearest first, ties to the smaller vec_id; all candidates where there are fewer than k. Vectors that are null,
     empty, zero, or hold null or non-finite components take no part as query or candidate. Vectors of different
     lengths have no product: each length is searched by itself. Rows that repeat an id count as one, with the
-    smallest vector (the shortest, then by components). An empty table gives no rows.
+    smallest vector (the shortest, then by components). sample_recall is what the search found of the neighbours of the
+    queries that it was measured on. An empty table gives no rows.
     """
     spark = table.sparkSession
     ship(spark)
@@ -141,7 +183,7 @@ def nearest(table: DataFrame, is_query: Column, params: IvfParams = IvfParams(),
         rows = rows.join(twice, F.col("vec_id") == F.col("twice"), "left_anti").unionByName(again)
     lengths = sorted(r.dims for r in rows.select(F.size("v").alias("dims")).distinct().collect())
     found = [_nearest_of(rows.where(F.size("v") == d), params) for d in lengths]
-    return reduce(DataFrame.union, found) if found else spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return reduce(DataFrame.union, found) if found else spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, sample_recall double")
 
 
 def _nearest_of(rows: DataFrame, p: IvfParams) -> DataFrame:
@@ -187,6 +229,9 @@ def _nearest_of(rows: DataFrame, p: IvfParams) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(q)), pa.array(group.astype(np.int32)), pa.array(floor[q]), pa.array([raw[i] for i in q], pa.binary())], names=["query_rep", "grp", "floor", "q"])
 
     coded = cut(reps.select("rep", "v").mapInArrow(code, "rep long, list int, codes binary, grp int"), "codes")
+    if not p.exact:
+        index = measured(index, reps, coded, sizes.classes, p)
+        held = spark.sparkContext.broadcast(index)
     asked = reps.where("query").select("rep", "v").repartition("rep").mapInArrow(spread, "query_rep long, grp int, floor double, q binary")
     # a group with many vectors is dealt to parts, each of which sees the group's queries; few parts see them in turns
     parts = coded.groupBy("grp").agg(F.ceil(F.count("*") / p.part).cast("int").alias("parts"))
@@ -245,4 +290,4 @@ def _nearest_of(rows: DataFrame, p: IvfParams) -> DataFrame:
     asking = owned.where("query").select(F.col("rep").alias("query_rep"), F.col("vec_id").alias("query_id"))
     final = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = asking.join(named, "query_rep").where("query_id <> vec_id").withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= p.k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    return ranked.select("query_id", "rank", "vec_id", "score", F.lit(index.recall).alias("sample_recall"))
