@@ -126,6 +126,19 @@ def by_host_from_rollup(spark, d):
     return analytics.by_host(kept.read())
 
 
+@query(cte("raw_query") + f"SELECT environment, {SUMS} FROM raw_query GROUP BY environment")
+def registered_tables(spark, d):
+    """A table asked by its name in SQL, after somebody else has written to it."""
+    store = _loaded(spark, d, cache_seconds=0)
+    store.cached("raw_query")
+    other = Store(spark, store.root, buckets=4, one_writer=True)
+    other.rewrite("raw_query", _rows(spark, d).where("id % 3 = 0"), lambda old, new: old.unionByName(new))
+    store.register("raw_query")
+    out = spark.sql(f"SELECT environment, {SUMS.replace('AS BIGINT', 'AS LONG')} FROM raw_query GROUP BY environment")
+    store.invalidate()
+    return out
+
+
 @query("SELECT doc_id AS id, text, CAST(n_chars AS BIGINT) AS n_chars, CAST(NULL AS VARCHAR) AS language FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, text, n_chars, lang FROM documents WHERE doc_id % 2 = 1")
 def schema_versions(spark, d):
     """A table of which half was written before a column was added, one dropped, one renamed and one widened."""
