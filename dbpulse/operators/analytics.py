@@ -258,12 +258,12 @@ def ranked_percentiles(rows: DataFrame, key: str, value: str, shares: dict[str,
     return both.select(F.col("k").alias(key), *[part(name, q).alias(name) for name, q in shares.items()])
 
 
-def host_stats_ranked(raw: DataFrame, top_n: int = 30, **where) -> DataFrame:
+def host_stats_ranked(raw: DataFrame, top_n: int = 30, digits: int = 1, **where) -> DataFrame:
     """What ``host_stats`` gives, for hosts with any number of rows and of different occurrences."""
     rows = filters.analytics(raw, **where).where("host is not null")
     sums = rows.groupBy("host").agg(F.max("occurrence_count").cast("long").alias("max_occ"), F.sum("occurrence_count").cast("long").alias("total_occurrences"), F.count("*").alias("row_count"))
     ranked = ranked_percentiles(rows, "host", "occurrence_count", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
-    out = sums.where("row_count >= 3").join(ranked, "host", "left").select("host", *[F.round(c, 1).alias(c) for c in ("p50", "p95", "p99")], "max_occ", "total_occurrences", "row_count")
+    out = sums.where("row_count >= 3").join(ranked, "host", "left").select("host", *[F.round(c, digits).alias(c) for c in ("p50", "p95", "p99")], "max_occ", "total_occurrences", "row_count")
     return out.orderBy(F.desc("p95"), F.desc("total_occurrences"), "host").limit(_bounded("top_n", top_n, 200))
 
 

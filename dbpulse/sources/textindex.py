@@ -14,6 +14,9 @@ from ..functions.text import like_text
 from .store import Store
 
 
+FILE_ROWS = 1_000_000  # of the index
+
+
 def grams(text: str) -> list[int]:
     """The different three-byte pieces of a text in UTF-8, as numbers."""
     raw = np.frombuffer(text.encode(), np.uint8).astype(np.int32)
@@ -46,7 +49,7 @@ class TextIndex:
     def __init__(self, store: Store, table: str, column: str):
         self.store, self.table, self.column = store, table, column
         self.name = f"index_{table}_{column}"
-        store.define(self.name, "path string, gram int", "path", ["path"])
+        store.define(self.name, "path string, gram int", "path", ["path"], FILE_ROWS)
 
     def refresh(self) -> int:
         """Takes in the files that are new; returns how many."""
