@@ -1,13 +1,14 @@
 """Approximate nearest neighbours: an inverted file with product-quantised residuals.
 
 Coarse centroids and codebooks are trained on a bounded sample; every vector is
-indexed. A query scans the lists of its nearest centroids by asymmetric distance
-tables (exact query against coded residual), keeps its best candidates, and these
-are scored again exactly on the original vectors. How many lists to probe and how many
-candidates to keep follow from some queries' true neighbours among all vectors, so that
-the asked recall is that of the whole table, whatever training saw of it; it is
-returned with the results. ``exact`` scans every list with the
-original vectors instead: then nothing is approximate.
+indexed, its residual as a code of its direction and a length, with the error that the
+code leaves. A query scans its own list and those that promise it most by asymmetric distance tables
+(exact query against coded residual). What the errors leave open is scored exactly on the
+original vectors, where the codes are, so within the scanned lists nothing is missed. How many
+lists are scanned follows from the true neighbours, among all vectors, of some of the
+queries, so that the asked recall is that of the whole table and of the rows that ask, whatever
+training saw; it is returned with the results. ``exact`` scans every list: then nothing is
+approximate.
 """
 
 from __future__ import annotations
@@ -23,38 +24,54 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, hash_sample, ship
-from .vectors import matrix, packed, unpacked, usable
+from .vectors import lengths, matrix, packed, unit, unpacked, usable
 
 
 @dataclass(frozen=True)
 class IvfParams:
     k: int = 20
     sample: int = 16_384  # vectors that training reads at most
-    probes: int = 128  # queries, drawn apart from the training sample, whose neighbours among all vectors decide lists and candidates
-    recall: float = 0.97  # asked of the probed lists on these
-    path_recall: float = 0.96  # asked of the whole path
+    probes: int = 256  # queries whose neighbours among all vectors decide how many lists are scanned
+    recall: float = 0.99  # asked of the scanned lists on these
     most_lists: int = 1024
     sub_dims: int = 2  # dimensions of a sub-quantiser, of up to 256 codes
     rounds: int = 8
-    exact: bool = False  # every vector is a candidate of every query
-    part: int = 32_768  # vectors scanned together
-    ask: int = 512  # queries in a task, at least, where few parts leave tasks to spare
-    spread: int = 64  # tasks that few parts are worth
+    exact: bool = False  # every list is scanned
+    part: int = 32_768  # vectors scanned together, at most
+    least: int = 4_096  # and at least, where few vectors leave tasks to spare
+    spread: int = 64  # tasks that few vectors are dealt to
+    ask: int = 65_536  # queries in a task
     seed: int = 7
 
 
 @dataclass(frozen=True)
 class IvfIndex:
     coarse: np.ndarray  # (lists, dims)
-    books: np.ndarray  # (sub-quantisers, codes, sub_dims)
+    books: np.ndarray  # (sub-quantisers, codes, sub_dims), of residuals of length one
+    reach: np.ndarray  # (lists,) root mean square of the residuals' lengths
+    share: np.ndarray  # (lists,) of the sample
+    wide: float = 0.0  # how much of its reach a list's promise counts
     probe: int = 1  # lists that a query scans
-    keep: int = 1  # candidates that it keeps
-    recall: float = 1.0  # of the whole path, against all vectors, on the sample queries
+    recall: float = 1.0  # against all vectors, on the sample queries
+
+    def promise(self, queries: np.ndarray) -> np.ndarray:
+        """(queries, lists) for queries of length one: what a list's vectors may reach."""
+        return queries @ self.coarse.T + self.wide * self.reach
 
     def encode(self, x: np.ndarray, lists: np.ndarray) -> np.ndarray:
-        rest = _split(x - self.coarse[lists], self.books)
+        rest = _split(unit(x - self.coarse[lists]), self.books)
         return np.stack([_nearest(rest[:, m], self.books[m]) for m in range(len(self.books))], axis=1).astype(np.uint8)
 
+    def decoded(self, codes: np.ndarray, dims: int) -> np.ndarray:
+        return np.concatenate([self.books[m][codes[:, m]] for m in range(len(self.books))], axis=1)[:, :dims]
+
+    def gains(self, x: np.ndarray, lists: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The factor that brings each decoded direction nearest to its residual, and by how much a product with a query of length one may then be off."""
+        rest, way = x - self.coarse[lists], self.decoded(codes, x.shape[1])
+        gain = (rest * way).sum(axis=1) / np.maximum((way * way).sum(axis=1), 1e-300)
+        rounding = np.abs(gain) * (len(self.books) + 4) * 2e-7 + 1e-12 * (lengths(x) + lengths(self.coarse)[lists])  # tables are of single precision
+        return gain, lengths(rest - gain[:, None] * way) + rounding
+
 
 def _split(x: np.ndarray, books: np.ndarray) -> np.ndarray:
     m, _, sub = books.shape
@@ -89,80 +106,120 @@ def train(sample: np.ndarray, n: int, p: IvfParams) -> IvfIndex:
     own = _nearest(sample, coarse)
     dims = sample.shape[1]
     m = -(-dims // p.sub_dims)
-    rest = _split(sample - coarse[own], np.zeros((m, 1, p.sub_dims)))
+    rest = sample - coarse[own]
+    counts = np.bincount(own, minlength=lists)
+    reach = np.sqrt(np.bincount(own, (rest * rest).sum(axis=1), lists) / np.maximum(counts, 1))
+    rest = _split(unit(rest), np.zeros((m, 1, p.sub_dims)))
     codes = min(256, len(sample))
     books = np.stack([_kmeans(rest[:, i], codes, p.rounds, rng) for i in range(m)])
-    return IvfIndex(coarse, books)
+    return IvfIndex(coarse, books, reach, counts / len(sample))
 
 
-def measured(index: IvfIndex, reps: DataFrame, coded: DataFrame, classes: int, p: IvfParams) -> IvfIndex:
-    """The index with as many lists and candidates as the asked recall takes, measured against all vectors.
+def measured(index: IvfIndex, reps: DataFrame, asking: int, scale: float, p: IvfParams) -> IvfIndex:
+    """The index with as many scanned lists as the asked recall takes, measured against all vectors.
 
-    The true neighbours of a bounded number of queries are found in one pass over all vectors. The rank of each one's list
-    decides how many lists are probed, and its place among all coded vectors of these, counted in a second pass, how
-    many candidates are kept. Neither number has a limit: at worst all are scored exactly.
+    The true neighbours of a bounded number of the queries are found in one pass over all vectors. The rank of each one's
+    list decides how many lists are scanned, at worst all, and how much of its reach a list's promise counts is what
+    then leaves the fewest vectors to scan.
     """
     h = F.xxhash64(F.lit(p.seed), "rep")
-    drawn = reps if classes <= 4 * p.probes else reps.where(h < int(-(1 << 63) + 2 * p.probes / classes * (1 << 64)))
-    asked = drawn.select("rep", "v").orderBy(h, "rep").limit(p.probes).toArrow()
-    q, k = matrix(asked["v"]), min(p.k + 1, classes)
-    if not len(q):
+    drawn = reps.where("query")
+    if asking > 4 * p.probes:
+        drawn = drawn.where(h < int(-(1 << 63) + 2 * p.probes / asking * (1 << 64)))
+    asked = drawn.select("rep", "v", "members").orderBy(h, "rep").limit(p.probes).toArrow()
+    if not asked.num_rows:
         return index
+    q, k, coarse = unit(matrix(asked["v"]) / scale), p.k, index.coarse
+    own, alone = asked["rep"].to_numpy()[:, None], asked["members"].to_numpy()[:, None] == 1  # a query's copies are its neighbours
 
     def truth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, scores = np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0))
+        ids, lists, scores = np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0))
         for batch in batches:
             if batch.num_rows:
-                ids = np.concatenate([ids, np.broadcast_to(batch.column(0).to_numpy(), (len(q), batch.num_rows))], axis=1)
-                scores = np.concatenate([scores, q @ matrix(batch.column(1)).T], axis=1)
-                top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                ids, scores = np.take_along_axis(ids, top, axis=1), np.take_along_axis(scores, top, axis=1)
-        who = np.repeat(np.arange(len(q), dtype=np.int32), ids.shape[1])
-        yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(ids.reshape(-1)), pa.array(scores.reshape(-1))], names=["q", "rep", "score"])
+                x, here = matrix(batch.column(1)) / scale, batch.column(0).to_numpy()
+                new = np.where(alone & (own == here), -np.inf, q @ x.T)
+                add = [np.broadcast_to(a, new.shape) for a in (here, _nearest(x, coarse))]
+                ids, lists, scores = (np.concatenate(c, axis=1) for c in ((ids, add[0]), (lists, add[1]), (scores, new)))
+                top = np.lexsort((ids, -scores), axis=1)[:, :k]
+                ids, lists, scores = (np.take_along_axis(a, top, axis=1) for a in (ids, lists, scores))
+        who, col = np.nonzero(scores > -np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(a) for a in (who.astype(np.int32), ids[who, col], lists[who, col], scores[who, col])], names=["q", "rep", "list", "score"])
 
     best = Window.partitionBy("q").orderBy(F.desc("score"), "rep")
-    found = reps.select("rep", "v").mapInArrow(truth, "q int, rep long, score double").withColumn("r", F.row_number().over(best)).where(F.col("r") <= k)
-    true = coded.join(F.broadcast(found.select("q", "rep")), "rep").select("q", "list", "codes").toArrow()  # probes * (k + 1) rows
-    who, lists, codes = true["q"].to_numpy(), true["list"].to_numpy(), unpacked(true["codes"], np.uint8)
-    near = q @ index.coarse.T
-    rank = np.empty(near.shape, np.int64)
-    np.put_along_axis(rank, np.argsort(-near, axis=1, kind="stable"), np.arange(near.shape[1])[None, :], axis=1)
-    need = rank[who, lists]
-    probe = int(np.sort(need)[math.ceil(p.recall * len(need)) - 1]) + 1
-    floor = -np.partition(-near, probe - 1, axis=1)[:, probe - 1] - 1e-9
-    score = np.concatenate([adc(index, int(c), q[w : w + 1], codes[i : i + 1])[0] for i, (w, c) in enumerate(zip(who, lists, strict=True))])
-    pairs = [np.flatnonzero(who == w) for w in range(len(q))]
-
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """How many coded vectors of the probed lists come before each true neighbour."""
-        before = np.zeros(len(who), np.int64)
-        for batch in batches:
-            if batch.num_rows:
-                own, held = batch.column(0).to_numpy(), unpacked(batch.column(1), np.uint8)
-                for c in np.unique(own):
-                    probing = np.flatnonzero(near[:, c] >= floor)
-                    if len(probing):
-                        for w, scores in zip(probing, adc(index, int(c), q[probing], held[own == c]), strict=True):
-                            before[pairs[w]] += len(scores) - np.searchsorted(np.sort(scores), score[pairs[w]], "right")
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(who), dtype=np.int32)), pa.array(before)], names=["pair", "n"])
-
-    counted = coded.select("list", "codes").mapInArrow(places, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    place = np.zeros(len(who), np.int64)
-    place[counted["pair"].to_numpy()] = counted["n"].to_numpy()
-    reached = need < probe
-    keep = max(p.k + 1, int(np.sort(place[reached])[min(int(reached.sum()), math.ceil(p.path_recall * len(who))) - 1]) + 1)
-    return replace(index, probe=probe, keep=keep, recall=float((reached & (place < keep)).mean()))
-
-
-def adc(index: IvfIndex, centre: int, queries: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    found = reps.select("rep", "v").mapInArrow(truth, "q int, rep long, list long, score double").withColumn("r", F.row_number().over(best)).where(F.col("r") <= k)
+    true = found.select("q", "list").toArrow()  # probes * k rows
+    if not true.num_rows:
+        return index
+    who, lists = true["q"].to_numpy(), true["list"].to_numpy()
+    home = _nearest(matrix(asked["v"]) / scale, coarse)[who]
+    tried = []
+    for wide in (0.0, 0.1, 0.2, 0.3, 0.5):
+        ranked = np.argsort(-replace(index, wide=wide).promise(q), axis=1, kind="stable")
+        rank = np.empty_like(ranked)
+        np.put_along_axis(rank, ranked, np.arange(ranked.shape[1])[None, :], axis=1)
+        need = np.sort(np.where(lists == home, 0, rank[who, lists]))  # a query's own list is scanned in any case
+        probe = int(need[math.ceil(p.recall * len(need)) - 1]) + 1
+        tried.append((float(index.share[ranked[:, :probe]].sum()), wide, probe, float((need < probe).mean())))
+    _, wide, probe, recall = min(tried)
+    return replace(index, wide=wide, probe=probe, recall=recall)
+
+
+def adc(index: IvfIndex, centre: int | np.ndarray, queries: np.ndarray, codes: np.ndarray, gain: float | np.ndarray = 1.0) -> np.ndarray:
     """(queries, vectors) inner products by tables: the centroid's, and each sub-quantiser's at the vector's code."""
     tables = np.einsum("qms,mcs->mqc", _split(queries, index.books), index.books).astype(np.float32)
-    out = np.repeat((queries @ index.coarse[centre]).astype(np.float32)[:, None], len(codes), axis=1)
+    coded = np.zeros((len(queries), len(codes)), np.float32)
     for m in range(codes.shape[1]):
-        out += np.take(tables[m], codes[:, m], axis=1)
+        coded += np.take(tables[m], codes[:, m], axis=1)
+    lists, which = np.unique(centre, return_inverse=True)
+    return (queries @ index.coarse[lists].T)[:, which.reshape(-1)] + coded.astype(np.float64) * gain
+
+
+def products(queries: np.ndarray, vectors: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """Inner products of pairs in double precision, added component by component."""
+    out = np.zeros(len(row))
+    for a, b in zip(queries.T, vectors.T, strict=True):
+        out += a[row].astype(np.float64) * b[col].astype(np.float64)
     return out
 
 
+def scanned_part(index: IvfIndex, vectors: pa.Table, queries: pa.Table, kind, scale: float, k: int) -> pa.Table:
+    """(query_rep, rep, score) of each query's k nearest among the vectors that lie in lists which it scans.
+
+    A vector is scored exactly unless its coded product and error show that k others are nearer.
+    """
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    if vectors.num_rows and queries.num_rows:
+        lists, ids, gain, off = (vectors[c].to_numpy() for c in ("list", "rep", "gain", "off"))
+        codes, v = unpacked(vectors["codes"], np.uint8), unpacked(vectors["v"], kind)
+        numbers, which = np.unique(lists, return_inverse=True)
+        who, raw = queries["query_rep"].to_numpy(), unpacked(queries["q"], kind)
+        ways = unit(raw.astype(np.float64) / scale)
+        promise = index.promise(ways)[:, numbers]
+        probed = (promise >= queries["floor"].to_numpy()[:, None]) | (queries["home"].to_numpy()[:, None] == numbers)
+        alike = np.argsort(promise.argmax(axis=1), kind="stable")  # queries of near lists together
+        for at in range(0, len(alike), 128):
+            block = alike[at : at + 128]
+            some = np.flatnonzero(probed[block].any(axis=0)[which])
+            if not len(some):
+                continue
+            q, hit = ways[block], probed[block][:, which[some]]
+            near = np.where(hit, adc(index, lists[some], q, codes[some], gain[some]), -np.inf)
+            least = np.full(len(q), -np.inf)
+            if len(some) > k:
+                first = np.argpartition(-near, min(2 * k, len(some) - 1), axis=1)[:, : 2 * k]
+                sure = np.where(np.take_along_axis(hit, first, axis=1), np.einsum("qd,qnd->qn", q, v[some[first]].astype(np.float64) / scale), -np.inf)
+                least = -np.partition(-sure, k - 1, axis=1)[:, k - 1]
+            row, col = np.nonzero(hit & (near + off[some] >= least[:, None]))
+            col = some[col]
+            score = products(raw[block], v, row, col)
+            order = np.lexsort((ids[col], -score, row))
+            place = np.arange(len(order)) - np.searchsorted(row[order], row[order])
+            order = order[place < k]
+            out.append((who[block[row[order]]], ids[col[order]], score[order]))
+    cat = lambda i, t: np.concatenate([o[i] for o in out]) if out else np.zeros(0, t)
+    return pa.table({"query_rep": cat(0, np.int64), "rep": cat(1, np.int64), "score": cat(2, np.float64)})
+
+
 def nearest(table: DataFrame, is_query: Column, params: IvfParams = IvfParams(), id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score, sample_recall): for each row that is a query, its k nearest others by inner product.
 
@@ -195,94 +252,65 @@ def _nearest_of(rows: DataFrame, p: IvfParams) -> DataFrame:
     hashes = [F.xxhash64("v").alias("key"), F.xxhash64(F.lit(1), "v").alias("key2")]  # a class is known by two hashes of its vector
     reps = cut(rows.groupBy("v").agg(F.min("vec_id").alias("rep"), F.max("query").alias("query"), F.count("*").alias("members")).select("*", *hashes), "vectors")
     owned = cut(rows.select("vec_id", "query", *hashes).join(reps.select("key", "key2", "rep"), ["key", "key2"]).select("vec_id", "query", "rep"), "owned")
-    sizes = reps.agg(F.sum("members").alias("n"), F.count("*").alias("classes")).first()
+    sizes = reps.agg(F.sum("members").alias("n"), F.count("*").alias("classes"), F.count_if("query").alias("asking"), F.max(F.array_max(F.transform("v", F.abs))).cast("double").alias("largest")).first()
     n = sizes.n
-    reps = reps.select("v", "rep", "query")
-    found = hash_sample(reps, "rep", p.sample, sizes.classes).select("v").toArrow()
-    index = train(matrix(found["v"]), n, p)
+    kind = np.float32 if dict(reps.dtypes)["v"] == "array<float>" else np.float64
+    scale = sizes.largest
+    found = hash_sample(reps.select("v", "rep"), "rep", p.sample, sizes.classes).select("v").toArrow()
+    index = train(matrix(found["v"]) / scale, n, p)
+    index = replace(index, probe=len(index.coarse)) if p.exact else measured(index, reps, sizes.asking, scale, p)
     held = spark.sparkContext.broadcast(index)
-    groups = max(1, min(len(index.coarse), round(n / p.part)))  # near lists are scanned together, so that few groups hold what a query probes
+    groups = max(1, min(len(index.coarse), round(n / p.part)))  # near lists are scanned together, so that few groups hold what a query scans
     group_of = _nearest(index.coarse, _kmeans(index.coarse, groups, p.rounds, np.random.default_rng(p.seed))).astype(np.int32)
     grouped = spark.sparkContext.broadcast(group_of)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x = matrix(batch.column(1))
+                x = matrix(batch.column(1)) / scale
                 own = _nearest(x, held.value.coarse)
-                codes = x if p.exact else held.value.encode(x, own)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.astype(np.int32)), pa.array(packed(codes), pa.binary()), pa.array(grouped.value[own])], names=["rep", "list", "codes", "grp"])
+                codes = held.value.encode(x, own)
+                gain, off = held.value.gains(x, own, codes)
+                raw = packed(matrix(batch.column(1), kind))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.astype(np.int32)), pa.array(packed(codes), pa.binary()), pa.array(gain), pa.array(off), pa.array(raw, pa.binary()), pa.array(grouped.value[own])], names=["rep", "list", "codes", "gain", "off", "v", "grp"])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each group that holds a list which the query probes, with the score that its probed lists reach."""
+        """A row for each group that holds a list which the query scans, with the promise that its scanned lists reach."""
         for batch in batches:
             if batch.num_rows:
-                x = matrix(batch.column(1))
-                near = x @ held.value.coarse.T
-                probe = near.shape[1] if p.exact else min(held.value.probe, near.shape[1])
-                floor = -np.partition(-near, probe - 1, axis=1)[:, probe - 1] - 1e-9
-                hit = np.zeros((len(x), groups), bool)
-                q, lists = np.nonzero(near >= floor[:, None])
+                promise = held.value.promise(unit(matrix(batch.column(1)) / scale))
+                probe = min(held.value.probe, promise.shape[1])
+                home = _nearest(matrix(batch.column(1)) / scale, held.value.coarse)  # its copies lie there
+                floor = -np.partition(-promise, probe - 1, axis=1)[:, probe - 1] - 1e-9 * np.abs(promise).max(axis=1)  # products round apart in other tasks
+                hit = np.zeros((len(promise), groups), bool)
+                q, lists = np.nonzero(promise >= floor[:, None])
                 hit[q, grouped.value[lists]] = True
+                hit[np.arange(len(home)), grouped.value[home]] = True
                 q, group = np.nonzero(hit)
-                raw = packed(x)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(q)), pa.array(group.astype(np.int32)), pa.array(floor[q]), pa.array([raw[i] for i in q], pa.binary())], names=["query_rep", "grp", "floor", "q"])
-
-    coded = cut(reps.select("rep", "v").mapInArrow(code, "rep long, list int, codes binary, grp int"), "codes")
-    if not p.exact:
-        index = measured(index, reps, coded, sizes.classes, p)
-        held = spark.sparkContext.broadcast(index)
-    asked = reps.where("query").select("rep", "v").repartition("rep").mapInArrow(spread, "query_rep long, grp int, floor double, q binary")
-    # a group with many vectors is dealt to parts, each of which sees the group's queries; few parts see them in turns
-    parts = coded.groupBy("grp").agg(F.ceil(F.count("*") / p.part).cast("int").alias("parts"))
-    in_all = max(1, parts.agg(F.sum("parts")).first()[0] or 1)
-    turns = max(1, min(-(-reps.where("query").count() // p.ask), p.spread // in_all))
-    each = F.sequence(F.lit(0), F.lit(turns - 1))
-    dealt = coded.join(parts, "grp").select("rep", "list", "codes", "grp", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"), F.explode(each).alias("turn"))
-    sent = asked.join(parts, "grp").select("query_rep", "grp", "floor", "q", F.pmod(F.xxhash64("query_rep"), F.lit(turns)).cast("int").alias("turn"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+                raw = packed(matrix(batch.column(1), kind))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(q)), pa.array(group.astype(np.int32)), pa.array(floor[q]), pa.array(home[q].astype(np.int32)), pa.array([raw[i] for i in q], pa.binary())], names=["query_rep", "grp", "floor", "home", "q"])
+
+    coded = cut(reps.select("rep", "v").mapInArrow(code, "rep long, list int, codes binary, gain double, off double, v binary, grp int"), "codes")
+    asked = cut(reps.where("query").select("rep", "v").repartition("rep").mapInArrow(spread, "query_rep long, grp int, floor double, home int, q binary"), "asked")
+    # a group with many vectors is dealt to parts, each of which sees the group's queries, very many of them in turns
+    part = min(p.part, max(p.least, -(-n // p.spread)))
+    turns = asked.groupBy("grp").agg(F.ceil(F.count("*") / p.ask).cast("int").alias("turns"))
+    parts = cut(coded.groupBy("grp").agg(F.ceil(F.count("*") / part).cast("int").alias("parts")).join(turns, "grp"), "parts")
+    in_all = max(1, parts.agg(F.sum(F.col("parts") * F.col("turns"))).first()[0] or 1)
+    each = lambda most: F.explode(F.sequence(F.lit(0), F.col(most) - 1))
+    of = lambda key, most: F.pmod(F.xxhash64(key), F.col(most)).cast("int")
+    dealt = coded.join(F.broadcast(parts), "grp").select("rep", "list", "codes", "gain", "off", "v", "grp", of("rep", "parts").alias("part"), each("turns").alias("turn"))
+    sent = asked.join(F.broadcast(parts), "grp").select("query_rep", "grp", "floor", "home", "q", of("query_rep", "turns").alias("turn"), each("parts").alias("part"))
 
     def scan(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if left.num_rows and right.num_rows:
-            left = left.sort_by([("list", "ascending"), ("rep", "ascending")])
-            lists, ids, codes = left["list"].to_numpy(), left["rep"].to_numpy(), unpacked(left["codes"], np.float64 if p.exact else np.uint8)
-            numbers, starts = np.unique(lists, return_index=True)
-            ends = [*starts[1:], len(lists)]
-            right = right.sort_by("query_rep")
-            all_q, floors, queries = right["query_rep"].to_numpy(), right["floor"].to_numpy(), unpacked(right["q"], np.float64)
-            k = min(p.k + 1 if p.exact else held.value.keep, len(ids))
-            for at in range(0, len(all_q), 128):
-                q = queries[at : at + 128]
-                if p.exact:
-                    scores = q @ codes.T
-                    last = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k]
-                    row, col = np.nonzero(scores >= last[:, None] - 1e-9 * np.abs(last[:, None]))  # with all that ties
-                    out.append((all_q[at : at + 128][row], ids[col], scores[row, col]))
-                    continue
-                near = q @ held.value.coarse[numbers].T
-                scores = np.full((len(q), len(ids)), -np.inf, np.float32)
-                for i, (lo, hi) in enumerate(zip(starts, ends, strict=True)):
-                    who = np.flatnonzero(near[:, i] >= floors[at : at + 128] - 1e-9)
-                    if len(who):
-                        scores[who, lo:hi] = adc(held.value, int(numbers[i]), q[who], codes[lo:hi])
-                top = np.argpartition(-scores, k - 1, axis=1)[:, :k]
-                best = np.take_along_axis(scores, top, axis=1)
-                row, col = np.nonzero(best > -np.inf)
-                out.append((all_q[at : at + 128][row], ids[top[row, col]], best[row, col]))
-        cat = lambda i, t: np.concatenate([o[i] for o in out]).astype(t) if out else np.zeros(0, t)
-        return pa.table({"query_rep": cat(0, np.int64), "rep": cat(1, np.int64), "near": cat(2, np.float32)})
-
-    # a scan is much work on few bytes: one task for each, which adaptive execution would gather by size
+        return scanned_part(held.value, left, right, kind, scale, p.k + 1)
+
+    # a scan is much work on few bytes: a task for each, which adaptive execution would gather by size
     keys = ["grp", "part", "turn"]
-    left_side, right_side = (df.repartition(in_all * turns, *keys).groupBy(*keys) for df in (dealt, sent))
-    scanned = left_side.cogroup(right_side).applyInArrow(scan, "query_rep long, rep long, near float")
-    best = Window.partitionBy("query_rep").orderBy(F.desc("near"), "rep")
-    short = scanned if p.exact else scanned.withColumn("r", F.row_number().over(best)).where(F.col("r") <= index.keep)
-    short = short.select("query_rep", "rep")
-    pairs = short.join(reps.select(F.col("rep").alias("query_rep"), F.col("v").alias("q")), "query_rep").join(reps.select("rep", "v"), "rep")
-    dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    left_side, right_side = (df.repartition(2 * in_all, *keys).groupBy(*keys) for df in (dealt, sent))
+    scanned = left_side.cogroup(right_side).applyInArrow(scan, "query_rep long, rep long, score double")
     exact = Window.partitionBy("query_rep").orderBy(F.desc("score"), "rep")
-    scored = pairs.select("query_rep", "rep", dot.alias("score")).withColumn("r", F.row_number().over(exact)).where(F.col("r") <= p.k + 1).drop("r")
+    scored = scanned.withColumn("r", F.row_number().over(exact)).where(F.col("r") <= p.k + 1).drop("r")
     least = Window.partitionBy("rep").orderBy("vec_id")
     members = owned.select("rep", "vec_id").withColumn("r", F.row_number().over(least)).where(F.col("r") <= p.k + 1).drop("r")
     order = Window.partitionBy("query_rep").orderBy(F.desc("score"), "vec_id")

@@ -23,6 +23,20 @@ def matrix(column: pa.Array | pa.ChunkedArray, kind=np.float64) -> np.ndarray:
     return flat.reshape(n, -1) if n else flat.reshape(0, 0)
 
 
+def lengths(x: np.ndarray) -> np.ndarray:
+    """Of the rows, however small or large their components."""
+    most = np.abs(x).max(axis=1)
+    return most * np.sqrt(((x / np.where(most > 0, most, 1.0)[:, None]) ** 2).sum(axis=1))
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows brought to length one; zero rows stay."""
+    most = np.abs(x).max(axis=1, keepdims=True)
+    x = x / np.where(most > 0, most, 1.0)
+    n = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return x / np.where(n > 0, n, 1.0)
+
+
 def packed(m: np.ndarray) -> list[bytes]:
     return [row.tobytes() for row in np.ascontiguousarray(m)]
 

@@ -208,3 +208,33 @@ def test_recall_on_more_vectors(spark):
         score[q] = -np.inf
         hit += len(got[q] & set(np.argsort(-score)[:20].tolist()))
     assert hit / (120 * 20) >= 0.93
+
+
+def recalls(spark, x, params=neighbours.IvfParams()):
+    """The share of each query's true neighbours that are found, and the recall that is told; every twentieth row is a query."""
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got, told = {}, set()
+    for r in neighbours.nearest(df, F.col("vec_id") % 20 == 0, params).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+        told.add(r.sample_recall)
+    wide, out = x.astype(float), []
+    for q in range(0, len(x), 20):
+        score = wide @ wide[q]
+        score[q] = -np.inf
+        out.append(len(got.get(q, set()) & set(np.argsort(-score, kind="stable")[:20].tolist())) / 20)
+    return np.array(out), told.pop()
+
+
+def test_recall_of_queries_unlike_the_other_rows(spark):
+    """The rows that ask lie where hardly any others do, so most rows tell nothing of how many lists these need."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(50, 32))[rng.integers(0, 50, 6000)] + 0.05 * rng.normal(size=(6000, 32))
+    x[::20] = rng.normal(size=(300, 32))
+    found, told = recalls(spark, x.astype(np.float32))
+    assert found.mean() >= 0.97 and abs(found.mean() - told) < 0.02
+
+
+@pytest.mark.parametrize("scale", [1e25, 1e-25])
+def test_recall_of_very_large_and_very_small_components(spark, scale):
+    found, _ = recalls(spark, (np.random.default_rng(3).normal(size=(2000, 16)) * scale).astype(np.float32))
+    assert found.mean() >= 0.97
