@@ -238,3 +238,30 @@ def test_recall_of_queries_unlike_the_other_rows(spark):
 def test_recall_of_very_large_and_very_small_components(spark, scale):
     found, _ = recalls(spark, (np.random.default_rng(3).normal(size=(2000, 16)) * scale).astype(np.float32))
     assert found.mean() >= 0.97
+
+
+def test_near_copies_leave_no_more_candidates_than_other_vectors(spark):
+    """Of a large group of near copies a scan hands on a query's k nearest, found exactly, however little tells them apart."""
+    from dataclasses import replace
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 16))
+    x[:1500] = x[0] + 1e-4 * rng.normal(size=(1500, 16))
+    index = neighbours.train(x, 3000, neighbours.IvfParams())
+    index = replace(index, probe=len(index.coarse))
+    own = neighbours._nearest(x, index.coarse)
+    codes = index.encode(x, own)
+    gain, off = index.gains(x, own, codes)
+    decoded = index.coarse[own] + gain[:, None] * index.decoded(codes, 16)
+    ways = x[:40] / np.linalg.norm(x[:40], axis=1, keepdims=True)
+    assert (np.abs(ways @ (x - decoded).T) <= off).all()
+    vectors = pa.table({"rep": np.arange(3000), "list": own, "codes": neighbours.packed(codes), "gain": gain, "off": off, "v": neighbours.packed(x)})
+    queries = pa.table({"query_rep": np.arange(0, 3000, 20), "floor": np.full(150, -np.inf), "home": own[::20], "q": neighbours.packed(x[::20])})
+    got = neighbours.scanned_part(index, vectors, queries, np.float64, 1.0, 21).to_pylist()
+    assert len(got) == 150 * 21
+    for q in range(0, 3000, 20):
+        assert {r["rep"] for r in got if r["query_rep"] == q} == set(np.argsort(-(x @ x[q]))[:21].tolist())
+    found, _ = recalls(spark, x.astype(np.float32))
+    assert found[:75].mean() >= 0.97 and found[75:].mean() >= 0.97
