@@ -65,12 +65,17 @@ class IvfIndex:
     def decoded(self, codes: np.ndarray, dims: int) -> np.ndarray:
         return np.concatenate([self.books[m][codes[:, m]] for m in range(len(self.books))], axis=1)[:, :dims]
 
-    def gains(self, x: np.ndarray, lists: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The factor that brings each decoded direction nearest to its residual, and by how much a product with a query of length one may then be off."""
+    def ways(self) -> np.ndarray:
+        return unit(self.coarse)
+
+    def gains(self, x: np.ndarray, lists: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What codes leave: the factor that brings each decoded direction nearest to its residual, the error along the centroid, that across it, and rounding."""
         rest, way = x - self.coarse[lists], self.decoded(codes, x.shape[1])
         gain = (rest * way).sum(axis=1) / np.maximum((way * way).sum(axis=1), 1e-300)
+        left, centre = rest - gain[:, None] * way, self.ways()[lists]
+        along = (left * centre).sum(axis=1)
         rounding = np.abs(gain) * (len(self.books) + 4) * 2e-7 + 1e-12 * (lengths(x) + lengths(self.coarse)[lists])  # tables are of single precision
-        return gain, lengths(rest - gain[:, None] * way) + rounding
+        return gain, along, lengths(left - along[:, None] * centre), rounding
 
 
 def _split(x: np.ndarray, books: np.ndarray) -> np.ndarray:
@@ -189,9 +194,10 @@ def scanned_part(index: IvfIndex, vectors: pa.Table, queries: pa.Table, kind, sc
     """
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     if vectors.num_rows and queries.num_rows:
-        lists, ids, gain, off = (vectors[c].to_numpy() for c in ("list", "rep", "gain", "off"))
+        lists, ids, gain, along, off, rounding = (vectors[c].to_numpy() for c in ("list", "rep", "gain", "along", "off", "rounding"))
         codes, v = unpacked(vectors["codes"], np.uint8), unpacked(vectors["v"], kind)
         numbers, which = np.unique(lists, return_inverse=True)
+        centres = index.ways()[numbers]
         who, raw = queries["query_rep"].to_numpy(), unpacked(queries["q"], kind)
         ways = unit(raw.astype(np.float64) / scale)
         promise = index.promise(ways)[:, numbers]
@@ -203,13 +209,17 @@ def scanned_part(index: IvfIndex, vectors: pa.Table, queries: pa.Table, kind, sc
             if not len(some):
                 continue
             q, hit = ways[block], probed[block][:, which[some]]
-            near = np.where(hit, adc(index, lists[some], q, codes[some], gain[some]), -np.inf)
+            # of a query's product with the error, the share along the centroid is known, so that near copies are told apart
+            toward = q @ centres.T
+            across = np.sqrt(np.maximum(0, ((q * q).sum(axis=1)[:, None] - toward * toward)) + 1e-14)[:, which[some]]
+            near = adc(index, lists[some], q, codes[some], gain[some]) + toward[:, which[some]] * along[some]
+            near = np.where(hit, near, -np.inf)
             least = np.full(len(q), -np.inf)
             if len(some) > k:
                 first = np.argpartition(-near, min(2 * k, len(some) - 1), axis=1)[:, : 2 * k]
                 sure = np.where(np.take_along_axis(hit, first, axis=1), np.einsum("qd,qnd->qn", q, v[some[first]].astype(np.float64) / scale), -np.inf)
                 least = -np.partition(-sure, k - 1, axis=1)[:, k - 1]
-            row, col = np.nonzero(hit & (near + off[some] >= least[:, None]))
+            row, col = np.nonzero(hit & (near + across * off[some] + rounding[some] >= least[:, None]))
             col = some[col]
             score = products(raw[block], v, row, col)
             order = np.lexsort((ids[col], -score, row))
@@ -270,9 +280,9 @@ def _nearest_of(rows: DataFrame, p: IvfParams) -> DataFrame:
                 x = matrix(batch.column(1)) / scale
                 own = _nearest(x, held.value.coarse)
                 codes = held.value.encode(x, own)
-                gain, off = held.value.gains(x, own, codes)
+                left = held.value.gains(x, own, codes)
                 raw = packed(matrix(batch.column(1), kind))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.astype(np.int32)), pa.array(packed(codes), pa.binary()), pa.array(gain), pa.array(off), pa.array(raw, pa.binary()), pa.array(grouped.value[own])], names=["rep", "list", "codes", "gain", "off", "v", "grp"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.astype(np.int32)), pa.array(packed(codes), pa.binary()), *map(pa.array, left), pa.array(raw, pa.binary()), pa.array(grouped.value[own])], names=["rep", "list", "codes", "gain", "along", "off", "rounding", "v", "grp"])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each group that holds a list which the query scans, with the promise that its scanned lists reach."""
@@ -290,7 +300,7 @@ def _nearest_of(rows: DataFrame, p: IvfParams) -> DataFrame:
                 raw = packed(matrix(batch.column(1), kind))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(q)), pa.array(group.astype(np.int32)), pa.array(floor[q]), pa.array(home[q].astype(np.int32)), pa.array([raw[i] for i in q], pa.binary())], names=["query_rep", "grp", "floor", "home", "q"])
 
-    coded = cut(reps.select("rep", "v").mapInArrow(code, "rep long, list int, codes binary, gain double, off double, v binary, grp int"), "codes")
+    coded = cut(reps.select("rep", "v").mapInArrow(code, "rep long, list int, codes binary, gain double, along double, off double, rounding double, v binary, grp int"), "codes")
     asked = cut(reps.where("query").select("rep", "v").repartition("rep").mapInArrow(spread, "query_rep long, grp int, floor double, home int, q binary"), "asked")
     # a group with many vectors is dealt to parts, each of which sees the group's queries, very many of them in turns
     part = min(p.part, max(p.least, -(-n // p.spread)))
@@ -299,7 +309,7 @@ def _nearest_of(rows: DataFrame, p: IvfParams) -> DataFrame:
     in_all = max(1, parts.agg(F.sum(F.col("parts") * F.col("turns"))).first()[0] or 1)
     each = lambda most: F.explode(F.sequence(F.lit(0), F.col(most) - 1))
     of = lambda key, most: F.pmod(F.xxhash64(key), F.col(most)).cast("int")
-    dealt = coded.join(F.broadcast(parts), "grp").select("rep", "list", "codes", "gain", "off", "v", "grp", of("rep", "parts").alias("part"), each("turns").alias("turn"))
+    dealt = coded.join(F.broadcast(parts), "grp").select("rep", "list", "codes", "gain", "along", "off", "rounding", "v", "grp", of("rep", "parts").alias("part"), each("turns").alias("turn"))
     sent = asked.join(F.broadcast(parts), "grp").select("query_rep", "grp", "floor", "home", "q", of("query_rep", "turns").alias("turn"), each("parts").alias("part"))
 
     def scan(left: pa.Table, right: pa.Table) -> pa.Table:

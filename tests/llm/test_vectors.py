@@ -240,7 +240,7 @@ def test_recall_of_very_large_and_very_small_components(spark, scale):
     assert found.mean() >= 0.97
 
 
-def test_near_copies_leave_no_more_candidates_than_other_vectors(spark):
+def test_near_copies_leave_no_more_candidates_than_other_vectors(spark, monkeypatch):
     """Of a large group of near copies a scan hands on a query's k nearest, found exactly, however little tells them apart."""
     from dataclasses import replace
 
@@ -253,14 +253,18 @@ def test_near_copies_leave_no_more_candidates_than_other_vectors(spark):
     index = replace(index, probe=len(index.coarse))
     own = neighbours._nearest(x, index.coarse)
     codes = index.encode(x, own)
-    gain, off = index.gains(x, own, codes)
+    gain, along, off, rounding = index.gains(x, own, codes)
     decoded = index.coarse[own] + gain[:, None] * index.decoded(codes, 16)
     ways = x[:40] / np.linalg.norm(x[:40], axis=1, keepdims=True)
-    assert (np.abs(ways @ (x - decoded).T) <= off).all()
-    vectors = pa.table({"rep": np.arange(3000), "list": own, "codes": neighbours.packed(codes), "gain": gain, "off": off, "v": neighbours.packed(x)})
+    toward = (ways @ index.ways().T)[:, own]
+    across = np.sqrt(np.maximum(0, 1 - toward**2) + 1e-14)
+    assert (np.abs(ways @ (x - decoded).T - toward * along) <= across * off + rounding).all()
+    vectors = pa.table({"rep": np.arange(3000), "list": own, "codes": neighbours.packed(codes), "gain": gain, "along": along, "off": off, "rounding": rounding, "v": neighbours.packed(x)})
     queries = pa.table({"query_rep": np.arange(0, 3000, 20), "floor": np.full(150, -np.inf), "home": own[::20], "q": neighbours.packed(x[::20])})
+    scored, real = [], neighbours.products
+    monkeypatch.setattr(neighbours, "products", lambda a, b, row, col: scored.append(len(row)) or real(a, b, row, col))
     got = neighbours.scanned_part(index, vectors, queries, np.float64, 1.0, 21).to_pylist()
-    assert len(got) == 150 * 21
+    assert len(got) == 150 * 21 and sum(scored) < 150 * 1500 / 4
     for q in range(0, 3000, 20):
         assert {r["rep"] for r in got if r["query_rep"] == q} == set(np.argsort(-(x @ x[q]))[:21].tolist())
     found, _ = recalls(spark, x.astype(np.float32))
